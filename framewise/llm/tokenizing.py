@@ -20,6 +20,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: 1 for letters, 2 for signs that every pre-tokenizer here parts from letters (so "word," is "word" and ",").
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[*b",.!?;:*$%&#"]] = 2
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Words of plain letters and signs, for which the number of pieces can be told without the tokenizer.
 _PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\xbf])+")
 _workers: dict[str, WordEncoder] = {}
@@ -77,8 +82,10 @@ class WordEncoder:
             text = low
         word = ~_SPACE[text]
         first, last = word.copy(), word.copy()
-        first[1:] &= ~word[:-1]
-        last[:-1] &= ~word[1:]
+        kind = _KIND[text]
+        parted = (kind[1:] + kind[:-1] == 3) & (kind[1:] > 0) & (kind[:-1] > 0)
+        first[1:] &= ~word[:-1] | parted
+        last[:-1] &= ~word[1:] | parted
         inner = offsets[(offsets > 0) & (offsets < len(text))]
         first[inner] |= word[inner]
         last[inner - 1] |= word[inner - 1]
@@ -126,7 +133,7 @@ class WordEncoder:
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         plain, pieces, rest = [], [], []
         for i, w in enumerate(words):
-            if w.isalpha():
+            if _LETTERS.fullmatch(w):
                 plain.append(i)
                 pieces.append(1)
             elif _PLAIN.fullmatch(w) and b"<|" not in w:
@@ -135,9 +142,9 @@ class WordEncoder:
             else:
                 rest.append(i)
         order, ids, count = [], [], []
-        for s in range(0, len(plain), 64):
-            part, k = plain[s : s + 64], np.array(pieces[s : s + 64])
-            got = self._ids(b" ".join([words[i] for i in part]))
+        lines = [plain[s : s + 64] for s in range(0, len(plain), 64)]
+        for j, (part, got) in enumerate(zip(lines, self._ids([b" ".join([words[i] for i in part]) for part in lines]), strict=True)):
+            k = np.array(pieces[64 * j : 64 * j + 64])
             stops = np.concatenate([[0], np.flatnonzero(self.ends[got]) + 1])
             if len(stops) == k.sum() + 1:
                 order += part
@@ -145,8 +152,7 @@ class WordEncoder:
                 count.append(np.diff(stops[np.concatenate([[0], np.cumsum(k)])]))
             else:  # the pieces weren't foreseen right: one by one
                 rest += part
-        for i in rest:
-            got = self._ids(words[i])
+        for i, got in zip(rest, self._ids([words[i] for i in rest]), strict=True):
             order.append(i)
             ids.append(got)
             count.append(np.array([len(got)]))
@@ -157,5 +163,6 @@ class WordEncoder:
         self.new = _merged(self.new, {"key": keys[order], "start": self.used + np.cumsum(n) - n, "count": n})
         self.used += len(more)
 
-    def _ids(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
