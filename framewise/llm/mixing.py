@@ -17,7 +17,7 @@ SHARE = 1.5
 MOST = 2
 SEED = 11
 #: Words of a source, more or less, in one of its shards.
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 20
 SIZE = r"[^\x20\x09-\x0D]+"
 
 
