@@ -1,6 +1,855 @@
-def queries():
-    return {}
+"""Every operator as a registered query, with its SQL twin."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from framewise.functions import text as X
+from framewise.operators import frames as R
+from framewise.operators import joins as J
+from framewise.operators import metrics as A
+from framewise.operators import mix as M
+from framewise.operators import validate as V
+from framewise.operators import vectors as E
+from framewise.plans.views_sql import with_views
+from framewise.session import scratch_path
+from framewise.sources import tables as S
+from framewise.streaming import streams as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+LATIN = ("àâäçèéêëîïíñóôöœßúùûüÀÂÄÇÈÉÊËÎÏÍÑÓÔÖŒÚÙÛÜ", "A-Za-z")
+UNIT = 1_920
+
+
+def query(name: str, sql: str | None = None, *views: str):
+    def add(f: Query) -> Query:
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = with_views(sql, *views)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+class Views:
+    """The derived views of one scale factor."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return S.scan(self.spark, self.dir, name)
+
+    @property
+    def words(self) -> DataFrame:
+        return S.words_view(self.conversations)
+
+    @property
+    def segments(self) -> DataFrame:
+        return S.segments_view(self.words)
+
+    @property
+    def horizon(self) -> DataFrame:
+        return self.words.groupBy("conv_id").agg(F.max(F.col("start_frame") + F.col("n_frames")).alias("n_frames"))
+
+    @property
+    def aligned(self) -> DataFrame:
+        return R.align_words(self.words.where("role = 'assistant'"), self.horizon)
+
+    @property
+    def frames(self) -> DataFrame:
+        return R.mark_epad(self.aligned)
+
+    @property
+    def zoned(self) -> DataFrame:
+        return self.frames.withColumn("zone", F.when(F.col("frame_idx") < 6, "A").when(F.col("frame_idx") < 50, "B").otherwise("C"))
+
+    @property
+    def codes(self) -> DataFrame:
+        return S.codes_view(self.embeddings)
+
+    @property
+    def code_frames(self) -> DataFrame:
+        """Arrays: a row a frame instead of one a code."""
+        each = F.transform(F.slice("embedding", 1, 16), lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 2048)
+        frame = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
+        return self.embeddings.select(F.col("label").alias("conv_id"), frame.alias("frame_idx"), each.alias("codes"))
+
+    @property
+    def delayed(self) -> DataFrame:
+        return R.delay_pattern(self.codes, 2)
+
+    @property
+    def logits(self) -> DataFrame:
+        return S.logits_view(self.embeddings)
+
+    @property
+    def generations(self) -> DataFrame:
+        return S.generations_view(self.documents)
+
+    @property
+    def signal(self) -> DataFrame:
+        return S.signal_view(self.events)
+
+    @property
+    def pairs(self) -> DataFrame:
+        return M.single_turn_pairs(self.conversations)
+
+    @property
+    def halves(self) -> DataFrame:
+        even = self.embeddings.where("vec_id % 2 = 0").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("a"))
+        return even.join(self.embeddings.select((F.col("vec_id") - 1).alias("row_id"), F.col("embedding").alias("b")), "row_id")
+
+    @property
+    def voices(self) -> DataFrame:
+        samples = self.pairs.select(F.concat_ws(":", "conv_id", "turn").alias("sample_id"), (F.col("conv_id") % 50).alias("own_voice"))
+        return J.pair_reference_voice(samples, self.embeddings.where("label = 0").select(F.col("vec_id").alias("voice")), 1)
+
+
+def register(name: str, sql: str | None = None, *views: str):
+    """A query over ``Views``."""
+
+    def add(f: Callable[[Views], DataFrame]):
+        query(name, sql, *views)(lambda spark, sf_dir: f(Views(spark, sf_dir)))
+        return f
+
+    return add
+
+
+def r(c, n: int = 6):
+    return F.round(c, n)
+
+
+WS = "list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+EMPTY = "regexp_full_match(text, '[ \\t\\n\\x0B\\f\\r]*')"
+RATIO = f"CASE WHEN len(regexp_extract_all(text, '[{LATIN[0]}{LATIN[1]}]')) > 0 THEN len(regexp_extract_all(text, '[{LATIN[0]}]')) / len(regexp_extract_all(text, '[{LATIN[0]}{LATIN[1]}]')) ELSE 0.0::DOUBLE END"
+GRAMS = "list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))"
+REPEAT = f"CASE WHEN len(ws) < 4 THEN 0.0::DOUBLE ELSE 1 - len(list_distinct({GRAMS})) / len({GRAMS}) END"
+
+
+# Sources and sinks
+
+
+@register("s1_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 10")
+def _(v):
+    return S.scan(v.spark, v.dir, "lineitem").where("l_quantity < 10").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@register("s2_write_frames", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+def _(v):
+    back = S.write_frames(v.documents.select("doc_id", "n_chars", "lang"), scratch_path(v.spark, "frames"))
+    return back.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@register("s3_stream_chunks", "SELECT event_id, event_type FROM events")
+def _(v):
+    return T.run_to_table(T.stream_chunks(v.spark, v.dir).select("event_id", "event_type"))
+
+
+@register("s4_manifest_prune", "SELECT DISTINCT user_id AS shard FROM events WHERE (props->>'k')::INT BETWEEN 10 AND 19 ORDER BY 1")
+def _(v):
+    return S.manifest_prune(v.events.select(F.col("user_id").alias("shard"), "props"), "props", "shard", "^k=1[0-9]$")
+
+
+# Functions
+
+
+@register("f1_script_ratio", f"SELECT doc_id, round({RATIO}, 9) AS ratio FROM documents")
+def _(v):
+    return v.documents.select("doc_id", r(X.script_ratio(F.col("text"), *LATIN), 9).alias("ratio"))
+
+
+@register("f2_english_ratio", f"SELECT doc_id, round(CASE WHEN regexp_matches(text, '[{LATIN[0]}{LATIN[1]}]') THEN 1 - ({RATIO}) ELSE 0.0::DOUBLE END, 9) AS ratio FROM documents")
+def _(v):
+    return v.documents.select("doc_id", r(X.english_ratio(F.col("text"), *LATIN), 9).alias("ratio"))
+
+
+@register("f3_word_limit", f"SELECT conv_id, turn, round(CASE WHEN len({WS}) <= 10 THEN 1.0::DOUBLE ELSE 10 / len({WS}) END, 9) AS score FROM conversations")
+def _(v):
+    return v.conversations.select("conv_id", "turn", r(X.word_limit_compliance(F.col("text")), 9).alias("score"))
+
+
+@register("f4_is_empty", f"SELECT probe, condition, seed, {EMPTY} AS empty FROM generations", "generations")
+def _(v):
+    return v.generations.select("probe", "condition", "seed", X.is_empty(F.col("text")).alias("empty"))
+
+
+@register("f5_repetition_rate", f"SELECT doc_id, round({REPEAT}, 9) AS rate FROM (SELECT doc_id, {WS} AS ws FROM documents)")
+def _(v):
+    return v.documents.select("doc_id", r(X.repetition_rate(F.col("text")), 9).alias("rate"))
+
+
+@register("f6_frame_of", "SELECT event_id, epoch_us(ts) // 80000 AS frame, (epoch_us(ts) // 80000) * 0.08::DOUBLE AS seconds FROM events")
+def _(v):
+    f = X.frame_of(F.unix_micros(F.col("ts").cast("timestamp")))
+    return v.events.select("event_id", f.alias("frame"), (f * F.lit(0.08)).alias("seconds"))
+
+
+@register("f7_slot_and_role", "SELECT conv_id, frame_idx, codebook % 8 AS slot, codebook // 8 AS role, code FROM codes", "codes")
+def _(v):
+    slot, role = X.slot_and_role(F.col("codebook"))
+    return v.codes.select("conv_id", "frame_idx", slot.alias("slot"), role.alias("role"), "code")
+
+
+SPAN = "<think>.*?</think>|<tool_call>.*?</tool_call>"
+
+
+@register(
+    "f8_strip_nonspoken",
+    f"SELECT conv_id, turn, length(regexp_replace(text, '{SPAN}', '', 'gs')) AS n_chars, CASE WHEN turn % 2 = 0 THEN 2 ELSE 0 END AS silent_words, (CASE WHEN turn % 2 = 0 THEN 2 ELSE 0 END) / 12.5::DOUBLE AS silent_seconds "
+    "FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<think>a\nb</think>' ELSE '' END || text AS text FROM conversations)",
+)
+def _(v):
+    rows = v.conversations.withColumn("text", F.concat(F.when(F.col("turn") % 2 == 0, "<think>a\nb</think>").otherwise(""), F.col("text")))
+    text, silent = X.strip_nonspoken(F.col("text"))
+    return rows.select("conv_id", "turn", F.length(text).cast("long").alias("n_chars"), silent.alias("silent_words"), (silent / X.FPS).alias("silent_seconds"))
+
+
+@register("f9_decode_stream", "SELECT conv_id, string_agg(word, ' ' ORDER BY frame_idx) AS text, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame FROM frames WHERE kind = 'WORD' GROUP BY 1", "frames")
+def _(v):
+    return R.decode_stream(v.frames)
+
+
+@register("f10_softmax", "SELECT item, token_id, round(p, 9) AS p FROM probs", "probs")
+def _(v):
+    return A.softmax(v.logits).select("item", "token_id", r("p", 9).alias("p"))
+
+
+@register(
+    "f11_interpolate",
+    "SELECT row_id AS a_id, w, k - 1 AS pos, round(w * a[k]::DOUBLE + (1 - w) * b[k]::DOUBLE, 9) AS x FROM halves, unnest([0.0::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS g(w), unnest(range(1, 65)) AS u(k)",
+    "halves",
+)
+def _(v):
+    pairs = v.halves.select(F.col("row_id").alias("a_id"), (F.col("row_id") + 1).alias("b_id"), "a", "b")
+    return E.interpolate(pairs, [0.0, 0.25, 0.5, 1.0]).select("a_id", "w", F.posexplode("v").alias("pos", "x")).withColumns({"pos": F.col("pos").cast("long"), "x": r("x", 9)})
+
+
+# Joins
+
+
+@register("j1_align_words", "SELECT conv_id, frame_idx, kind, word FROM aligned", "aligned")
+def _(v):
+    return v.aligned
+
+
+CODES_B = "(SELECT conv_id, frame_idx, codebook, CASE WHEN frame_idx % 7 = 0 THEN code + 1 ELSE code END AS code FROM codes WHERE frame_idx % 11 <> 3)"
+
+
+@register("j2_code_agreement", f"SELECT round(avg((a.code = b.code)::INT), 9) AS agreement, count(a.code) - count(b.code) AS row_difference FROM codes a FULL JOIN {CODES_B} b USING (conv_id, frame_idx, codebook)", "codes")
+def _(v):
+    b = v.codes.where("frame_idx % 11 <> 3").withColumn("code", F.when(F.col("frame_idx") % 7 == 0, F.col("code") + 1).otherwise(F.col("code")))
+    return J.code_agreement(v.codes, b).withColumn("agreement", r("agreement", 9))
+
+
+@register("j3_signal_error", "SELECT round(max(abs(value - value * 1.01::DOUBLE)) / sqrt(avg((value * 1.01::DOUBLE) ** 2)), 9) AS error FROM events")
+def _(v):
+    return J.signal_error(v.events, v.events.withColumn("value", F.col("value") * 1.01)).select(r("error", 9).alias("error"))
+
+
+@register(
+    "j4_overlaps",
+    """SELECT a.conv_id, a.turn AS a_turn, u.turn AS u_turn, greatest(a.start_frame, u.start_frame) AS start_frame, least(a.end_frame, u.end_frame) AS end_frame,
+              CASE WHEN u.start_frame >= a.start_frame AND u.end_frame <= a.end_frame THEN 'backchannel' WHEN u.start_frame >= a.start_frame THEN 'barge_in' ELSE 'overlap' END AS kind
+       FROM segments a JOIN segments u ON a.conv_id = u.conv_id AND a.role = 'assistant' AND u.role = 'user' AND a.start_frame < u.end_frame AND u.start_frame < a.end_frame""",
+    "segments",
+)
+def _(v):
+    return J.overlaps(v.segments)
+
+
+@register(
+    "j5_event_alignment",
+    """SELECT session, event_id, student_id, student_frame - frame AS frame_offset FROM (
+         SELECT t.user_id AS session, t.event_id, t.frame, s.event_id AS student_id, s.frame AS student_frame,
+                row_number() OVER (PARTITION BY t.event_id ORDER BY abs(t.frame - s.frame) NULLS LAST, s.frame, s.event_id) AS place
+         FROM (SELECT *, epoch_us(ts) // 80000 AS frame FROM events WHERE event_type = 'click') t
+         LEFT JOIN (SELECT *, epoch_us(ts) // 80000 AS frame FROM events WHERE event_type = 'view') s ON t.user_id = s.user_id AND abs(t.frame - s.frame) <= 500000) WHERE place = 1""",
+)
+def _(v):
+    e = v.events.select(F.col("user_id").alias("session"), "event_id", "event_type", X.frame_of(F.unix_micros(F.col("ts").cast("timestamp"))).alias("frame"))
+    return J.event_alignment(e.where("event_type = 'click'").drop("event_type"), e.where("event_type = 'view'").drop("event_type"), 500_000)
+
+
+@register("j6_reference_voice", "SELECT sample_id, voice FROM voices", "voices")
+def _(v):
+    return v.voices
+
+
+LEAK = """leak AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i+7], ' '))) AS g FROM
+  (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM documents)) WHERE g IN (
+  SELECT unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i+7], ' '))) FROM (SELECT list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM benchmark)))"""
+
+
+@register("j7_disjoint_from", f"WITH {LEAK} SELECT doc_id, doc_id IN (SELECT doc_id FROM leak) AS leaks FROM documents")
+def _(v):
+    leaks, clean = J.disjoint_from(v.documents, v.benchmark)
+    return leaks.select("doc_id", F.lit(True).alias("leaks")).unionByName(clean.select("doc_id", F.lit(False).alias("leaks")))
+
+
+@register(
+    "j8_reconcile",
+    """WITH s AS (SELECT regexp_replace('src.' || p_partkey, '^src\\.', 'dst.') AS key, p_size AS a FROM part WHERE p_partkey % 5 <> 0),
+            t AS (SELECT 'dst.' || p_partkey AS key, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS b FROM part WHERE p_partkey % 3 <> 0),
+            j AS (SELECT key, CASE WHEN a IS NULL THEN 'kept' WHEN b IS NULL THEN 'unused' WHEN a = b THEN 'copied' ELSE 'mismatched' END AS status FROM s FULL JOIN t USING (key))
+       SELECT key, status, status <> 'copied' AND key NOT IN ('dst.3', 'dst.10') AS failed FROM j""",
+)
+def _(v):
+    key = lambda p: F.concat(F.lit(p), F.col("p_partkey").cast("string")).alias("key")
+    source = v.part.where("p_partkey % 5 <> 0").select(key("src."), F.col("p_size").alias("shape"))
+    target = v.part.where("p_partkey % 3 <> 0").select(key("dst."), F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("shape"))
+    return J.reconcile(source, target, r"^src\.", "dst.", ["dst.3", "dst.10"])
+
+
+@register(
+    "j9_skeleton_slots",
+    """SELECT slot_id, utt_id, round(slot_frames / utt_frames, 9) AS stretch FROM (
+         SELECT s.conv_id * 100 + s.turn AS slot_id, s.end_frame - s.start_frame AS slot_frames, u.conv_id * 100 + u.turn AS utt_id, u.end_frame - u.start_frame AS utt_frames,
+                row_number() OVER (PARTITION BY s.conv_id * 100 + s.turn ORDER BY abs((s.end_frame - s.start_frame) - (u.end_frame - u.start_frame)), u.conv_id * 100 + u.turn) AS place
+         FROM segments s JOIN segments u ON s.role = 'assistant' AND u.role = 'user' AND abs((s.end_frame - s.start_frame) - (u.end_frame - u.start_frame)) <= 8) WHERE place = 1""",
+    "segments",
+)
+def _(v):
+    side = lambda role, i, n: v.segments.where(F.col("role") == role).select((F.col("conv_id") * 100 + F.col("turn")).alias(i), (F.col("end_frame") - F.col("start_frame")).alias(n))
+    return J.skeleton_slots(side("assistant", "slot_id", "slot_frames"), side("user", "utt_id", "utt_frames")).withColumn("stretch", r("stretch", 9))
+
+
+@register(
+    "j10_swap_guard",
+    """, kept AS (SELECT * FROM codes WHERE NOT (codebook >= 8 AND frame_idx % 9 = 4) AND NOT (codebook < 8 AND frame_idx % 13 = 2))
+       SELECT conv_id, frame_idx, CASE WHEN count(*) FILTER (codebook < 8) = 0 THEN 'self' ELSE 'user' END AS missing FROM kept GROUP BY 1, 2
+       HAVING count(*) FILTER (codebook < 8) = 0 OR count(*) FILTER (codebook >= 8) = 0""",
+    "codes",
+)
+def _(v):
+    return J.swap_guard(v.codes.where("NOT (codebook >= 8 AND frame_idx % 9 = 4) AND NOT (codebook < 8 AND frame_idx % 13 = 2)"))
+
+
+# Aggregations
+
+
+@register(
+    "a1_adherence_report",
+    f"""SELECT probe, condition, round(score, 6) AS score, round(empty_rate, 6) AS empty_rate, round(score - max(score) FILTER (condition = 'open') OVER (PARTITION BY probe), 6) AS delta, score IS NULL AS all_empty
+        FROM (SELECT probe, condition, avg({RATIO}) FILTER (NOT {EMPTY}) AS score, avg(({EMPTY})::INT) AS empty_rate FROM generations GROUP BY 1, 2)""",
+    "generations",
+)
+def _(v):
+    rows = A.adherence_report(v.generations, X.script_ratio(F.col("text"), *LATIN))
+    return rows.select("probe", "condition", r("score").alias("score"), r("empty_rate").alias("empty_rate"), r("delta").alias("delta"), "all_empty")
+
+
+@register("a2_coherence_report", f"SELECT condition, round(avg({REPEAT}), 6) AS repetition, round(avg(len(ws)), 6) AS words FROM (SELECT condition, {WS} AS ws FROM generations WHERE NOT {EMPTY}) GROUP BY 1", "generations")
+def _(v):
+    return A.coherence_report(v.generations).select("condition", r("repetition").alias("repetition"), r("words").alias("words"))
+
+
+RUNS = """runs AS (SELECT w.conv_id, pos, word, ratio, CASE WHEN ratio = 0 THEN 0 ELSE floor(ln((('0x' || substr(md5(w.conv_id || ':' || pos || ':1'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / ln(ratio))::BIGINT END AS n
+  FROM (SELECT conv_id, turn * 10000 + word_idx AS pos, word FROM words WHERE role = 'assistant') w, unnest([%s]) AS g(ratio))"""
+
+
+def _tokens(v):
+    return v.words.where("role = 'assistant'").select("conv_id", (F.col("turn") * 10000 + F.col("word_idx")).alias("pos"), F.col("word").alias("token"))
+
+
+@register(
+    "a3_density_sweep",
+    ", " + RUNS % "0.3::DOUBLE, 0.5::DOUBLE, 0.65::DOUBLE, 0.8::DOUBLE" + " SELECT ratio, sum(n + 1)::BIGINT AS frames, round(sum(n)::DOUBLE / sum(n + 1)::DOUBLE, 6) AS pad_share FROM runs GROUP BY 1",
+    "words",
+)
+def _(v):
+    out = None
+    for ratio in (0.3, 0.5, 0.65, 0.8):
+        part = R.interleave_pad(_tokens(v), ratio, 1).agg(F.count("*").alias("frames"), F.avg((F.col("kind") != "WORD").cast("double")).alias("pad_share")).select(F.lit(ratio).alias("ratio"), "frames", r("pad_share").alias("pad_share"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("a4_reflex_summary", "SELECT round(avg(p), 6) AS mean_p, round(median(p), 6) AS median_p, round(avg(rank), 6) AS mean_rank, median(rank)::DOUBLE AS median_rank, count(*) FILTER (rank = 1) AS n_first, CASE WHEN median(rank) <= 2 THEN 'reflex' ELSE 'no reflex' END AS verdict FROM ranks", "ranks")
+def _(v):
+    p = A.softmax(v.logits)
+    ranked = A.token_rank(v.logits).join(p.where("token_id = target").select("item", "p"), "item")
+    return A.reflex_summary(ranked).withColumns({c: r(c) for c in ("mean_p", "median_p", "mean_rank")})
+
+
+@register(
+    "a5_rms_energy",
+    """SELECT session, win, round(u, 6) AS user_rms, round(a, 6) AS assistant_rms, CASE WHEN coalesce(u, 0) > 200 THEN 'user' WHEN coalesce(a, 0) > 200 THEN 'assistant' ELSE 'silence' END AS label
+       FROM (SELECT session, micros // 86400000000 AS win, sqrt(avg(value * value) FILTER (role = 'user')) AS u, sqrt(avg(value * value) FILTER (role = 'assistant')) AS a FROM signal GROUP BY 1, 2)""",
+    "signal",
+)
+def _(v):
+    return A.rms_energy(v.signal, 86_400_000_000, 200.0).withColumns({"user_rms": r("user_rms"), "assistant_rms": r("assistant_rms")})
+
+
+@register("a6_pad_share", "SELECT conv_id, round(avg((kind = 'PAD')::INT), 9) AS pad, round(avg((kind = 'EPAD')::INT), 9) AS epad, round(avg((kind = 'WORD')::INT), 9) AS word FROM frames GROUP BY ROLLUP (conv_id)", "frames")
+def _(v):
+    return A.pad_share(v.frames).select("conv_id", r("pad", 9).alias("pad"), r("epad", 9).alias("epad"), r("word", 9).alias("word"))
+
+
+@register(
+    "a7_weighted_loss_mass",
+    "SELECT zone, kind, round(sum(weight), 6) AS mass, round(sum(weight) / max(sum(weight)) OVER (), 6) AS share FROM weighted GROUP BY GROUPING SETS ((zone, kind), (zone), ())",
+    "weighted",
+)
+def _(v):
+    return A.weighted_loss_mass(R.loss_weights(v.zoned)).select("zone", "kind", r("mass").alias("mass"), r("share").alias("share"))
+
+
+@register(
+    "a8_task_lang_association",
+    """, c AS (SELECT ('0x' || substr(md5(conv_id::VARCHAR), 1, 8))::BIGINT % 3 AS lang, structure FROM units), n AS (SELECT count(*) AS n FROM c),
+         a AS (SELECT lang, count(*) AS a FROM c GROUP BY 1), b AS (SELECT structure, count(*) AS b FROM c GROUP BY 1), o AS (SELECT lang AS l2, structure AS s2, count(*) AS o FROM c GROUP BY 1, 2),
+         x AS (SELECT sum((coalesce(o, 0) - a * b / n) ** 2 / (a * b / n)) AS chi2, max(n) AS n, least(count(DISTINCT lang), count(DISTINCT structure)) AS k FROM a, b, n LEFT JOIN o ON l2 = a.lang AND s2 = b.structure)
+       SELECT round(chi2, 6) AS chi2, round(CASE WHEN k > 1 THEN sqrt(chi2 / (n * (k - 1))) END, 6) AS cramers_v FROM x""",
+    "units",
+)
+def _(v):
+    rows = M.classify_unit(v.conversations).select((X.hash32(F.col("conv_id").cast("string")) % 3).alias("lang"), "structure")
+    return A.task_lang_association(rows).select(r("chi2").alias("chi2"), r("cramers_v").alias("cramers_v"))
+
+
+@register("a9_top_k_dump", "SELECT item, place, token_id, logit FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY logit DESC, token_id) AS place FROM logits) WHERE place <= 5", "logits")
+def _(v):
+    return A.top_k_dump(v.logits, 5)
+
+
+@register(
+    "a10_kd_divergence",
+    """, q AS (SELECT item, token_id, p, e2 / sum(e2) OVER (PARTITION BY item) AS q FROM (SELECT *, exp(logit * 0.5::DOUBLE - max(logit * 0.5::DOUBLE) OVER (PARTITION BY item)) AS e2 FROM probs)),
+         k AS (SELECT item, sum(p * ln(p / q)) AS kl FROM q GROUP BY 1)
+       SELECT round(sum(kl * (item % 3 + 1)) / sum(item % 3 + 1), 9) AS kl FROM k""",
+    "probs",
+)
+def _(v):
+    t = A.softmax(v.logits).select("item", "token_id", "p")
+    s = A.softmax(v.logits.withColumn("logit", F.col("logit") * 0.5)).select("item", "token_id", "p")
+    w = v.embeddings.select(F.col("vec_id").alias("item"), (F.col("vec_id") % 3 + 1).alias("weight"))
+    return A.kd_divergence(t, s, w).select(r("kl", 9).alias("kl"))
+
+
+DOT = "list_dot_product(a::DOUBLE[], b::DOUBLE[])"
+NORMS = "sqrt(list_dot_product(a::DOUBLE[], a::DOUBLE[]) * list_dot_product(b::DOUBLE[], b::DOUBLE[]))"
+
+
+@register(
+    "a11_table_compare",
+    f""", d AS (SELECT k, a[k]::DOUBLE - b[k]::DOUBLE AS d FROM halves, unnest(range(1, 65)) AS u(k)), s AS (SELECT k, avg(d) AS m, sum(d * d) AS e, count(*) AS n FROM d GROUP BY 1)
+       SELECT round((SELECT avg({DOT} / {NORMS}) FROM halves), 6) AS mean_cosine, round(sum(n * m * m) / sum(e), 6) AS offset_share, round(1 - sum(n * m * m) / sum(e), 6) AS residual_share FROM s""",
+    "halves",
+)
+def _(v):
+    return E.table_compare(v.halves).select(*(r(c).alias(c) for c in ("mean_cosine", "offset_share", "residual_share")))
+
+
+@register("a12_embedding_drift", f"SELECT row_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda k: (a[k]::DOUBLE - b[k]::DOUBLE) ** 2))), 6) AS l2, round(1 - {DOT} / {NORMS}, 6) AS cosine_distance FROM halves", "halves")
+def _(v):
+    return E.embedding_drift(v.halves).select("row_id", r("l2").alias("l2"), r("cosine_distance").alias("cosine_distance"))
+
+
+@register("a13_centroid", "SELECT label, k - 1 AS pos, round(avg(embedding[k]::DOUBLE), 6) AS value FROM embeddings, unnest(range(1, 65)) AS u(k) GROUP BY 1, 2")
+def _(v):
+    return E.centroid(v.embeddings).withColumns({"pos": F.col("pos").cast("long"), "value": r("value")})
+
+
+@register(
+    "a14_voice_drift_guard",
+    f""", s AS (SELECT row_id % 7 AS step, avg({DOT} / {NORMS}) AS s FROM halves WHERE row_id % 3 = 0 GROUP BY 1)
+       SELECT step, round(s, 6) AS similarity, round(s - lag(s) OVER (ORDER BY step), 6) AS gain, s < 0 OR coalesce(s - lag(s) OVER (ORDER BY step) <= 0, false) AS stop FROM s""",
+    "halves",
+)
+def _(v):
+    rows = v.halves.select((F.col("row_id") % 7).alias("step"), E.cosine(F.col("a"), F.col("b")).alias("similarity"), (F.col("row_id") % 3 == 0).alias("overlapped"))
+    return E.voice_drift_guard(rows, 0.0).withColumns({"similarity": r("similarity"), "gain": r("gain")})
+
+
+def _spoken_pairs(v):
+    fold = lambda c, n: F.regexp_replace(F.substring(c, 1, n), "[^ -~]", "?")
+    return v.pairs.select(F.concat_ws(":", "conv_id", "turn").alias("id"), fold("prompt", 200).alias("ref"), fold("reply", 200).alias("hyp"))
+
+
+@register("a15_cer", "SELECT round(avg(d / n), 6) AS macro, round(sum(d) / sum(n), 6) AS micro FROM (SELECT length(ref) AS n, levenshtein(ref, hyp) AS d FROM (SELECT regexp_replace(substr(prompt, 1, 200), '[^ -~]', '?', 'g') AS ref, regexp_replace(substr(reply, 1, 200), '[^ -~]', '?', 'g') AS hyp FROM pairs) WHERE length(ref) > 0)", "pairs")
+def _(v):
+    return A.cer(_spoken_pairs(v)).select(r("macro").alias("macro"), r("micro").alias("micro"))
+
+
+@register("a15_wer")
+def _(v):
+    return A.error_rates(_spoken_pairs(v)).select("id", "char_edits", r("cer").alias("cer"), "word_edits", r("wer").alias("wer"))
+
+
+@register("a16_minimal_pairs", "SELECT n AS contrast, count(*) AS pairs, count(*) FILTER (substr(a, 1, 3) <> substr(b, 1, 3)) AS distinct_after FROM (SELECT length(word) % 5 AS n, word AS a, lead(word) OVER (PARTITION BY conv_id ORDER BY turn, word_idx) AS b FROM words) WHERE a <> b GROUP BY 1", "words")
+def _(v):
+    b = F.lead("word").over(Window.partitionBy("conv_id").orderBy("turn", "word_idx"))
+    rows = v.words.select((F.length("word") % 5).cast("long").alias("contrast"), F.col("word").alias("a"), b.alias("b"))
+    return A.minimal_pair_check(rows.withColumn("a2", F.substring("a", 1, 3)).withColumn("b2", F.substring("b", 1, 3)))
+
+
+@register("a17_corpus_hours", "SELECT structure, task, round(sum(n) / 12.5 / 3600, 9) AS hours, round(sum(n) / 7500.0 / 86400, 9) AS days FROM (SELECT structure, role AS task, (end_frame - start_frame)::DOUBLE AS n FROM segments JOIN units USING (conv_id)) GROUP BY ROLLUP (structure, task)", "segments", "units")
+def _(v):
+    rows = v.segments.join(M.classify_unit(v.conversations), "conv_id").select("structure", F.col("role").alias("task"), (F.col("end_frame") - F.col("start_frame")).alias("n_frames"))
+    return A.corpus_hours(rows, ["structure", "task"]).select("structure", "task", r("hours", 9).alias("hours"), r("days", 9).alias("days"))
+
+
+@register("a18_capture_gate", "SELECT c.session, CASE WHEN n IS NULL THEN 'empty' WHEN peak < 400 THEN 'silent' ELSE 'ok' END AS state, CASE WHEN peak >= 400 THEN round(n / 24000, 9) END AS seconds FROM (SELECT DISTINCT user_id AS session FROM events) c LEFT JOIN (SELECT user_id AS session, count(*) AS n, max(abs(value)) AS peak FROM events WHERE user_id % 10 <> 0 GROUP BY 1) s USING (session)")
+def _(v):
+    samples = v.events.select(F.col("user_id").alias("session"), "value")
+    return A.capture_quality_gate(samples, samples.where("session % 10 <> 0"), 400.0).withColumn("seconds", r("seconds", 9))
+
+
+@register(
+    "a19_frame_balance",
+    """, s AS (SELECT CASE WHEN b IS NOT NULL AND (kind = 'WORD') <> (b = 'WORD') THEN 'transition' WHEN kind = 'WORD' THEN 'speech' ELSE 'silence' END AS state FROM (SELECT kind, lag(kind) OVER (PARTITION BY conv_id ORDER BY frame_idx) AS b FROM frames))
+       SELECT state, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM s GROUP BY 1""",
+    "frames",
+)
+def _(v):
+    return A.frame_balance(v.frames).withColumn("weight", r("weight"))
+
+
+@register("a20_efficiency_curve", "SELECT lang AS task, round(regr_slope(quality, ln(1 + n_chars / 1000.0::DOUBLE)), 6) AS slope, round(regr_intercept(quality, ln(1 + n_chars / 1000.0::DOUBLE)), 6) AS intercept FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def _(v):
+    runs = v.documents.join(v.labels, "doc_id").select(F.col("lang").alias("task"), (F.col("n_chars") / 1000.0).alias("hours"), F.col("quality").cast("double").alias("metric"))
+    return A.efficiency_curve(runs).select("task", r("slope").alias("slope"), r("intercept").alias("intercept"))
+
+
+@register("a21_ablation_report", "SELECT axis, arm, round(m, 6) AS metric, round(m - max(m) FILTER (arm = 0) OVER (PARTITION BY axis), 6) AS delta FROM (SELECT lang AS axis, doc_id % 3 AS arm, avg(quality) AS m FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)")
+def _(v):
+    runs = v.documents.join(v.labels, "doc_id").select(F.col("lang").alias("axis"), (F.col("doc_id") % 3).alias("arm"), F.col("quality").alias("metric"))
+    return A.ablation_report(runs, 0).select("axis", "arm", r("metric").alias("metric"), r("delta").alias("delta"))
+
+
+@register("a22_voice_diversity", ", n AS (SELECT voice, count(*) AS n FROM voices GROUP BY 1) SELECT count(*) AS voices, round(max(n) / sum(n), 6) AS top_share, round(-sum(n / t * ln(n / t)), 6) AS entropy FROM n, (SELECT sum(n) AS t FROM n)", "voices")
+def _(v):
+    return A.voice_diversity(v.voices).select("voices", r("top_share").alias("top_share"), r("entropy").alias("entropy"))
+
+
+@register(
+    "a23_turn_stats",
+    """SELECT conv_id, median(gap)::DOUBLE AS median_gap, round(sum(CASE WHEN role = 'assistant' THEN len ELSE 0 END) / sum(len), 6) AS talk_share, round(avg((gap < 0)::INT), 6) AS overlap_share
+       FROM (SELECT *, start_frame - lag(end_frame) OVER (PARTITION BY conv_id ORDER BY turn) AS gap, end_frame - start_frame AS len FROM segments) GROUP BY 1""",
+    "segments",
+)
+def _(v):
+    return A.turn_stats(v.segments).withColumns({"talk_share": r("talk_share"), "overlap_share": r("overlap_share")})
+
+
+# Windows
+
+
+@register("w1_token_rank", "SELECT item, rank FROM ranks", "ranks")
+def _(v):
+    return A.token_rank(v.logits)
+
+
+@register("w2_mark_epad", "SELECT conv_id, frame_idx, kind FROM frames", "frames")
+def _(v):
+    return v.frames.select("conv_id", "frame_idx", "kind")
+
+
+@register("w3_delay_pattern", "SELECT conv_id, frame_idx, codebook, code FROM delayed", "delayed")
+def _(v):
+    return v.delayed
+
+
+@register("w4_complete_prefix", "SELECT conv_id, frame_idx, max(max((code = 2048)::INT)) OVER (PARTITION BY conv_id ORDER BY frame_idx) = 0 AS ready FROM (SELECT conv_id, frame_idx, CASE WHEN frame_idx = 20 AND codebook = 3 THEN 2048 ELSE code END AS code FROM codes) GROUP BY 1, 2", "codes")
+def _(v):
+    return R.complete_prefix(v.codes.withColumn("code", F.when((F.col("frame_idx") == 20) & (F.col("codebook") == 3), X.PLACEHOLDER).otherwise(F.col("code"))))
+
+
+@register(
+    "w5_interleave_pad",
+    ", " + RUNS % "0.65::DOUBLE" + """, p AS (SELECT *, sum(n + 1) OVER (PARTITION BY conv_id ORDER BY pos) - n - 1 AS s FROM runs)
+       SELECT conv_id, (s + k)::BIGINT AS frame_idx, CASE WHEN k = n THEN 'WORD' WHEN k = n - 1 THEN 'EPAD' ELSE 'PAD' END AS kind, CASE WHEN k = n THEN word END AS token FROM p, unnest(range(0, n + 1)) AS u(k)""",
+    "words",
+)
+def _(v):
+    return R.interleave_pad(_tokens(v), 0.65, 1)
+
+
+@register(
+    "w6_segment_turns",
+    """, x AS (SELECT *, CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role THEN 0 ELSE 1 END AS new FROM signal WINDOW w AS (PARTITION BY session ORDER BY event_id)),
+         y AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY event_id) AS run FROM x)
+       SELECT session, run::BIGINT AS run, role, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM y GROUP BY 1, 2, 3""",
+    "signal",
+)
+def _(v):
+    return A.segment_turns(v.signal)
+
+
+@register("w7_single_turn_pairs", "SELECT conv_id, turn, prompt, reply FROM pairs", "pairs")
+def _(v):
+    return v.pairs
+
+
+@register("w8_loss_weights", "SELECT conv_id, frame_idx, zone, kind, weight FROM weighted", "weighted")
+def _(v):
+    return R.loss_weights(v.zoned).select("conv_id", "frame_idx", "zone", "kind", "weight")
+
+
+@register("w8_audio_weights", "SELECT conv_id, frame_idx, codebook, CASE WHEN code = 2048 THEN 0.0::DOUBLE WHEN codebook % 8 > 0 THEN 0.02::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM delayed", "delayed")
+def _(v):
+    return R.audio_weights(v.delayed).select("conv_id", "frame_idx", "codebook", "weight")
+
+
+@register(
+    "w9_hour_budget",
+    """SELECT budget, doc_id FROM (SELECT doc_id, sum(hours) OVER (ORDER BY h, doc_id) AS until FROM (SELECT doc_id, n_chars / 50000.0::DOUBLE AS hours, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents)),
+         unnest([0.0::DOUBLE, 1.0::DOUBLE, 10.0::DOUBLE, 100.0::DOUBLE]) AS g(budget) WHERE round(until, 6) <= budget""",
+)
+def _(v):
+    return M.hour_budget(v.documents.select("doc_id", (F.col("n_chars") / 50000.0).alias("hours")), [0.0, 1.0, 10.0, 100.0])
+
+
+@register(
+    "w10_checkpoint_regression",
+    """, m AS (SELECT lang AS metric, doc_id // 100 AS step, round(avg(quality), 6) AS value FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2),
+         x AS (SELECT *, value - lag(value) OVER w AS change, value - max(value) OVER (PARTITION BY metric ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS to_best FROM m WINDOW w AS (PARTITION BY metric ORDER BY step))
+       SELECT metric, step, value, round(change, 6) AS change, round(to_best, 6) AS to_best, coalesce(to_best < 0, false) AS dropped FROM x""",
+    "units",
+)
+def _(v):
+    m = v.documents.join(v.labels, "doc_id").groupBy(F.col("lang").alias("metric"), F.floor(F.col("doc_id") / 100).alias("step")).agg(r(F.avg("quality")).alias("value"))
+    return A.checkpoint_regression(m).withColumns({"change": r("change"), "to_best": r("to_best")})
+
+
+@register("w11_chunk_frames", "SELECT session, n // 5 AS chunks, n % 5 AS left_over FROM (SELECT session, count(*) AS n FROM signal GROUP BY 1)", "signal")
+def _(v):
+    return R.chunk_frames(v.signal.groupBy("session").agg(F.count("*").alias("n_frames")), 5)
+
+
+@register("w12_training_windows", 'SELECT conv_id, frame_idx // 750 AS "window", count(*) AS n_frames, count(*) FILTER (frame_idx >= 3000) AS beyond, count(*) = 750 AS whole FROM frames GROUP BY 1, 2', "frames")
+def _(v):
+    return R.training_windows(v.frames)
+
+
+# Reshaping and sets
+
+
+@register("r1_split_roles", "SELECT conv_id, frame_idx, role, array_to_string(codes[role*8+1:role*8+7], ',') AS inputs, array_to_string(codes[role*8+1:role*8+8], ',') AS labels FROM code_frames, unnest([0, 1]) AS u(role)", "code_frames")
+def _(v):
+    return R.split_roles(v.code_frames).select("conv_id", "frame_idx", "role", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("inputs", "labels")))
+
+
+@register("r2_merge_roles", "SELECT conv_id, frame_idx, array_to_string(codes, ',') AS codes FROM code_frames", "code_frames")
+def _(v):
+    return R.merge_roles(R.split_roles(v.code_frames)).select("conv_id", "frame_idx", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+
+
+PROMPT = """SELECT conv_id, condition, string_agg(CASE WHEN condition = 'no_markers' AND role <> 'system' THEN text || chr(10)
+  WHEN condition IN ('open', 'open_pad') AND turn = last AND role <> 'system' THEN '<|im_start|>' || role || chr(10) || text || CASE condition WHEN 'open_pad' THEN ' <pad>' ELSE '' END
+  ELSE '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) END, '' ORDER BY turn) AS prompt
+  FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations), unnest(['chatml', 'open', 'open_pad', 'no_markers']) AS g(condition) GROUP BY 1, 2"""
+
+
+@register("r3_render_prompt", PROMPT)
+def _(v):
+    out = None
+    for c in ("chatml", "open", "open_pad", "no_markers"):
+        part = R.render_prompt(v.conversations, c).select("conv_id", F.lit(c).alias("condition"), "prompt")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register(
+    "r4_assemble_zones",
+    f""", z AS (SELECT conv_id, sum(CASE WHEN role = 'system' THEN len({WS}) ELSE 0 END)::BIGINT AS a, sum(CASE WHEN role <> 'system' THEN len({WS}) ELSE 0 END)::BIGINT AS c FROM conversations GROUP BY 1)
+       SELECT conv_id, 'A' AS zone, a AS n_tokens, 0::BIGINT AS start FROM z UNION ALL SELECT conv_id, 'B', 44, a FROM z UNION ALL SELECT conv_id, 'C', c, a + 44 FROM z""",
+    "units",
+)
+def _(v):
+    return R.assemble_zones(v.conversations, 44)
+
+
+@register(
+    "r5_persona_prefix",
+    f"SELECT conv_id, (k - 1)::BIGINT AS frame_idx, p[k] AS part FROM (SELECT conv_id, list_concat(list_transform(range(5), lambda i: 'voice'), list_transform(range(6), lambda i: 'silence'), list_transform({WS}, lambda w: 'text:' || w), list_transform(range(6), lambda i: 'silence')) AS p FROM conversations WHERE role = 'system'), unnest(range(1, len(p) + 1)) AS u(k)",
+)
+def _(v):
+    return R.persona_prefix(v.conversations, 5).withColumn("frame_idx", F.col("frame_idx").cast("long"))
+
+
+@register("r6_pad_to_frames", "SELECT conv_id, CASE WHEN n <= h THEN h - n END AS n_pad, CASE WHEN n > h THEN 'text longer than frames' END AS error FROM (SELECT conv_id, count(*) AS n, 500 AS h FROM words GROUP BY 1)", "words")
+def _(v):
+    return R.pad_to_frames(v.words.groupBy("conv_id").agg(F.count("*").alias("n_tokens")).withColumn("n_frames", F.lit(500).cast("long")))
+
+
+@register("r7_extend_user_stream", "SELECT s.conv_id, s.frame_idx, u.conv_id IS NOT NULL AS supplied FROM (SELECT conv_id, unnest(range(0, n_frames)) AS frame_idx FROM horizon) s LEFT JOIN (SELECT DISTINCT conv_id, start_frame FROM words WHERE role = 'user') u ON u.conv_id = s.conv_id AND u.start_frame = s.frame_idx", "horizon")
+def _(v):
+    return R.extend_user_stream(v.words.where("role = 'user'").select("conv_id", F.col("start_frame").alias("frame_idx")), v.horizon)
+
+
+@register("r8_drop_prompt", "SELECT conv_id, frame_idx - 50 AS frame_idx, kind FROM frames WHERE frame_idx >= 50", "frames")
+def _(v):
+    return R.drop_prompt(v.frames.select("conv_id", "frame_idx", "kind"), 50)
+
+
+@register("r9_two_direction", "SELECT conv_id, turn, 'tts' AS direction, prompt AS source, reply AS target FROM pairs UNION ALL SELECT conv_id, turn, 'asr', reply, prompt FROM pairs", "pairs")
+def _(v):
+    return M.two_direction(v.pairs)
+
+
+@register("r10_classify_unit", "SELECT conv_id, structure FROM units", "units")
+def _(v):
+    return M.classify_unit(v.conversations)
+
+
+@register("r11_quality_filter", "SELECT doc_id, synthetic, round(error, 9) AS error, NOT synthetic OR error <= 0.5 AS kept FROM (SELECT doc_id, toxic = 0 AS synthetic, (doc_id % 10) / 10.0::DOUBLE AS error FROM documents JOIN labels USING (doc_id))")
+def _(v):
+    rows = v.documents.join(v.labels, "doc_id").select("doc_id", (F.col("toxic") == 0).alias("synthetic"), r((F.col("doc_id") % 10) / 10.0, 9).alias("error"))
+    kept, dropped = M.quality_filter(rows, 0.5)
+    return kept.withColumn("kept", F.lit(True)).unionByName(dropped.withColumn("kept", F.lit(False)))
+
+
+@register(
+    "r12_language_ramp",
+    """, n AS (SELECT count(*) FILTER (lang = 'fr') AS t, count(*) FILTER (lang <> 'fr') AS o FROM documents),
+         g AS (SELECT unnest([0, 1, 2]) AS stage, unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]) AS s)
+       SELECT stage, doc_id, lang FROM documents, g, n WHERE lang <> 'fr' OR (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE < least(1.0::DOUBLE, o * s / (1 - s) / t)""",
+    "units",
+)
+def _(v):
+    return M.language_ramp(v.documents, "fr", [0.1, 0.2, 0.3])
+
+
+@register(
+    "r13_mixture_plan",
+    """, d AS (SELECT task, (row_number() OVER (PARTITION BY task ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT, doc_id) - 1) % 16 AS batch FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'anchor' ELSE lang END AS task FROM documents))
+       SELECT batch, count(*) AS n, round(avg((task = 'anchor')::INT), 6) AS anchor_share, avg((task = 'anchor')::INT) < 0.05 AS below_floor FROM d GROUP BY 1""",
+    "units",
+)
+def _(v):
+    items = v.documents.select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 17 == 0, "anchor").otherwise(F.col("lang")).alias("task"))
+    return M.mixture_plan(items, 16, 0.05).withColumn("anchor_share", r("anchor_share"))
+
+
+@register("r14_synthesis_requests", "SELECT sha256(sample_id || '|' || voice) AS request_id, sample_id, voice, length(reply) AS n_chars FROM (SELECT conv_id || ':' || turn AS sample_id, reply FROM pairs) JOIN voices USING (sample_id)", "pairs", "voices")
+def _(v):
+    return M.synthesis_requests(v.pairs, v.voices)
+
+
+# Validation
+
+
+@register("v1_check_epad", ", b AS (SELECT conv_id, frame_idx, CASE WHEN frame_idx % 40 = 7 THEN 'EPAD' ELSE kind END AS kind FROM frames) SELECT conv_id, frame_idx FROM (SELECT *, lead(kind) OVER (PARTITION BY conv_id ORDER BY frame_idx) AS nxt FROM b) WHERE kind = 'EPAD' AND (nxt IS NULL OR nxt IN ('PAD', 'EPAD'))", "frames")
+def _(v):
+    return V.check_epad(v.frames.withColumn("kind", F.when(F.col("frame_idx") % 40 == 7, "EPAD").otherwise(F.col("kind"))))
+
+
+@register("v2_check_width", "SELECT conv_id, frame_idx, 15::BIGINT AS width FROM code_frames WHERE frame_idx % 10 = 3", "code_frames")
+def _(v):
+    return V.check_width(v.code_frames.withColumn("codes", F.when(F.col("frame_idx") % 10 == 3, F.slice("codes", 1, 15)).otherwise(F.col("codes"))))
+
+
+@register("v3_check_roles", "SELECT conv_id, frame_idx, role FROM (SELECT conv_id, frame_idx, CASE frame_idx % 5 WHEN 0 THEN -1 WHEN 1 THEN 2 WHEN 2 THEN NULL ELSE codebook // 8 END::BIGINT AS role FROM codes) WHERE role IS NULL OR role NOT IN (0, 1)", "codes")
+def _(v):
+    role = F.when(F.col("frame_idx") % 5 == 0, -1).when(F.col("frame_idx") % 5 == 1, 2).when(F.col("frame_idx") % 5 == 2, F.lit(None)).otherwise(X.slot_and_role(F.col("codebook"))[1])
+    return V.check_roles(v.codes.select("conv_id", "frame_idx", role.cast("long").alias("role")))
+
+
+@register("v4_check_special_ids", ", t AS (SELECT DISTINCT ('0x' || substr(md5(word), 1, 8))::BIGINT % 5000 AS token_id FROM words) SELECT token_id, CASE token_id WHEN 100 THEN 'eos' WHEN 200 THEN 'batch pad' ELSE 'in vocabulary' END AS reason FROM t WHERE token_id < 1000", "words")
+def _(v):
+    tokens = v.words.select((X.hash32(F.col("word")) % 5000).alias("token_id")).distinct()
+    return V.check_special_ids(tokens, v.spark.createDataFrame([(100, "eos"), (200, "batch pad")], "token_id long, name string"), 1000)
+
+
+@register("v5_check_chunk", "SELECT event_id AS chunk_id, CASE WHEN s < 1920 THEN 'too short' ELSE 'remainder lost' END AS problem FROM (SELECT event_id, event_id % 5 * 960 AS s FROM events) WHERE s < 1920 OR s % 1920 <> 0")
+def _(v):
+    return V.check_chunk(v.events.select(F.col("event_id").alias("chunk_id"), (F.col("event_id") % 5 * 960).alias("samples")))
+
+
+@register(
+    "v6_check_sync",
+    """, s AS (SELECT conv_id, codebook // 8 AS stream, frame_idx FROM codes WHERE codebook IN (0, 8) AND NOT (conv_id < 3 AND codebook = 8 AND frame_idx = 5)),
+         b AS (SELECT conv_id, stream, count(*) AS n, count(DISTINCT frame_idx) AS d, max(frame_idx) - min(frame_idx) + 1 AS span FROM s GROUP BY 1, 2)
+       SELECT conv_id, min(n) AS shortest, max(n) AS longest, max((n <> d)::INT) AS repeats, max((span <> d)::INT) AS gaps FROM b GROUP BY 1 HAVING min(n) <> max(n) OR max((n <> d)::INT) = 1 OR max((span <> d)::INT) = 1""",
+    "codes",
+)
+def _(v):
+    rows = v.codes.where("codebook IN (0, 8) AND NOT (conv_id < 3 AND codebook = 8 AND frame_idx = 5)")
+    return V.check_sync(rows.select("conv_id", X.slot_and_role(F.col("codebook"))[1].alias("stream"), "frame_idx"))
+
+
+# Streaming
+
+
+@register("t1_assemble_frames", f"SELECT session, (sum(s) // {UNIT})::BIGINT AS n_frames, (sum(s) % {UNIT})::BIGINT AS held FROM (SELECT user_id AS session, floor(value * 10)::BIGINT AS s FROM events) GROUP BY 1")
+def _(v):
+    chunks = T.stream_chunks(v.spark, v.dir).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.col("value") * 10).alias("samples"))
+    steps = T.run_to_table(T.assemble_frames(chunks))
+    return steps.groupBy("session").agg(F.sum("n_frames").alias("n_frames"), F.max_by("held", F.col("first_frame") + F.col("n_frames")).alias("held"))
+
+
+@register("t2_streaming_energy", "SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')) AS start_micros, event_type, round(sqrt(avg(value * value)), 6) AS rms, count(*) AS n FROM events GROUP BY 1, 2")
+def _(v):
+    return T.run_to_table(T.energy(T.stream_chunks(v.spark, v.dir), "6 hours"), "complete").withColumn("rms", r("rms"))
+
+
+@register("t2_sliding_energy", "SELECT epoch_us(time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01')) - k * 10800000000 AS start_micros, event_type, round(sqrt(avg(value * value)), 6) AS rms, count(*) AS n FROM events, unnest([0, 1]) AS u(k) GROUP BY 1, 2")
+def _(v):
+    return T.run_to_table(T.energy(T.stream_chunks(v.spark, v.dir), "6 hours", "3 hours"), "complete").withColumn("rms", r("rms"))
+
+
+@register("t3_sync_streams", "SELECT a.event_id AS a_id, b.event_id AS b_id, CASE WHEN b.event_id IS NULL THEN 'PAD' ELSE 'WORD' END AS kind FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS WHERE a.event_type = 'click'")
+def _(v):
+    e = v.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return T.sync_streams(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "2 hours")
+
+
+@register("t3_stream_sync_matched", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS WHERE a.event_type = 'click'")
+def _(v):
+    e = T.stream_chunks(v.spark, v.dir)
+    return T.run_to_table(T.sync_streams(e.where("event_type = 'click'"), T.stream_chunks(v.spark, v.dir).where("event_type = 'view'"), "2 hours")).where("b_id IS NOT NULL").select("a_id", "b_id")
+
+
+@register(
+    "t4_sessions",
+    """, x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+         y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM x)
+       SELECT user_id, epoch_us(min(ts)) AS start_micros, epoch_us(max(ts)) + 21600000000 AS end_micros, count(*) AS n FROM y GROUP BY user_id, run""",
+    "units",
+)
+def _(v):
+    return T.run_to_table(T.sessions(T.stream_chunks(v.spark, v.dir)), "complete")
+
+
+@register(
+    "t5_loss_scale_monitor",
+    """, m AS (SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) AS start_micros, avg(value) FILTER (event_type = 'click') AS click, avg(value) FILTER (event_type = 'purchase') AS purchase, avg(value) FILTER (event_type = 'view') AS "view" FROM events GROUP BY 1)
+       SELECT start_micros, round(click, 6) AS click, round(purchase, 6) AS purchase, round("view", 6) AS "view", round(greatest(click, purchase, "view") / least(click, purchase, "view"), 6) AS ratio, greatest(click, purchase, "view") / least(click, purchase, "view") > 1.2 AS alarm FROM m""",
+    "units",
+)
+def _(v):
+    rows = T.run_to_table(T.loss_scale_monitor(T.stream_chunks(v.spark, v.dir)), "complete")
+    return rows.withColumns({c: r(c) for c in ("click", "purchase", "view", "ratio")})
+
+
+@register("t6_chunk_equals_whole", "SELECT count(*) AS differing FROM events WHERE false")
+def _(v):
+    whole = v.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return T.chunk_equals_whole(T.sessions, T.stream_chunks(v.spark, v.dir), whole).agg(F.count("*").alias("differing"))
+
+
+@register(
+    "t7_late_rows",
+    """, x AS (SELECT user_id, epoch_us(ts) AS us, max(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id // 50, -event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM events)
+       SELECT user_id, count(*) FILTER (coalesce(newest - us, 0) > 3600000000) AS dropped, count(*) FILTER (coalesce(newest - us, 0) <= 3600000000) AS merged FROM x GROUP BY 1""",
+    "units",
+)
+def _(v):
+    arrival = F.struct(F.floor(F.col("event_id") / 50), -F.col("event_id"))
+    return T.late_rows(v.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("arrival", arrival), 3_600_000_000)

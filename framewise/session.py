@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -37,3 +38,9 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names, or in a temporary one where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewise-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
