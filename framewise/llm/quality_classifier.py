@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from framewise.llm.common import map_texts, small_batches
 #: n-grams are hashed to 2 ** BITS features.
 BITS = 18
 GRAMS = (1, 2, 3)
+RUNS = 4
 #: Labelled documents of each class at most that the model is fitted on.
 SAMPLE = 3_000
 THRESHOLD = 0.7
@@ -37,7 +39,11 @@ class Model:
 
 
 class Grams:
-    """The distinct byte n-grams of a text, as sorted feature numbers. Whole texts, however long."""
+    """The distinct n-grams of a text, as sorted feature numbers. Whole texts, however long.
+
+    Two sequences have n-grams: the bytes, hashed, and whether each word equals
+    the one before it, of which runs of up to ``RUNS`` equal words are features.
+    """
 
     def __init__(self) -> None:
         self.seen = np.zeros(1 << BITS, bool)
@@ -51,6 +57,10 @@ class Grams:
             code = (code[: len(a) - n + 1] << np.uint32(8)) | a[n - 1 :]
             if n in GRAMS:
                 self.seen[((code + np.uint32(n * 0x1000193)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)] = True
+        words = text.split()
+        same = bytes(map(eq, words, words[1:]))
+        for n in range(1, RUNS + 1):
+            self.seen[n] |= b"\1" * n in same
         found = np.flatnonzero(self.seen)
         self.seen[found] = False
         return found.astype(np.int32)
@@ -79,9 +89,10 @@ def _dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost
 
 
 def _log_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """log of the two classes' smoothed n-gram frequencies, over each other."""
-    p, q = (np.bincount(np.concatenate([g for g, t in zip(rows, y, strict=True) if t == s] or [np.zeros(0, np.int32)]), minlength=1 << BITS) + 1.0 for s in (1, -1))
-    return np.log((p / p.sum()) / (q / q.sum()))
+    """log of the shares of either class's documents that hold an n-gram, over each other; both smoothed alike, so an unknown one says nothing."""
+    n = [max(1, int((y == s).sum())) for s in (1, -1)]
+    p, q = (np.bincount(np.concatenate([g for g, t in zip(rows, y, strict=True) if t == s] or [np.zeros(0, np.int32)]), minlength=1 << BITS) / k for s, k in zip((1, -1), n, strict=True))
+    return np.log((p + 1 / sum(n)) / (q + 1 / sum(n)))
 
 
 def _sigmoid_fit(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

@@ -22,7 +22,7 @@ GAMMA = (1 + ERROR) / (1 - ERROR)
 MIN_DOCS = 50
 #: Fences: quartile and how many times the spread (quartile to median, this floor at least) beyond it.
 SPREADS = 4.0
-FLOORS = {"symbols": 0.05, "dup_lines": 0.08, "repeats": 0.05, "mean_word": 0.4}
+FLOORS = {"symbols": 0.05, "dup_lines": 0.1, "repeats": 0.1, "mean_word": 0.4}
 METRICS = {
     "symbols": "try_divide(n_symbols, n_words)",
     "dup_lines": "try_divide(n_dup_lines, n_lines)",

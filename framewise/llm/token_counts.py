@@ -52,7 +52,7 @@ def histogram(docs: DataFrame, tokenizer: str, by: str = "lang") -> DataFrame:
 
 def totals(hist: DataFrame, limits: list[int], by: str = "lang") -> DataFrame:
     """``by``, ``context``, ``tokens`` and ``kept``: all tokens, and those left when texts are cut at each limit."""
-    each = hist.withColumn("context", F.explode(F.array(*map(F.lit, limits))).cast("long"))
+    each = hist.withColumn("context", F.explode(F.array(*(F.lit(x).cast("long") for x in limits))))
     return each.groupBy(by, "context").agg(
         F.sum(F.col("n_tokens") * F.col("n_docs")).alias("tokens"),
         F.sum(F.least("n_tokens", "context") * F.col("n_docs")).alias("kept"),

@@ -52,7 +52,7 @@ def _entropy(text: Column) -> Column:
 def _keys(host: Column, path: Column) -> dict[str, Column]:
     """What the suffix statistics are kept by: last host label, last two labels, and the first part of the path with the last label."""
     last = F.substring_index(host, ".", -1)
-    return {"suffix_rate": last, "site_rate": F.substring_index(host, ".", -2), "top_rate": F.element_at(F.split(path, "/"), 2)}
+    return {"suffix_rate": last, "site_rate": F.substring_index(host, ".", -2), "top_rate": F.try_element_at(F.split(path, "/"), F.lit(2))}
 
 
 def _lexical(rows: DataFrame) -> DataFrame:
