@@ -174,6 +174,18 @@ def tree_links(x: np.ndarray, radius: int = RADIUS, body: np.ndarray | None = No
     return label
 
 
+def _larger(batches: Iterator[pd.DataFrame], rows: int = 65_536) -> Iterator[pd.DataFrame]:
+    """Batches put together to ``rows``: a walk down the tree costs the same for few rows as for many."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _search(nodes: DataFrame, fp: str, node: str, radius: int, body: list[str], body_radius: int) -> DataFrame:
     """Links ``(src, dst)`` between values of ``node`` whose ``fp`` lie within ``radius``: exact, a forest for each shard."""
     sample = nodes.select(F.col(fp).alias("fp"), F.xxhash64(fp, node).alias("h")).orderBy("h", "fp").limit(TREE_SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -182,7 +194,7 @@ def _search(nodes: DataFrame, fp: str, node: str, radius: int, body: list[str],
     kinds = ", ".join(f"{c} long" for c in columns)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _larger(batches):
             for shard, rows in shards_of(b[fp].to_numpy(np.int64).view(np.uint64), tree, np.arange(len(b)), radius):
                 yield b.iloc[rows].assign(shard=shard)[["shard", *columns]]
 
