@@ -23,9 +23,11 @@ TREE_SAMPLE = 32_768
 SHARD = 4_096
 #: Below this a branch is compared whole.
 LEAF = 512
+#: Rows of a shard that a task searches; larger shards are cut into pairs of blocks.
+BLOCK = 32_768
 
 #: ``keep_one``: tables of single-word fingerprints that propose pairs, and their radius.
-TABLES, TABLE_RADIUS = 6, 3
+TABLES, TABLE_RADIUS = 8, 4
 #: ``keep_one``: bits of the five-word fingerprint, and how many may differ. Similarity 0.8 of the
 #: shingle sets is a cosine of 2 * 0.8 / 1.8, so acos(0.889) / pi of the bits differ, give or take a standard error.
 BODY_WORDS, BODY_BITS = 5, 256
@@ -127,11 +129,12 @@ def shards_of(fp: np.ndarray, node, rows: np.ndarray, radius: int = RADIUS) -> I
     yield from shards_of(fp, outer, rows[d > mu - radius], radius)
 
 
-def tree_links(x: np.ndarray, radius: int = RADIUS, body: np.ndarray | None = None, body_radius: int = 0) -> np.ndarray:
+def tree_links(x: np.ndarray, radius: int = RADIUS, body: np.ndarray | None = None, body_radius: int = 0, side: np.ndarray | None = None) -> np.ndarray:
     """Label of each fingerprint of ``x``: the first row that pairs within ``radius`` reach.
 
     With ``body`` (rows of further 64-bit words) a pair must also differ in at
-    most ``body_radius`` bits of these.
+    most ``body_radius`` bits of these. With ``side`` (a boolean a row) only
+    pairs of rows on different sides are compared.
     """
     label = np.arange(len(x))
 
@@ -154,7 +157,9 @@ def tree_links(x: np.ndarray, radius: int = RADIUS, body: np.ndarray | None = No
             for b in range(a if p is q else 0, len(q), LEAF):
                 unite(*linked(p[a : a + LEAF], q[b : b + LEAF]))
 
-    todo = [np.arange(len(x))]
+    if side is not None:
+        across(np.flatnonzero(side), np.flatnonzero(~side))
+    todo = [np.arange(len(x))] if side is None else []
     while todo:
         rows = todo.pop()
         if len(rows) <= LEAF:
@@ -174,7 +179,7 @@ def tree_links(x: np.ndarray, radius: int = RADIUS, body: np.ndarray | None = No
     return label
 
 
-def _larger(batches: Iterator[pd.DataFrame], rows: int = 65_536) -> Iterator[pd.DataFrame]:
+def _larger(batches: Iterator[pd.DataFrame], rows: int = 32_768) -> Iterator[pd.DataFrame]:
     """Batches put together to ``rows``: a walk down the tree costs the same for few rows as for many."""
     held: list[pd.DataFrame] = []
     for b in batches:
@@ -186,27 +191,59 @@ def _larger(batches: Iterator[pd.DataFrame], rows: int = 65_536) -> Iterator[pd.
         yield pd.concat(held, ignore_index=True)
 
 
-def _search(nodes: DataFrame, fp: str, node: str, radius: int, body: list[str], body_radius: int) -> DataFrame:
-    """Links ``(src, dst)`` between values of ``node`` whose ``fp`` lie within ``radius``: exact, a forest for each shard."""
-    sample = nodes.select(F.col(fp).alias("fp"), F.xxhash64(fp, node).alias("h")).orderBy("h", "fp").limit(TREE_SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = layout(sample, max(1, math.ceil(nodes.count() / SHARD)), radius)
-    columns = list(dict.fromkeys([fp, node, *body]))
-    kinds = ", ".join(f"{c} long" for c in columns)
+def _search(nodes: DataFrame, tables: list[str], node: str, radius: int, body: list[str], body_radius: int) -> DataFrame:
+    """Links ``(src, dst)`` between values of ``node`` of which a fingerprint of ``tables`` lies within ``radius``: exact, a forest for each shard.
+
+    A shard over ``BLOCK`` rows (a dense cluster, which no vantage point parts)
+    is cut into blocks that meet pairwise in separate tasks, so no task holds
+    more than two blocks.
+    """
+    order = nodes.select(*tables, F.xxhash64(*tables).alias("__h")).orderBy("__h", *tables)
+    sample = order.limit(TREE_SAMPLE).select(*tables).toPandas()
+    leaves = max(1, math.ceil(nodes.count() / SHARD))
+    trees = [layout(sample[c].to_numpy(np.int64).view(np.uint64), leaves, radius) for c in tables]
+
+    def routes(b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(table, shards, rows) of a batch, the last two in step."""
+        for t, c in enumerate(tables):
+            found = list(shards_of(b[c].to_numpy(np.int64).view(np.uint64), trees[t], np.arange(len(b)), radius))
+            if found:
+                yield t, np.repeat([s for s, _ in found], [len(r) for _, r in found]), np.concatenate([r for _, r in found])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _larger(batches):
+            for t, shards, _ in routes(b):
+                shard, n = np.unique(shards, return_counts=True)
+                yield pd.DataFrame({"t": t, "shard": shard, "n": n})
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _larger(batches):
-            for shard, rows in shards_of(b[fp].to_numpy(np.int64).view(np.uint64), tree, np.arange(len(b)), radius):
-                yield b.iloc[rows].assign(shard=shard)[["shard", *columns]]
+            kept = b[body].assign(node=b[node])[["node", *body]]
+            for t, shards, rows in routes(b):
+                out = kept.iloc[rows].assign(t=t, shard=shards, fp=b[tables[t]].to_numpy()[rows])
+                yield out[["t", "shard", "fp", "node", *body]]
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(columns)
-        x, ids = g[fp].to_numpy(np.int64).view(np.uint64), g[node].to_numpy(np.int64)
-        label = tree_links(x, radius, g[body].to_numpy(np.int64).view(np.uint64) if body else None, body_radius)
+        g = g.sort_values("fp")
+        x, ids = g["fp"].to_numpy(np.int64).view(np.uint64), g["node"].to_numpy(np.int64)
+        pair = g["i"].iloc[0] != g["j"].iloc[0]
+        label = tree_links(x, radius, g[body].to_numpy(np.int64).view(np.uint64) if body else None, body_radius, (g["mine"] == g["i"]).to_numpy() if pair else None)
         some = np.flatnonzero(label != np.arange(len(x)))
         return pd.DataFrame({"src": ids[some], "dst": ids[label[some]]})
 
-    dealt = nodes.select(*columns).mapInPandas(deal, f"shard int, {kinds}")
-    return dealt.groupBy("shard").applyInPandas(search, "src long, dst long")
+    asked = nodes.select(*dict.fromkeys([*tables, node, *body]))
+    sizes = asked.mapInPandas(count, "t int, shard int, n long").groupBy("t", "shard").agg(F.sum("n").alias("n"))
+    large = materialize(sizes.where(F.col("n") > BLOCK).select("t", "shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    fields = "".join(f", {c} long" for c in body)
+    pieces = (
+        asked.mapInPandas(deal, f"t int, shard int, fp long, node long{fields}")
+        .join(large, ["t", "shard"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("t", "shard", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "node", *body)
+    )
+    return pieces.groupBy("t", "shard", "i", "j").applyInPandas(search, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -226,7 +263,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     """
     prints = materialize(fingerprints(docs, words))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comp = materialize(connected_components(_search(distinct, "fp", "fp", radius, [], 0)))
+    comp = materialize(connected_components(_search(distinct, ["fp"], "fp", radius, [], 0)))
     rooted = distinct.join(comp, F.col("fp") == F.col("id"), "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = rooted.join(named, "root").select("fp", "component_id")
@@ -251,10 +288,7 @@ def duplicate_ids(docs: DataFrame) -> DataFrame:
 
     prints = materialize(map_texts(docs.where("doc_id IS NOT NULL"), ["doc_id"], [T.StructField(c, T.LongType()) for c in [*one, *body]], made))
     nodes = materialize(prints.groupBy(*one, *body).agg(F.min("doc_id").alias("rep")))
-    links = None
-    for c in one:
-        found = _search(nodes, c, "rep", TABLE_RADIUS, body, BODY_RADIUS)
-        links = found if links is None else links.unionByName(found)
+    links = _search(nodes, one, "rep", TABLE_RADIUS, body, BODY_RADIUS)
     comp = materialize(connected_components(links)).where("id <> component_id").select(F.col("id").alias("rep"))
     copies = prints.join(nodes, [*one, *body]).select("doc_id", "rep")
     return copies.join(comp.withColumn("gone", F.lit(True)), "rep", "left").where("gone OR doc_id <> rep").select("doc_id").distinct()

@@ -334,6 +334,31 @@ def test_vantage_point_tree(kind):
     assert all(home[a] & home[b] for a, b in zip(*np.nonzero(d), strict=True))
 
 
+def test_simhash_blocks(spark, docs, monkeypatch):
+    """Shards cut into blocks that meet pairwise give the same groups."""
+    want = {tuple(r) for r in simhash_dedup.near_duplicates(docs).collect()}
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 16)  # the driver's plan then cuts every shard
+    assert {tuple(r) for r in simhash_dedup.near_duplicates(docs).collect()} == want
+    few = simhash_dedup.near_duplicates(docs.withColumn("text", F.concat_ws(" ", F.lit("same " * 60), F.col("doc_id")))).collect()
+    fp = {r["doc_id"]: int(r["fingerprint"], 16) for r in few}
+    assert {r["doc_id"]: r["component_id"] for r in few} == components(list(fp), [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2])
+
+
+def test_keep_one_recall(spark):
+    """Pairs of 0.84 similarity, by exact sets of five-word shingles."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    rows = []
+    for i in range(150):
+        w = [word() for _ in range(400)]
+        v = list(w)
+        for k in range(7):  # spread, so each breaks five shingles of 396: 361 of 431 are shared
+            v[30 + 50 * k] = word()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    left = {r["doc_id"] for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(0, 300, 2)) <= left and len(left) <= 150 + 9
+
+
 def test_keep_one(spark, odd, none):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
