@@ -24,10 +24,10 @@ SHARD = 4_096
 #: Below this a branch is compared whole.
 LEAF = 512
 #: Rows of a shard that a task searches; larger shards are cut into pairs of blocks.
-BLOCK = 32_768
+BLOCK = 65_536
 
 #: ``keep_one``: tables of single-word fingerprints that propose pairs, and their radius.
-TABLES, TABLE_RADIUS = 8, 4
+TABLES, TABLE_RADIUS = 10, 3
 #: ``keep_one``: bits of the five-word fingerprint, and how many may differ. Similarity 0.8 of the
 #: shingle sets is a cosine of 2 * 0.8 / 1.8, so acos(0.889) / pi of the bits differ, give or take a standard error.
 BODY_WORDS, BODY_BITS = 5, 256
