@@ -13,8 +13,8 @@ import re
 import numpy as np
 import regex
 
-#: Words that a worker remembers before it starts afresh (some 150 MB).
-MEMORY = 1 << 21
+#: Words that a worker remembers before it starts afresh (some 75 MB).
+MEMORY = 1 << 20
 _MULT, _INV = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
