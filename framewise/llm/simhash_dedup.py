@@ -198,9 +198,12 @@ def _search(nodes: DataFrame, tables: list[str], node: str, radius: int, body: l
     is cut into blocks that meet pairwise in separate tasks, so no task holds
     more than two blocks.
     """
-    order = nodes.select(*tables, F.xxhash64(*tables).alias("__h")).orderBy("__h", *tables)
-    sample = order.limit(TREE_SAMPLE).select(*tables).toPandas()
-    leaves = max(1, math.ceil(nodes.count() / SHARD))
+    n = nodes.count()
+    hashed = nodes.select(*tables, F.xxhash64(*tables).alias("__h"))
+    if n > 2 * TREE_SAMPLE:  # the smallest hashes lie below this, so that few rows of each task leave it
+        hashed = hashed.where(F.col("__h") < F.lit(-(2**63) + 2**64 * 2 * TREE_SAMPLE // n))
+    sample = hashed.orderBy("__h", *tables).limit(TREE_SAMPLE).select(*tables).toPandas()
+    leaves = max(1, math.ceil(n / SHARD))
     trees = [layout(sample[c].to_numpy(np.int64).view(np.uint64), leaves, radius) for c in tables]
 
     def routes(b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
