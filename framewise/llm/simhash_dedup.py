@@ -26,12 +26,12 @@ LEAF = 512
 #: Rows of a shard that a task searches; larger shards are cut into pairs of blocks.
 BLOCK = 65_536
 
-#: ``keep_one``: tables of single-word fingerprints that propose pairs, and their radius.
-TABLES, TABLE_RADIUS = 10, 3
-#: ``keep_one``: bits of the five-word fingerprint, and how many may differ. Similarity 0.8 of the
-#: shingle sets is a cosine of 2 * 0.8 / 1.8, so acos(0.889) / pi of the bits differ, give or take a standard error.
-BODY_WORDS, BODY_BITS = 5, 256
-BODY_RADIUS = int(BODY_BITS * (p := math.acos(1.6 / 1.8) / math.pi) + math.sqrt(BODY_BITS * p * (1 - p)))
+#: ``keep_one``: words of a shingle, and MinHash bands and values a band. At a similarity of exactly 0.8
+#: no band agrees with probability (1 - 0.8**6)**40 = 5.2e-6, whatever kind of edit made the difference.
+BODY_WORDS, BANDS, BAND_ROWS = 5, 40, 6
+#: Shingles that a task compares; larger groups are cut into pairs of blocks.
+BLOCK_SHINGLES = 4_000_000
+_MULTIPLY, _ADD = np.random.default_rng(42).integers(0, 2**63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.array([1, 0], np.uint64)[:, None, None]
 
 
 def sketch(text: bytes, words: int, tables: int = 1, unique: bool = False) -> np.ndarray:
@@ -273,27 +273,147 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _chain(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + y
+
+
+def shingle_set(text: bytes, words: int = BODY_WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; words and short texts as in ``sketch``."""
+    w = text.lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    k = min(words, len(w))
+    x = h[: len(w) - k + 1]
+    for i in range(1, k):
+        x = _chain(x, h[i : i + len(x)])
+    return np.unique(x)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each of ``BANDS`` bands of MinHash values; none without a shingle."""
+    if not len(shingles):
+        return shingles
+    low = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for a in range(0, len(shingles), 256):  # a long text needs no more memory than a short one
+        low = np.minimum(low, (shingles[a : a + 256] * _MULTIPLY + _ADD).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, BAND_ROWS).T:
+        key = _chain(key, column)
+    return key
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The indexes ``start[i] .. start[i] + n[i] - 1``, one range after the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def similar_links(sets: list[np.ndarray]) -> np.ndarray:
+    """Label of each set: the first row that pairs with a Jaccard similarity of 0.8 or more reach. Exact.
+
+    Two such sets share one of the rarest ``n - ceil(0.8 n) + 1`` elements of
+    each (the prefix filter). The pairs that these propose are counted whole.
+    A row that a component has reached is not compared within it again.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    label, start = np.arange(len(n)), np.cumsum(n) - n
+    row = np.repeat(label, n)
+    if not len(row):
+        return label
+    _, code, common = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(common), np.int64)
+    rank[np.argsort(common, kind="stable")] = np.arange(len(common))
+    code = rank[code]
+    code = code[np.lexsort((code, row))]
+    prefix = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+    rare = _ranges(start, prefix)
+    order = np.argsort(code[rare], kind="stable")
+    posted, listed = code[rare][order], row[rare][order]
+    first = np.searchsorted(posted, np.arange(len(common) + 1))
+    seen, mine, live = np.zeros(len(n), bool), np.zeros(len(common), bool), len(n)
+    for root in range(len(n)):
+        todo = [] if seen[root] else [root]
+        seen[root] = True
+        while todo:
+            p = todo.pop()
+            c = code[start[p] : start[p] + prefix[p]]
+            near = np.unique(listed[_ranges(first[c], first[c + 1] - first[c])])
+            near = near[~seen[near]]
+            near = near[5 * np.minimum(n[near], n[p]) >= 4 * np.maximum(n[near], n[p])]
+            if not len(near):
+                continue
+            own = code[start[p] : start[p] + n[p]]
+            mine[own] = True
+            both = np.add.reduceat(mine[code[_ranges(start[near], n[near])]], np.cumsum(n[near]) - n[near], dtype=np.int64)
+            mine[own] = False
+            near = near[9 * both >= 4 * (n[near] + n[p])]
+            label[near], seen[near] = root, True
+            todo += near.tolist()
+            if 2 * (left := len(n) - int(seen.sum())) < live:
+                kept, live = ~seen[listed], left
+                posted, listed = posted[kept], listed[kept]
+                first = np.searchsorted(posted, np.arange(len(common) + 1))
+    return label
+
+
+def _groups(nodes: DataFrame) -> DataFrame:
+    """``(id, component_id)`` of the ``rep`` of ``nodes`` that shared values of ``keys`` chain together: a star for each value, not its pairs."""
+    rows = nodes.select("rep", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
+    return connected_components(rows.join(materialize(shared), "key").where("rep <> low").select(F.col("rep").alias("src"), F.col("low").alias("dst")))
+
+
+def _set_links(sets: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` between the ``doc_id`` of ``sets`` (``grp, doc_id, shingles``) of one ``grp`` at 0.8 or more: a forest for each task.
+
+    Small groups share tasks. A group over ``BLOCK_SHINGLES`` is cut into
+    blocks that meet pairwise in separate tasks.
+    """
+    sizes = materialize(sets.groupBy("grp").agg(F.sum(F.size("shingles")).alias("n")))
+    small = sizes.where(F.col("n") <= BLOCK_SHINGLES).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(8, 8 * math.ceil(small / BLOCK_SHINGLES))
+    large = materialize(sizes.where(F.col("n") > BLOCK_SHINGLES).select("grp", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks")))
+
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("doc_id")
+        ids, label = g["doc_id"].to_numpy(np.int64), similar_links(g["shingles"].tolist())
+        some = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"src": ids[some], "dst": ids[label[some]]})
+
+    pieces = (
+        sets.join(large, "grp", "left")
+        .withColumn("grp", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.col("grp")))
+        .withColumn("cut", F.col("blocks").isNotNull())
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cut", "grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "shingles")
+    )
+    return pieces.groupBy("cut", "grp", "i", "j").applyInPandas(search, "src long, dst long")
+
+
 def duplicate_ids(docs: DataFrame) -> DataFrame:
     """``doc_id`` of the documents that near copies with smaller ids stand for.
 
-    A pair is linked when its five-word SimHash (``BODY_BITS``) says a
-    similarity of 0.8 or more, give or take its error. At that similarity some
-    ten of 64 bits differ, a distance at which a vantage-point tree prunes
-    nothing. So fingerprints of single words, which such an edit hardly moves,
-    propose the pairs: ``TABLES`` of them, a tree each, within ``TABLE_RADIUS``.
+    A pair is linked when the sets of its five-word shingles have a Jaccard
+    similarity of 0.8 or more, counted exactly. Shared MinHash bands put the
+    texts into groups (see ``BANDS`` for the pairs they miss); the sets of
+    texts in a group are compared in ``similar_links``.
     """
-    one = [f"w{i}" for i in range(TABLES)]
-    body = [f"b{i}" for i in range(BODY_BITS // 64)]
 
-    def made(texts: list[bytes]) -> list:
-        rows = np.array([np.concatenate([sketch(t, 1, TABLES, unique=True), sketch(t, BODY_WORDS, len(body), unique=True)]) for t in texts], np.uint64).reshape(len(texts), -1)
-        return [pa.array(c) for c in rows.view(np.int64).T.copy()]
-
-    prints = materialize(map_texts(docs.where("doc_id IS NOT NULL"), ["doc_id"], [T.StructField(c, T.LongType()) for c in [*one, *body]], made))
-    nodes = materialize(prints.groupBy(*one, *body).agg(F.min("doc_id").alias("rep")))
-    links = _search(nodes, one, "rep", TABLE_RADIUS, body, BODY_RADIUS)
-    comp = materialize(connected_components(links)).where("id <> component_id").select(F.col("id").alias("rep"))
-    copies = prints.join(nodes, [*one, *body]).select("doc_id", "rep")
+    def keyed(texts: list[bytes]) -> list:
+        sets = [shingle_set(t) for t in texts]
+        digest = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 2**64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+        return [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))]
+
+    def listed(texts: list[bytes]) -> list:
+        return [pa.array([shingle_set(t).view(np.int64) for t in texts], pa.list_(pa.int64()))]
+
+    some, longs = docs.where("doc_id IS NOT NULL"), T.ArrayType(T.LongType())
+    prints = materialize(map_texts(some, ["doc_id"], [T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("keys", longs)], keyed))
+    nodes = materialize(prints.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    groups = materialize(_groups(nodes)).select(F.col("id").alias("doc_id"), F.col("component_id").alias("grp"))
+    sets = materialize(map_texts(some.join(groups, "doc_id"), ["grp", "doc_id"], [T.StructField("shingles", longs)], listed))
+    comp = materialize(connected_components(_set_links(sets))).where("id <> component_id").select(F.col("id").alias("rep"))
+    copies = prints.select("doc_id", "d1", "d2").join(nodes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
     return copies.join(comp.withColumn("gone", F.lit(True)), "rep", "left").where("gone OR doc_id <> rep").select("doc_id").distinct()
 
 

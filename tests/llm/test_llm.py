@@ -376,6 +376,34 @@ def test_keep_one(spark, odd, none):
     assert simhash_dedup.keep_one(none).count() == 0
 
 
+def _edited(rng, base, other, kind, n):
+    """``n`` words of ``other`` inserted in, cut from, put for or appended to those of ``base``."""
+    at = int(rng.integers(len(base) - n))
+    return {"insert": base[:at] + other[:n] + base[at:], "cut": base[:at] + base[at + n :], "replace": base[:at] + other[:n] + base[at + n :], "append": base + other[:n]}[kind]
+
+
+def _shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_keep_one_passages(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    rows, kinds = [], ["insert", "cut", "replace", "append"]
+    for i in range(160):
+        base, other = words(300), words(100)
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(_edited(rng, base, other, kinds[i % 4], 10 + i // 3)))]
+    sets = {i: _shingles(t) for i, t in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    want = {i for i, _ in rows if i % 3 == 0 or not near(i - 1, i)}
+    assert all(10 < sum(near(3 * i, 3 * i + 1) for i in range(k, 160, 4)) <= 40 for k in range(4)) and len(want) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_dedup.keep_one(df).collect()} == want
+    monkeypatch.setattr(simhash_dedup, "BLOCK_SHINGLES", 200)  # the driver's plan then cuts every group
+    assert {r["doc_id"] for r in simhash_dedup.keep_one(df).collect()} == want
+
+
 def test_sharding(spark, docs, odd, none):
     for df in (docs, odd):
         got = sharding.shard(df).collect()
