@@ -404,6 +404,25 @@ def test_keep_one_passages(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash_dedup.keep_one(df).collect()} == want
 
 
+def test_keep_one_is_exact_at_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    rows, want = [], set()
+    for i in range(60):
+        base = words(104)  # 100 shingles; n words more make 100 / (100 + n)
+        rows += [(4 * i, " ".join(base))] + [(4 * i + k, " ".join(words(n) + base)) for k, n in ((1, 25), (2, 26), (3, 40))][i % 3 : i % 3 + 1]
+        want |= {4 * i} | ({rows[-1][0]} if i % 3 else set())
+        base, edited = words(104), words(3)  # three single words, far apart: 85 / 115
+        rows += [(1000 + 2 * i, " ".join(base)), (1001 + 2 * i, " ".join(base[:20] + edited[:1] + base[21:50] + edited[1:2] + base[51:80] + edited[2:] + base[81:]))]
+        want |= {1000 + 2 * i, 1001 + 2 * i}
+    got = {r["doc_id"] for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 40)), np.uint64)) for _ in range(300)]
+    sets += [s[1:] for s in sets[:150]] + sets[:20]
+    near = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if len(a) and len(b) and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))]
+    assert dict(enumerate(simhash_dedup.similar_links(sets).tolist())) == components(range(len(sets)), near)
+
+
 def test_sharding(spark, docs, odd, none):
     for df in (docs, odd):
         got = sharding.shard(df).collect()
