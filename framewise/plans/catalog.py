@@ -486,9 +486,19 @@ def _(v):
     return A.cer(_spoken_pairs(v)).select(r("macro").alias("macro"), r("micro").alias("micro"))
 
 
+def _whole_pairs(v):
+    return v.pairs.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("prompt").alias("ref"), F.col("reply").alias("hyp"))
+
+
+@register("a15_cer_whole")
+def _(v):
+    whole = _whole_pairs(v).select("id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("ref", "hyp")))
+    return A.cer(whole).select(r("macro").alias("macro"), r("micro").alias("micro"))
+
+
 @register("a15_wer")
 def _(v):
-    return A.error_rates(_spoken_pairs(v)).select("id", "char_edits", r("cer").alias("cer"), "word_edits", r("wer").alias("wer"))
+    return A.error_rates(_whole_pairs(v)).select("id", "char_edits", r("cer").alias("cer"), "word_edits", r("wer").alias("wer"))
 
 
 @register("a16_minimal_pairs", "SELECT n AS contrast, count(*) AS pairs, count(*) FILTER (substr(a, 1, 3) <> substr(b, 1, 3)) AS distinct_after FROM (SELECT length(word) % 5 AS n, word AS a, lead(word) OVER (PARTITION BY conv_id ORDER BY turn, word_idx) AS b FROM words) WHERE a <> b GROUP BY 1", "words")

@@ -141,6 +141,29 @@ def test_word_errors(spark):
     assert got == {"1": (2, 2 / 3), "2": (1, None), "3": (1, 1.0)}
 
 
+def test_error_rates_take_whole_texts(spark, tmp_path):
+    from framewise.plans import catalog
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    texts = [("caf\u00e9 \u00e8", "caf\u00e8 \u00e9"), ("word " * 60 + "left end", "word " * 60 + "right"), ("\u4f60\u597d \U0001f600", "\u4f60 \U0001f601"), ("a", None)]
+    turns = [(i, t, role, text) for i, pair in enumerate(texts) for t, (role, text) in enumerate(zip(("user", "assistant"), pair, strict=True))]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["id"]: (r["char_edits"], r["word_edits"]) for r in catalog.queries()["a15_wer"](spark, str(tmp_path)).collect()}
+    pairs = [(a, b or "") for a, b in texts]
+    assert got == {f"{i}:0": (edits(a, b), edits(a.split(), b.split())) for i, (a, b) in enumerate(pairs)}
+    d = [(edits(a, b), len(a)) for a, b in pairs]
+    macro, micro = catalog.queries()["a15_cer_whole"](spark, str(tmp_path)).first()
+    assert abs(macro - sum(x / n for x, n in d) / len(d)) < 1e-6 and abs(micro - sum(x for x, _ in d) / sum(n for _, n in d)) < 1e-6
+
+
 def test_plans_have_no_nested_loops(spark):
     from framewise.plans.catalog import Views
 
