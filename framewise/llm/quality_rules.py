@@ -20,9 +20,17 @@ ERROR = 0.01
 GAMMA = (1 + ERROR) / (1 - ERROR)
 #: Groups with fewer documents take the thresholds of their language, or of all documents.
 MIN_DOCS = 50
-#: Fences: quartile and how many times the spread (quartile to median, this floor at least) beyond it.
-SPREADS = 4.0
-FLOORS = {"symbols": 0.05, "dup_lines": 0.1, "repeats": 0.1, "mean_word": 0.4}
+#: Fence: metric, a quantile, one farther out, and how many times the spread between them a value may lie beyond the farther one.
+#: All come from the sketch of the group itself: no constant is a bound. "high" fences cut 10 % (symbols) or 1 % of a group's
+#: documents at most, as they lie at or beyond its 0.90 or 0.99 quantile.
+FENCES = {
+    "high_symbols": ("symbols", 0.75, 0.90, 0.0),
+    "high_dup_lines": ("dup_lines", 0.90, 0.99, 1.0),
+    "high_repeats": ("repeats", 0.90, 0.99, 1.0),
+    "low_mean_word": ("mean_word", 0.50, 0.25, 8.0),
+    "high_mean_word": ("mean_word", 0.50, 0.75, 8.0),
+}
+ZERO = -(2**31)
 METRICS = {
     "symbols": "try_divide(n_symbols, n_words)",
     "dup_lines": "try_divide(n_dup_lines, n_lines)",
@@ -69,12 +77,17 @@ def sketches(stats: DataFrame) -> DataFrame:
     """
     metric = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.expr(v).alias("x")) for k, v in METRICS.items())))
     each = stats.where(~base_failed()).select("lang", "source", metric.alias("m")).select("lang", "source", "m.*")
-    bucket = F.when(F.col("x") > 0, F.ceil(F.log("x") / math.log(GAMMA)).cast("int")).otherwise(F.lit(-(2**31)))
+    bucket = F.when(F.col("x") > 0, F.ceil(F.log("x") / math.log(GAMMA)).cast("int")).otherwise(F.lit(ZERO))
     return each.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """``lang, source`` and ``low_``/``high_`` of each metric; groups under ``MIN_DOCS`` take those of a merged sketch."""
+    """``lang, source`` and the ``FENCES``; groups under ``MIN_DOCS`` take those of a merged sketch.
+
+    The sketch of a small group is merged with its language's, and a small
+    language's with all: merging adds counts. A quantile is read at the outer
+    edge of its bucket, so a value that ties with it is within the fence.
+    """
     per = {"group": ["lang", "source"], "language": ["lang"], "all": []}
     fences = {}
     for level, keys in per.items():
@@ -82,18 +95,22 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         # The sketch of a group, in one row: buckets in order with running counts.
         whole = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("docs"))
 
-        def quantile(q: float) -> Column:
+        def quantile(q: float, edge: int) -> Column:
+            """The value at a share of the documents: the upper (0) or lower (1) edge of its bucket."""
             run = F.aggregate(
                 "b",
                 F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("int").alias("at")),
                 lambda s, x: F.struct((s["c"] + x["n"]).alias("c"), F.when(s["at"].isNull() & (s["c"] + x["n"] >= F.lit(q) * F.col("docs")), x["bucket"]).otherwise(s["at"]).alias("at")),
             )["at"]
-            return F.when(run == -(2**31), F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), run) / (GAMMA + 1))
+            return F.when(run == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), run - edge))
 
-        q = whole.select(*keys, "metric", "docs", quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(0.75).alias("q3"))
-        floor = F.create_map(*(F.lit(x) for kv in FLOORS.items() for x in kv))[F.col("metric")]
-        q = q.withColumn("low", F.col("q1") - SPREADS * F.greatest(F.col("q2") - F.col("q1"), floor)).withColumn("high", F.col("q3") + SPREADS * F.greatest(F.col("q3") - F.col("q2"), floor))
-        fences[level] = q.groupBy(*keys).agg(F.max("docs").alias(f"{level}_docs"), *(F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{level}_{s}_{m}") for m in METRICS for s in ("low", "high")))
+        def fence(mid: float, far: float, times: float) -> Column:
+            low = int(far < mid)
+            at = quantile(far, low)
+            return at + F.lit(times) * (at - quantile(mid, 1 - low))
+
+        each = [F.max(F.when(F.col("metric") == m, fence(*how))).alias(f"{level}_{name}") for name, (m, *how) in FENCES.items()]
+        fences[level] = whole.groupBy(*keys).agg(F.max("docs").alias(f"{level}_docs"), *each)
     lang = fences["language"].withColumnRenamed("lang", "__lang")
     joined = fences["group"].join(lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     every = fences["all"].first()  # one row of numbers; None if no document passed the base rules
@@ -102,7 +119,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         rest = F.lit(every[f"all_{name}"] if every else None).cast("double")
         return F.when(F.col("group_docs") >= MIN_DOCS, F.col(f"group_{name}")).when(F.col("language_docs") >= MIN_DOCS, F.col(f"language_{name}")).otherwise(rest).alias(name)
 
-    return joined.select("lang", "source", *(pick(f"{s}_{m}") for m in METRICS for s in ("low", "high")))
+    return joined.select("lang", "source", *map(pick, FENCES))
 
 
 def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
@@ -110,9 +127,9 @@ def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     # The small table's size is known (it was written), so Spark broadcasts it or sorts and merges.
     j = stats.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-    fine = F.expr(METRICS["mean_word"]).between(F.col("low_mean_word"), F.col("high_mean_word"))
-    for m in ("symbols", "dup_lines", "repeats"):
-        fine = fine & (F.expr(METRICS[m]) <= F.col(f"high_{m}"))
+    fine = F.lit(True)
+    for name, (m, mid, far, _) in FENCES.items():
+        fine = fine & (F.expr(METRICS[m]) >= F.col(name) if far < mid else F.expr(METRICS[m]) <= F.col(name))
     return j.withColumn("base_failed", base_failed()).withColumn("kept", F.when(base_failed(), F.lit(False)).otherwise(F.coalesce(fine, F.lit(False))))
 
 
@@ -131,7 +148,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_passing(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, all columns as given. The statistics are computed twice, so no text is shuffled."""
+    """The rows of ``docs`` that pass ``quality_rules``, all columns as given.
+
+    Null texts have no words and go, a null language or source is a group,
+    repeated rows are judged each, no rows give no rows. The statistics are
+    computed twice, so no text is shuffled.
+    """
     stats = map_texts(docs, ["lang", "source"], [T.StructField(s, T.LongType()) for s in STATS], _stats_of)
     limits = materialize(thresholds(sketches(stats)))
     small_batches(docs.sparkSession)

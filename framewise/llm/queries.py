@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import chat_tools, embedding_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, token_counts, url_filter
+from framewise.llm import chat_tools, embedding_dedup, mixing, oracles, packing, quality_classifier, quality_rules, sharding, simhash_dedup, token_counts, url_filter
 from framewise.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -84,5 +84,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None yet that SQL can express whole: the methods hash, train or tokenize. They are tested against brute force."""
-    return {}
+    """SQL of the queries that it can express whole; the others train, tokenize or hash and are tested against brute force."""
+    return {"op4_quality_rules": oracles.op4()}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from framewise.llm import chat_tools, embedding_dedup, graph, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, token_counts, url_filter
+from framewise.llm import chat_tools, embedding_dedup, graph, mixing, packing, quality_classifier, quality_rules, queries, sharding, simhash_dedup, token_counts, url_filter
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -161,13 +161,83 @@ def test_rules(spark, docs, odd, none):
     assert quality_rules.keep_passing(odd).columns == odd.columns
 
 
-def test_rules_quantiles(spark):
-    rows = [(i, "w" * (1 + i % 10) + "".join(f" {k:03}" for k in range(60)), "en", "s") for i in range(200)]
-    lim = quality_rules.thresholds(quality_rules.sketches(quality_rules.map_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id", "lang", "source"], [quality_rules.T.StructField(s, quality_rules.T.LongType()) for s in quality_rules.STATS], quality_rules._stats_of))).first()
-    x = sorted((1 + i % 10 + 180) / 61 for i in range(200))
-    q1, q2, q3 = (x[math.ceil(q * 200) - 1] for q in (0.25, 0.5, 0.75))
-    assert lim["low_mean_word"] == pytest.approx(q1 - 4 * max(q2 - q1, 0.4), rel=0.03, abs=0.05)
-    assert lim["high_mean_word"] == pytest.approx(q3 + 4 * max(q3 - q2, 0.4), rel=0.03)
+def brute_kept(rows):
+    """``kept`` of (lang, source, text) by the sketches' definition, all merge levels, without Spark."""
+    rule = quality_rules
+    stats, base = [], []
+    for _, _, text in rows:
+        n, chars, symbols, dup, rep = brute_stats(text)
+        lines = sum(bool(x.split()) for x in (text or "").split("\n"))
+        base.append(n < 50 or 100 * rep > 50 * n)
+        stats.append({"symbols": symbols / n, "dup_lines": dup / lines, "repeats": rep / n, "mean_word": chars / n} if n else {})
+    good = [i for i, b in enumerate(base) if not b]
+
+    def members(i):
+        lang, source = rows[i][:2]
+        for fits in (lambda r: r[:2] == (lang, source), lambda r: r[0] == lang, lambda r: True):
+            found = [j for j in good if fits(rows[j])]
+            if len(found) >= rule.MIN_DOCS:
+                return found
+        return good
+
+    def fence(own, metric, mid, far, times):
+        buckets = sorted(math.ceil(math.log(stats[j][metric]) / math.log(rule.GAMMA)) if stats[j][metric] else None or -(10**6) for j in own)
+        at = lambda q, edge: 0.0 if (b := buckets[math.ceil(q * len(own)) - 1]) == -(10**6) else rule.GAMMA ** (b - edge)
+        low = int(far < mid)
+        return at(far, low) + times * (at(far, low) - at(mid, 1 - low))
+
+    kept, known = [], {}
+    for i in range(len(rows)):
+        if base[i]:
+            kept.append(False)
+            continue
+        own = members(i)
+        if (key := tuple(own)) not in known:
+            known[key] = [fence(own, *how) for how in rule.FENCES.values()]
+        kept.append(all(stats[i][m] >= f if far < mid else stats[i][m] <= f for (m, mid, far, _), f in zip(rule.FENCES.values(), known[key], strict=True)))
+    return kept
+
+
+def ruled_rows():
+    """Groups over and under ``MIN_DOCS``, a small language, nulls; each with outliers of its own."""
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), max(1, int(n))))
+    rows = []
+    for lang, source, n, wide in (("en", "a", 150, 1), ("en", "b", 150, 3), ("en", "c", 20, 1), ("fr", None, 20, 2), (None, "a", 60, 1)):
+        for k in range(n):
+            w = [word(rng.normal(5, wide * 0.5) + (6 if k % 25 == 9 else 0)) for _ in range(80)]
+            w += ["#"] * (40 if k % 20 == 3 else 0) + ["%"] * int(rng.integers(0, wide))
+            lines = [" ".join(w[i : i + 8]) for i in range(0, len(w), 8)]
+            rows.append((lang, source, "\n".join(lines + lines[:1] * int(rng.integers(0, wide + 1)) + lines[:2] * (4 if k % 50 == 11 else 0))))
+    return rows + [("en", "a", None), ("en", "a", "few words"), ("de", "z", "")]
+
+
+def test_rules_kept(spark):
+    rows = ruled_rows()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(df).collect()}
+    want = brute_kept(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    assert all(0 < sum(want[i] for i in own) < len(own) for s in "ab" if (own := [i for i, r in enumerate(rows) if r[:2] == ("en", s)]))
+
+
+def test_rules_fences_follow_the_group(spark):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(ruled_rows())], "doc_id long, lang string, source string, text string")
+    stats = quality_rules.map_texts(df, ["doc_id", "lang", "source"], [quality_rules.T.StructField(s, quality_rules.T.LongType()) for s in quality_rules.STATS], quality_rules._stats_of)
+    lim = {(r["lang"], r["source"]): r for r in quality_rules.thresholds(quality_rules.sketches(stats)).collect()}
+    a, b, c = (lim["en", s] for s in "abc")
+    assert all(a[f] != b[f] for f in quality_rules.FENCES)  # two groups with different spreads
+    assert b["high_mean_word"] - b["low_mean_word"] > 1.5 * (a["high_mean_word"] - a["low_mean_word"])
+    assert all(c[f] not in (a[f], b[f]) for f in ("high_mean_word", "low_mean_word"))  # a small group takes its language's
+
+
+def test_rules_sql(spark, docs):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = quality_rules.quality_rules(docs)
+    assert Counter(map(tuple, got.collect())) == Counter(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()['op4_quality_rules']})").fetchall())
 
 
 def brute_targets(sizes):
