@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Records in an Arrow batch: texts of 100 kB each then stay within a few ten MB.
-ARROW_ROWS = 256
+#: Records and bytes in an Arrow batch at most (a single longer text is a batch of its own).
+ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
 _local: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -62,8 +62,14 @@ def release(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches of whole texts to ``ARROW_ROWS`` records in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Hold Arrow batches of whole texts to ``ARROW_ROWS`` records and ``ARROW_BYTES`` bytes in this session.
+
+    The settings stay, as frames returned to the caller are planned later; only ever lowered, never raised.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
