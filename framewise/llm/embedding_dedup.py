@@ -14,15 +14,18 @@ from framewise.llm.common import materialize
 from framewise.llm.graph import connected_components, local_components
 
 SEED = 17
+#: Unrelated vectors of a label that a bucket is to hold: enough for one matrix product to be worth a group.
+BUCKET = 128
 #: Vectors of one bucket that a task compares with one another; larger buckets are cut into pairs of blocks.
 BLOCK = 1024
 #: Chance at most that a pair just at the threshold shares no bucket in any table.
 MISS = 1e-5
+BITS = (4, 40)
 
 
 def table_plan(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
-    """(bits, tables) for ``n`` vectors: buckets hold some dozens of unrelated vectors, and a pair at the threshold is missed with chance ``miss``."""
-    bits = min(24, max(8, math.ceil(math.log2(max(n, 1) / 32))))
+    """(bits, tables) for ``n`` vectors of a label: buckets hold some ``BUCKET`` unrelated vectors, and a pair at the threshold is missed with chance ``miss``."""
+    bits = min(BITS[1], max(BITS[0], math.ceil(math.log2(max(n, 1) / BUCKET))))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - same))
 
@@ -33,8 +36,8 @@ def _keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _unit(vecs: pd.Series) -> np.ndarray:
-    x = np.stack([np.frombuffer(v, np.float64) for v in vecs])
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -47,108 +50,93 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     ``component_id`` (smallest id reachable) and ``kept``, one row per row given.
 
     Equal embeddings of a label form a class and are compared once. Rows that
-    repeat id, label and embedding are one vector; a label or an embedding that
-    is null, zero, or holds null or non-finite components links with nothing;
-    a null id has a null component and isn't kept. Vectors of different
-    lengths never link. No rows give no rows.
-
-    Every vector goes to one bucket a table. A pair is counted in the first
+    repeat id, label and embedding are one vector; an id with several vectors
+    has a row, and links, for each. A label or an embedding that is null, zero,
+    or holds null or non-finite components links with nothing; a null id has a
+    null component and isn't kept. Vectors of different lengths never link. No
+    rows give no rows.
+
+    Every vector goes to one bucket a table; how many bits and tables follows
+    from the number of classes of its label. A pair is counted in the first
     table whose bucket it shares, so what leaves a bucket is one count and one
     link a vector, not its pairs. Buckets over ``BLOCK`` are cut into blocks
     which meet pairwise in separate tasks: the number of links asked for needs
     these comparisons, and no task holds more than two blocks.
     """
-    rows = vectors.select("vec_id", F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = vectors.select("vec_id", F.col("label").alias("label"), F.col("embedding").alias("e"))
     fine = (
         F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("e").isNotNull()
         & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("e", lambda x: x != 0)
     )
     rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
-    valid = rows.where("ok")
-    classes = materialize(valid.groupBy("label", "e", "vec_id").agg(F.lit(1).alias("one")).groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    # A digest of its numbers (their shortest decimals tell any two apart) stands for an embedding in joins.
+    valid = rows.where("ok").select("vec_id", "label", F.unhex(F.md5(F.col("e").cast("string"))).alias("h"), "e")
+    once = valid.groupBy("label", "h", "vec_id").agg(F.any_value("e").alias("e"))
+    classes = once.groupBy("label", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("e").alias("e"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
     counts, links = _bucket_links(classes, threshold)
     comp = materialize(connected_components(links))
-    made = (
-        classes.join(counts, ["label", "rep"], "left")
-        .join(comp, F.col("rep") == F.col("id"), "left")
-        .select("label", "e", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    made = materialize(
+        classes.select("label", "h", "rep", "n", "cid")
+        .join(counts, "cid", "left")
+        .join(comp, F.col("cid") == F.col("id"), "left")
+        .select("label", "h", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "cid").alias("root"))
     )
-    linked = valid.join(made, ["label", "e"]).select("vec_id", "n_links", "component_id")
+    named = made.groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = valid.select("vec_id", "label", "h").join(made.join(named, "root"), ["label", "h"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _bucket_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    bits, tables = table_plan(classes.count(), threshold)
-
-    def to_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(``cid, links``, ``src, dst``): links counted for each class, and a forest of them for each bucket."""
+    sizes = materialize(classes.groupBy("label").agg(F.count("*").alias("of_label")))
+    plans = F.create_map(*(F.lit(x) for b in range(BITS[0], BITS[1] + 1) for x in (b, table_plan(BUCKET << b, threshold)[1])))
+    bits = F.least(F.greatest(F.ceil(F.log2(F.col("of_label") / BUCKET)), F.lit(BITS[0])), F.lit(BITS[1])).cast("int")
+    planned = classes.join(sizes, "label").select("label", "cid", "n", "e", bits.alias("bits")).withColumn("tables", plans[F.col("bits")])
+    label, vec = classes.schema["label"].dataType.simpleString(), classes.schema["e"].dataType.simpleString()
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            vec = [np.asarray(v, np.float64).tobytes() for v in b["e"]]
-            for _, part in b.assign(vec=vec, dim=b["e"].map(len)).groupby("dim"):
-                keys = _keys(_unit(part["vec"]), bits, tables)
-                base = part[["label", "dim", "rep", "n", "vec"]]
+            for (dim, bits, tables), part in b.groupby([b["e"].map(len), "bits", "tables"]):
+                keys = _keys(_unit(np.stack(part["e"])), bits, tables)
                 for t in range(tables):
-                    yield base.assign(t=t, bucket=keys[:, t])
+                    yield part.assign(dim=dim, t=t, bucket=keys[:, t])[names]
 
-    keyed = classes.mapInPandas(to_bytes, "label int, dim int, rep long, n long, vec binary, t int, bucket long")
     at = ["label", "dim", "t", "bucket"]
-    sizes = materialize(keyed.select(*at).groupBy(*at).count().where("count > 1"))
-    # A bucket with one vector has no pairs; the join with the sizes leaves it out.
+    names = [*at, "cid", "n", "bits", "tables", "e"]
+    rows = planned.mapInPandas(keyed, f"label {label}, dim int, t int, bucket long, cid long, n long, bits int, tables int, e {vec}")
+    # Buckets that have to be cut: few, as each holds over BLOCK rows; their table's written size tells Spark how to join it.
+    large = materialize(rows.groupBy(*at).count().where(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count"))
     pieces = (
-        keyed.join(sizes, at)
-        .withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        rows.join(large, at, "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("mine", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(*at, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "vec")
+        .select(*at, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "n", "bits", "tables", "e")
     )
-    group = [*at, "i", "j"]
-    dealt = pieces.repartition(*group).sortWithinPartitions(*group)
 
-    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Whole groups of the sorted rows; one may cross batches."""
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            if not len(b):
-                continue
-            k = b[group].to_numpy()
-            cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1), len(b)]
-            if held and (k[0] != held[-1][group].iloc[-1].to_numpy()).any():
-                yield pd.concat(held)
-                held = []
-            for a, z in zip(cut, cut[1:], strict=False):
-                if held and a:
-                    yield pd.concat(held)
-                    held = []
-                held.append(b.iloc[a:z])
-        if held:
-            yield pd.concat(held)
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups(batches):
-            x = _unit(g["vec"])
-            i, j = g["i"].iloc[0], g["j"].iloc[0]
-            own = g["mine"].to_numpy()
-            left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-            close = x[left] @ x[right].T >= threshold
-            if i == j:
-                close = np.triu(close, 1)
-            a, b = (s.astype(np.int64) for s in np.nonzero(close))
-            if not len(a):
-                continue
-            a, b = left[a], right[b]
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(np.stack(g["e"]))
+        i, j, t, bits, tables = (int(g[c].iloc[0]) for c in ("i", "j", "t", "bits", "tables"))
+        own = g["mine"].to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        close = x[left] @ x[right].T >= threshold
+        if i == j:
+            close = np.triu(close, 1)
+        a, b = np.nonzero(close)
+        a, b = left[a], right[b]
+        cid, n, links = g["cid"].to_numpy(), g["n"].to_numpy(), np.zeros(len(x), np.int64)
+        if len(a):
             keys = _keys(x, bits, tables)
-            n, links, t = g["n"].to_numpy(), np.zeros(len(x), np.int64), g["t"].iloc[0]
             for s in range(0, len(a), 65536):
                 p, q = a[s : s + 65536], b[s : s + 65536]
                 first = (keys[p] == keys[q]).argmax(axis=1) == t
                 np.add.at(links, p[first], n[q[first]])
                 np.add.at(links, q[first], n[p[first]])
-            roots = local_components(len(x), a, b)
-            some = np.flatnonzero((links > 0) | (roots != np.arange(len(x))))
-            rep = g["rep"].to_numpy()
-            yield pd.DataFrame({"label": g["label"].iloc[0], "rep": rep[some], "links": links[some], "root": rep[roots[some]]})
+        roots = local_components(len(x), a, b)
+        some = np.flatnonzero((links > 0) | (roots != np.arange(len(x))))
+        return pd.DataFrame({"cid": cid[some], "links": links[some], "root": cid[roots[some]]})
 
-    found = materialize(dealt.mapInPandas(compare, "label int, rep long, links long, root long"))
-    return found.groupBy("label", "rep").agg(F.sum("links").alias("links")), found.select(F.col("rep").alias("src"), F.col("root").alias("dst"))
+    found = materialize(pieces.groupBy(*at, "i", "j").applyInPandas(compare, "cid long, links long, root long"))
+    return found.groupBy("cid").agg(F.sum("links").alias("links")), found.select(F.col("cid").alias("src"), F.col("root").alias("dst"))

@@ -80,6 +80,40 @@ def test_embeddings(spark):
     assert got == {i: (n[i], c, i == c) for i, c in comp.items()}
 
 
+def brute_links(rows, threshold=0.98):
+    """{(vec_id, embedding): (n_links, component_id)} of (vec_id, embedding, label); an id may have several vectors."""
+    nodes = list(dict.fromkeys((i, tuple(e), label) for i, e, label in rows))
+    x = [np.array(e) / np.linalg.norm(e) for _, e, _ in nodes]
+    links = [(a, b) for b in range(len(nodes)) for a in range(b) if nodes[a][2] == nodes[b][2] and len(x[a]) == len(x[b]) and x[a] @ x[b] >= threshold]
+    n, comp = Counter(i for p in links for i in p), components(range(len(nodes)), links)
+    least = {}
+    for k, root in comp.items():
+        least[root] = min(least.get(root, nodes[k][0]), nodes[k][0])
+    return Counter((nodes[k][0], n[k], least[comp[k]]) for k in range(len(nodes)))
+
+
+def test_embeddings_ids_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.0, 1.0, 0.0], 0), (4, [0.0, 1.0, 0.0], 1), (5, [0.0, 0.0, 1.0], 0), (5, [0.0, 0.01, 1.0], 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert Counter(tuple(r)[:3] for r in got.collect()) == brute_links(rows)
+    names = spark.createDataFrame([(i, e, "ab"[k]) for i, e, k in rows], "vec_id long, embedding array<float>, label string")
+    assert Counter(tuple(r)[:3] for r in embedding_dedup.near_duplicates(names).collect()) == brute_links(rows)
+
+
+def test_embeddings_recall_at_real_plans():
+    """Pairs just above the threshold share a bucket, with the bits and tables of small and of very large labels."""
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = rng.standard_normal(a.shape)
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    b = 0.98 * a + math.sqrt(1 - 0.98**2) * off
+    for n in (10**3, 10**6, 10**9):
+        bits, tables = embedding_dedup.table_plan(n, 0.98)
+        assert (embedding_dedup._keys(a, bits, tables) == embedding_dedup._keys(b, bits, tables)).any(axis=1).sum() >= 19_995  # 0.2 misses expected
+
+
 def test_embeddings_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)  # the driver's plan then cuts every bucket
     rng = np.random.default_rng(1)
