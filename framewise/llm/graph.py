@@ -30,18 +30,23 @@ def connected_components(links: DataFrame) -> DataFrame:
     root. A round keeps at most one row a link, so it never multiplies rows;
     the driver sees only whether rows are left. Nulls and self-links are ignored;
     no links give no rows.
+
+    A link is kept as ``(u, v)``, u > v. Large-star hangs u on the least
+    neighbour of v, small-star u and its v on the least v. Both join the links
+    with a written table that has one row a node, so Spark can broadcast it,
+    or split the rows of a hub (the root of a large component) between tasks.
     """
     edges = links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
     edges = materialize(edges.distinct())
     while not _stars(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = materialize(moved.unionByName(low.withColumnRenamed("m", "v")).distinct())
-        release(edges)
-        release(large)
+        low = materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
+        above = low.select(F.col("u").alias("w"), "m")
+        large = materialize(edges.join(above, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = materialize(moved.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        for done in (edges, low, large, least):
+            release(done)
         edges = small
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
 
@@ -50,4 +55,4 @@ def _stars(edges: DataFrame) -> bool:
     """Whether each node hangs on one root and no root hangs on another."""
     if not edges.groupBy("u").count().where("count > 1").isEmpty():
         return False
-    return edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()

@@ -23,7 +23,7 @@ TREE_SAMPLE = 32_768
 SHARD = 4_096
 #: Below this a branch is compared whole.
 LEAF = 512
-#: Rows of a shard that a task searches; larger shards are cut into pairs of blocks.
+#: Rows of a shard that a task searches; larger shards are parted further, dense clusters cut into pairs of blocks.
 BLOCK = 65_536
 
 #: ``keep_one``: words of a shingle, and MinHash bands and values a band. At a similarity of exactly 0.8
@@ -34,45 +34,28 @@ BLOCK_SHINGLES = 4_000_000
 _MULTIPLY, _ADD = np.random.default_rng(42).integers(0, 2**63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.array([1, 0], np.uint64)[:, None, None]
 
 
-def sketch(text: bytes, words: int, tables: int = 1, unique: bool = False) -> np.ndarray:
-    """``tables`` 64-bit SimHashes: the majority of the hashes of all word shingles; zero without a word.
+def fingerprint(text: bytes, words: int) -> np.uint64:
+    """The 64-bit SimHash: the majority of the XXH64 (seed 42) of all word shingles, repeats included; zero without a word.
 
-    The first table takes the XXH64 (seed 42) of a shingle, the others mix it
-    further. A-Z are lower-cased; words are runs of anything but ASCII white
-    space; fewer words than a shingle has make one shingle. Repeats count
-    unless ``unique``.
+    A-Z are lower-cased; words are runs of anything but ASCII white space;
+    fewer words than a shingle has make one shingle.
     """
-    out = np.zeros(tables, np.uint64)
     w = text.lower().split()
     if not w:
-        return out
-    if words == 1:
-        shingles = set(w) if unique else w
-    elif len(w) < words:
-        shingles = [b" ".join(w)]
-    else:
-        shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
-        shingles = set(shingles) if unique else shingles
-    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
-    for t in range(tables):
-        x = h
-        if t:
-            x = x + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        counts = np.zeros(64, np.int64)
-        for a in range(0, len(x), 4096):  # a long text needs no more memory than a short one
-            counts += np.unpackbits(x[a : a + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[t] = np.packbits(2 * counts > len(x), bitorder="little").view("<u8")[0]
-    return out
+        return np.uint64(0)
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    x = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(x), 4096):  # a long text needs no more memory than a short one
+        counts += np.unpackbits(x[a : a + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(x), bitorder="little").view("<u8")[0]
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every text; null is empty."""
 
     def made(texts: list[bytes]) -> list:
-        return [pa.array(np.array([sketch(t, words)[0] for t in texts], np.uint64).view(np.int64))]
+        return [pa.array(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))]
 
     return map_texts(docs, ["doc_id"], [T.StructField("fp", T.LongType())], made)
 
@@ -129,22 +112,16 @@ def shards_of(fp: np.ndarray, node, rows: np.ndarray, radius: int = RADIUS) -> I
     yield from shards_of(fp, outer, rows[d > mu - radius], radius)
 
 
-def tree_links(x: np.ndarray, radius: int = RADIUS, body: np.ndarray | None = None, body_radius: int = 0, side: np.ndarray | None = None) -> np.ndarray:
+def tree_links(x: np.ndarray, radius: int = RADIUS, side: np.ndarray | None = None) -> np.ndarray:
     """Label of each fingerprint of ``x``: the first row that pairs within ``radius`` reach.
 
-    With ``body`` (rows of further 64-bit words) a pair must also differ in at
-    most ``body_radius`` bits of these. With ``side`` (a boolean a row) only
-    pairs of rows on different sides are compared.
+    With ``side`` (a boolean a row) only pairs of rows on different sides are compared.
     """
     label = np.arange(len(x))
 
     def linked(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.nonzero(_far(x[p][:, None], x[q][None, :]) <= radius)
-        i, j = p[i], q[j]
-        if body is not None:
-            fine = _far(body[i], body[j]).sum(axis=1, dtype=int) <= body_radius
-            i, j = i[fine], j[fine]
-        return i, j
+        return p[i], q[j]
 
     def unite(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal label
@@ -191,62 +168,80 @@ def _larger(batches: Iterator[pd.DataFrame], rows: int = 32_768) -> Iterator[pd.
         yield pd.concat(held, ignore_index=True)
 
 
-def _search(nodes: DataFrame, tables: list[str], node: str, radius: int, body: list[str], body_radius: int) -> DataFrame:
-    """Links ``(src, dst)`` between values of ``node`` of which a fingerprint of ``tables`` lies within ``radius``: exact, a forest for each shard.
+def _deal(prints: DataFrame, radius: int) -> DataFrame:
+    """``(shard, fp)``: every fingerprint in all shards of the upper tree that it has to be asked in.
 
-    A shard over ``BLOCK`` rows (a dense cluster, which no vantage point parts)
-    is cut into blocks that meet pairwise in separate tasks, so no task holds
-    more than two blocks.
+    Shards are numbered as in a heap, so that 2 s and 2 s + 1 can be the branches of s.
     """
-    n = nodes.count()
-    hashed = nodes.select(*tables, F.xxhash64(*tables).alias("__h"))
+    n = prints.count()
+    hashed = prints.select("fp", F.xxhash64("fp").alias("__h"))
     if n > 2 * TREE_SAMPLE:  # the smallest hashes lie below this, so that few rows of each task leave it
         hashed = hashed.where(F.col("__h") < F.lit(-(2**63) + 2**64 * 2 * TREE_SAMPLE // n))
-    sample = hashed.orderBy("__h", *tables).limit(TREE_SAMPLE).select(*tables).toPandas()
+    sample = hashed.orderBy("__h", "fp").limit(TREE_SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     leaves = max(1, math.ceil(n / SHARD))
-    trees = [layout(sample[c].to_numpy(np.int64).view(np.uint64), leaves, radius) for c in tables]
-
-    def routes(b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(table, shards, rows) of a batch, the last two in step."""
-        for t, c in enumerate(tables):
-            found = list(shards_of(b[c].to_numpy(np.int64).view(np.uint64), trees[t], np.arange(len(b)), radius))
-            if found:
-                yield t, np.repeat([s for s, _ in found], [len(r) for _, r in found]), np.concatenate([r for _, r in found])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _larger(batches):
-            for t, shards, _ in routes(b):
-                shard, n = np.unique(shards, return_counts=True)
-                yield pd.DataFrame({"t": t, "shard": shard, "n": n})
+    tree, first = layout(sample, leaves, radius), 1 << leaves.bit_length()
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _larger(batches):
-            kept = b[body].assign(node=b[node])[["node", *body]]
-            for t, shards, rows in routes(b):
-                out = kept.iloc[rows].assign(t=t, shard=shards, fp=b[tables[t]].to_numpy()[rows])
-                yield out[["t", "shard", "fp", "node", *body]]
+            fp = b["fp"].to_numpy(np.int64)
+            for shard, rows in shards_of(fp.view(np.uint64), tree, np.arange(len(fp)), radius):
+                yield pd.DataFrame({"shard": first + shard, "fp": fp[rows]})
+
+    return prints.select("fp").mapInPandas(deal, "shard long, fp long")
+
+
+def _parted(dealt: DataFrame, radius: int) -> DataFrame:
+    """``(shard, fp, blocks)`` of ``dealt`` with shards over ``BLOCK`` rows parted further, a level of the tree a round.
+
+    The vantage point of a shard comes from a sample of it, all its rows go to
+    the inner or outer branch by distance, those near the boundary to both. A
+    shard that no vantage point parts (a dense cluster) gets as many
+    ``blocks`` as it has ``BLOCK`` rows; all others get one.
+    """
+
+    def choose(g: pd.DataFrame) -> pd.DataFrame:
+        cut = _split(np.sort(g["fp"].to_numpy(np.int64)).view(np.uint64), radius)
+        return pd.DataFrame({"shard": g["shard"].iloc[:1], "vp": [cut[0].view(np.int64)], "mu": [cut[1]]}) if cut else pd.DataFrame({"shard": [], "vp": [], "mu": []})
+
+    done, live = [], materialize(dealt)
+    while True:
+        large = materialize(live.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+        if large.isEmpty():
+            break
+        sample = live.join(large, "shard").where(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / SHARD)) == 0).select("shard", "fp")
+        cuts = materialize(sample.groupBy("shard").applyInPandas(choose, "shard long, vp long, mu int"))
+        marked = live.join(large, "shard", "left").join(cuts, "shard", "left")
+        done.append(marked.where("vp IS NULL").select("shard", "fp", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int").alias("blocks")))
+        d = F.bit_count(F.col("fp").bitwiseXOR(F.col("vp")))
+        branches = F.array_compact(F.array(F.when(d <= F.col("mu"), 2 * F.col("shard")), F.when(d > F.col("mu") - radius, 2 * F.col("shard") + 1)))
+        live = materialize(marked.where("vp IS NOT NULL").select(F.explode(branches).alias("shard"), "fp"))
+    out = live.withColumn("blocks", F.lit(1))
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def _search(prints: DataFrame, radius: int) -> DataFrame:
+    """Links ``(src, dst)`` between fingerprints within ``radius`` of one another: exact, a forest for each shard.
+
+    A shard with several blocks is searched by pairs of blocks in separate
+    tasks, so no task holds more than two.
+    """
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("fp")
-        x, ids = g["fp"].to_numpy(np.int64).view(np.uint64), g["node"].to_numpy(np.int64)
-        pair = g["i"].iloc[0] != g["j"].iloc[0]
-        label = tree_links(x, radius, g[body].to_numpy(np.int64).view(np.uint64) if body else None, body_radius, (g["mine"] == g["i"]).to_numpy() if pair else None)
-        some = np.flatnonzero(label != np.arange(len(x)))
-        return pd.DataFrame({"src": ids[some], "dst": ids[label[some]]})
+        fp = g["fp"].to_numpy(np.int64)
+        label = tree_links(fp.view(np.uint64), radius, (g["mine"] == g["i"]).to_numpy() if g["i"].iloc[0] != g["j"].iloc[0] else None)
+        some = np.flatnonzero(label != np.arange(len(fp)))
+        return pd.DataFrame({"src": fp[some], "dst": fp[label[some]]})
 
-    asked = nodes.select(*dict.fromkeys([*tables, node, *body]))
-    sizes = asked.mapInPandas(count, "t int, shard int, n long").groupBy("t", "shard").agg(F.sum("n").alias("n"))
-    large = materialize(sizes.where(F.col("n") > BLOCK).select("t", "shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    fields = "".join(f", {c} long" for c in body)
     pieces = (
-        asked.mapInPandas(deal, f"t int, shard int, fp long, node long{fields}")
-        .join(large, ["t", "shard"], "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        _parted(_deal(prints, radius), radius)
+        .withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("t", "shard", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "node", *body)
+        .select("shard", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp")
     )
-    return pieces.groupBy("t", "shard", "i", "j").applyInPandas(search, "src long, dst long")
+    return pieces.groupBy("shard", "i", "j").applyInPandas(search, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -260,13 +255,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
 
     Only distinct fingerprints enter the tree. The upper levels come from a
     sample of ``TREE_SAMPLE`` of them, all fingerprints are dealt to shards by
-    distance (those near a boundary to both sides), and each shard is searched
+    distance (those near a boundary to both sides), shards that are still large
+    are parted further by vantage points of their own, and each is searched
     with a tree of its own. The search is exact. A shard emits a forest, not
     its pairs.
     """
     prints = materialize(fingerprints(docs, words))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comp = materialize(connected_components(_search(distinct, ["fp"], "fp", radius, [], 0)))
+    comp = materialize(connected_components(_search(distinct, radius)))
     rooted = distinct.join(comp, F.col("fp") == F.col("id"), "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = rooted.join(named, "root").select("fp", "component_id")
@@ -278,7 +274,7 @@ def _chain(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: bytes, words: int = BODY_WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; words and short texts as in ``sketch``."""
+    """Sorted distinct 64-bit hashes of the word shingles; words and short texts as in ``fingerprint``."""
     w = text.lower().split()
     h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
     k = min(words, len(w))
@@ -355,14 +351,14 @@ def similar_links(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
-    """``(id, component_id)`` of the ``rep`` of ``nodes`` that shared values of ``keys`` chain together: a star for each value, not its pairs."""
-    rows = nodes.select("rep", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    return connected_components(rows.join(materialize(shared), "key").where("rep <> low").select(F.col("rep").alias("src"), F.col("low").alias("dst")))
+    """``(id, component_id)`` of the ``nid`` of ``nodes`` that shared values of ``keys`` chain together: a star for each value, not its pairs."""
+    rows = nodes.select("nid", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).where("low < high").select("key", "low")
+    return connected_components(rows.join(materialize(shared), "key").where("nid <> low").select(F.col("nid").alias("src"), F.col("low").alias("dst")))
 
 
 def _set_links(sets: DataFrame) -> DataFrame:
-    """Links ``(src, dst)`` between the ``doc_id`` of ``sets`` (``grp, doc_id, shingles``) of one ``grp`` at 0.8 or more: a forest for each task.
+    """Links ``(src, dst)`` between the ``nid`` of ``sets`` (``grp, nid, shingles``) of one ``grp`` at 0.8 or more: a forest for each task.
 
     Small groups share tasks. A group over ``BLOCK_SHINGLES`` is cut into
     blocks that meet pairwise in separate tasks.
@@ -373,8 +369,8 @@ def _set_links(sets: DataFrame) -> DataFrame:
     large = materialize(sizes.where(F.col("n") > BLOCK_SHINGLES).select("grp", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks")))
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("doc_id")
-        ids, label = g["doc_id"].to_numpy(np.int64), similar_links(g["shingles"].tolist())
+        g = g.sort_values("nid")
+        ids, label = g["nid"].to_numpy(np.int64), similar_links(g["shingles"].tolist())
         some = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"src": ids[some], "dst": ids[label[some]]})
 
@@ -383,15 +379,21 @@ def _set_links(sets: DataFrame) -> DataFrame:
         .withColumn("grp", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.col("grp")))
         .withColumn("cut", F.col("blocks").isNotNull())
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cut", "grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "shingles")
+        .select("cut", "grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "nid", "shingles")
     )
     return pieces.groupBy("cut", "grp", "i", "j").applyInPandas(search, "src long, dst long")
 
 
-def duplicate_ids(docs: DataFrame) -> DataFrame:
-    """``doc_id`` of the documents that near copies with smaller ids stand for.
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits of each shingle set, as two arrays of longs: equal sets are one text here."""
+    digest = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 2**64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+
+
+def duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, d1, d2`` of the documents that near copies with smaller ids stand for; d1 and d2 are a text's digest.
 
     A pair is linked when the sets of its five-word shingles have a Jaccard
     similarity of 0.8 or more, counted exactly. Shared MinHash bands put the
@@ -401,30 +403,47 @@ def duplicate_ids(docs: DataFrame) -> DataFrame:
 
     def keyed(texts: list[bytes]) -> list:
         sets = [shingle_set(t) for t in texts]
-        digest = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 2**64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-        return [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))]
+        return [*_digests(sets), pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
     def listed(texts: list[bytes]) -> list:
-        return [pa.array([shingle_set(t).view(np.int64) for t in texts], pa.list_(pa.int64()))]
+        sets = [shingle_set(t) for t in texts]
+        return [*_digests(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
     some, longs = docs.where("doc_id IS NOT NULL"), T.ArrayType(T.LongType())
-    prints = materialize(map_texts(some, ["doc_id"], [T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("keys", longs)], keyed))
-    nodes = materialize(prints.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    groups = materialize(_groups(nodes)).select(F.col("id").alias("doc_id"), F.col("component_id").alias("grp"))
-    sets = materialize(map_texts(some.join(groups, "doc_id"), ["grp", "doc_id"], [T.StructField("shingles", longs)], listed))
-    comp = materialize(connected_components(_set_links(sets))).where("id <> component_id").select(F.col("id").alias("rep"))
-    copies = prints.select("doc_id", "d1", "d2").join(nodes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
-    return copies.join(comp.withColumn("gone", F.lit(True)), "rep", "left").where("gone OR doc_id <> rep").select("doc_id").distinct()
+    digest = [T.StructField("x1", T.LongType()), T.StructField("x2", T.LongType())]
+    prints = materialize(map_texts(some, ["doc_id"], [*digest, T.StructField("keys", longs)], keyed).withColumnsRenamed({"x1": "d1", "x2": "d2"}))
+    nodes = materialize(prints.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).withColumn("nid", F.monotonically_increasing_id()))
+    groups = materialize(_groups(nodes)).join(nodes, F.col("id") == F.col("nid")).select(F.col("rep").alias("doc_id"), "nid", "d1", "d2", F.col("component_id").alias("grp"))
+    sets = map_texts(some.select("doc_id", "text").join(groups, "doc_id"), ["grp", "nid", "d1", "d2"], [*digest, T.StructField("shingles", longs)], listed)
+    # Another text under the same id isn't the one that is meant; the same row again links with itself.
+    sets = materialize(sets.where("d1 = x1 AND d2 = x2").select("grp", "nid", "shingles"))
+    comp = materialize(connected_components(_set_links(sets)))
+    rooted = nodes.join(comp, F.col("nid") == F.col("id"), "left").select("d1", "d2", "rep", F.coalesce("component_id", "nid").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("rep", "d1", "d2")).alias("stays"))
+    known = rooted.join(stays, "root").select("d1", "d2", "stays")
+    return prints.join(known, ["d1", "d2"]).where(F.struct("doc_id", "d1", "d2") != F.col("stays")).select("doc_id", "d1", "d2").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the smallest doc_id stays, all columns as given.
 
-    Rows that repeat a doc_id are one document, and one of them stays. Rows
-    with a null doc_id stay. No rows give no rows.
+    Texts that share a doc_id are documents of their own, and stay unless they
+    are near copies; of rows that repeat id and text one stays, the same in
+    every run. Rows with a null doc_id stay. No rows give no rows.
     """
-    gone = materialize(duplicate_ids(docs))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    gone = materialize(duplicates(docs))
+    twice = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(twice, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(d, T.LongType()) for d in ("d1", "d2"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            yield pa.RecordBatch.from_arrays([row, *_digests([shingle_set(t) for t in texts])], names=schema.names)
+
+    again = docs.join(twice, "doc_id", "left_semi").select(*docs.columns).mapInArrow(run, schema).select(F.col("row.doc_id").alias("doc_id"), "d1", "d2", "row")
+    again = again.join(gone, ["doc_id", "d1", "d2"], "left_anti").groupBy("doc_id", "d1", "d2").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.unionByName(again.select("row.*"))

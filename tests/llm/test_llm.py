@@ -486,6 +486,35 @@ def test_simhash_blocks(spark, docs, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in few} == components(list(fp), [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2])
 
 
+def test_parted_shards(spark, monkeypatch):
+    """Shards over ``BLOCK`` rows are parted by vantage points of their own; only what none parts is cut into blocks."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 200)
+    monkeypatch.setattr(simhash_dedup, "SHARD", 10**6)  # one shard above
+    rng = np.random.default_rng(9)
+    far = rng.integers(0, 2**63, 1500, dtype=np.uint64)
+    far = np.concatenate([far, far[:700] ^ (np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64))])
+    dense = np.unique(far[0] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (400, 3)).astype(np.uint64), axis=1))
+    x = np.unique(np.concatenate([far, dense]))
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    parts = simhash_dedup._parted(simhash_dedup._deal(df, 2), 2).toPandas()
+    sizes = parts.groupby("shard").agg({"fp": "size", "blocks": "max"})
+    assert len(sizes) > 8 and (sizes["blocks"] == np.where(sizes["fp"] > 200, np.ceil(sizes["fp"] / 200), 1)).all()
+    d = np.bitwise_count(x[:, None] ^ x[None, :]) <= 2
+    want = graph.local_components(len(x), *np.nonzero(d))
+    at = {int(v): i for i, v in enumerate(x.view(np.int64))}
+    pairs = [(at[r["src"]], at[r["dst"]]) for r in simhash_dedup._search(df, 2).collect()]
+    assert list(components(range(len(x)), pairs).values()) == want.tolist()
+
+
+def test_keep_one_ids_with_several_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, "a"), (1, "another text", "c"), (2, text + " more", "d"), (2, "a third one", "e"), (None, text, "f"), (3, "", "g"), (4, None, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    want = [(1, "another text", "c"), (1, text, "a"), (2, "a third one", "e"), (3, "", "g"), (None, text, "f")]
+    for part in (df, df.repartition(5, "tag")):
+        assert sorted(map(tuple, simhash_dedup.keep_one(part).collect()), key=str) == sorted(want, key=str)
+
+
 def test_keep_one_recall(spark):
     """Pairs of 0.84 similarity, by exact sets of five-word shingles."""
     rng = np.random.default_rng(4)
