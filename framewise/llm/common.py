@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,52 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewise.session import delete, scratch_path
+
 #: Records and bytes in an Arrow batch at most (a single longer text is a batch of its own).
 ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
-_local: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = _local.setdefault("dir", tempfile.mkdtemp(prefix="framewise-"))
-    return f"{named.rstrip('/')}/framewise"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session is gone already: the folder's owner clears it
-            return
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Lineage is cut, lost executors cost only the rows in flight, and the next
-    join knows the true size of the table.
+    join knows the true size of the table. The files go when they are released
+    or the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:
     """Delete the files behind a materialized table that nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -16,8 +16,11 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SEED = 11
-#: Words of a source, more or less, in one of its shards.
+#: Words of a source, more or less, in one of its shards; more where shards would be over SHARDS.
 SHARD_WORDS = 1 << 20
+SHARDS = 1 << 16
+#: Copies of one row that a task writes out at most.
+COPIES = 1 << 16
 SIZE = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,49 +77,69 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     shards; equal blocks of words are apportioned to all shards; in each shard
     documents lie end to end in a seeded order, and the first blocks of that
     line are taken after as many whole passes as the quota holds. Rows that
-    repeat are documents of their own, in one order. No document is taken more
-    than ``most`` times. No rows give no rows.
+    repeat id, source and text lie together, as one entry with a count, and are
+    taken one after the other. No document is taken more than ``most`` times.
+    No rows give no rows.
     """
-    sized = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SIZE)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")))
-    return _taken(sized, weights, share, most, seed).select("doc_id", "size", "source_size", "target", "taken")
+    return _each(_taken(_sized(docs), weights, share, most, seed)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size, h`` (a hash of the text) with ``alike``, the number of such rows."""
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SIZE)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
+    return materialize(rows.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("alike")))
 
 
 def _taken(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int) -> DataFrame:
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    targets = materialize(source_targets(sources, weights, share, most).withColumn("shards", F.ceil(F.greatest(F.col("source_size") / SHARD_WORDS, F.col("docs") / (SHARD_WORDS // 64), F.lit(1))).cast("int")))
+    """``sized`` with ``source_size``, ``target``, ``passes`` (whole times that each row is taken) and ``part`` (words of the rows' line taken besides)."""
+    whole = F.col("size") * F.col("alike")
+    sources = sized.groupBy("source").agg(F.sum(whole).alias("source_size"), F.sum("alike").alias("docs"))
+    targets = materialize(source_targets(sources, weights, share, most))
+    words = max(SHARD_WORDS, (targets.agg(F.sum("source_size")).first()[0] or 0) // SHARDS)
+    targets = targets.withColumn("shards", F.ceil(F.greatest(F.col("source_size") / words, F.col("docs") / (words // 64), F.lit(1))).cast("int"))
     named = targets.select(F.col("source").alias("__source"), "source_size", "target", "shards", "rank")
     # A hot source is one key here; the sizes of its rows are known, and the other side is a row a source.
     placed = sized.join(named, F.col("source").eqNullSafe(F.col("__source"))).withColumn("cell", F.col("rank").cast("long") * (1 << 31) + F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), "shards"))
-    cells = placed.groupBy("cell").agg(F.sum("size").alias("cell_size"), F.first("source_size").alias("s"), F.first("target").alias("t"))
+    cells = placed.groupBy("cell").agg(F.sum(whole).alias("cell_size"), F.first("source_size").alias("s"), F.first("target").alias("t"))
     cells = materialize(cells.withColumn("votes", F.when(F.col("s") > 0, F.col("t") * F.col("cell_size") / F.col("s")).otherwise(0.0)))
     r = cells.where("votes > 0").agg(F.sum("votes").alias("v"), F.count("*").alias("k"), F.min("votes").alias("least")).first()
     total = r["v"] or 0.0
     block = max(1, int(min(total / (1024 * max(1, r["k"])), (r["least"] or 0) / 8)))
     quotas = apportion(cells, round(total / block)).select("cell", "cell_size", F.least(F.col("quota") * block, F.col("cell_size") * most).alias("quota"))
     line = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "h"), "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)
-    along = placed.withColumn("end", F.sum("size").over(line)).join(quotas, "cell")
+    along = placed.withColumn("end", F.sum(whole).over(line)).join(quotas, "cell")
     passes = F.when(F.col("cell_size") > 0, F.expr("quota div nullif(cell_size, 0)")).otherwise(F.lit(0))
-    over = F.col("quota") - passes * F.col("cell_size")
-    return along.withColumn("taken", passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), over - F.col("end") + F.col("size"))))
+    along = along.withColumn("passes", passes)
+    over = F.col("quota") - F.col("passes") * F.col("cell_size")
+    return along.withColumn("part", F.greatest(F.lit(0), F.least(whole, over - F.col("end") + whole)))
+
+
+def _each(taken: DataFrame) -> DataFrame:
+    """A row for each of the ``alike`` ones, with the words ``taken`` of it."""
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1, F.lit(COPIES).cast("long")))
+    if not taken.where(F.col("alike") > COPIES).isEmpty():
+        taken = taken.withColumn("start", start).repartition("doc_id", "h", "start")
+    else:
+        taken = taken.withColumn("start", F.lit(0).cast("long"))
+    nth = F.explode(F.sequence("start", F.least(F.col("start") + COPIES, F.col("alike")) - 1))
+    rows = taken.withColumn("nth", nth)
+    return rows.withColumn("taken", F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("nth") * F.col("size"))))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them, all columns as given: whole copies, then the text cut after its last word taken.
 
     ``n_chars``, where there is one, follows a cut text. A document without
-    words is taken once if anything of its source is.
+    words is taken once if anything of its source is. Rows that repeat id,
+    source and text share what is taken of them evenly. Nulls and no rows as in ``mix``.
     """
-    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SIZE)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
-    taken = _taken(materialize(named.drop("row")), weights, share, most, seed)
-    # Rows that agree in id, source and text are alike: together they take the sum.
-    each = materialize(taken.groupBy("doc_id", "source", "h", "size").agg(F.sum("taken").alias("all_taken"), F.count("*").alias("alike"), F.max("target").alias("target")))
-    each = each.select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "h", "size")), "all_taken", "alike", "target")
+    each = materialize(_taken(_sized(docs), weights, share, most, seed))
+    each = each.select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "h")), "size", (F.col("passes") * F.col("size") + F.floor(F.col("part") / F.col("alike"))).cast("long").alias("words"), "target")
+    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
     same = F.col("h") == F.col("__h")
     for c in ("doc_id", "source"):
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     j = named.join(each, same)
-    part = F.col("all_taken") / F.col("alike")
-    j = j.withColumn("words", F.when(F.col("size") > 0, F.floor(part).cast("long")).otherwise(0))
     copies = F.when(F.col("size") > 0, F.expr("words div nullif(size, 0)")).otherwise(F.when(F.col("target") > 0, 1).otherwise(0))
     left = F.when(F.col("size") > 0, F.expr("words % nullif(size, 0)")).otherwise(0)
     lengths = F.concat(F.array_repeat(F.lit(None).cast("long"), copies.cast("int")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<long>")))

@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """
     spans = materialize(pieces(docs, tokenizer, capacity, end_id))
     groups = max(1, round(spans.count() / GROUP))
-    spans = spans.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id() if groups > 1 else F.lit(0)), F.lit(groups)))
+    spans = spans.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def place(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True]).reset_index(drop=True)

@@ -20,8 +20,8 @@ def rendezvous(keys: list[Column], weights: list[float], seed: int = SEED) -> Co
     further shard takes rows from the others but moves none between them.
     """
     def score(shard: int, weight: float) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(shard), *keys), 11)  # 53 bits
-        u = (bits.cast("double") + 0.5) / F.lit(float(2**53))
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(shard), *keys), 12)  # 52 bits: with the half added, a double holds them, so u is never 0 or 1
+        u = (bits.cast("double") + 0.5) / F.lit(float(2**52))
         return F.struct((-F.lit(float(weight)) / F.log(u)).alias("score"), F.lit(shard).alias("shard"))
 
     return F.array_max(F.array(*(score(k, w) for k, w in enumerate(weights))))["shard"]

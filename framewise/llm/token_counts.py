@@ -51,12 +51,16 @@ def histogram(docs: DataFrame, tokenizer: str, by: str = "lang") -> DataFrame:
 
 
 def totals(hist: DataFrame, limits: list[int], by: str = "lang") -> DataFrame:
-    """``by``, ``context``, ``tokens`` and ``kept``: all tokens, and those left when texts are cut at each limit."""
+    """``by``, ``context``, ``tokens`` and ``kept``: all tokens, and those left when texts are cut at each limit.
+
+    Read from the suffix sums at the least length beyond a limit: texts from
+    there on keep the limit, the tokens of all others stay.
+    """
     each = hist.withColumn("context", F.explode(F.array(*(F.lit(x).cast("long") for x in limits))))
-    return each.groupBy(by, "context").agg(
-        F.sum(F.col("n_tokens") * F.col("n_docs")).alias("tokens"),
-        F.sum(F.least("n_tokens", "context") * F.col("n_docs")).alias("kept"),
-    )
+    beyond = F.when(F.col("n_tokens") > F.col("context"), F.col("n_tokens"))
+    cut = F.min_by(F.struct("tokens_from", "docs_from"), beyond)
+    sums = each.groupBy(by, "context").agg(F.max("tokens_from").alias("tokens"), F.when(F.min(beyond).isNotNull(), cut).alias("cut"))
+    return sums.select(by, "context", "tokens", (F.col("tokens") - F.coalesce(F.col("cut.tokens_from"), F.lit(0)) + F.col("context") * F.coalesce(F.col("cut.docs_from"), F.lit(0))).alias("kept"))
 
 
 def quantiles(hist: DataFrame, shares: list[float], by: str = "lang") -> DataFrame:
