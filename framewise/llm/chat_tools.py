@@ -16,13 +16,16 @@ def events_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user turn calls the tool ``reply`` under the identifier ``conv:turn``,
     after the call two turns before it, if that is one; an assistant turn is
-    the result for the turn before it. System turns are neither.
+    the result for the turn before it. Other roles and null ones are neither; a
+    turn without conversation or number has no identifier; null texts stay
+    null, empty and long ones as they are; repeated rows repeat; other columns
+    are ignored; no rows give no rows.
     """
     name = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     user = conversations.where(F.col("role") == "user")
     calls = user.select(
-        "conv_id", "turn", F.when(known, name(0)).alias("call_id"), F.when(known, name(2)).alias("after"), F.lit("reply").alias("tool"),
+        "conv_id", "turn", F.when(known, name(0)).alias("call_id"), F.when(known, F.array(name(2))).alias("after"), F.lit("reply").alias("tool"),
         F.to_json(F.struct(F.col("turn"), F.col("text"))).alias("arguments"),
     )
     results = conversations.where(F.col("role") == "assistant").select(F.when(known, name(1)).alias("call_id"), F.col("turn").alias("at"), F.col("text").alias("content"))
@@ -54,26 +57,46 @@ def canonical(json: Column) -> Column:
 
 
 def depths(nodes: DataFrame) -> DataFrame:
-    """``call_id, depth`` of the forest ``call_id -> after``: calls before it, by doubling; null on a cycle.
+    """``call_id, depth``: the longest line of calls that come before it; null on or after a cycle. nodes: ``call_id, after`` (identifiers; others are ignored).
 
-    Rounds grow with the logarithm of the longest chain. Each holds a row a
-    call, so a long conversation is many rows and never one group.
+    Calls after one other at most form trees; these shrink by doubling, in
+    rounds that grow with the logarithm of the longest line: each call gets the
+    nearest call above that has none or several before it, and how far up that
+    is. Only calls after several take a round a layer. Each round holds a row a
+    link, so a long conversation is many rows and never one group.
     """
     ids = nodes.select(F.col("call_id").alias("__p"))
-    at = materialize(nodes.join(ids, F.col("after") == F.col("__p"), "left").select("call_id", F.col("__p").alias("up"), F.when(F.col("__p").isNotNull(), 1).otherwise(0).cast("long").alias("depth")))
+    links = materialize(nodes.select("call_id", F.explode(F.array_distinct("after")).alias("up")).join(ids, F.col("up") == F.col("__p"), "left_semi"))
+    count = links.groupBy("call_id").agg(F.count("*").alias("n"), F.min("up").alias("only"))
+    at = nodes.select("call_id").join(count, "call_id", "left")
+    at = materialize(at.select("call_id", F.when(F.col("n") == 1, F.col("only")).alias("up"), F.when(F.col("n") == 1, F.lit(1)).otherwise(0).cast("long").alias("far"), F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("call_id")).alias("top")))
     rounds, n = 0, max(1, at.count())
     while not at.where("up IS NOT NULL").limit(1).isEmpty() and 2**rounds < 2 * n:
-        above = at.select(F.col("call_id").alias("__c"), F.col("up").alias("__u"), F.col("depth").alias("__d"))
-        at = materialize(at.join(above, F.col("up") == F.col("__c"), "left").select("call_id", F.col("__u").alias("up"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth")))
+        above = at.select(F.col("call_id").alias("__c"), F.col("up").alias("__u"), F.col("far").alias("__f"), F.col("top").alias("__t"))
+        at = materialize(at.join(above, F.col("up") == F.col("__c"), "left").select("call_id", F.col("__u").alias("up"), (F.col("far") + F.coalesce("__f", F.lit(0))).alias("far"), F.coalesce("__t", "top").alias("top")))
         rounds += 1
-    return at.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    # What still has a call above hangs on a cycle. Tops with none before them have depth 0; tops after several wait for all of these.
+    placed = at.where("up IS NULL").select("call_id", "top", "far")
+    known = materialize(placed.where("call_id = top").join(links.select("call_id").distinct(), "call_id", "left_anti").select(F.col("call_id").alias("top"), F.lit(0).cast("long").alias("depth")))
+    merges = links.join(placed.where("call_id = top").select("call_id"), "call_id", "left_semi")
+    merges = materialize(merges.join(at.select(F.col("call_id").alias("up"), "top", "far", F.col("up").isNotNull().alias("lost")), "up").select(F.col("call_id").alias("merge"), "top", "far", "lost"))
+    while not merges.isEmpty():
+        ready = merges.join(known, "top", "left").groupBy("merge").agg(F.max(F.col("depth") + F.col("far") + 1).alias("depth"), F.bool_or(F.col("depth").isNull() | F.col("lost")).alias("waits"))
+        more = materialize(ready.where("NOT waits").select(F.col("merge").alias("top"), "depth"))
+        if more.isEmpty():
+            break
+        known = materialize(known.unionByName(more))
+        merges = materialize(merges.join(more.select(F.col("top").alias("merge")), "merge", "left_anti"))
+    found = placed.join(known, "top").select("call_id", (F.col("depth") + F.col("far")).alias("depth"))
+    return nodes.select("call_id").join(found, "call_id", "left")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict | None = None) -> DataFrame:
     """Join calls with results by identifier, order them and write each as canonical JSON.
 
-    calls: ``conv_id, turn, call_id, after, tool, arguments``; results:
-    ``call_id, at, content``. Returns a row per call: ``conv_id``, ``turn``,
+    calls: ``conv_id, turn, call_id, after (array of identifiers), tool,
+    arguments``; results: ``call_id, at, content``; other columns are ignored.
+    Returns a row per call: ``conv_id``, ``turn``,
     ``call_id``, ``depth`` (a call's place in topological order: all that it
     comes after are less deep; null on a cycle), ``n_results``, ``errors``,
     ``status`` and ``json`` (arguments canonical, the earliest result, then by
@@ -82,20 +105,22 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict | None = None
 
     status: ``ok``, ``no_id``, ``repeated_id`` (calls that differ), ``cycle``,
     ``invalid`` or ``no_result``, the first that holds. Repeated rows are one
-    call. Null contents, empty texts and empty tables are fine.
+    call. A null tool is an unknown one, a null ``after`` none. Null contents, empty
+    and long texts and empty tables are fine.
     """
     schemas = SCHEMAS if schemas is None else schemas
     answers = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("n_results"), F.min(F.struct("at", "content")).alias("first"))
     named = calls.where("call_id IS NOT NULL")
     once = materialize(
         named.groupBy("call_id").agg(
+            F.lit(True).alias("is_call"),
             F.min(F.struct("conv_id", "turn", "after", "tool", "arguments")).alias("c"),
             (F.min(F.struct("conv_id", "turn", "after", "tool", "arguments")) != F.max(F.struct("conv_id", "turn", "after", "tool", "arguments"))).alias("differ"),
-        ).select("call_id", "c.*", "differ")
+        ).select("call_id", "c.*", "differ", "is_call")
     )
     linked = once.join(depths(once), "call_id").hint("shuffle_hash").join(answers, "call_id", "full_outer")
-    is_call = F.col("tool").isNotNull()
-    nameless = calls.where("call_id IS NULL").select(F.lit(None).cast("string").alias("call_id"), "conv_id", "turn", "after", "tool", "arguments", F.lit(False).alias("differ"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("n_results"), F.lit(None).cast(answers.schema["first"].dataType).alias("first"))
+    is_call = F.coalesce("is_call", F.lit(False))
+    nameless = calls.where("call_id IS NULL").select(F.lit(None).cast("string").alias("call_id"), "conv_id", "turn", "after", "tool", "arguments", F.lit(False).alias("differ"), F.lit(True).alias("is_call"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("n_results"), F.lit(None).cast(answers.schema["first"].dataType).alias("first"))
     rows = linked.select(*nameless.columns).unionByName(nameless)
     errors = F.when(is_call, argument_errors(F.col("tool"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("errors", errors).withColumn("n_results", F.coalesce("n_results", F.lit(0)))

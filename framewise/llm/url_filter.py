@@ -21,6 +21,7 @@ RULES = (
 #: Labelled URLs of each verdict at most that the trees are grown on.
 SAMPLE = 4_000
 TREES, DEPTH, SEED = 20, 4, 3
+FOLDS = 4
 #: Pseudo-count with which a suffix's or word's share of blocked URLs is drawn to the overall share.
 PRIOR = 20.0
 FEATURES = ["url_len", "host_len", "path_len", "query_len", "depth", "labels", "digit_ratio", "host_entropy", "path_entropy", "params", "hyphens", "fragment", "secure", "suffix_rate", "site_rate", "top_rate"]
@@ -44,8 +45,9 @@ def matching_rule(host: Column, path: Column, rules: tuple = RULES) -> tuple[Col
 
 
 def _entropy(text: Column) -> Column:
-    letters = F.split(text, "")
-    share = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.greatest(F.size(letters), F.lit(1)))
+    """Bits a character: sorted, equal characters are runs, so a long text costs a sort."""
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    share = F.transform(runs, lambda r: F.length(r) / F.greatest(F.length(text), F.lit(1)))
     return F.aggregate(share, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
@@ -68,32 +70,54 @@ def _lexical(rows: DataFrame) -> DataFrame:
     })
 
 
-def _with_rates(rows: DataFrame, rates: dict[str, DataFrame], overall: float) -> DataFrame:
+def _with_rates(rows: DataFrame, sums: dict[str, DataFrame], overall: float, fold: Column | None = None) -> DataFrame:
+    """``rows`` with the share of blocked URLs of each key, drawn to ``overall``; with ``fold``, of the URLs of all other folds."""
     for name, key in _keys(F.col("host"), F.col("path")).items():
+        by = sums[name]
+        if fold is None:
+            by = by.groupBy("key").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        else:
+            total = by.groupBy(F.col("key").alias("__all")).agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+            by = by.join(total, F.col("key").eqNullSafe(F.col("__all"))).select("key", "fold", (F.col("ts") - F.col("s")).alias("s"), (F.col("tn") - F.col("n")).alias("n"))
+        rate = by.select(F.col("key").alias("__r"), *([F.col("fold").alias("__f")] if fold is not None else []), ((F.col("s") + PRIOR * overall) / (F.col("n") + PRIOR)).alias(name))
+        on = F.col("__k").eqNullSafe(F.col("__r"))
         keyed = rows.withColumn("__k", key)
-        rows = keyed.join(rates[name].withColumnRenamed("key", "__r"), F.col("__k").eqNullSafe(F.col("__r")), "left").drop("__k", "__r").withColumn(name, F.coalesce(name, F.lit(overall)))
+        if fold is not None:
+            keyed, on = keyed.withColumn("__g", fold), on & (F.col("__g") == F.col("__f"))
+        rows = keyed.join(rate, on, "left").drop("__k", "__r", "__g", "__f").withColumn(name, F.coalesce(name, F.lit(overall)))
     return rows
 
 
 def fit(parts: DataFrame) -> tuple[GBTClassificationModel | None, dict[str, DataFrame], float]:
     """Suffix statistics over all labelled URLs, and trees grown on at most ``SAMPLE`` of each verdict, the first by a hash.
 
-    parts: ``url, host, path, verdict`` (null: not labelled).
+    parts: ``url, host, path, verdict`` (null: not labelled). Equal URLs share
+    a fold, and the trees see each URL with the statistics of the other folds,
+    so they learn how far these hold for URLs not met before.
     """
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
     known = parts.where("verdict IS NOT NULL").withColumn("y", (F.col("verdict") == "block").cast("double"))
     overall = known.agg(F.avg("y")).first()[0]
     overall = 0.0 if overall is None else overall
-    rates = {
-        name: materialize(known.groupBy(key.alias("key")).agg(((F.sum("y") + PRIOR * overall) / (F.count("*") + PRIOR)).alias(name)))
+    sums = {
+        name: materialize(known.groupBy(key.alias("key"), fold.alias("fold")).agg(F.sum("y").alias("s"), F.count("*").alias("n")))
         for name, key in _keys(F.col("host"), F.col("path")).items()
     }
     if not 0 < overall < 1:
-        return None, rates, overall
-    order = known.select("url", "host", "path", "y").distinct().withColumn("h", F.xxhash64("url"))
+        return None, sums, overall
+    order = known.select("url", "host", "path", "y").distinct().withColumn("h", F.xxhash64(F.lit(SEED), "url"))
     chosen = order.where("y = 1").orderBy("h", "url").limit(SAMPLE).unionByName(order.where("y = 0").orderBy("h", "url").limit(SAMPLE))
-    rows = materialize(_with_rates(_lexical(chosen), rates, overall).select("y", *FEATURES))
+    rows = materialize(_with_rates(_lexical(chosen), sums, overall, fold).select("y", *FEATURES))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.coalesce(2))
-    return GBTClassifier(labelCol="y", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(vectors.select("y", "features")), rates, overall
+    return GBTClassifier(labelCol="y", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(vectors.select("y", "features")), sums, overall
+
+
+def score(parts: DataFrame, model: GBTClassificationModel | None, sums: dict[str, DataFrame], overall: float) -> DataFrame:
+    """``parts`` with ``score``, the trees' share for block; ``overall`` where only one verdict is known."""
+    if model is None:
+        return parts.withColumn("score", F.lit(float(overall)))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_rates(_lexical(parts), sums, overall))
+    return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
 
 
 def filter_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5) -> DataFrame:
@@ -111,12 +135,6 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5)
     parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     parts = parts.withColumn("rule", rule).withColumn("verdict", verdict)
-    model, rates, overall = fit(parts)
-    if model is None:
-        scored = parts.withColumn("score", F.lit(float(overall)))
-    else:
-        rows = _with_rates(_lexical(parts), rates, overall)
-        rows = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
-        scored = rows.withColumn("score", vector_to_array("probability")[1])
+    scored = score(parts, *fit(parts))
     judged = F.coalesce("verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", judged.alias("verdict"), "score")

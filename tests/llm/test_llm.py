@@ -1,6 +1,7 @@
 """Operators for training data, against brute force on small inputs and on odd rows."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -152,6 +153,89 @@ def test_url_filter(spark):
         assert url_filter.filter_urls(few).count() == few.count()
 
 
+def brute_features(url):
+    head, sep, rest = (url or "").partition("://")
+    host = re.match(r"[^/?#]*", rest)[0] if sep else ""
+    path = re.match(r"[^?#]*", rest[len(host) :])[0] if sep else ""
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    query = re.search(r"\?([^#]*)", url or "")
+    query = query[1] if query else ""
+    entropy = lambda t: -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values())
+    return {
+        "url_len": len(url or ""), "host_len": len(host), "path_len": len(path), "query_len": len(query), "depth": len(re.findall("/[^/]", path)), "labels": host.count("."),
+        "digit_ratio": sum(c in "0123456789" for c in url or "") / max(1, len(url or "")), "host_entropy": entropy(host), "path_entropy": entropy(path), "params": len(re.findall("[^=&]+=", query)),
+        "hyphens": host.count("-"), "fragment": "#" in (url or ""), "secure": (url or "")[:6].lower() == "https:",
+    }
+
+
+def test_url_features(spark):
+    urls = [r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    urls += [None, "", "x", "https://a-b.co.uk/x/y1?q=1&r=2=3#top", "HTTPS://h.org//a//?#", "http://é.fr/ü/你好?k", "http://h.com/" + "abcdé/1" * 20_000 + "?" + "k=v&" * 5000]
+    host, path = url_filter.url_parts(F.col("url"))
+    rows = url_filter._lexical(spark.createDataFrame([(u,) for u in urls], "url string").select("url", host.alias("host"), path.alias("path"))).collect()
+    for r in rows:
+        want = brute_features(r["url"])
+        assert {k: float(r[k]) for k in want} == pytest.approx(want), (r["url"] or "")[:80]
+
+
+def test_url_trees_held_out(spark):
+    """Trees that have not seen a URL judge it as the rules do."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host, path = url_filter.url_parts(F.col("url"))
+    parts = pages.select("url", host.alias("host"), path.alias("path"))
+    rule, verdict = url_filter.matching_rule(F.col("host"), F.col("path"))
+    parts = parts.withColumn("verdict", verdict).where("verdict IS NOT NULL").withColumn("held", F.pmod(F.xxhash64(F.lit(99), "url"), F.lit(4)) == 0)
+    model = url_filter.fit(parts.where("NOT held"))
+    out = url_filter.score(parts.where("held"), *model).select("verdict", (F.col("score") >= 0.5).alias("block")).toPandas()
+    assert len(out) > 250 and ((out["verdict"] == "block") == out["block"]).mean() > 0.95
+
+
+def test_url_rates_leave_their_fold_out(spark):
+    rows = [(f"http://h{i}.{'net' if i % 2 else 'com'}/a/{i}", "block" if i % 2 else "allow") for i in range(80)] + [("http://solo.org/a", "block")]
+    host, path = url_filter.url_parts(F.col("url"))
+    parts = spark.createDataFrame(rows, "url string, verdict string").select("url", host.alias("host"), path.alias("path"), "verdict")
+    _, sums, overall = url_filter.fit(parts)
+    fold = F.pmod(F.xxhash64("url"), F.lit(url_filter.FOLDS)).cast("int")
+    got = {r["url"]: r for r in url_filter._with_rates(parts.withColumn("fold", fold), sums, overall, fold).collect()}
+    fold_of = {u: r["fold"] for u, r in got.items()}
+    for u, r in got.items():
+        other = [v == "block" for w, v in rows if w.split("/")[2].rsplit(".")[-1] == u.split("/")[2].rsplit(".")[-1] and fold_of[w] != fold_of[u]]
+        assert r["suffix_rate"] == pytest.approx((sum(other) + 20 * overall) / (len(other) + 20))
+
+
+def test_dual_descent_and_log_ratios():
+    """The solver closes the gap between primal and dual; ratios by counting."""
+    rng = np.random.default_rng(14)
+    rows = [np.unique(rng.integers(0, 300, int(rng.integers(0, 60)))).astype(np.int32) for _ in range(120)]
+    y = np.where(rng.random(120) < 0.4, 1, -1)
+    rows = [np.unique(np.append(g, [7, 9] if s > 0 else [8])).astype(np.int32) for g, s in zip(rows, y, strict=True)]
+    packed = [quality_classifier._packed(g) for g in rows]
+    big = np.arange(0, 1 << 18, 3, dtype=np.int32)
+    assert (quality_classifier._unpacked(quality_classifier._packed(big)) == big).all() and len(quality_classifier._packed(big)) == 1 << 15
+    ratio = quality_classifier._log_ratio(packed, y)
+    for k in (7, 8, 9, 20, 299, 5000):
+        p, q = (sum(k in g for g, t in zip(rows, y, strict=True) if t == s) / (y == s).sum() for s in (1, -1))
+        assert ratio[k] == pytest.approx(math.log((p + 1 / 120) / (q + 1 / 120)))
+    cost = np.ones(120)
+    w, bias = quality_classifier._dual_descent(packed, y, ratio, cost)
+    x = np.zeros((120, 5001))
+    for i, g in enumerate(rows):
+        x[i, g] = ratio[g] / np.sqrt(len(g))
+    v = np.divide(w[:5001], ratio[:5001], out=np.zeros(5001), where=ratio[:5001] != 0)
+    primal = lambda v, b: (v @ v + b * b) / 2 + np.maximum(0, 1 - y * (x @ v + b)).sum()
+    best = primal(v, bias)
+    for _ in range(300):  # no step from there lowers the objective by much
+        step = rng.standard_normal(5001) * (np.abs(x).sum(axis=0) > 0)
+        assert primal(v + 1e-2 * step / np.linalg.norm(step), bias) > best * 0.999
+    a, b, mu = np.zeros(5001), 0.0, 0
+    for k in range(1, 20_001):  # subgradient descent, averaged: another way to the same optimum
+        wrong = y * (x @ a + b) < 1
+        a, b = a - (a - (y * wrong) @ x) / k, b - (b - (y * wrong).sum()) / k
+        if k > 10_000:
+            mu = mu + np.append(a, b) / 10_000
+    assert best <= primal(mu[:-1], mu[-1]) * 1.02  # a dozen epochs
+
+
 def test_classifier_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = quality_classifier.fit(docs, labels)
@@ -172,8 +256,8 @@ def test_classifier_odd(spark, odd, none):
 
 
 def brute_stats(text):
-    w = [x for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
-    lines = [x for x in (text or "").split("\n") if __import__("re").search(r"[^\x20\x09-\x0D]", x)]
+    w = [x for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     at = defaultdict(list)
     for i in range(len(w) - 2):
         at[tuple(w[i : i + 3])].append(i)
@@ -311,6 +395,23 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixing_repeated_rows(spark, monkeypatch):
+    """A row that is there many times is one entry until the end; its copies are written out by several tasks."""
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    rows = [(1, "a b c", "s")] * 900 + [(i, "x " * i, "s") for i in range(2, 40)] + [(i, "y " * 9, "t") for i in range(50, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t.split())) for i, t, _ in rows)
+    taken = Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken["t" if r["doc_id"] >= 50 else "s"] += r["taken"]
+    want = brute_targets({"s": 2700 + sum(range(2, 40)), "t": 360})
+    assert all(abs(taken[s] - want[s]) <= max(2, 0.01 * want[s]) for s in want)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(df).collect()))
+    assert abs(sum(len(r["text"].split()) for r in mixing.mixed_documents(df).collect()) - sum(want.values())) <= 910
+
+
 def test_sainte_lague(spark):
     votes = [340.0, 280.0, 160.0, 60.0, 60.0, 0.0]
     seats = Counter()
@@ -323,14 +424,14 @@ def test_sainte_lague(spark):
 
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
-        [(1, 0, "a", None, "reply", '{"turn": 0, "text": "x"}'), (1, 2, "b", "a", "reply", '{"text": "y",  "turn": 2}'), (1, 4, "c", "b", "reply", '{"text": 5}'), (1, 6, "d", "e", "reply", "[]"), (1, 8, "e", "d", "reply", "{}"),
-         (2, 0, "f", "zz", "other", "{}"), (2, 0, "g", None, "reply", '{"text":"1","turn":1}'), (2, 1, "g", None, "reply", '{"text":"2","turn":1}'), (2, 3, None, None, "reply", None), (1, 0, "a", None, "reply", '{"turn": 0, "text": "x"}')],
-        "conv_id long, turn long, call_id string, after string, tool string, arguments string",
+        [(1, 0, "a", None, "reply", '{"turn": 0, "text": "x"}'), (1, 2, "b", ["a", "a"], "reply", '{"text": "y",  "turn": 2}'), (1, 4, "c", ["b"], "reply", '{"text": 5}'), (1, 6, "d", ["e"], "reply", "[]"), (1, 8, "e", ["d"], "reply", "{}"),
+         (2, 0, "f", ["zz"], "other", "{}"), (2, 0, "n", ["f", None], None, "{}"), (2, 0, "g", None, "reply", '{"text":"1","turn":1}'), (2, 1, "g", None, "reply", '{"text":"2","turn":1}'), (2, 3, None, None, "reply", None), (1, 0, "a", None, "reply", '{"turn": 0, "text": "x"}')],
+        "conv_id long, turn long, call_id string, after array<string>, tool string, arguments string",
     )
     results = spark.createDataFrame([("a", 1, "r2"), ("a", 0, "r1"), ("q", 3, None), (None, 1, "z")], "call_id string, at long, content string")
     got = {r["call_id"]: r for r in chat_tools.link_calls(calls, results).collect()}
     assert {k: (r["depth"], r["status"], r["n_results"]) for k, r in got.items()} == {
-        "a": (0, "ok", 2), "b": (1, "no_result", 0), "c": (2, "invalid", 0), "d": (None, "cycle", 0), "e": (None, "cycle", 0), "f": (0, "invalid", 0), "g": (0, "repeated_id", 0), None: (0, "no_id", 0), "q": (None, "orphan", 1)
+        "a": (0, "ok", 2), "b": (1, "no_result", 0), "c": (2, "invalid", 0), "d": (None, "cycle", 0), "e": (None, "cycle", 0), "f": (0, "invalid", 0), "n": (1, "invalid", 0), "g": (0, "repeated_id", 0), None: (0, "no_id", 0), "q": (None, "orphan", 1)
     }
     assert got["a"]["json"] == '{"arguments":{"text":"x","turn":0},"id":"a","name":"reply","result":"r1"}'
     assert got["c"]["errors"] == ["text: not STRING", "turn: missing"]
@@ -340,6 +441,38 @@ def test_tool_calls(spark):
     assert chat_tools.link_calls(*chat_tools.events_of(conv.limit(0))).count() == 0
 
 
+def brute_depths(after):
+    """Longest line before each call; None on or after a cycle."""
+    known = {}
+
+    def depth(i, path=()):
+        if i in path:
+            return None
+        if i not in known:
+            up = [depth(p, (*path, i)) for p in set(after[i] or []) if p in after]
+            known[i] = None if None in up else max((d + 1 for d in up), default=0)
+        return known[i]
+
+    return {i: depth(i) for i in after}
+
+
+def test_tool_call_order(spark):
+    rng = np.random.default_rng(13)
+    after = {f"c{i}": None if i == 0 else sorted({f"c{j}" for j in rng.integers(max(0, i - 6), i, int(rng.integers(1, 4)))}) for i in range(60)}
+    after |= {f"l{i}": [f"l{i - 1}"] if i else ["c59", "c3", "gone"] for i in range(90)} | {"m": ["l89", "c7"], "n": ["m"]}
+    after |= {"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x", "c1"], "v": ["w"], "s": ["s"]}
+    nodes = spark.createDataFrame(list(after.items()), "call_id string, after array<string>")
+    assert {r["call_id"]: r["depth"] for r in chat_tools.depths(nodes).collect()} == brute_depths(after)
+
+
+def test_tool_calls_odd(spark):
+    conv = spark.createDataFrame([(1, 0, "user", "é\n" * 200_000, "z"), (1, 1, "assistant", None, "z"), (1, 2, "user", "", "z"), (1, 2, "user", "", "z"), (1, None, "user", "x", "z"), (None, None, None, None, None)], "conv_id long, turn long, role string, text string, call_id string")
+    conv = conv.withColumn("status", F.lit("clash")).withColumn("depth", F.lit("clash"))
+    out = {r["turn"]: r for r in chat_tools.link_calls(*chat_tools.events_of(conv)).collect()}
+    assert {t: (r["status"], r["depth"]) for t, r in out.items()} == {0: ("ok", 0), 2: ("no_result", 1), None: ("no_id", 0)}
+    assert len(out[0]["json"]) > 600_000
+
+
 @pytest.fixture(scope="module")
 def tokens():
     t = Tokenizer.from_file(TOKENIZER)
@@ -439,7 +572,7 @@ def test_token_counts(spark, docs, odd, none, tokens):
 
 def brute_fingerprint(text, n):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    w = __import__("re").findall(r"[^\x20\x09-\x0D]+", low)
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
     sh = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([" ".join(w)] if w else [])
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
