@@ -45,3 +45,30 @@ def op4() -> str:
       f AS (SELECT fg.lang, fg.source, {choose} FROM fg JOIN fl ON fg.lang IS NOT DISTINCT FROM fl.lang, fa)
       SELECT doc_id, {', '.join(rules.STATS)}, base_failed, NOT base_failed AND coalesce({fine}, false) AS kept
       FROM s LEFT JOIN f ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source"""
+
+
+def op1() -> str:
+    """All pairs of equal label, and what they reach; vec_id is taken to be unique."""
+    return """
+      WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+      reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+      n AS (SELECT a, count(*) AS n FROM links GROUP BY 1), low AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+      SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low.b, vec_id) AS component_id, coalesce(vec_id = coalesce(low.b, vec_id), false) AS kept
+      FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN low ON vec_id = low.a"""
+
+
+def op6() -> str:
+    """A call's place is its place in a run of turns two apart."""
+    json = "'{\"arguments\":{' || CASE WHEN text IS NULL THEN '' ELSE '\"text\":' || to_json(text) || ',' END || '\"turn\":' || turn || '},\"id\":' || to_json(call_id) || ',\"name\":\"reply\"' || coalesce(',\"result\":' || to_json(content), '') || '}'"
+    return f"""
+      WITH c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, min(text) AS text, min(text) IS DISTINCT FROM max(text) OR count(text) NOT IN (0, count(*)) AS differ
+                 FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
+      p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS k FROM c),
+      d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, turn - 2 * k ORDER BY turn) - 1 AS depth FROM p),
+      r AS (SELECT conv_id || ':' || (turn - 1) AS call_id, count(*) AS n, arg_min(text, turn) AS content FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1)
+      SELECT conv_id, turn, call_id, depth, coalesce(n, 0) AS n_results, CASE WHEN text IS NULL THEN 'text: missing' ELSE '' END AS errors,
+             CASE WHEN differ THEN 'repeated_id' WHEN text IS NULL THEN 'invalid' WHEN n IS NULL THEN 'no_result' ELSE 'ok' END AS status, {json} AS json FROM d LEFT JOIN r USING (call_id)
+      UNION ALL SELECT NULL, NULL, call_id, NULL, n, '', 'orphan', '{{"id":' || to_json(call_id) || coalesce(',"result":' || to_json(content), '') || '}}' FROM r ANTI JOIN d USING (call_id)"""

@@ -39,7 +39,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat_tools.events_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return chat_tools.link_calls(calls, results)
+    return chat_tools.link_calls(calls, results).withColumn("errors", F.array_join("errors", "; "))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,23 +58,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+# Stages of the pipeline: (spark, docs, sf_dir) to a table. All take nulls in any column, empty and very long texts,
+# repeated rows, further columns with any name, and no rows; what becomes of these is said with the operator each calls.
+
+
 def classify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier predicts as good; it learns from ``labels`` of the rows in ``docs``. A null text is an empty one."""
     return quality_classifier.keep_good(docs, quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the quality rules of their language and source (null is a value); a null text fails."""
     return quality_rules.keep_passing(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the smallest doc_id; rows without doc_id stay."""
     return simhash_dedup.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, the last one cut after its last word taken; a null source is one."""
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of ``packing.pack``; rows that repeat a doc_id, or have none, are documents of their own."""
     return packing.pack(docs, TOKENIZER)
 
 
@@ -85,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express whole; the others train, tokenize or hash and are tested against brute force."""
-    return {"op4_quality_rules": oracles.op4()}
+    return {"op1_embedding_near_dedup": oracles.op1(), "op4_quality_rules": oracles.op4(), "op6_tool_call_linking": oracles.op6()}

@@ -175,7 +175,7 @@ def test_url_features(spark):
     rows = url_filter._lexical(spark.createDataFrame([(u,) for u in urls], "url string").select("url", host.alias("host"), path.alias("path"))).collect()
     for r in rows:
         want = brute_features(r["url"])
-        assert {k: float(r[k]) for k in want} == pytest.approx(want), (r["url"] or "")[:80]
+        assert [float(r[k]) for k in want] == pytest.approx([float(v) for v in want.values()]), (r["url"] or "")[:80]
 
 
 def test_url_trees_held_out(spark):
@@ -350,13 +350,15 @@ def test_rules_fences_follow_the_group(spark):
     assert fences(c) not in (fences(a), fences(b))  # a small group takes its language's
 
 
-def test_rules_sql(spark, docs):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
     import duckdb
 
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    got = quality_rules.quality_rules(docs)
-    assert Counter(map(tuple, got.collect())) == Counter(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()['op4_quality_rules']})").fetchall())
+    for t in ("documents", "embeddings", "conversations"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.queries()[name](spark, SF)
+    assert Counter(map(tuple, got.collect())) == Counter(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall())
 
 
 def brute_targets(sizes):
@@ -743,6 +745,66 @@ def test_sharding(spark, docs, odd, none):
     assert n[1] / n[0] == pytest.approx(3, rel=0.1)
 
 
+def run_stages(spark, docs, folder):
+    """What each stage makes of ``docs``, written and read as the driver does."""
+    import corpus_pipeline
+
+    out = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out[-1], SF).write.parquet(f"{folder}/{k}")
+        out.append(spark.read.parquet(f"{folder}/{k}"))
+        assert k == 4 or out[-1].columns == docs.columns
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, tokens):
+    """Each stage's rows against its definition, on near copies with inserted, cut and replaced passages among all of the table."""
+    rng = np.random.default_rng(15)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rows, more = [tuple(r) for r in table.collect()], []
+    good = [r for r in rows if 300 < len(r[1].split()) < 900]
+    for k, (i, text, lang, source, _) in enumerate(good[:24]):
+        w, other = text.split(" "), good[-1 - k][1].split(" ")
+        t = " ".join(_edited(rng, w, other, ["insert", "cut", "replace", "append"][k % 4], 8 + 4 * k))
+        more.append((10_000 + k, t, lang, source, len(t)))
+    docs = spark.createDataFrame(rows + more, table.schema)
+    start, classified, ruled, single, mixed, packed = run_stages(spark, docs, tmp_path)
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    collected = [tuple(r) for r in start.collect()]
+    scores = model.score([(r[1] or "").encode() for r in collected])
+    want = [r for r, s in zip(collected, scores, strict=True) if s >= 0.7]
+    assert Counter(map(tuple, classified.collect())) == Counter(want)
+    kept = brute_kept([(r[2], r[3], r[1]) for r in want])
+    want = [r for r, k in zip(want, kept, strict=True) if k]
+    assert Counter(map(tuple, ruled.collect())) == Counter(want)
+    sets = {r[0]: _shingles(re.sub("[A-Z]", lambda m: m[0].lower(), r[1])) for r in want}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    comp = components(sets, near)
+    want = [r for r in want if comp[r[0]] == r[0]]
+    assert sum(i >= 10_000 for i, c in comp.items() if i != c) >= 8 and Counter(map(tuple, single.collect())) == Counter(want)
+    sizes, got, whole = Counter(), Counter(), {r[0]: r for r in want}
+    for r in want:
+        sizes[r[3]] += len(r[1].split())
+    for r in mixed.collect():
+        got[r["source"]] += len(r["text"].split())
+        assert whole[r["doc_id"]][1].startswith(r["text"]) and r["n_chars"] == len(r["text"])
+    target = brute_targets(sizes)
+    assert all(abs(got[s] - target[s]) <= max(2, 0.01 * target[s]) for s in sizes)
+    pieces = packed.collect()
+    assert sum(p["length"] for p in pieces) == sum(len(tokens(r["text"])) + 1 for r in mixed.collect())
+    fill = Counter()
+    for p in pieces:
+        fill[p["sequence_id"]] += p["length"]
+    assert max(fill.values()) <= 4096 and len(fill) <= sum(fill.values()) / 4096 * 1.02 + 1
+
+
+def test_pipeline_odd_and_empty(spark, odd, none, tmp_path):
+    for k, df in enumerate((odd, none)):
+        out = run_stages(spark, df, tmp_path / str(k))
+        assert out[-1].columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert out[-1].count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
