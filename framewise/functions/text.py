@@ -24,16 +24,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def _letters(text: Column, letters: str) -> Column:
+    """How many characters are of a class: what is left without the runs of all others."""
+    return F.length(F.regexp_replace(text, f"[^{letters}]+", ""))
+
+
 def script_ratio(text: Column, target: str = "가-힣", others: str = "A-Za-z") -> Column:
     """F1: letters of the target script over all letters; 0.0 without a letter."""
-    hit = F.regexp_count(text, F.lit(f"[{target}]"))
-    every = F.regexp_count(text, F.lit(f"[{target}{others}]"))
-    return F.when(every > 0, hit / every).otherwise(0.0)
+    every = _letters(text, target + others)
+    return F.when(every > 0, _letters(text, target) / every).otherwise(0.0)
 
 
 def english_ratio(text: Column, target: str = "가-힣", others: str = "A-Za-z") -> Column:
     """F2: what is left of 1 where there are letters, else 0.0."""
-    return F.when(text.rlike(f"[{target}{others}]"), 1 - script_ratio(text, target, others)).otherwise(0.0)
+    every = _letters(text, target + others)
+    return F.when(every > 0, 1 - _letters(text, target) / every).otherwise(0.0)
 
 
 def word_limit_compliance(text: Column, n: int = 10) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +31,21 @@ def mark_epad(frames: DataFrame) -> DataFrame:
 
 def interleave_pad(tokens: DataFrame, ratio: float, seed: int) -> DataFrame:
     """A geometric run of PAD, the last of them EPAD, before each token. tokens: ``conv_id, pos, token``; 0 <= ratio < 1."""
-    if not 0 <= ratio < 1:
+    return interleave_pads(tokens, [ratio], seed).drop("ratio")
+
+
+def interleave_pads(tokens: DataFrame, ratios: list[float], seed: int) -> DataFrame:
+    """W5 for several ratios in one pass: a stream for each ``ratio`` and conversation."""
+    if not all(0 <= ratio < 1 for ratio in ratios):
         raise ValueError("ratio must be in [0, 1): a run would never end")
     u = X.uniform(F.concat_ws(":", "conv_id", "pos", F.lit(seed)))
-    n = F.floor(F.log(u) / F.log(F.lit(ratio))).cast("int") if ratio else F.lit(0)
-    runs = tokens.withColumn("n", n)
-    end = F.sum(F.col("n") + 1).over(Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    n = F.when(F.col("ratio") > 0, F.floor(F.log(u) / F.log(F.col("ratio"))).cast("int")).otherwise(0)
+    runs = tokens.withColumn("ratio", F.explode(F.array(*map(F.lit, map(float, ratios))))).withColumn("n", n)
+    end = F.sum(F.col("n") + 1).over(Window.partitionBy("ratio", "conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     runs = runs.withColumn("first", end - F.col("n") - 1)
-    each = runs.select("conv_id", "first", "n", "token", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
+    each = runs.select("ratio", "conv_id", "first", "n", "token", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
     kind = F.when(F.col("k") == F.col("n"), "WORD").when(F.col("k") == F.col("n") - 1, "EPAD").otherwise("PAD")
-    return each.select("conv_id", (F.col("first") + F.col("k")).alias("frame_idx"), kind.alias("kind"), F.when(F.col("k") == F.col("n"), F.col("token")).alias("token"))
+    return each.select("ratio", "conv_id", (F.col("first") + F.col("k")).alias("frame_idx"), kind.alias("kind"), F.when(F.col("k") == F.col("n"), F.col("token")).alias("token"))
 
 
 def decode_stream(frames: DataFrame) -> DataFrame:
@@ -65,6 +72,33 @@ def undelay(codes: DataFrame, tau: int) -> DataFrame:
     return codes.where((slot == 0) | (F.col("frame_idx") >= tau)).withColumn("frame_idx", F.col("frame_idx") - F.when(slot > 0, tau).otherwise(0))
 
 
+def text_shift(seconds: float) -> int:
+    """Frames that a text delay moves by: halves away from zero."""
+    return int(math.copysign(math.floor(abs(seconds) * X.FPS + 0.5), seconds))
+
+
+def delay_text(frames: DataFrame, codes: DataFrame, seconds: float) -> tuple[DataFrame, DataFrame]:
+    """(frames, codes) with text ``seconds`` after the audio (ASR layout) or, if negative, before it (TTS layout); 0 is dialogue.
+
+    The later stream moves and its head is filled: text with PAD, codes with
+    the placeholder. What passes the end is kept. frames: ``conv_id, frame_idx,
+    kind, word``; codes: ``conv_id, frame_idx, codebook, code``.
+    """
+    d = text_shift(seconds)
+    if d >= 0:
+        head = frames.where(F.col("frame_idx") < d).withColumns({"kind": F.lit("PAD"), "word": F.lit(None).cast("string")})
+        return frames.withColumn("frame_idx", F.col("frame_idx") + d).unionByName(head), codes
+    head = codes.where(F.col("frame_idx") < -d).withColumn("code", F.lit(X.PLACEHOLDER).cast("long"))
+    return frames, codes.withColumn("frame_idx", F.col("frame_idx") - d).unionByName(head)
+
+
+def undelay_text(frames: DataFrame, codes: DataFrame, seconds: float) -> tuple[DataFrame, DataFrame]:
+    """W3 inverse: drop the head of the later stream and move it back."""
+    d = text_shift(seconds)
+    back = lambda s, n: s.where(F.col("frame_idx") >= n).withColumn("frame_idx", F.col("frame_idx") - n)
+    return back(frames, max(0, d)), back(codes, max(0, -d))
+
+
 def complete_prefix(codes: DataFrame) -> DataFrame:
     """Frames before the first that holds a placeholder are ready, the rest wait."""
     whole = codes.groupBy("conv_id", "frame_idx").agg(F.max((F.col("code") == X.PLACEHOLDER).cast("int")).alias("open"))
@@ -112,12 +146,23 @@ def assemble_zones(conv: DataFrame, voice_frames: int) -> DataFrame:
 
 
 def persona_prefix(conv: DataFrame, voice_frames: int, silence: int = 6) -> DataFrame:
-    """Frames of a prefix: voice, silence, one token a frame, silence."""
-    text = X.words(F.col("text"))
+    """A prefix of four parts, voice, silence, text, silence, with its three streams aligned by frame.
+
+    ``text`` has a token a frame in the text part (the persona between
+    ``<system>`` tags) and PAD elsewhere; ``assistant`` has the voice sample's
+    frames in the voice part (``voice:0`` on) and silence elsewhere; ``user``
+    is the sine constant throughout.
+    """
+    tag = F.array(F.lit("<system>"))
+    row = lambda part, text, assistant: F.struct(F.lit(part).alias("part"), text.alias("text"), assistant.alias("assistant"))
+    pad, quiet = F.lit("PAD"), F.lit("silence")
     parts = F.concat(
-        F.array_repeat(F.lit("voice"), voice_frames), F.array_repeat(F.lit("silence"), silence), F.transform(text, lambda w: F.concat(F.lit("text:"), w)), F.array_repeat(F.lit("silence"), silence)
+        F.array(*(row("voice", pad, F.lit(f"voice:{i}")) for i in range(voice_frames))),
+        F.array_repeat(row("silence", pad, quiet), silence),
+        F.transform(F.concat(tag, X.words(F.col("text")), tag), lambda w: row("text", w, quiet)),
+        F.array_repeat(row("silence", pad, quiet), silence),
     )
-    return conv.where("role = 'system'").select("conv_id", F.posexplode(parts).alias("frame_idx", "part"))
+    return conv.where("role = 'system'").select("conv_id", F.posexplode(parts).alias("frame_idx", "x")).select("conv_id", "frame_idx", "x.*", F.lit("sine").alias("user"))
 
 
 def pad_to_frames(lengths: DataFrame) -> DataFrame:

@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
+from framewise.operators.ranks import by_hash
+from framewise.session import written
 
 
-def code_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Share of equal codes of two runs of one stream, and the difference of their row counts."""
+def code_agreement(a: DataFrame, b: DataFrame, text_a: DataFrame | None = None, text_b: DataFrame | None = None) -> DataFrame:
+    """Share of equal codes of two runs of one stream, the difference of their row counts, and whether their texts (``conv_id, frame_idx, word``) are equal (null without texts)."""
     keys = ["conv_id", "frame_idx", "codebook"]
     j = a.join(b.withColumnRenamed("code", "other"), keys, "full_outer")
     both = F.col("code").isNotNull() & F.col("other").isNotNull()
-    return j.agg(F.avg(F.when(both, (F.col("code") == F.col("other")).cast("double"))).alias("agreement"), (F.count("code") - F.count("other")).alias("row_difference"))
+    codes = j.agg(F.avg(F.when(both, (F.col("code") == F.col("other")).cast("double"))).alias("agreement"), (F.count("code") - F.count("other")).alias("row_difference"), F.lit(None).cast("boolean").alias("text_equal"))
+    if text_a is None or text_b is None:
+        return codes
+    t = text_a.select(*keys[:2], "word").join(text_b.select(*keys[:2], F.col("word").alias("other")), keys[:2], "full_outer")
+    equal = t.agg(F.lit(None).cast("double").alias("agreement"), F.lit(None).cast("long").alias("row_difference"), F.coalesce(F.bool_and(F.col("word").eqNullSafe(F.col("other"))), F.lit(True)).alias("text_equal"))
+    return codes.unionByName(equal).agg(*(F.max(c).alias(c) for c in codes.columns))
 
 
 def signal_error(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -38,40 +45,79 @@ def event_alignment(teacher: DataFrame, student: DataFrame, tolerance: int) -> D
     """The nearest student event within ``tolerance`` frames, ties to the earlier; nulls where there is none.
 
     Both sides carry ``session, event_id, frame``. Time is cut into buckets of
-    ``tolerance`` and the student's side is put into its own and both next
-    ones, so the range join has an equi key.
+    ``tolerance``. The last student before and the first after an event lie in
+    its own bucket, where one window over both sides finds them, or are the
+    last of the bucket before and the first of the next. So rows grow with the
+    events, not with their pairs, and a long session is many buckets.
     """
-    t = teacher.withColumn("bucket", F.floor(F.col("frame") / tolerance))
-    s = student.select("session", F.col("event_id").alias("student_id"), F.col("frame").alias("student_frame")).withColumn("bucket", F.explode(F.array(*(F.floor(F.col("student_frame") / tolerance) + d for d in (-1, 0, 1)))))
-    near = t.join(s, ["session", "bucket"]).where(F.abs(F.col("frame") - F.col("student_frame")) <= tolerance)
-    best = near.groupBy("event_id").agg(F.min(F.struct(F.abs(F.col("frame") - F.col("student_frame")).alias("d"), "student_frame", "student_id")).alias("m"))
-    return teacher.join(best, "event_id", "left").select("session", "event_id", F.col("m.student_id").alias("student_id"), (F.col("m.student_frame") - F.col("frame")).alias("frame_offset"))
+    at = ["session", "bucket"]
+    bucket = F.floor(F.col("frame") / tolerance).alias("bucket")
+    none = F.lit(None).cast("struct<frame:bigint,id:bigint>")
+    s = student.select("session", bucket, "frame", F.col("event_id").cast("long").alias("id"))
+    pair = F.struct(F.col("frame").cast("long").alias("frame"), F.col("id"))
+    rows = teacher.select("session", bucket, "frame", "event_id", none.alias("s")).unionByName(s.select(*at, "frame", F.lit(None).cast(teacher.schema["event_id"].dataType).alias("event_id"), pair.alias("s")))
+    # Of students on one frame the smallest id counts: it is the last before and the first after.
+    up = Window.partitionBy(*at).orderBy("frame", F.col("s").isNull(), F.col("s.id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*at).orderBy("frame", F.col("s").isNotNull(), "s.id").rowsBetween(0, Window.unboundedFollowing)
+    own = rows.withColumn("before", F.last("s", True).over(up)).withColumn("after", F.first("s", True).over(down)).where("s IS NULL")
+    ends = s.groupBy(*at).agg(F.max(F.struct(F.col("frame").cast("long").alias("frame"), (-F.col("id")).alias("id"))).alias("last"), F.min(pair).alias("first"))
+    ends = ends.select(*at, F.struct("last.frame", (-F.col("last.id")).alias("id")).alias("last"), "first")
+    left = ends.select("session", (F.col("bucket") + 1).alias("bucket"), F.col("last").alias("left"))
+    right = ends.select("session", (F.col("bucket") - 1).alias("bucket"), F.col("first").alias("right"))
+    j = own.join(left, at, "left").join(right, at, "left")
+    found = F.transform(F.array("before", "after", "left", "right"), lambda x: F.struct(F.abs(x["frame"] - F.col("frame")).alias("d"), x["frame"].alias("frame"), x["id"].alias("id")))
+    best = F.array_min(F.filter(found, lambda x: x["d"] <= tolerance))
+    return j.withColumn("m", best).select("session", "event_id", F.col("m.id").alias("student_id"), (F.col("m.frame") - F.col("frame")).alias("frame_offset"))
 
 
 def pair_reference_voice(samples: DataFrame, pool: DataFrame, epoch: int) -> DataFrame:
     """A voice of the pool for each sample and epoch, by hash, never its own. samples: ``sample_id, own_voice``; pool: ``voice``.
 
-    The pool is a table of reference voices; Spark broadcasts it if it is small.
+    Null where the pool has no other voice. The pool is a table of reference
+    voices; Spark broadcasts it if it is small.
     """
-    ranked = pool.select("voice", (F.row_number().over(Window.orderBy("voice")) - 1).cast("long").alias("slot"))
-    n = pool.count()
+    ranked = by_hash(pool.select("voice"), [], "voice", "slot")
+    n = F.lit(max(1, pool.count()))
     h = X.hash32(F.concat_ws(":", F.col("sample_id"), F.lit(epoch)))
     j = samples.withColumn("slot", h % n).join(ranked, "slot", "left")
     again = ranked.select(F.col("slot").alias("next_slot"), F.col("voice").alias("next_voice"))
     j = j.withColumn("next_slot", (F.col("slot") + 1) % n).join(again, "next_slot", "left")
-    return j.select("sample_id", F.when(F.col("voice") == F.col("own_voice"), F.col("next_voice")).otherwise(F.col("voice")).alias("voice"))
+    own = lambda c: F.coalesce(F.col(c) == F.col("own_voice"), F.lit(False))
+    return j.select("sample_id", F.when(~own("voice"), F.col("voice")).when(~own("next_voice"), F.col("next_voice")).alias("voice"))
 
 
 def word_grams(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``key, gram`` of the distinct lower-case word n-grams of each text."""
     w = X.words(F.lower("text"))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
     return df.select(key, w.alias("w")).where(F.size("w") >= n).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
 
 
+def gram_hashes(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``keys, h``: 64-bit hashes of the word n-grams, of which no string is made."""
+    w = X.words(F.lower("text"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))
+    return df.select(*keys, w.alias("w")).where(F.size("w") >= n).select(*keys, F.explode(grams).alias("h"))
+
+
+def leak_flags(train: DataFrame, probe: DataFrame, n: int = 8) -> DataFrame:
+    """``train`` with ``leaks``: whether a document shares a word n-gram with held-out items.
+
+    The held-out side is written, so Spark knows whether it can be broadcast;
+    then only hits among the training n-grams are ever shuffled. Documents
+    whose hashes hit are compared by the n-grams themselves.
+    """
+    held = written(gram_hashes(probe, [], n).distinct())
+    maybe = written(gram_hashes(train, ["doc_id"], n).join(held, "h", "left_semi").select("doc_id").distinct())
+    grams = word_grams(train.join(maybe, "doc_id", "left_semi"), "doc_id", n)
+    hit = grams.join(word_grams(probe, "item_id", n).select("gram").distinct(), "gram", "left_semi").select("doc_id").distinct()
+    return train.join(written(hit.withColumn("__hit", F.lit(True))), "doc_id", "left").withColumn("leaks", F.col("__hit").isNotNull()).drop("__hit")
+
+
 def disjoint_from(train: DataFrame, probe: DataFrame, n: int = 8) -> tuple[DataFrame, DataFrame]:
     """(leaks, clean): training documents that share a word n-gram with held-out items, and all others."""
-    hit = word_grams(train, "doc_id", n).join(word_grams(probe, "item_id", n).select("gram").distinct(), "gram", "left_semi").select("doc_id").distinct()
-    return train.join(hit, "doc_id", "left_semi"), train.join(hit, "doc_id", "left_anti")
+    flagged = leak_flags(train, probe, n)
+    return flagged.where("leaks").drop("leaks"), flagged.where("NOT leaks").drop("leaks")
 
 
 def reconcile(source: DataFrame, target: DataFrame, pattern: str, replacement: str, allowed: list[str]) -> DataFrame:
@@ -83,12 +129,18 @@ def reconcile(source: DataFrame, target: DataFrame, pattern: str, replacement: s
 
 
 def skeleton_slots(slots: DataFrame, utterances: DataFrame, tolerance: int = 8) -> DataFrame:
-    """For each slot the utterance of closest length within ``tolerance`` frames, ties to the smaller id, and the stretch it needs."""
-    s = slots.withColumn("bucket", F.floor(F.col("slot_frames") / tolerance))
-    u = utterances.withColumn("bucket", F.explode(F.array(*(F.floor(F.col("utt_frames") / tolerance) + d for d in (-1, 0, 1)))))
-    near = s.join(u, "bucket").where(F.abs(F.col("slot_frames") - F.col("utt_frames")) <= tolerance)
-    best = near.groupBy("slot_id", "slot_frames").agg(F.min(F.struct(F.abs(F.col("slot_frames") - F.col("utt_frames")).alias("d"), "utt_id", "utt_frames")).alias("m"))
-    return best.select("slot_id", F.col("m.utt_id").alias("utt_id"), (F.col("slot_frames") / F.col("m.utt_frames")).alias("stretch"))
+    """For each slot the utterance of closest length within ``tolerance`` frames, ties to the smaller id, and the stretch it needs.
+
+    Only the smallest id of each length can win, and slots of one length share
+    an answer: lengths meet lengths, rows only look theirs up.
+    """
+    bucket = lambda c: F.floor(F.col(c) / tolerance)
+    wanted = slots.select("slot_frames").distinct().withColumn("bucket", bucket("slot_frames"))
+    there = utterances.groupBy("utt_frames").agg(F.min("utt_id").alias("utt_id"))
+    there = there.withColumn("bucket", F.explode(F.array(*(bucket("utt_frames") + d for d in (-1, 0, 1)))))
+    near = wanted.join(there, "bucket").where(F.abs(F.col("slot_frames") - F.col("utt_frames")) <= tolerance)
+    best = near.groupBy("slot_frames").agg(F.min(F.struct(F.abs(F.col("slot_frames") - F.col("utt_frames")).alias("d"), "utt_id", "utt_frames")).alias("m"))
+    return slots.join(best, "slot_frames").select("slot_id", F.col("m.utt_id").alias("utt_id"), (F.col("slot_frames") / F.col("m.utt_frames")).alias("stretch"))
 
 
 def swap_guard(codes: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
+from framewise.operators.joins import overlaps
+from framewise.operators.ranks import exact_median
+from framewise.session import written
 
 
 def adherence_report(gens: DataFrame, score: Column, baseline: str = "open") -> DataFrame:
@@ -38,11 +38,28 @@ def token_rank(logits: DataFrame) -> DataFrame:
     return logits.withColumn("t", t).groupBy("item").agg((1 + F.count_if(F.col("logit") > F.col("t"))).alias("rank"))
 
 
+def density_sweep(streams: DataFrame, score: Column, horizon: int) -> DataFrame:
+    """A3: by PAD ratio: frames, share of PAD and EPAD, mean stream length, and of what is said in the first ``horizon`` frames the share of empties and the mean score of the rest.
+
+    streams: ``ratio, conv_id, frame_idx, kind, token``; score: of the column ``text``.
+    """
+    said = F.collect_list(F.when((F.col("kind") == "WORD") & (F.col("frame_idx") < horizon), F.struct("frame_idx", "token")))
+    by = streams.groupBy("ratio", "conv_id").agg(F.count("*").alias("frames"), F.count_if(F.col("kind") != "WORD").alias("pads"), said.alias("said"))
+    by = by.withColumn("text", F.array_join(F.transform(F.sort_array("said"), lambda x: x["token"]), " "))
+    empty = X.is_empty(F.col("text"))
+    return by.groupBy("ratio").agg(
+        F.sum("frames").alias("frames"), (F.sum("pads") / F.sum("frames")).alias("pad_share"), F.avg("frames").alias("mean_length"),
+        F.avg(empty.cast("double")).alias("empty_rate"), F.avg(F.when(~empty, score)).alias("score"),
+    )
+
+
 def reflex_summary(ranked: DataFrame) -> DataFrame:
     """A4: mean and median probability and rank of the target, number of first ranks, and the verdict. ranked: ``item, rank, p``."""
-    return ranked.agg(
-        F.avg("p").alias("mean_p"), F.median("p").alias("median_p"), F.avg("rank").alias("mean_rank"), F.median("rank").alias("median_rank"), F.count_if(F.col("rank") == 1).alias("n_first"),
-        F.when(F.median("rank") <= 2, "reflex").otherwise("no reflex").alias("verdict"),
+    rows = written(ranked.select("rank", "p"))
+    p, rank = exact_median(rows, "p"), exact_median(rows, "rank")
+    return rows.agg(
+        F.avg("p").alias("mean_p"), F.lit(p).cast("double").alias("median_p"), F.avg("rank").alias("mean_rank"), F.lit(rank).cast("double").alias("median_rank"), F.count_if(F.col("rank") == 1).alias("n_first"),
+        F.lit("reflex" if rank is not None and rank <= 2 else "no reflex").alias("verdict"),
     )
 
 
@@ -67,18 +84,19 @@ def weighted_loss_mass(tokens: DataFrame) -> DataFrame:
 
 
 def task_lang_association(rows: DataFrame) -> DataFrame:
-    """Chi-square and Cramer's V of language by structure. rows: ``lang, structure``."""
+    """Chi-square and Cramer's V of language by structure. rows: ``lang, structure``.
+
+    chi-square = n * (sum of cell^2 / (row sum * column sum) - 1): cells that
+    are empty add nothing, so each cell only looks up its two margins.
+    """
     c = rows.cube("lang", "structure").agg(F.count("*").alias("n"))
     cell = c.where("lang IS NOT NULL AND structure IS NOT NULL")
     left = c.where("lang IS NOT NULL AND structure IS NULL").select("lang", F.col("n").alias("a"))
     right = c.where("lang IS NULL AND structure IS NOT NULL").select("structure", F.col("n").alias("b"))
-    n = F.sum("a1").over(Window.partitionBy(F.lit(1)))
-    langs = left.withColumnRenamed("a", "a1").withColumn("total", n).withColumnRenamed("a1", "a")
-    grid = langs.withColumn("one", F.lit(1)).join(right.withColumn("one", F.lit(1)), "one")  # groups by groups, not rows
-    e = F.col("a") * F.col("b") / F.col("total")
-    j = grid.join(cell, ["lang", "structure"], "left")
-    out = j.agg(F.sum(F.pow(F.coalesce("n", F.lit(0)) - e, F.lit(2.0)) / e).alias("chi2"), F.max("total").alias("n"), F.least(F.count_distinct("lang"), F.count_distinct("structure")).alias("k"))
-    return out.select("chi2", F.sqrt(F.col("chi2") / (F.col("n") * (F.col("k") - 1))).alias("cramers_v"))
+    j = cell.join(left, "lang").join(right, "structure")
+    out = j.agg(F.sum(F.col("n") * F.col("n") / (F.col("a") * F.col("b"))).alias("s"), F.sum("n").alias("n"), F.least(F.count_distinct("lang"), F.count_distinct("structure")).alias("k"))
+    out = out.withColumn("chi2", F.col("n") * (F.col("s") - 1))
+    return out.select("chi2", F.when(F.col("k") > 1, F.sqrt(F.greatest(F.col("chi2"), F.lit(0.0)) / (F.col("n") * (F.col("k") - 1)))).alias("cramers_v"))
 
 
 def top_k_dump(logits: DataFrame, k: int) -> DataFrame:
@@ -94,36 +112,41 @@ def kd_divergence(teacher: DataFrame, student: DataFrame, weights: DataFrame) ->
     return kl.join(weights, "item").agg((F.sum(F.col("kl") * F.col("weight")) / F.sum("weight")).alias("kl"))
 
 
-def _word_edits(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def _edits(a: Column, b: Column) -> Column:
+    mine = F.transform(F.array(F.array_intersect(a, b)), lambda both: F.struct(*(F.array_join(F.transform(x, lambda w: _letter(both, w, k)), "").alias(n) for x, k, n in ((a, 0, "a"), (b, 1, "b")))))[0]
+    return F.levenshtein(mine["a"], mine["b"]).cast("long")
 
 
-def error_rates(pairs: DataFrame) -> DataFrame:
-    """``id, ref, hyp`` with ``char_edits, cer, word_edits, wer``. Characters by the built-in, words by an Arrow batch function."""
+def _letter(both: Column, word: Column, side: int) -> Column:
+    at = F.array_position(both, word)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(at > 0, at + 0x10001).otherwise(0x10000 + side)), 8, "0")), "UTF-32")
+
 
-    def edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["word_edits"] = [_word_edits(r.split(), h.split()) for r, h in zip(b["ref"], b["hyp"], strict=True)]
-            yield b
+def error_rates(pairs: DataFrame) -> DataFrame:
+    """``id, ref, hyp`` with ``char_edits, cer, word_edits, wer``, whole texts, by code points and by words.
 
+    Words become characters for the built-in edit distance: those of both
+    texts by their number, all others match nothing and are one a side.
+    """
     rows = pairs.select("id", F.coalesce("ref", F.lit("")).alias("ref"), F.coalesce("hyp", F.lit("")).alias("hyp"))
-    rows = rows.mapInPandas(edits, f"{rows.schema.simpleString()[7:-1].replace(':', ' ')}, word_edits long")
-    rows = rows.withColumn("char_edits", F.levenshtein("ref", "hyp").cast("long"))
-    words = F.size(X.words(F.col("ref")))
-    return rows.withColumn("cer", F.when(F.length("ref") > 0, F.col("char_edits") / F.length("ref"))).withColumn("wer", F.when(words > 0, F.col("word_edits") / words))
+    rows = rows.withColumns({"__r": X.words(F.col("ref")), "__h": X.words(F.col("hyp"))})
+    rows = rows.withColumns({"char_edits": F.levenshtein("ref", "hyp").cast("long"), "word_edits": _edits(F.col("__r"), F.col("__h"))})
+    rates = {"cer": (F.length("ref"), "char_edits"), "wer": (F.size("__r"), "word_edits")}
+    return rows.withColumns({k: F.when(n > 0, F.col(d) / n) for k, (n, d) in rates.items()}).drop("__r", "__h")
 
 
 def cer(pairs: DataFrame) -> DataFrame:
     """Character error rate, mean of rows and over all characters."""
-    rows = pairs.where("length(ref) > 0").select(F.length("ref").alias("n"), F.levenshtein("ref", "hyp").alias("d"))
+    rows = pairs.where("length(ref) > 0").select(F.length("ref").alias("n"), F.levenshtein("ref", F.coalesce("hyp", F.lit(""))).alias("d"))
     return rows.agg(F.avg(F.col("d") / F.col("n")).alias("macro"), (F.sum("d") / F.sum("n")).alias("micro"))
 
 
+def wer(pairs: DataFrame) -> DataFrame:
+    """Word error rate, mean of rows and over all words."""
+    rows = error_rates(pairs).where("wer IS NOT NULL")
+    return rows.agg(F.avg("wer").alias("macro"), (F.sum("word_edits") / F.sum(F.size(X.words(F.col("ref"))))).alias("micro"))
+
+
 def minimal_pair_check(pairs: DataFrame) -> DataFrame:
     """By class, contrasting pairs ``a, b`` and how many are still distinct after a round trip (``a2, b2``)."""
     return pairs.where("a <> b").groupBy("contrast").agg(F.count("*").alias("pairs"), F.count_if(F.col("a2") != F.col("b2")).alias("distinct_after"))
@@ -174,12 +197,15 @@ def voice_diversity(assigned: DataFrame) -> DataFrame:
 
 
 def turn_stats(segments: DataFrame) -> DataFrame:
-    """By conversation: median response gap in frames, talk share of the assistant, share of overlapped turns."""
+    """By conversation: median response gap in frames, talk share of the assistant, share of overlapped turns, and of the user's turns those within one of the assistant's (backchannels)."""
     by = Window.partitionBy("conv_id").orderBy("turn")
     s = segments.withColumn("gap", F.col("start_frame") - F.lag("end_frame").over(by)).withColumn("len", F.col("end_frame") - F.col("start_frame"))
-    return s.groupBy("conv_id").agg(
-        F.median("gap").alias("median_gap"), (F.sum(F.when(F.col("role") == "assistant", F.col("len")).otherwise(0)) / F.sum("len")).alias("talk_share"), F.avg((F.col("gap") < 0).cast("double")).alias("overlap_share")
+    stats = s.groupBy("conv_id").agg(
+        F.median("gap").alias("median_gap"), (F.sum(F.when(F.col("role") == "assistant", F.col("len")).otherwise(0)) / F.sum("len")).alias("talk_share"), F.avg((F.col("gap") < 0).cast("double")).alias("overlap_share"),
+        F.count_if(F.col("role") == "user").alias("n_user"),
     )
+    back = overlaps(segments).where("kind = 'backchannel'").groupBy("conv_id").agg(F.count_distinct("u_turn").alias("n_back"))
+    return stats.join(back, "conv_id", "left").withColumn("backchannel_rate", F.when(F.col("n_user") > 0, F.coalesce("n_back", F.lit(0)) / F.col("n_user"))).drop("n_user", "n_back")
 
 
 def segment_turns(events: DataFrame) -> DataFrame:

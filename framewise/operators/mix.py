@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
+from framewise.operators.ranks import by_hash
 
 
 def single_turn_pairs(conv: DataFrame) -> DataFrame:
@@ -28,9 +29,9 @@ def classify_unit(conv: DataFrame) -> DataFrame:
 
 
 def quality_filter(samples: DataFrame, max_error: float) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): real audio always, synthetic up to the error rate; dropped is what ``exceptAll`` finds missing."""
-    kept = samples.where((~F.col("synthetic")) | (F.col("error") <= max_error))
-    return kept, samples.exceptAll(kept)
+    """(kept, dropped): real audio always, synthetic up to the error rate; each row is in one of the two (an unknown error drops a synthetic one)."""
+    fits = F.coalesce((~F.col("synthetic")) | (F.col("error") <= max_error), F.lit(False))
+    return samples.where(fits), samples.where(~fits)
 
 
 def language_ramp(corpus: DataFrame, target: str, stages: list[float]) -> DataFrame:
@@ -49,8 +50,7 @@ def language_ramp(corpus: DataFrame, target: str, stages: list[float]) -> DataFr
 
 def mixture_plan(items: DataFrame, batches: int, floor: float) -> DataFrame:
     """Deal each task's items evenly over batches in hash order; a batch's anchor share, and whether it is below the floor. items: ``item_id, task``."""
-    place = F.row_number().over(Window.partitionBy("task").orderBy(X.hash32(F.col("item_id").cast("string")), "item_id")) - 1
-    dealt = items.withColumn("batch", place % batches)
+    dealt = by_hash(items, ["task"], "item_id").withColumn("batch", F.col("place") % batches)
     by = dealt.groupBy("batch").agg(F.count("*").alias("n"), F.avg((F.col("task") == "anchor").cast("double")).alias("anchor_share"))
     return by.select(F.col("batch").cast("long").alias("batch"), "n", "anchor_share", (F.col("anchor_share") < floor).alias("below_floor"))
 

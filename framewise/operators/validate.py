@@ -28,7 +28,7 @@ def check_roles(rows: DataFrame, roles: int = 2) -> DataFrame:
 
 def check_special_ids(tokens: DataFrame, banned: DataFrame, vocab: int) -> DataFrame:
     """V4: stream PAD ids that are within the vocabulary or are one of the banned ids. tokens: ``token_id``; banned: ``token_id, name``, a few rows."""
-    return tokens.join(F.broadcast(banned), "token_id", "left").where(F.col("name").isNotNull() | (F.col("token_id") < vocab)).select("token_id", F.coalesce("name", F.lit("in vocabulary")).alias("reason"))
+    return tokens.join(banned, "token_id", "left").where(F.col("name").isNotNull() | (F.col("token_id") < vocab)).select("token_id", F.coalesce("name", F.lit("in vocabulary")).alias("reason"))
 
 
 def check_chunk(chunks: DataFrame, unit: int = X.FRAME_SAMPLES) -> DataFrame:

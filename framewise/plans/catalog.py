@@ -84,14 +84,31 @@ class Views:
     @property
     def code_frames(self) -> DataFrame:
         """Arrays: a row a frame instead of one a code."""
-        each = F.transform(F.slice("embedding", 1, 16), lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 2048)
-        frame = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
-        return self.embeddings.select(F.col("label").alias("conv_id"), frame.alias("frame_idx"), each.alias("codes"))
+        return S.code_frames_view(self.embeddings)
 
     @property
     def delayed(self) -> DataFrame:
         return R.delay_pattern(self.codes, 2)
 
+    @property
+    def steps(self) -> DataFrame:
+        """The delayed codes, a row a step, one of them never to come: code 3 of frame 40 of even conversations."""
+        lost = (F.col("conv_id") % 2 == 0) & (F.col("frame_idx") == 42) & (F.col("codebook") == 3)
+        rows = self.delayed.withColumn("code", F.when(lost, X.PLACEHOLDER).otherwise(F.col("code")))
+        by = rows.groupBy("conv_id", "frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("codebook", "code"))).alias("m"))
+        codes = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(X.PLACEHOLDER)))
+        return by.select(F.col("conv_id").cast("long").alias("conv_id"), "frame_idx", codes.alias("codes"))
+
+    @property
+    def timed(self) -> DataFrame:
+        """Events with ``ts`` as a timestamp."""
+        return self.events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def stream(self, n: int = 5, flush: bool = True) -> DataFrame:
+        """Events as a stream in ``n`` chunks, and one more that closes all windows."""
+        chunk = T.in_chunks("event_id", self.events, n)
+        return T.arrivals(*T.flushed(self.timed, chunk)) if flush else T.arrivals(self.timed, chunk)
+
     @property
     def logits(self) -> DataFrame:
         return S.logits_view(self.embeddings)
@@ -156,7 +173,8 @@ def _(v):
 
 @register("s3_stream_chunks", "SELECT event_id, event_type FROM events")
 def _(v):
-    return T.run_to_table(T.stream_chunks(v.spark, v.dir).select("event_id", "event_type"))
+    files = T.run_to_table(T.stream_chunks(v.spark, v.dir).select("event_id"))
+    return T.run_to_table(v.stream(flush=False).select("event_id", "event_type")).join(files, "event_id")
 
 
 @register("s4_manifest_prune", "SELECT DISTINCT user_id AS shard FROM events WHERE (props->>'k')::INT BETWEEN 10 AND 19 ORDER BY 1")
@@ -249,10 +267,17 @@ def _(v):
 CODES_B = "(SELECT conv_id, frame_idx, codebook, CASE WHEN frame_idx % 7 = 0 THEN code + 1 ELSE code END AS code FROM codes WHERE frame_idx % 11 <> 3)"
 
 
-@register("j2_code_agreement", f"SELECT round(avg((a.code = b.code)::INT), 9) AS agreement, count(a.code) - count(b.code) AS row_difference FROM codes a FULL JOIN {CODES_B} b USING (conv_id, frame_idx, codebook)", "codes")
+@register(
+    "j2_code_agreement",
+    f"""SELECT round(avg((a.code = b.code)::INT), 9) AS agreement, count(a.code) - count(b.code) AS row_difference,
+               (SELECT count(*) = 0 FROM frames WHERE kind = 'WORD' AND frame_idx % 97 = 5) AS text_equal FROM codes a FULL JOIN {CODES_B} b USING (conv_id, frame_idx, codebook)""",
+    "codes", "frames",
+)
 def _(v):
     b = v.codes.where("frame_idx % 11 <> 3").withColumn("code", F.when(F.col("frame_idx") % 7 == 0, F.col("code") + 1).otherwise(F.col("code")))
-    return J.code_agreement(v.codes, b).withColumn("agreement", r("agreement", 9))
+    text = v.frames.where("kind = 'WORD'")
+    other = text.withColumn("word", F.when(F.col("frame_idx") % 97 == 5, F.concat("word", F.lit("?"))).otherwise(F.col("word")))
+    return J.code_agreement(v.codes, b, text, other).withColumn("agreement", r("agreement", 9))
 
 
 @register("j3_signal_error", "SELECT round(max(abs(value - value * 1.01::DOUBLE)) / sqrt(avg((value * 1.01::DOUBLE) ** 2)), 9) AS error FROM events")
@@ -296,8 +321,7 @@ LEAK = """leak AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(list_trans
 
 @register("j7_disjoint_from", f"WITH {LEAK} SELECT doc_id, doc_id IN (SELECT doc_id FROM leak) AS leaks FROM documents")
 def _(v):
-    leaks, clean = J.disjoint_from(v.documents, v.benchmark)
-    return leaks.select("doc_id", F.lit(True).alias("leaks")).unionByName(clean.select("doc_id", F.lit(False).alias("leaks")))
+    return J.leak_flags(v.documents.select("doc_id", "text"), v.benchmark).select("doc_id", "leaks")
 
 
 @register(
@@ -365,17 +389,20 @@ def _tokens(v):
     return v.words.where("role = 'assistant'").select("conv_id", (F.col("turn") * 10000 + F.col("word_idx")).alias("pos"), F.col("word").alias("token"))
 
 
+HORIZON = 8
+
+
 @register(
     "a3_density_sweep",
-    ", " + RUNS % "0.3::DOUBLE, 0.5::DOUBLE, 0.65::DOUBLE, 0.8::DOUBLE" + " SELECT ratio, sum(n + 1)::BIGINT AS frames, round(sum(n)::DOUBLE / sum(n + 1)::DOUBLE, 6) AS pad_share FROM runs GROUP BY 1",
+    ", " + RUNS % "0.0::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE, 0.65::DOUBLE, 0.8::DOUBLE" + f""", p AS (SELECT *, sum(n + 1) OVER (PARTITION BY ratio, conv_id ORDER BY pos) - 1 AS spot FROM runs),
+         c AS (SELECT ratio, conv_id, sum(n + 1) AS frames, sum(n) AS pads, coalesce(string_agg(word, ' ' ORDER BY spot) FILTER (spot < {HORIZON}), '') AS text FROM p GROUP BY 1, 2)
+       SELECT ratio, sum(frames)::BIGINT AS frames, round(sum(pads)::DOUBLE / sum(frames)::DOUBLE, 6) AS pad_share, round(avg(frames), 6) AS mean_length, round(avg(({EMPTY})::INT), 6) AS empty_rate,
+              round(avg({RATIO}) FILTER (NOT {EMPTY}), 6) AS score FROM c GROUP BY 1""",
     "words",
 )
 def _(v):
-    out = None
-    for ratio in (0.3, 0.5, 0.65, 0.8):
-        part = R.interleave_pad(_tokens(v), ratio, 1).agg(F.count("*").alias("frames"), F.avg((F.col("kind") != "WORD").cast("double")).alias("pad_share")).select(F.lit(ratio).alias("ratio"), "frames", r("pad_share").alias("pad_share"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    streams = R.interleave_pads(_tokens(v), [0.0, 0.3, 0.5, 0.65, 0.8], 1)
+    return A.density_sweep(streams, X.script_ratio(F.col("text"), *LATIN), HORIZON).withColumns({c: r(c) for c in ("pad_share", "mean_length", "empty_rate", "score")})
 
 
 @register("a4_reflex_summary", "SELECT round(avg(p), 6) AS mean_p, round(median(p), 6) AS median_p, round(avg(rank), 6) AS mean_rank, median(rank)::DOUBLE AS median_rank, count(*) FILTER (rank = 1) AS n_first, CASE WHEN median(rank) <= 2 THEN 'reflex' ELSE 'no reflex' END AS verdict FROM ranks", "ranks")
@@ -477,28 +504,37 @@ def _(v):
 
 
 def _spoken_pairs(v):
-    fold = lambda c, n: F.regexp_replace(F.substring(c, 1, n), "[^ -~]", "?")
-    return v.pairs.select(F.concat_ws(":", "conv_id", "turn").alias("id"), fold("prompt", 200).alias("ref"), fold("reply", 200).alias("hyp"))
+    return v.pairs.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.coalesce("prompt", F.lit("")).alias("ref"), F.coalesce("reply", F.lit("")).alias("hyp"))
+
 
+# DuckDB's levenshtein counts bytes. Elements of both texts become one ASCII character each, all others one a side: they can't match.
+EDITS = """(WITH s AS (SELECT list_distinct(list_intersect({a}, {b})) AS shared)
+  SELECT levenshtein(array_to_string(list_transform({a}, lambda x: chr((CASE WHEN list_contains(shared, x) THEN list_position(shared, x) + 2 ELSE 1 END)::INT)), ''),
+                     array_to_string(list_transform({b}, lambda x: chr((CASE WHEN list_contains(shared, x) THEN list_position(shared, x) + 2 ELSE 2 END)::INT)), '')) FROM s)"""
+CHARS = "list_transform(range(1, length({t}) + 1), lambda i: substr({t}, i::INT, 1))"
+ERRORS = f""", spoken AS (SELECT conv_id || ':' || turn AS id, coalesce(prompt, '') AS ref, coalesce(reply, '') AS hyp FROM pairs),
+  parts AS (SELECT id, {CHARS.format(t="ref")} AS rc, {CHARS.format(t="hyp")} AS hc, {WS.replace("text", "ref")} AS rw, {WS.replace("text", "hyp")} AS hw FROM spoken),
+  errors AS (SELECT id, len(rc) AS n_chars, len(rw) AS n_words, {EDITS.format(a="rc", b="hc")} AS char_edits, {EDITS.format(a="rw", b="hw")} AS word_edits FROM parts)"""
 
-@register("a15_cer", "SELECT round(avg(d / n), 6) AS macro, round(sum(d) / sum(n), 6) AS micro FROM (SELECT length(ref) AS n, levenshtein(ref, hyp) AS d FROM (SELECT regexp_replace(substr(prompt, 1, 200), '[^ -~]', '?', 'g') AS ref, regexp_replace(substr(reply, 1, 200), '[^ -~]', '?', 'g') AS hyp FROM pairs) WHERE length(ref) > 0)", "pairs")
+
+@register("a15_cer", ERRORS + " SELECT round(avg(char_edits / n_chars), 6) AS macro, round(sum(char_edits) / sum(n_chars), 6) AS micro FROM errors WHERE n_chars > 0", "pairs")
 def _(v):
     return A.cer(_spoken_pairs(v)).select(r("macro").alias("macro"), r("micro").alias("micro"))
 
 
-def _whole_pairs(v):
-    return v.pairs.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("prompt").alias("ref"), F.col("reply").alias("hyp"))
+@register("a15_cer_whole", ERRORS + " SELECT round(avg(char_edits / n_chars), 6) AS macro, round(sum(char_edits) / sum(n_chars), 6) AS micro FROM errors WHERE n_chars > 0", "pairs")
+def _(v):
+    return A.cer(_spoken_pairs(v)).select(r("macro").alias("macro"), r("micro").alias("micro"))
 
 
-@register("a15_cer_whole")
+@register("a15_wer", ERRORS + " SELECT id, char_edits, round(CASE WHEN n_chars > 0 THEN char_edits / n_chars END, 6) AS cer, word_edits, round(CASE WHEN n_words > 0 THEN word_edits / n_words END, 6) AS wer FROM errors", "pairs")
 def _(v):
-    whole = _whole_pairs(v).select("id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("ref", "hyp")))
-    return A.cer(whole).select(r("macro").alias("macro"), r("micro").alias("micro"))
+    return A.error_rates(_spoken_pairs(v)).select("id", "char_edits", r("cer").alias("cer"), "word_edits", r("wer").alias("wer"))
 
 
-@register("a15_wer")
+@register("a15_wer_rates", ERRORS + " SELECT round(avg(word_edits / n_words), 6) AS macro, round(sum(word_edits) / sum(n_words), 6) AS micro FROM errors WHERE n_words > 0", "pairs")
 def _(v):
-    return A.error_rates(_whole_pairs(v)).select("id", "char_edits", r("cer").alias("cer"), "word_edits", r("wer").alias("wer"))
+    return A.wer(_spoken_pairs(v)).select(r("macro").alias("macro"), r("micro").alias("micro"))
 
 
 @register("a16_minimal_pairs", "SELECT n AS contrast, count(*) AS pairs, count(*) FILTER (substr(a, 1, 3) <> substr(b, 1, 3)) AS distinct_after FROM (SELECT length(word) % 5 AS n, word AS a, lead(word) OVER (PARTITION BY conv_id ORDER BY turn, word_idx) AS b FROM words) WHERE a <> b GROUP BY 1", "words")
@@ -549,12 +585,15 @@ def _(v):
 
 @register(
     "a23_turn_stats",
-    """SELECT conv_id, median(gap)::DOUBLE AS median_gap, round(sum(CASE WHEN role = 'assistant' THEN len ELSE 0 END) / sum(len), 6) AS talk_share, round(avg((gap < 0)::INT), 6) AS overlap_share
-       FROM (SELECT *, start_frame - lag(end_frame) OVER (PARTITION BY conv_id ORDER BY turn) AS gap, end_frame - start_frame AS len FROM segments) GROUP BY 1""",
+    """, b AS (SELECT a.conv_id, count(DISTINCT u.turn) AS n FROM segments a JOIN segments u ON a.conv_id = u.conv_id AND a.role = 'assistant' AND u.role = 'user' AND u.start_frame >= a.start_frame AND u.end_frame <= a.end_frame
+               AND a.start_frame < u.end_frame AND u.start_frame < a.end_frame GROUP BY 1)
+       SELECT conv_id, median(gap)::DOUBLE AS median_gap, round(sum(CASE WHEN role = 'assistant' THEN len ELSE 0 END) / sum(len), 6) AS talk_share, round(avg((gap < 0)::INT), 6) AS overlap_share,
+              round(CASE WHEN count(*) FILTER (role = 'user') > 0 THEN coalesce(max(b.n), 0) / count(*) FILTER (role = 'user') END, 6) AS backchannel_rate
+       FROM (SELECT *, start_frame - lag(end_frame) OVER (PARTITION BY conv_id ORDER BY turn) AS gap, end_frame - start_frame AS len FROM segments) LEFT JOIN b USING (conv_id) GROUP BY 1""",
     "segments",
 )
 def _(v):
-    return A.turn_stats(v.segments).withColumns({"talk_share": r("talk_share"), "overlap_share": r("overlap_share")})
+    return A.turn_stats(v.segments).withColumns({c: r(c) for c in ("talk_share", "overlap_share", "backchannel_rate")})
 
 
 # Windows
@@ -575,6 +614,24 @@ def _(v):
     return v.delayed
 
 
+@register(
+    "w3_text_delay",
+    """, f AS (SELECT conv_id, frame_idx, kind || coalesce(':' || word, '') AS value FROM frames), c AS (SELECT conv_id, frame_idx, code::VARCHAR AS value FROM codes WHERE codebook = 0)
+       SELECT 0.6::DOUBLE AS seconds, 'text' AS stream, conv_id, frame_idx + 8 AS frame_idx, value FROM f UNION ALL SELECT 0.6::DOUBLE, 'text', conv_id, frame_idx, 'PAD' FROM f WHERE frame_idx < 8
+       UNION ALL SELECT 0.6::DOUBLE, 'audio', * FROM c UNION ALL SELECT -0.6::DOUBLE, 'text', * FROM f
+       UNION ALL SELECT -0.6::DOUBLE, 'audio', conv_id, frame_idx + 8, value FROM c UNION ALL SELECT -0.6::DOUBLE, 'audio', conv_id, frame_idx, '2048' FROM c WHERE frame_idx < 8""",
+    "frames", "codes",
+)
+def _(v):
+    out = None
+    for seconds in (0.6, -0.6):
+        text, audio = R.delay_text(v.frames, v.codes.where("codebook = 0"), seconds)
+        for stream, rows, value in (("text", text, F.concat_ws(":", "kind", "word")), ("audio", audio, F.col("code").cast("string"))):
+            part = rows.select(F.lit(seconds).alias("seconds"), F.lit(stream).alias("stream"), F.col("conv_id").cast("long").alias("conv_id"), "frame_idx", value.alias("value"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("w4_complete_prefix", "SELECT conv_id, frame_idx, max(max((code = 2048)::INT)) OVER (PARTITION BY conv_id ORDER BY frame_idx) = 0 AS ready FROM (SELECT conv_id, frame_idx, CASE WHEN frame_idx = 20 AND codebook = 3 THEN 2048 ELSE code END AS code FROM codes) GROUP BY 1, 2", "codes")
 def _(v):
     return R.complete_prefix(v.codes.withColumn("code", F.when((F.col("frame_idx") == 20) & (F.col("codebook") == 3), X.PLACEHOLDER).otherwise(F.col("code"))))
@@ -687,7 +744,9 @@ def _(v):
 
 @register(
     "r5_persona_prefix",
-    f"SELECT conv_id, (k - 1)::BIGINT AS frame_idx, p[k] AS part FROM (SELECT conv_id, list_concat(list_transform(range(5), lambda i: 'voice'), list_transform(range(6), lambda i: 'silence'), list_transform({WS}, lambda w: 'text:' || w), list_transform(range(6), lambda i: 'silence')) AS p FROM conversations WHERE role = 'system'), unnest(range(1, len(p) + 1)) AS u(k)",
+    f"""SELECT conv_id, (k - 1)::BIGINT AS frame_idx, CASE WHEN k <= 5 THEN 'voice' WHEN k <= 11 OR k > 11 + len(ws) THEN 'silence' ELSE 'text' END AS part,
+               CASE WHEN k > 11 AND k <= 11 + len(ws) THEN ws[k - 11] ELSE 'PAD' END AS text, CASE WHEN k <= 5 THEN 'voice:' || (k - 1) ELSE 'silence' END AS assistant, 'sine' AS user
+        FROM (SELECT conv_id, list_concat(list_concat(['<system>'], {WS}), ['<system>']) AS ws FROM conversations WHERE role = 'system'), unnest(range(1, len(ws) + 18)) AS u(k)""",
 )
 def _(v):
     return R.persona_prefix(v.conversations, 5).withColumn("frame_idx", F.col("frame_idx").cast("long"))
@@ -799,31 +858,51 @@ def _(v):
 
 @register("t1_assemble_frames", f"SELECT session, (sum(s) // {UNIT})::BIGINT AS n_frames, (sum(s) % {UNIT})::BIGINT AS held FROM (SELECT user_id AS session, floor(value * 10)::BIGINT AS s FROM events) GROUP BY 1")
 def _(v):
-    chunks = T.stream_chunks(v.spark, v.dir).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.col("value") * 10).alias("samples"))
+    chunks = v.stream(flush=False).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.col("value") * 10).alias("samples"))
     steps = T.run_to_table(T.assemble_frames(chunks))
     return steps.groupBy("session").agg(F.sum("n_frames").alias("n_frames"), F.max_by("held", F.col("first_frame") + F.col("n_frames")).alias("held"))
 
 
+READY = """, ready AS (SELECT conv_id, frame_idx, codes FROM code_frames WHERE NOT (conv_id % 2 = 0 AND frame_idx >= 40) AND frame_idx <= (SELECT max(x.frame_idx) FROM code_frames x WHERE x.conv_id = code_frames.conv_id))"""
+
+
+@register("t1_release_frames", READY + " SELECT conv_id, frame_idx, array_to_string(codes, ',') AS codes, frame_idx + 1 AS emitted FROM ready", "code_frames")
+def _(v):
+    out = T.run_to_table(T.release_frames(T.arrivals(v.steps, F.floor(F.col("frame_idx") / 5)), 2))
+    return out.withColumn("codes", F.array_join(F.col("codes").cast("array<string>"), ","))
+
+
 @register("t2_streaming_energy", "SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')) AS start_micros, event_type, round(sqrt(avg(value * value)), 6) AS rms, count(*) AS n FROM events GROUP BY 1, 2")
 def _(v):
-    return T.run_to_table(T.energy(T.stream_chunks(v.spark, v.dir), "6 hours"), "complete").withColumn("rms", r("rms"))
+    return T.run_to_table(T.energy(v.stream(), "6 hours")).withColumn("rms", r("rms"))
 
 
 @register("t2_sliding_energy", "SELECT epoch_us(time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01')) - k * 10800000000 AS start_micros, event_type, round(sqrt(avg(value * value)), 6) AS rms, count(*) AS n FROM events, unnest([0, 1]) AS u(k) GROUP BY 1, 2")
 def _(v):
-    return T.run_to_table(T.energy(T.stream_chunks(v.spark, v.dir), "6 hours", "3 hours"), "complete").withColumn("rms", r("rms"))
+    return T.run_to_table(T.energy(v.stream(), "6 hours", "3 hours")).withColumn("rms", r("rms"))
 
 
-@register("t3_sync_streams", "SELECT a.event_id AS a_id, b.event_id AS b_id, CASE WHEN b.event_id IS NULL THEN 'PAD' ELSE 'WORD' END AS kind FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS WHERE a.event_type = 'click'")
+PAIRED = "SELECT a.event_id AS a_id, b.event_id AS b_id, CASE WHEN b.event_id IS NULL THEN 'PAD' ELSE 'WORD' END AS kind FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS WHERE a.event_type = 'click'"
+
+
+@register("t3_sync_streams", PAIRED)
 def _(v):
-    e = v.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return T.sync_streams(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "2 hours")
+    return T.sync_streams(v.timed.where("event_type = 'click'"), v.timed.where("event_type = 'view'"), "2 hours")
+
+
+def _synced(v):
+    side = lambda kind: T.arrivals(*T.flushed(v.timed.where(F.col("event_type") == kind), T.in_chunks("event_id", v.events, 5), user_id=-1))
+    return T.run_to_table(T.sync_streams(side("click"), side("view"), "2 hours")).where("a_id IS NOT NULL")  # without the flushing row
+
+
+@register("t3_stream_sync", PAIRED)
+def _(v):
+    return _synced(v)
 
 
 @register("t3_stream_sync_matched", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS WHERE a.event_type = 'click'")
 def _(v):
-    e = T.stream_chunks(v.spark, v.dir)
-    return T.run_to_table(T.sync_streams(e.where("event_type = 'click'"), T.stream_chunks(v.spark, v.dir).where("event_type = 'view'"), "2 hours")).where("b_id IS NOT NULL").select("a_id", "b_id")
+    return _synced(v).where("b_id IS NOT NULL").select("a_id", "b_id")
 
 
 @register(
@@ -834,7 +913,7 @@ def _(v):
     "units",
 )
 def _(v):
-    return T.run_to_table(T.sessions(T.stream_chunks(v.spark, v.dir)), "complete")
+    return T.run_to_table(T.sessions(v.stream()))
 
 
 @register(
@@ -844,22 +923,30 @@ def _(v):
     "units",
 )
 def _(v):
-    rows = T.run_to_table(T.loss_scale_monitor(T.stream_chunks(v.spark, v.dir)), "complete")
+    rows = T.run_to_table(T.loss_scale_monitor(v.stream()))
     return rows.withColumns({c: r(c) for c in ("click", "purchase", "view", "ratio")})
 
 
-@register("t6_chunk_equals_whole", "SELECT count(*) AS differing FROM events WHERE false")
+@register("t6_chunk_equals_whole", READY + " SELECT chunk, count(*) AS streamed, count(*) AS whole, 0::BIGINT AS differing FROM ready, unnest([1::BIGINT, 5::BIGINT, 10::BIGINT]) AS u(chunk) GROUP BY 1", "code_frames")
 def _(v):
-    whole = v.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return T.chunk_equals_whole(T.sessions, T.stream_chunks(v.spark, v.dir), whole).agg(F.count("*").alias("differing"))
+    """The whole, in one shot: undelayed codes up to the first frame with a placeholder."""
+    codes = R.undelay(v.steps.select("conv_id", "frame_idx", F.posexplode("codes").alias("codebook", "code")), 2).where(f"codebook % 8 > 0 OR code <> {X.PLACEHOLDER}")
+    whole = codes.groupBy("conv_id", "frame_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("codebook", "code"))), lambda x: x["code"]).alias("codes"))
+    whole = whole.where(F.size("codes") == 16).join(R.complete_prefix(codes).where("ready").select("conv_id", "frame_idx"), ["conv_id", "frame_idx"])
+    op = lambda steps: T.release_frames(steps, 2).select("conv_id", "frame_idx", "codes")
+    return T.chunk_equals_whole(op, v.steps, whole.select("conv_id", "frame_idx", "codes"), {n: F.floor(F.col("frame_idx") / n) for n in (1, 5, 10)})
+
+
+LATE = "CASE WHEN event_id % 10 = 3 THEN 2 WHEN event_id % 10 = 7 THEN 1 ELSE 0 END"
 
 
 @register(
     "t7_late_rows",
-    """, x AS (SELECT user_id, epoch_us(ts) AS us, max(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id // 50, -event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM events)
-       SELECT user_id, count(*) FILTER (coalesce(newest - us, 0) > 3600000000) AS dropped, count(*) FILTER (coalesce(newest - us, 0) <= 3600000000) AS merged FROM x GROUP BY 1""",
+    f""", e AS (SELECT epoch_us(ts) AS us, epoch_us(ts) // 86400000000 * 86400000000 AS start_micros, (event_id - low) // greatest(1, (high - low + 6) // 6) + {LATE} AS chunk FROM events, (SELECT min(event_id) AS low, max(event_id) AS high FROM events)),
+          m AS (SELECT chunk, max(max(us)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 86400000000 AS mark FROM e GROUP BY 1)
+        SELECT start_micros, count(*) FILTER (mark IS NULL OR start_micros + 86400000000 > mark) AS merged, count(*) FILTER (start_micros + 86400000000 <= mark) AS dropped FROM e JOIN m USING (chunk) GROUP BY 1""",
     "units",
 )
 def _(v):
-    arrival = F.struct(F.floor(F.col("event_id") / 50), -F.col("event_id"))
-    return T.late_rows(v.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("arrival", arrival), 3_600_000_000)
+    chunk = T.in_chunks("event_id", v.events, 6) + F.expr(LATE)
+    return T.late_rows(v.timed, chunk, "1 day", "1 day")

@@ -47,11 +47,11 @@ VIEWS = {
       FROM (SELECT conv_id, count(*) AS n, count(DISTINCT role) AS roles FROM conversations WHERE role <> 'system' GROUP BY 1)""",
     "halves": """
       SELECT a.vec_id AS row_id, a.embedding AS a, b.embedding AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0""",
+    "pool": "SELECT vec_id AS voice, row_number() OVER (ORDER BY ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT, vec_id) - 1 AS slot FROM embeddings WHERE label = 0",
     "voices": """
-      SELECT conv_id || ':' || turn AS sample_id, CASE WHEN v.voice = own_voice THEN v2.voice ELSE v.voice END AS voice
-      FROM (SELECT conv_id, turn, conv_id % 50 AS own_voice, ('0x' || substr(md5(conv_id || ':' || turn || ':1'), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings WHERE label = 0) AS slot FROM pairs) s
-      JOIN (SELECT vec_id AS voice, row_number() OVER (ORDER BY vec_id) - 1 AS slot FROM embeddings WHERE label = 0) v ON v.slot = s.slot
-      JOIN (SELECT vec_id AS voice, row_number() OVER (ORDER BY vec_id) - 1 AS slot FROM embeddings WHERE label = 0) v2 ON v2.slot = (s.slot + 1) % (SELECT count(*) FROM embeddings WHERE label = 0)""",
+      SELECT sample_id, CASE WHEN v.voice <> own_voice THEN v.voice WHEN v2.voice <> own_voice THEN v2.voice END AS voice
+      FROM (SELECT conv_id || ':' || turn AS sample_id, conv_id % 50 AS own_voice, ('0x' || substr(md5(conv_id || ':' || turn || ':1'), 1, 8))::BIGINT % (SELECT count(*) FROM pool) AS slot FROM pairs) s
+      JOIN pool v ON v.slot = s.slot JOIN pool v2 ON v2.slot = (s.slot + 1) % (SELECT count(*) FROM pool)""",
     "zoned": "SELECT *, CASE WHEN frame_idx < 6 THEN 'A' WHEN frame_idx < 50 THEN 'B' ELSE 'C' END AS zone FROM frames",
     "weighted": """
       SELECT *, CASE WHEN zone = 'A' THEN 0.0::DOUBLE WHEN kind = 'PAD' THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END
@@ -59,7 +59,7 @@ VIEWS = {
 }
 NEEDS = {
     "segments": ["words"], "horizon": ["words"], "aligned": ["words", "horizon"], "frames": ["aligned"], "delayed": ["codes"], "code_frames": ["codes"], "probs": ["logits"],
-    "ranks": ["probs"], "voices": ["pairs"], "zoned": ["frames"], "weighted": ["zoned"],
+    "ranks": ["probs"], "voices": ["pairs", "pool"], "zoned": ["frames"], "weighted": ["zoned"],
 }
 
 

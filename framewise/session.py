@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _local: dict[str, str] = {}
@@ -38,6 +38,9 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        # Local files without Hadoop's native library: fewer forked commands and files a micro-batch.
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+        .config("spark.sql.streaming.checkpointFileManagerClass", "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")
         .getOrCreate()
     )
 
@@ -69,3 +72,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     fs.deleteOnExit(p)  # takes only paths that exist; Spark's writers replace it
     fs.delete(p, True)
     return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and of a size that Spark knows."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

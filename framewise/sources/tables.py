@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
+from framewise.operators.ranks import numbered
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +47,17 @@ def segments_view(words: DataFrame) -> DataFrame:
     return words.groupBy("conv_id", "turn", "role").agg(F.min("start_frame").alias("start_frame"), F.max(F.col("start_frame") + F.col("n_frames")).alias("end_frame"))
 
 
+def code_frames_view(embeddings: DataFrame, codebooks: int = 16) -> DataFrame:
+    """``conv_id, frame_idx, codes`` made from vectors: conversation = label, frame = rank of the vector."""
+    each = F.transform(F.slice("embedding", 1, codebooks), lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 2048)
+    rows = embeddings.select(F.col("label").alias("conv_id"), "vec_id", each.alias("codes"))
+    return numbered(rows, ["conv_id"], F.floor(F.col("vec_id") / 2**16), ["vec_id"], "frame_idx").select("conv_id", "frame_idx", "codes")
+
+
 def codes_view(embeddings: DataFrame, codebooks: int = 16) -> DataFrame:
-    """``conv_id, frame_idx, codebook, code`` made from vectors: conversation = label, frame = rank of the vector."""
-    frame = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
-    rows = embeddings.withColumn("frame_idx", frame).select(F.col("label").alias("conv_id"), "frame_idx", F.posexplode(F.slice("embedding", 1, codebooks)).alias("codebook", "x"))
-    return rows.select("conv_id", "frame_idx", F.col("codebook").cast("long").alias("codebook"), (F.floor(F.abs(F.col("x").cast("double")) * 1000) % 2048).alias("code"))
+    """``conv_id, frame_idx, codebook, code``: the same, a row a code."""
+    rows = code_frames_view(embeddings, codebooks).select("conv_id", "frame_idx", F.posexplode("codes").alias("codebook", "code"))
+    return rows.withColumn("codebook", F.col("codebook").cast("long"))
 
 
 def logits_view(embeddings: DataFrame) -> DataFrame:

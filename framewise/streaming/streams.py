@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
@@ -20,8 +22,48 @@ def stream_chunks(spark: SparkSession, sf_dir: str, name: str = "events", per_tr
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def arrivals(df: DataFrame, chunk: Column) -> DataFrame:
+    """``df`` as a stream whose rows arrive in the order of ``chunk`` (a whole number): a micro-batch for each of its values.
+
+    The rows are written once, a folder a chunk, and the files' times are set
+    to follow the chunks, as the file source takes older files first. (Stores
+    that keep no times need files that arrive in order by themselves.)
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "arrivals")
+    rows = df.withColumn("__chunk", chunk.cast("long"))
+    rows.repartition("__chunk").write.partitionBy("__chunk").parquet(path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = sorted((int(p.getName().partition("=")[2]), p) for p in (s.getPath() for s in fs.listStatus(root)) if "=" in p.getName())
+    began = int(time.time() * 1000) - 1000 * len(folders)
+    for k, (_, folder) in enumerate(folders):
+        for f in fs.listStatus(folder):
+            fs.setTimes(f.getPath(), began + 1000 * k, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path).drop("__chunk")
+
+
+def in_chunks(column: str, df: DataFrame, n: int) -> Column:
+    """``n`` chunks, 0 to n - 1, of equal ranges of a whole-number column."""
+    r = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    low, width = r["low"] or 0, max(1, -(-((r["high"] or 0) - (r["low"] or 0) + 1) // n))
+    return F.floor((F.col(column) - low) / width)
+
+
+def flushed(df: DataFrame, chunk: Column, after: str = "INTERVAL 400 DAYS", **values) -> tuple[DataFrame, Column]:
+    """``df`` and its chunks with one more row at the end, far beyond all others in ``ts``: it moves the watermark past every window that is still open.
+
+    Its other columns are null but for ``values``: keys of a join have to be known, as Spark drops null ones before they are seen.
+    """
+    rows = df.withColumn("__c", chunk)
+    last = rows.agg((F.max("ts") + F.expr(after)).alias("ts"), (F.coalesce(F.max("__c"), F.lit(0)) + 1).alias("__c")).where("ts IS NOT NULL")
+    end = last.select(*((F.col(c) if c in ("ts", "__c") else F.lit(values.get(c))).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+    return rows.unionByName(end), F.col("__c")
+
+
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is, and read what it wrote. Complete and update modes keep the last version of the batch."""
+    """Run a stream over all there is, and read what it wrote: in append mode final rows only, in complete mode the last version of all, in update mode every version of every row."""
     spark = stream.sparkSession
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
@@ -51,15 +93,48 @@ def assemble_frames(chunks: DataFrame, unit: int = X.FRAME_SAMPLES) -> DataFrame
     return chunks.groupBy("session").applyInPandasWithState(step, "session long, first_frame long, n_frames long, held long", "emitted long, held long", "append", "NoTimeout")
 
 
+def release_frames(steps: DataFrame, tau: int, k: int = X.CODEBOOKS) -> DataFrame:
+    """Frames of each conversation as soon as all their codes have come: ``conv_id, frame_idx, codes, emitted``.
+
+    steps: ``conv_id, frame_idx, codes`` in the delay pattern, 2 k codes wide:
+    codebook 0 of each role belongs to its own frame, the others to the one
+    ``tau`` before. Frames whose codes are yet to come, or are placeholders,
+    are held in the state with all after them, as order must be kept.
+    ``emitted`` counts the tokens (one a frame) given out so far.
+    """
+    head = np.arange(2 * k) % k == 0
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        emitted, held = state.get if state.exists else (0, [])
+        rows = pd.concat(list(batches)).sort_values("frame_idx")
+        pending = np.array(held, np.int64).reshape(-1, 2 * k)
+        for at, codes in zip(rows["frame_idx"], rows["codes"], strict=True):
+            codes = np.asarray(codes, np.int64)
+            if (codes[head] != X.PLACEHOLDER).any():  # steps beyond the last frame have none of their own
+                missing = int(at) + 1 - emitted - len(pending)
+                pending = np.concatenate([pending, np.full((max(0, missing), 2 * k), X.PLACEHOLDER)])
+                pending[int(at) - emitted, head] = codes[head]
+            if 0 <= int(at) - tau - emitted < len(pending):
+                pending[int(at) - tau - emitted, ~head] = codes[~head]
+        waits = np.flatnonzero((pending == X.PLACEHOLDER).any(axis=1))
+        n = int(waits[0]) if len(waits) else len(pending)
+        state.update((emitted + n, pending[n:].ravel().tolist()))
+        if n:
+            at = np.arange(emitted, emitted + n)
+            yield pd.DataFrame({"conv_id": key[0], "frame_idx": at, "codes": [c.tolist() for c in pending[:n]], "emitted": at + 1})
+
+    return steps.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, frame_idx long, codes array<long>, emitted long", "emitted long, held array<long>", "append", "NoTimeout")
+
+
 def energy(events: DataFrame, size: str, slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
-    """Root mean square a tumbling or sliding window."""
+    """Root mean square a tumbling or sliding window. In append mode a window comes out, and leaves the state, when the watermark passes it."""
     e = events.withWatermark("ts", watermark) if events.isStreaming else events
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return e.groupBy(w.alias("w"), "event_type").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.count("*").alias("n")).select(F.unix_micros("w.start").alias("start_micros"), "event_type", "rms", "n")
 
 
 def sync_streams(own: DataFrame, user: DataFrame, within: str = "2 minutes") -> DataFrame:
-    """Own and user events of one user paired within a time; an own event without partner comes out with PAD."""
+    """Own and user events of one user paired within a time; an own event without partner comes out with PAD, once the watermark rules one out."""
     a = own.select(F.col("user_id").alias("a_user"), F.col("event_id").alias("a_id"), F.col("ts").alias("a_ts"))
     b = user.select(F.col("user_id").alias("b_user"), F.col("event_id").alias("b_id"), F.col("ts").alias("b_ts"))
     if a.isStreaming:
@@ -77,23 +152,38 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 def loss_scale_monitor(metrics: DataFrame, size: str = "1 day", alarm: float = 1.2) -> DataFrame:
     """T5: mean a window and task over the mean of the window's tasks; an alarm where one dominates."""
     e = metrics.withWatermark("ts", "1 hour") if metrics.isStreaming else metrics
-    means = e.groupBy(F.window("ts", size).alias("w")).pivot("event_type", ["click", "purchase", "view"]).agg(F.avg("value")) if not metrics.isStreaming else e.groupBy(F.window("ts", size).alias("w")).agg(
-        *(F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in ("click", "purchase", "view"))
-    )
+    means = e.groupBy(F.window("ts", size).alias("w")).agg(*(F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in ("click", "purchase", "view")))
     high, low = F.greatest("click", "purchase", "view"), F.least("click", "purchase", "view")
     return means.select(F.unix_micros("w.start").alias("start_micros"), "click", "purchase", "view", (high / low).alias("ratio"), (high / low > alarm).alias("alarm"))
 
 
-def chunk_equals_whole(op: Callable[[DataFrame], DataFrame], stream: DataFrame, whole: DataFrame, mode: str = "complete") -> DataFrame:
-    """Rows that a streamed and a one-shot run don't share (none, if chunking changes nothing)."""
-    a, b = run_to_table(op(stream), mode), op(whole)
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+def chunk_equals_whole(op: Callable[[DataFrame], DataFrame], df: DataFrame, whole: DataFrame, chunks: dict[int, Column]) -> DataFrame:
+    """For each size of chunk, the rows of ``op`` run on a stream of such chunks, of the one-shot result ``whole``, and those that only one of them has."""
+    out = None
+    for size, chunk in chunks.items():
+        got = run_to_table(op(arrivals(df, chunk)))
+        rows = got.select(*whole.columns, F.lit(1).alias("__got"), F.lit(0).alias("__want")).unionByName(whole.withColumns({"__got": F.lit(0), "__want": F.lit(1)}))
+        each = rows.groupBy(*whole.columns).agg(F.sum("__got").alias("g"), F.sum("__want").alias("w"))
+        part = each.agg(F.sum("g").alias("streamed"), F.sum("w").alias("whole"), F.sum(F.abs(F.col("g") - F.col("w"))).alias("differing")).select(F.lit(size).cast("long").alias("chunk"), "streamed", "whole", "differing")
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
+def merged_counts(events: DataFrame, size: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+    """Rows a window that came in time: ``start_micros, merged``.
+
+    On a stream, rows of a window that the watermark has passed are dropped.
+    The watermark that a micro-batch holds its rows against is that of the
+    newest row two batches before: Spark lets rows of the batch right before
+    still be late together with its own.
+    """
+    e = events.withWatermark("ts", watermark) if events.isStreaming else events
+    return e.groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("merged")).select(F.unix_micros("w.start").alias("start_micros"), "merged")
 
-def late_rows(events: DataFrame, watermark_micros: int) -> DataFrame:
-    """The late-data rule in batch form: rows in arrival order, late by more than the watermark behind the newest row before."""
-    from pyspark.sql import Window
 
-    newest = F.max(F.unix_micros("ts")).over(Window.partitionBy("user_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    behind = F.coalesce(newest - F.unix_micros("ts"), F.lit(0))
-    return events.withColumn("behind", behind).groupBy("user_id").agg(F.count_if(F.col("behind") > watermark_micros).alias("dropped"), F.count_if(F.col("behind") <= watermark_micros).alias("merged"))
+def late_rows(events: DataFrame, chunk: Column, size: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+    """The late-data rule by window: rows merged by a stream that gets them in the order of ``chunk``, and rows dropped as late."""
+    every = merged_counts(events, size).withColumnRenamed("merged", "n")
+    streamed = run_to_table(merged_counts(arrivals(*flushed(events, chunk)), size, watermark))
+    j = every.join(streamed, "start_micros", "left")
+    return j.select("start_micros", F.coalesce("merged", F.lit(0)).alias("merged"), (F.col("n") - F.coalesce("merged", F.lit(0))).alias("dropped"))

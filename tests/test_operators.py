@@ -164,11 +164,90 @@ def test_error_rates_take_whole_texts(spark, tmp_path):
     assert abs(macro - sum(x / n for x, n in d) / len(d)) < 1e-6 and abs(micro - sum(x for x, _ in d) / sum(n for _, n in d)) < 1e-6
 
 
+def test_places_and_order_statistics(spark, monkeypatch):
+    from framewise.operators import ranks
+
+    df = spark.createDataFrame([(i, i % 3, float(i * 37 % 101)) for i in range(500)] + [(None, 0, None)], "id long, g long, x double")
+    known = df.where("id IS NOT NULL")
+    got = {r["id"]: r["place"] for r in ranks.numbered(known, ["g"], F.floor(F.col("id") / 50), ["id"]).collect()}
+    assert got == {i: i // 3 for i in range(500)}
+    assert sorted(r["place"] for r in ranks.by_hash(known, [], "id").collect()) == list(range(500))
+    values = sorted(float(i * 37 % 101) for i in range(500))
+    for few in (100_000, 3):
+        monkeypatch.setattr(ranks, "FEW", few)
+        assert ranks.exact_median(df, "x") == (values[249] + values[250]) / 2
+        assert [ranks.kth(known, "x", k) for k in (0, 7, 499)] == [values[k] for k in (0, 7, 499)]
+    assert ranks.exact_median(df.limit(0), "x") is None and ranks.exact_median(df.where("x = 5"), "x") == 5.0
+
+
+def test_reference_voice_small_pools(spark):
+    samples = spark.createDataFrame([("a", 7), ("b", 8), ("c", None)], "sample_id string, own_voice long")
+    pool = spark.createDataFrame([(7,)], "voice long")
+    assert rows(J.pair_reference_voice(samples, pool.limit(0), 1)) == [("a", None), ("b", None), ("c", None)]
+    assert rows(J.pair_reference_voice(samples, pool, 1)) == [("a", None), ("b", 7), ("c", 7)]
+
+
+def test_nearest_events_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    make = lambda n, first: [(rng.randrange(3), first + i, rng.randrange(-40, 200)) for i in range(n)]
+    t, s = make(120, 0), make(150, 1000)
+    got = {r[1]: (r[2], r[3]) for r in rows(J.event_alignment(*(spark.createDataFrame(x, "session long, event_id long, frame long") for x in (t, s)), 7))}
+    for session, i, frame in t:
+        near = [(abs(frame - f), f, k) for z, k, f in s if z == session and abs(frame - f) <= 7]
+        assert got[i] == ((min(near)[2], min(near)[1] - frame) if near else (None, None))
+
+
+@pytest.mark.parametrize("seconds", [0.6, -0.6, 0.0])
+def test_text_delay_and_back(spark, seconds):
+    frames = spark.createDataFrame([(1, i, "WORD" if i % 3 else "PAD", str(i) if i % 3 else None) for i in range(20)], "conv_id long, frame_idx long, kind string, word string")
+    codes = _codes(spark, 20)
+    text, audio = R.delay_text(frames, codes, seconds)
+    assert text.count() == 20 + 8 * (seconds > 0) and audio.count() == 16 * (20 + 8 * (seconds < 0))
+    back = R.undelay_text(text, audio, seconds)
+    assert rows(back[0]) == rows(frames) and rows(back[1]) == rows(codes)
+
+
+def test_text_equal_flag(spark):
+    text = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "conv_id long, frame_idx long, word string")
+    flag = lambda other: J.code_agreement(_codes(spark), _codes(spark), text, other).first()["text_equal"]
+    assert flag(text) is True and flag(text.limit(1)) is False and flag(text.withColumn("word", F.lit("a"))) is False
+    assert J.code_agreement(_codes(spark), _codes(spark)).first()["text_equal"] is None
+
+
+def test_frames_are_held_over_chunks(spark):
+    """Frames whose last codes come with a later chunk are given out then; a placeholder holds all after it."""
+    from framewise.streaming import streams as T
+
+    rows_ = []
+    for conv in (1, 2):
+        for step in range(9):
+            codes = [100 * step + k if k % 8 == 0 and step < 7 else 100 * (step - 2) + k if k % 8 and step >= 2 else X.PLACEHOLDER for k in range(16)]
+            codes[5] = X.PLACEHOLDER if conv == 2 and step == 6 else codes[5]
+            rows_.append((conv, step, codes))
+    steps = spark.createDataFrame(rows_, "conv_id long, frame_idx long, codes array<long>")
+    for n in (1, 4, 20):
+        got = T.run_to_table(T.release_frames(T.arrivals(steps, F.floor(F.col("frame_idx") / n)), 2)).collect()
+        assert sorted((r["conv_id"], r["frame_idx"], r["emitted"]) for r in got) == [(1, f, f + 1) for f in range(7)] + [(2, f, f + 1) for f in range(4)]
+        assert all(r["codes"] == [100 * r["frame_idx"] + k for k in range(16)] for r in got)
+
+
+def test_samples_are_carried_over_chunks(spark):
+    from framewise.streaming import streams as T
+
+    chunks = spark.createDataFrame([(1, i, 700) for i in range(10)], "session long, seq long, samples long")
+    got = T.run_to_table(T.assemble_frames(T.arrivals(chunks, F.col("seq")))).collect()
+    assert len(got) == 10 and sum(r["n_frames"] for r in got) == 7000 // 1920 and max(got, key=lambda r: r["first_frame"] + r["n_frames"] + r["held"] / 1e4)["held"] == 7000 % 1920
+
+
 def test_plans_have_no_nested_loops(spark):
     from framewise.plans.catalog import Views
 
     v = Views(spark, "/root/testdata/sf0.001")
-    for df in (v.aligned, J.overlaps(v.segments)):
+    events = v.events.select(F.col("user_id").alias("session"), "event_id", F.col("event_id").alias("frame"))
+    side = lambda i, n: v.segments.select(F.col("turn").alias(i), F.col("end_frame").alias(n))
+    for df in (v.aligned, J.overlaps(v.segments), J.event_alignment(events, events, 5), J.skeleton_slots(side("slot_id", "slot_frames"), side("utt_id", "utt_frames")), J.leak_flags(v.documents, v.benchmark), A.task_lang_association(v.documents.select("lang", F.col("source").alias("structure")))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert "WindowGroupLimit" in A.top_k_dump(v.logits, 3)._jdf.queryExecution().executedPlan().toString()
