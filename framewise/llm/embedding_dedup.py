@@ -6,7 +6,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,11 @@ def _keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length, without a Python object a row."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
@@ -96,18 +102,25 @@ def _bucket_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, Data
     planned = classes.join(sizes, "label").select("label", "cid", "n", "e", bits.alias("bits")).withColumn("tables", plans[F.col("bits")])
     label, vec = classes.schema["label"].dataType.simpleString(), classes.schema["e"].dataType.simpleString()
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pa.RecordBatch], with_vectors: bool) -> Iterator[pa.RecordBatch]:
+        """The rows once a table, their vectors as they came."""
         for b in batches:
-            for (dim, bits, tables), part in b.groupby([b["e"].map(len), "bits", "tables"]):
-                keys = _keys(_unit(np.stack(part["e"])), bits, tables)
+            plan = np.stack([pc.list_value_length(b.column("e")).to_numpy(), b.column("bits").to_numpy(), b.column("tables").to_numpy()], axis=1)
+            for dim, bits, tables in np.unique(plan, axis=0).tolist():
+                part = b.take(pa.array(np.flatnonzero((plan == (dim, bits, tables)).all(axis=1))))
+                keys = _keys(_unit(_matrix(part.column("e"))), bits, tables)
+                same = pa.array(np.full(len(part), dim, np.int32))
                 for t in range(tables):
-                    yield part.assign(dim=dim, t=t, bucket=keys[:, t])[names]
+                    columns = [part.column("label"), same, pa.array(np.full(len(part), t, np.int32)), pa.array(keys[:, t])]
+                    yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in names[4:])] if with_vectors else columns, names=names if with_vectors else at)
 
     at = ["label", "dim", "t", "bucket"]
     names = [*at, "cid", "n", "bits", "tables", "e"]
-    rows = planned.mapInPandas(keyed, f"label {label}, dim int, t int, bucket long, cid long, n long, bits int, tables int, e {vec}")
+    key = f"label {label}, dim int, t int, bucket long"
+    rows = planned.mapInArrow(lambda batches: keyed(batches, True), f"{key}, cid long, n long, bits int, tables int, e {vec}")
     # Buckets that have to be cut: few, as each holds over BLOCK rows; their table's written size tells Spark how to join it.
-    large = materialize(rows.groupBy(*at).count().where(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count"))
+    counts = planned.mapInArrow(lambda batches: keyed(batches, False), key).groupBy(*at).count()
+    large = materialize(counts.where(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count"))
     pieces = (
         rows.join(large, at, "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -116,17 +129,17 @@ def _bucket_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, Data
         .select(*at, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "n", "bits", "tables", "e")
     )
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(np.stack(g["e"]))
-        i, j, t, bits, tables = (int(g[c].iloc[0]) for c in ("i", "j", "t", "bits", "tables"))
-        own = g["mine"].to_numpy()
+    def compare(g: pa.Table) -> pa.Table:
+        x = _unit(_matrix(g.column("e").combine_chunks()))
+        i, j, t, bits, tables = (g.column(c)[0].as_py() for c in ("i", "j", "t", "bits", "tables"))
+        own, cid, n = (g.column(c).to_numpy() for c in ("mine", "cid", "n"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         close = x[left] @ x[right].T >= threshold
         if i == j:
             close = np.triu(close, 1)
         a, b = np.nonzero(close)
         a, b = left[a], right[b]
-        cid, n, links = g["cid"].to_numpy(), g["n"].to_numpy(), np.zeros(len(x), np.int64)
+        links = np.zeros(len(x), np.int64)
         if len(a):
             keys = _keys(x, bits, tables)
             for s in range(0, len(a), 65536):
@@ -136,7 +149,7 @@ def _bucket_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, Data
                 np.add.at(links, q[first], n[p[first]])
         roots = local_components(len(x), a, b)
         some = np.flatnonzero((links > 0) | (roots != np.arange(len(x))))
-        return pd.DataFrame({"cid": cid[some], "links": links[some], "root": cid[roots[some]]})
+        return pa.table({"cid": cid[some], "links": links[some], "root": cid[roots[some]]})
 
-    found = materialize(pieces.groupBy(*at, "i", "j").applyInPandas(compare, "cid long, links long, root long"))
+    found = materialize(pieces.groupBy(*at, "i", "j").applyInArrow(compare, "cid long, links long, root long"))
     return found.groupBy("cid").agg(F.sum("links").alias("links")), found.select(F.col("cid").alias("src"), F.col("root").alias("dst"))
