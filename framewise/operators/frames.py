@@ -135,14 +135,28 @@ def render_prompt(conv: DataFrame, condition: str) -> DataFrame:
 
 
 def assemble_zones(conv: DataFrame, voice_frames: int) -> DataFrame:
-    """Zone A (dense system text), B (``voice_frames`` of voice prompt), C (dialogue): ``conv_id, zone, n_tokens, start``."""
-    n = F.size(X.words(F.col("text"))).cast("long")
-    a = conv.groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "system", n).otherwise(0)).alias("n_tokens")).withColumn("zone", F.lit("A"))
-    b = conv.select("conv_id").distinct().withColumn("n_tokens", F.lit(voice_frames).cast("long")).withColumn("zone", F.lit("B"))
-    c = conv.groupBy("conv_id").agg(F.sum(F.when(F.col("role") != "system", n).otherwise(0)).alias("n_tokens")).withColumn("zone", F.lit("C"))
-    rows = a.unionByName(b).unionByName(c)
-    before = F.sum("n_tokens").over(Window.partitionBy("conv_id").orderBy("zone").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("conv_id", "zone", "n_tokens", F.coalesce(before, F.lit(0)).alias("start"))
+    """The three zones of a session: ``conv_id, zone, text, n_tokens, start``.
+
+    A: system turns as ChatML blocks, then an assistant block that stays open.
+    B: the voice prompt, ``voice_frames`` long: the transcript of its opening
+    line (the first assistant turn), a word a frame, then PAD; a longer line
+    keeps all its words. C: the other turns without markers, then the end token, which is
+    nowhere else. Null texts are left out. Tokens are counted by white space.
+    """
+    turn, system = F.struct("turn", "text"), F.col("role") == "system"
+    of = lambda kept: F.sort_array(F.collect_list(F.when(kept & F.col("text").isNotNull(), turn)))
+    opens = F.min(F.when(F.col("role") == "assistant", turn)).alias("opens")
+    one = conv.groupBy("conv_id").agg(of(system).alias("a"), opens, of(~system).alias("c"))
+    block = lambda x: F.concat(F.lit("<|im_start|>system\n"), x["text"], F.lit("<|im_end|>\n"))
+    a = F.concat(F.array_join(F.transform("a", block), ""), F.lit("<|im_start|>assistant\n"))
+    line = X.words(F.coalesce("opens.text", F.lit("")))
+    b = F.array_join(F.concat(line, F.array_repeat(F.lit("PAD"), F.greatest(F.lit(0), voice_frames - F.size(line)))), " ")
+    rest = F.transform(F.filter("c", lambda x: ~x["turn"].eqNullSafe(F.col("opens.turn"))), lambda x: x["text"])
+    c = F.array_join(F.concat(rest, F.array(F.lit("<|im_end|>"))), " ")
+    zones = one.select("conv_id", F.array(a, b, c).alias("texts")).withColumn("n", F.transform("texts", lambda t: F.size(X.words(t)).cast("long")))
+    each = zones.select("conv_id", F.posexplode("texts").alias("k", "text"), "n")
+    start = F.aggregate(F.slice("n", 1, F.col("k")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return each.select("conv_id", F.substring(F.lit("ABC"), F.col("k") + 1, 1).alias("zone"), "text", F.element_at("n", F.col("k") + 1).alias("n_tokens"), start.alias("start"))
 
 
 def persona_prefix(conv: DataFrame, voice_frames: int, silence: int = 6) -> DataFrame:

@@ -37,8 +37,8 @@ def check_chunk(chunks: DataFrame, unit: int = X.FRAME_SAMPLES) -> DataFrame:
     return chunks.withColumn("problem", bad).where("problem IS NOT NULL").select("chunk_id", "problem")
 
 
-def check_sync(streams: DataFrame) -> DataFrame:
-    """V6: conversations whose streams differ in length or have gaps or repeats. streams: ``conv_id, stream, frame_idx``."""
+def check_sync(streams: DataFrame, n: int = 3) -> DataFrame:
+    """V6: conversations that have not ``n`` streams, or whose streams differ in length or have gaps or repeats. streams: ``conv_id, stream, frame_idx``."""
     by = streams.groupBy("conv_id", "stream").agg(F.count("*").alias("n"), F.count_distinct("frame_idx").alias("d"), (F.max("frame_idx") - F.min("frame_idx") + 1).alias("span"))
-    conv = by.groupBy("conv_id").agg(F.min("n").alias("shortest"), F.max("n").alias("longest"), F.max((F.col("n") != F.col("d")).cast("int")).alias("repeats"), F.max((F.col("span") != F.col("d")).cast("int")).alias("gaps"))
-    return conv.where("shortest <> longest OR repeats = 1 OR gaps = 1")
+    conv = by.groupBy("conv_id").agg(F.count("*").alias("streams"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.max((F.col("n") != F.col("d")).cast("int")).alias("repeats"), F.max((F.col("span") != F.col("d")).cast("int")).alias("gaps"))
+    return conv.where((F.col("streams") != n) | F.expr("shortest <> longest OR repeats = 1 OR gaps = 1"))

@@ -24,6 +24,7 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 LATIN = ("àâäçèéêëîïíñóôöœßúùûüÀÂÄÇÈÉÊËÎÏÍÑÓÔÖŒÚÙÛÜ", "A-Za-z")
 UNIT = 1_920
+STRETCH = 40
 
 
 def query(name: str, sql: str | None = None, *views: str):
@@ -90,13 +91,20 @@ class Views:
     def delayed(self) -> DataFrame:
         return R.delay_pattern(self.codes, 2)
 
+    @property
+    def stretches(self) -> DataFrame:
+        """``code_frames`` in conversations of ``STRETCH`` frames: a stream of them takes as many steps however large the table is."""
+        f = F.col("frame_idx")
+        return self.code_frames.select((F.col("conv_id") * 1_000_000 + F.floor(f / STRETCH)).alias("conv_id"), (f % STRETCH).alias("frame_idx"), "codes")
+
     @property
     def steps(self) -> DataFrame:
-        """The delayed codes, a row a step, one of them never to come: code 3 of frame 40 of even conversations."""
-        lost = (F.col("conv_id") % 2 == 0) & (F.col("frame_idx") == 42) & (F.col("codebook") == 3)
-        rows = self.delayed.withColumn("code", F.when(lost, X.PLACEHOLDER).otherwise(F.col("code")))
+        """The delayed codes of ``stretches``, a row a step, one of them never to come: code 3 of frame 9 in those of even labels."""
+        codes = self.stretches.select("conv_id", "frame_idx", F.posexplode("codes").alias("codebook", "code"))
+        lost = (F.floor(F.col("conv_id") / 1_000_000) % 2 == 0) & (F.col("frame_idx") == 11) & (F.col("codebook") == 3)
+        rows = R.delay_pattern(codes, 2).withColumn("code", F.when(lost, X.PLACEHOLDER).otherwise(F.col("code")))
         by = rows.groupBy("conv_id", "frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("codebook", "code"))).alias("m"))
-        codes = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(X.PLACEHOLDER)))
+        codes = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(X.PLACEHOLDER)))
         return by.select(F.col("conv_id").cast("long").alias("conv_id"), "frame_idx", codes.alias("codes"))
 
     @property
@@ -734,8 +742,15 @@ def _(v):
 
 @register(
     "r4_assemble_zones",
-    f""", z AS (SELECT conv_id, sum(CASE WHEN role = 'system' THEN len({WS}) ELSE 0 END)::BIGINT AS a, sum(CASE WHEN role <> 'system' THEN len({WS}) ELSE 0 END)::BIGINT AS c FROM conversations GROUP BY 1)
-       SELECT conv_id, 'A' AS zone, a AS n_tokens, 0::BIGINT AS start FROM z UNION ALL SELECT conv_id, 'B', 44, a FROM z UNION ALL SELECT conv_id, 'C', c, a + 44 FROM z""",
+    f""", o AS (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1),
+          x AS (SELECT c.*, coalesce(c.turn = o.turn, false) AS opens FROM conversations c LEFT JOIN o USING (conv_id)),
+          z AS (SELECT conv_id, string_agg('<|im_start|>system\n' || text || '<|im_end|>\n', '' ORDER BY turn) FILTER (role = 'system') AS a, max(text) FILTER (opens) AS b,
+                       string_agg(text, ' ' ORDER BY turn) FILTER (role <> 'system' AND NOT opens) AS c FROM x GROUP BY 1),
+          t AS (SELECT conv_id, 'A' AS zone, coalesce(a, '') || '<|im_start|>assistant\n' AS text FROM z UNION ALL
+                SELECT conv_id, 'B', array_to_string(list_concat(ws, list_resize([]::VARCHAR[], greatest(0, 44 - len(ws))::BIGINT, 'PAD')), ' ') FROM (SELECT conv_id, {WS} AS ws FROM (SELECT conv_id, coalesce(b, '') AS text FROM z)) UNION ALL
+                SELECT conv_id, 'C', CASE WHEN c IS NULL THEN '' ELSE c || ' ' END || '<|im_end|>' FROM z),
+          n AS (SELECT *, len({WS})::BIGINT AS n_tokens FROM t)
+       SELECT conv_id, zone, text, n_tokens, (sum(n_tokens) OVER (PARTITION BY conv_id ORDER BY zone) - n_tokens)::BIGINT AS start FROM n""",
     "units",
 )
 def _(v):
@@ -843,14 +858,17 @@ def _(v):
 
 @register(
     "v6_check_sync",
-    """, s AS (SELECT conv_id, codebook // 8 AS stream, frame_idx FROM codes WHERE codebook IN (0, 8) AND NOT (conv_id < 3 AND codebook = 8 AND frame_idx = 5)),
+    """, s AS (SELECT conv_id, stream, frame_idx FROM code_frames, unnest(['agent', 'user', 'text']) AS u(stream)
+               WHERE NOT (conv_id < 3 AND stream = 'user' AND frame_idx = 5) AND NOT (conv_id = 4 AND stream = 'text' AND frame_idx = 0) AND NOT (conv_id = 6 AND stream = 'text')),
          b AS (SELECT conv_id, stream, count(*) AS n, count(DISTINCT frame_idx) AS d, max(frame_idx) - min(frame_idx) + 1 AS span FROM s GROUP BY 1, 2)
-       SELECT conv_id, min(n) AS shortest, max(n) AS longest, max((n <> d)::INT) AS repeats, max((span <> d)::INT) AS gaps FROM b GROUP BY 1 HAVING min(n) <> max(n) OR max((n <> d)::INT) = 1 OR max((span <> d)::INT) = 1""",
-    "codes",
+       SELECT conv_id, count(*) AS streams, min(n) AS shortest, max(n) AS longest, max((n <> d)::INT) AS repeats, max((span <> d)::INT) AS gaps FROM b GROUP BY 1
+       HAVING count(*) <> 3 OR min(n) <> max(n) OR max((n <> d)::INT) = 1 OR max((span <> d)::INT) = 1""",
+    "code_frames",
 )
 def _(v):
-    rows = v.codes.where("codebook IN (0, 8) AND NOT (conv_id < 3 AND codebook = 8 AND frame_idx = 5)")
-    return V.check_sync(rows.select("conv_id", X.slot_and_role(F.col("codebook"))[1].alias("stream"), "frame_idx"))
+    """Two audio streams and the text: frame 5 of a user, the first token of a text and a whole text are missing."""
+    rows = v.code_frames.select("conv_id", "frame_idx", F.explode(F.array(*map(F.lit, ("agent", "user", "text")))).alias("stream"))
+    return V.check_sync(rows.where("NOT (conv_id < 3 AND stream = 'user' AND frame_idx = 5) AND NOT (conv_id = 4 AND stream = 'text' AND frame_idx = 0) AND NOT (conv_id = 6 AND stream = 'text')"))
 
 
 # Streaming
@@ -863,7 +881,8 @@ def _(v):
     return steps.groupBy("session").agg(F.sum("n_frames").alias("n_frames"), F.max_by("held", F.col("first_frame") + F.col("n_frames")).alias("held"))
 
 
-READY = """, ready AS (SELECT conv_id, frame_idx, codes FROM code_frames WHERE NOT (conv_id % 2 = 0 AND frame_idx >= 40) AND frame_idx <= (SELECT max(x.frame_idx) FROM code_frames x WHERE x.conv_id = code_frames.conv_id))"""
+READY = f""", stretches AS (SELECT conv_id * 1000000 + frame_idx // {STRETCH} AS conv_id, frame_idx % {STRETCH} AS frame_idx, codes FROM code_frames),
+       ready AS (SELECT * FROM stretches WHERE NOT (conv_id // 1000000 % 2 = 0 AND frame_idx >= 9))"""
 
 
 @register("t1_release_frames", READY + " SELECT conv_id, frame_idx, array_to_string(codes, ',') AS codes, frame_idx + 1 AS emitted FROM ready", "code_frames")

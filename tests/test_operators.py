@@ -216,6 +216,20 @@ def test_text_equal_flag(spark):
     assert J.code_agreement(_codes(spark), _codes(spark)).first()["text_equal"] is None
 
 
+def test_zones_hold_all_words(spark):
+    rows_ = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "a b c d"), (1, 3, "user", "why"), (1, 4, "assistant", None), (2, 0, "user", "x")]
+    z = {(r["conv_id"], r["zone"]): r for r in R.assemble_zones(spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string"), 3).collect()}
+    assert z[1, "A"]["text"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\n" and z[2, "A"]["text"] == "<|im_start|>assistant\n"
+    assert z[1, "B"]["text"] == "a b c d" and z[2, "B"]["text"] == "PAD PAD PAD" and z[1, "C"]["text"] == "hi why <|im_end|>"
+    assert [(z[1, k]["start"], z[1, k]["n_tokens"]) for k in "ABC"] == [(0, 4), (4, 4), (8, 3)]
+
+
+def test_streams_that_lack_or_are_out_of_step(spark):
+    rows_ = [(c, s, f) for c in range(4) for s in ("agent", "user", "text") for f in range(3) if (c, s) != (1, "text") and (c, s, f) not in {(2, "user", 1), (3, "text", 2)}]
+    bad = V.check_sync(spark.createDataFrame(rows_, "conv_id long, stream string, frame_idx long")).collect()
+    assert sorted((r["conv_id"], r["streams"], r["shortest"], r["gaps"]) for r in bad) == [(1, 2, 3, 0), (2, 3, 2, 1), (3, 3, 2, 0)]
+
+
 def test_frames_are_held_over_chunks(spark):
     """Frames whose last codes come with a later chunk are given out then; a placeholder holds all after it."""
     from framewise.streaming import streams as T
