@@ -15,13 +15,13 @@ from framewise.llm.common import materialize
 from framewise.llm.graph import connected_components, local_components
 
 SEED = 17
-#: Unrelated vectors of a label that a bucket is to hold: enough for one matrix product to be worth a group.
-BUCKET = 128
+#: Unrelated vectors of a label that a bucket is to hold. Larger buckets need fewer bits and tables, so fewer copies of each vector are shuffled; smaller ones fewer comparisons.
+BUCKET = 1024
 #: Vectors of one bucket that a task compares with one another; larger buckets are cut into pairs of blocks.
-BLOCK = 1024
+BLOCK = 2048
 #: Chance at most that a pair just at the threshold shares no bucket in any table.
 MISS = 1e-5
-BITS = (4, 40)
+BITS = (2, 40)
 
 
 def table_plan(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
