@@ -29,8 +29,8 @@ BLOCK = 65_536
 #: ``keep_one``: words of a shingle, and MinHash bands and values a band. At a similarity of exactly 0.8
 #: no band agrees with probability (1 - 0.8**6)**40 = 5.2e-6, whatever kind of edit made the difference.
 BODY_WORDS, BANDS, BAND_ROWS = 5, 40, 6
-#: Shingles that a task compares; larger groups are cut into pairs of blocks.
-BLOCK_SHINGLES = 4_000_000
+#: Shingles of a block; larger groups are cut into blocks that share a few rows, the pivots.
+BLOCK_SHINGLES, PIVOTS = 1 << 18, 4
 _MULTIPLY, _ADD = np.random.default_rng(42).integers(0, 2**63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.array([1, 0], np.uint64)[:, None, None]
 
 
@@ -361,12 +361,60 @@ def _set_links(sets: DataFrame) -> DataFrame:
     """Links ``(src, dst)`` between the ``nid`` of ``sets`` (``grp, nid, shingles``) of one ``grp`` at 0.8 or more: a forest for each task.
 
     Small groups share tasks. A group over ``BLOCK_SHINGLES`` is cut into
-    blocks that meet pairwise in separate tasks.
+    blocks that are searched alone, each with the group's ``PIVOTS``. Blocks
+    grow together through these, so most of a group of near copies is one
+    component after work in proportion to its size. What may be missing are
+    links of rows outside that component: see ``_rest_links``.
     """
     sizes = materialize(sets.groupBy("grp").agg(F.sum(F.size("shingles")).alias("n")))
     small = sizes.where(F.col("n") <= BLOCK_SHINGLES).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tasks = max(8, 8 * math.ceil(small / BLOCK_SHINGLES))
-    large = materialize(sizes.where(F.col("n") > BLOCK_SHINGLES).select("grp", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks")))
+    tasks = max(8, 2 * math.ceil(small / BLOCK_SHINGLES))
+    large = materialize(sizes.where(F.col("n") > BLOCK_SHINGLES).select("grp", _blocks("n").alias("blocks")))
+    shared = sets.join(large, "grp", "left_anti").select(F.lit("shared").alias("kind"), F.pmod(F.xxhash64("grp"), F.lit(tasks)).alias("grp"), F.lit(0).alias("i"), F.lit(0).alias("j"), "nid", "shingles")
+    if large.isEmpty():
+        return _searched(shared)
+    cut = materialize(sets.join(large, "grp").select("grp", "nid", "shingles", "blocks", F.pmod(F.xxhash64("nid"), "blocks").cast("int").alias("block")))
+    slot = F.pmod(F.xxhash64("nid", F.lit(1)), F.lit(PIVOTS))
+    able = cut.where(F.size("shingles") <= BLOCK_SHINGLES // (2 * PIVOTS))
+    pivots = materialize(able.groupBy("grp", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("nid"), "nid")).getField("nid").alias("nid")).select("nid"))
+    copies = cut.join(pivots, "nid").select("grp", "nid", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "block").where("i <> block")
+    alone = cut.select("grp", "nid", "shingles", F.col("block").alias("i")).unionByName(copies.drop("block"))
+    first = materialize(_searched(shared.unionByName(alone.withColumns({"kind": F.lit("alone"), "j": F.lit(0)}))))
+    return first.unionByName(_rest_links(cut.select("grp", "nid", "shingles"), first))
+
+
+def _rest_links(cut: DataFrame, first: DataFrame) -> DataFrame:
+    """The links of large groups that ``first`` may lack.
+
+    Two rows of a group's largest component (``main``) need no further
+    comparison. The other rows, the rest, are cut into blocks that meet
+    pairwise, and that meet all blocks of the main component.
+    """
+    comp = materialize(connected_components(first))
+    rooted = cut.join(comp, F.col("nid") == F.col("id"), "left").select("grp", "nid", F.coalesce("component_id", "nid").alias("root"), F.size("shingles").alias("n"))
+    weights = materialize(rooted.groupBy("grp", "root").agg(F.sum("n").alias("n")))
+    most = F.max(F.struct("n", "root"))
+    plan = weights.groupBy("grp").agg(most.getField("root").alias("main"), _blocks(most.getField("n")).alias("mains"), _blocks(F.sum("n") - most.getField("n")).alias("rests"))
+    plan = materialize(plan.where("rests > 0"))
+    known = materialize(rooted.select("grp", "nid", "root").join(plan, "grp").select("nid", (F.col("root") == F.col("main")).alias("in_main"), "mains", "rests"))
+    rows = cut.join(known, "nid").withColumn("own", F.pmod(F.xxhash64("nid"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+
+    def meet(kind: str, i, j):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    rests, mains, own = F.sequence(F.lit(0), F.col("rests") - 1), F.sequence(F.lit(0), F.col("mains") - 1), F.col("own")
+    places = F.when(F.col("in_main"), F.transform(rests, lambda r: meet("main", r, own))).otherwise(
+        F.concat(F.transform(mains, lambda m: meet("main", own, m)), F.transform(rests, lambda r: meet("rest", F.least(own, r), F.greatest(own, r))))
+    )
+    return _searched(rows.select("grp", "nid", "shingles", F.explode(places).alias("at")).select("at.kind", "grp", "at.i", "at.j", "nid", "shingles"))
+
+
+def _blocks(n):
+    return F.ceil((F.col(n) if isinstance(n, str) else n) / BLOCK_SHINGLES).cast("int")
+
+
+def _searched(pieces: DataFrame) -> DataFrame:
+    """A forest of links for each ``(kind, grp, i, j)`` of ``pieces``, a task's share."""
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("nid")
@@ -374,16 +422,7 @@ def _set_links(sets: DataFrame) -> DataFrame:
         some = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"src": ids[some], "dst": ids[label[some]]})
 
-    pieces = (
-        sets.join(large, "grp", "left")
-        .withColumn("grp", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.col("grp")))
-        .withColumn("cut", F.col("blocks").isNotNull())
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("mine", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cut", "grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "nid", "shingles")
-    )
-    return pieces.groupBy("cut", "grp", "i", "j").applyInPandas(search, "src long, dst long")
+    return pieces.groupBy("kind", "grp", "i", "j").applyInPandas(search, "src long, dst long")
 
 
 def _digests(sets: list[np.ndarray]) -> list[pa.Array]:

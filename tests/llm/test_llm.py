@@ -710,6 +710,34 @@ def test_keep_one_passages(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash_dedup.keep_one(df).collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["tight", "loose", "two clusters"])
+def test_set_links_of_large_groups(spark, monkeypatch, kind):
+    rng = np.random.default_rng(13)
+    base = np.arange(1, 61, dtype=np.int64)
+    if kind == "loose":
+        sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 40)))) for _ in range(200)]
+        sets += [s[1:] for s in sets[:100] if len(s) > 1]
+    else:
+        sets = [np.delete(base, rng.choice(60, 3, replace=False)) for _ in range(300)]
+        if kind == "two clusters":
+            sets = [s + (1000 * (i % 3 == 0)) for i, s in enumerate(sets)] + [np.concatenate([base[:50], [2000 + i]]) for i in range(20)]
+    sets = [s + (0 if i % 10 else 10_000 * (1 + i // 50)) for i, s in enumerate(sets)]  # nine tenths in one group, others of five
+    rows = [(0 if i % 10 else 1 + i // 50, i, s.tolist()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "grp long, nid long, shingles array<long>")
+    group = {i: g for g, i, _ in rows}
+    near = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if group[i] == group[j] and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))]
+    monkeypatch.setattr(simhash_dedup, "BLOCK_SHINGLES", 1000)
+    links = [(r["src"], r["dst"]) for r in simhash_dedup._set_links(df).collect()]
+    assert components(range(len(sets)), links) == components(range(len(sets)), near)
+    # Each row goes to its own block, pivots to every block; near copies need no pairs of blocks.
+    taken = []
+    monkeypatch.setattr(simhash_dedup, "_searched", lambda pieces: taken.append(pieces.count()) or spark.createDataFrame(near, "src long, dst long"))
+    simhash_dedup._set_links(df)
+    blocks = -(-sum(len(s) for g, _, s in rows if not g) // 1000)
+    assert taken[0] <= len(rows) + simhash_dedup.PIVOTS * blocks
+    assert kind != "tight" or taken[1] == 0
+
+
 def test_keep_one_is_exact_at_the_threshold(spark):
     rng = np.random.default_rng(12)
     words = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
