@@ -72,3 +72,48 @@ def op6() -> str:
       SELECT conv_id, turn, call_id, depth, coalesce(n, 0) AS n_results, CASE WHEN text IS NULL THEN 'text: missing' ELSE '' END AS errors,
              CASE WHEN differ THEN 'repeated_id' WHEN text IS NULL THEN 'invalid' WHEN n IS NULL THEN 'no_result' ELSE 'ok' END AS status, {json} AS json FROM d LEFT JOIN r USING (call_id)
       UNION ALL SELECT NULL, NULL, call_id, NULL, n, '', 'orphan', '{{"id":' || to_json(call_id) || coalesce(',"result":' || to_json(content), '') || '}}' FROM r ANTI JOIN d USING (call_id)"""
+
+
+def op11() -> str:
+    """All windows of 13 words, each with the smallest doc_id that has it; doc_id is taken to be unique."""
+    return f"""
+      WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+      windows AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+      firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+      gone AS (SELECT DISTINCT doc_id, i + o AS i FROM windows JOIN firsts USING (g), unnest(range(13)) AS u(o) WHERE first < doc_id),
+      words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+      kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+      SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def op12() -> str:
+    """Scores of all documents that share a term with an item; item_id and doc_id are taken to be unique."""
+    upper = "".join(map(chr, range(65, 91)))
+    found = r"regexp_extract_all(translate(coalesce(text, ''), '" + upper + "', '" + upper.lower() + r"'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+      WITH d AS (SELECT doc_id, {found} AS w FROM documents),
+      t AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS total FROM d),
+      tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+      df AS (SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, t GROUP BY term),
+      q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({found}) AS term FROM benchmark) GROUP BY ALL),
+      s AS (SELECT item_id, doc_id, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score FROM q JOIN df USING (term) JOIN tf USING (term), t GROUP BY ALL)
+      SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
+
+
+def op13() -> str:
+    """Every part against every entry, round by round; vec_id is taken to be unique."""
+    distance = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT"
+    steps = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "p AS MATERIALIZED (SELECT vec_id, part, q[part * (len(q) // 8) + 1 : (part + 1) * (len(q) // 8)] AS x FROM v, unnest(range(8)) AS u(part))",
+        "b0 AS MATERIALIZED (SELECT part, entry, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 16)",
+    ]
+    for r in range(7):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min({distance} * 16 + entry) AS k FROM p JOIN b{r} USING (part) GROUP BY 1, 2)")
+        if r < 6:
+            steps.append(f"m{r} AS (SELECT part, k % 16 AS entry, pos, sum(x[pos]) AS s, count(*) AS n FROM a{r}, unnest(range(1, 9)) AS u(pos) GROUP BY ALL)")
+            steps.append(f"n{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos)::BIGINT[] AS c FROM m{r} GROUP BY ALL)")
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN n{r} USING (part, entry))")
+    steps.append("e AS (SELECT vec_id, label, string_agg(printf('%02x', k % 16), '' ORDER BY part) AS code, sum(k // 16)::BIGINT AS error FROM a6 JOIN v USING (vec_id) GROUP BY 1, 2)")
+    books = "(SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b6)"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, {books} AS codebooks_sha256 FROM e"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import chat_tools, embedding_dedup, mixing, oracles, packing, quality_classifier, quality_rules, sharding, simhash_dedup, token_counts, url_filter
+from framewise.llm import chat_tools, embedding_dedup, mixing, oracles, packing, quality_classifier, quality_rules, ranked_search, sharding, simhash_dedup, substring_dedup, token_counts, url_filter, vector_codes
 from framewise.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), 13).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 8, 16, 6)
+    return made.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 # Stages of the pipeline: (spark, docs, sf_dir) to a table. All take nulls in any column, empty and very long texts,
 # repeated rows, further columns with any name, and no rows; what becomes of these is said with the operator each calls.
 
@@ -88,10 +101,13 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_embedding_near_dedup, op2_url_filters, op3_quality_classifier, op4_quality_rules, op5_source_mixing, op6_tool_call_linking, op7_packing, op8_token_counts, op9_simhash_near_dedup, op10_sharding]
+    made = [
+        op1_embedding_near_dedup, op2_url_filters, op3_quality_classifier, op4_quality_rules, op5_source_mixing, op6_tool_call_linking, op7_packing, op8_token_counts,
+        op9_simhash_near_dedup, op10_sharding, op11_substring_dedup, op12_ranked_search, op13_vector_codes,
+    ]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express whole; the others train, tokenize or hash and are tested against brute force."""
-    return {"op1_embedding_near_dedup": oracles.op1(), "op4_quality_rules": oracles.op4(), "op6_tool_call_linking": oracles.op6()}
+    return {"op1_embedding_near_dedup": oracles.op1(), "op4_quality_rules": oracles.op4(), "op6_tool_call_linking": oracles.op6(), "op11_substring_dedup": oracles.op11(), "op12_ranked_search": oracles.op12(), "op13_vector_codes": oracles.op13()}
