@@ -98,9 +98,9 @@ def train(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: i
     Spark adds them, and the driver sees as many numbers as the books have.
     """
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "q").limit(entries).collect()
+    if not first:
+        return np.zeros((parts, 0, 0), np.int64)
     books = np.array([r["q"] for r in first], np.int64).reshape(len(first), parts, -1).transpose(1, 0, 2)
-    if not len(first):
-        return books
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros_like(books), np.zeros(books.shape[:2], np.int64)
