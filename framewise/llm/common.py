@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,25 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Columns of documents that operators know by name.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plain_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function that gives back the columns of its first argument may have any further columns there: with dots, or names that differ in case only.
+
+    Columns are told apart by place while it runs, and get their names back at the end.
+    """
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        names = docs.columns
+        plain = [c if c in KNOWN else f"__extra_{i}" for i, c in enumerate(names)]
+        return stage(docs.toDF(*plain), *args, **options).toDF(*names)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.llm.common import materialize, small_batches
+from framewise.llm.common import materialize, plain_names
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -22,6 +19,7 @@ SHARDS = 1 << 16
 #: Copies of one row that a task writes out at most.
 COPIES = 1 << 16
 SIZE = r"[^\x20\x09-\x0D]+"
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -126,6 +124,7 @@ def _each(taken: DataFrame) -> DataFrame:
     return rows.withColumn("taken", F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("nth") * F.col("size"))))
 
 
+@plain_names
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them, all columns as given: whole copies, then the text cut after its last word taken.
 
@@ -143,28 +142,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     copies = F.when(F.col("size") > 0, F.expr("words div nullif(size, 0)")).otherwise(F.when(F.col("target") > 0, 1).otherwise(0))
     left = F.when(F.col("size") > 0, F.expr("words % nullif(size, 0)")).otherwise(0)
     lengths = F.concat(F.array_repeat(F.lit(None).cast("long"), copies.cast("int")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<long>")))
-    rows = j.select("row", F.explode(lengths).alias("__words")).select("row.*", "__words")
-    whole = rows.where("__words IS NULL").drop("__words")
-    return whole.unionByName(_cut(rows.where("__words IS NOT NULL"), docs))
-
-
-def _cut(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Texts ended after ``__words`` words; there is one such document a shard at most."""
-    small_batches(docs.sparkSession)
-    word = re.compile(r"[^\x20\x09-\x0D]+")
-    names = docs.columns
-    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, n in zip(batch.column("text").to_pylist(), batch.column("__words").to_pylist(), strict=True):
-                end = next(m.end() for i, m in enumerate(word.finditer(text), 1) if i == n)
-                texts.append(text[:end])
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            if chars is not None:
-                columns[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(batch.schema.field(chars).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return rows.mapInArrow(run, docs.schema)
+    rows = j.select("row", F.explode(lengths).alias("words"))
+    cut, n = F.col("words").isNotNull(), F.col("words").cast("int")
+    # A word and the white space before it is a piece; only cut texts are split, one a shard at most.
+    text = F.when(cut, F.array_join(F.slice(F.split("row.text", WORD_END), 1, n), "")).otherwise(F.col("row.text"))
+    made = {"text": text, "n_chars": F.when(cut, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*(made.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))

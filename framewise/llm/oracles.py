@@ -8,28 +8,16 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def op4() -> str:
-    """Statistics by windows over all triples; sketches as bucket counts; fences by level."""
+    """Statistics by windows over all triples; sketches as bucket counts, merged by weight; the best cut of each by running sums."""
     ln = f"ln({rules.GAMMA!r}::DOUBLE)"
-    power = lambda b: f"CASE WHEN {b[0]} = {rules.ZERO} THEN 0 ELSE pow({rules.GAMMA!r}::DOUBLE, {b[0]} - {b[1]}) END"
-    levels = []
-    for level, keys in (("g", "lang, source"), ("l", "lang"), ("a", "")):
-        by = f"{keys}, " if keys else ""
-        at = lambda q: f"min(bucket) FILTER (run >= {q}::DOUBLE * docs)"
-        fences = []
-        for name, (metric, mid, far, times) in rules.FENCES.items():
-            low = int(far < mid)
-            x, y = (f"max({power(('b', e))}) FILTER (metric = '{metric}' AND q = {q})" for q, e in ((far, low), (mid, 1 - low)))
-            fences.append(f"{x} + {times}::DOUBLE * ({x} - {y}) AS {name}")
-        shares = sorted({q for _, mid, far, _ in rules.FENCES.values() for q in (mid, far)})
-        rows = " UNION ALL ".join(f"SELECT {by}metric, max(docs) AS docs, {q} AS q, {at(q)} AS b FROM c{level} GROUP BY {by}metric" for q in shares)
-        levels.append(
-            f"c{level} AS (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {by}metric) AS docs FROM (SELECT {by}metric, bucket, sum(n) AS n FROM sketch GROUP BY {by}metric, bucket)), "
-            f"q{level} AS ({rows}), f{level} AS (SELECT {by}max(docs) AS docs, {', '.join(fences)} FROM q{level}{' GROUP BY ' + keys if keys else ''})"
-        )
-    choose = ", ".join(f"CASE WHEN fg.docs >= {rules.MIN_DOCS} THEN fg.{f} WHEN fl.docs >= {rules.MIN_DOCS} THEN fl.{f} ELSE fa.{f} END AS {f}" for f in rules.FENCES)
     metrics = {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words", "mean_word": "word_chars / n_words"}
-    fine = " AND ".join(f"{metrics[m]} {'>=' if far < mid else '<='} {name}" for name, (m, mid, far, _) in rules.FENCES.items())
+    bucket = lambda x: f"CASE WHEN {x} > 0 THEN ceil(ln({x}) / {ln})::INT ELSE {rules.ZERO} END"
     union = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {e} AS x FROM s WHERE NOT base_failed" for m, e in metrics.items())
+    place = " ".join(f"WHEN metric = '{m}' THEN {e}" for m, e in rules.AXES.items())
+    two = ", ".join(f"'{m}'" for m in rules.TWO_SIDED)
+    spread = f"{rules.SPREAD**2!r}::DOUBLE"
+    limits = ", ".join(f"max({side}) FILTER (metric = '{m}') AS {side}_{m}" for m in metrics for side in ("high", "low"))
+    fine = " AND ".join(f"coalesce({bucket(e)} <= high_{m}, true) AND coalesce({bucket(e)} >= low_{m}, true)" for m, e in metrics.items())
     return f"""
       WITH d AS (SELECT row_number() OVER () AS i, doc_id, lang, source, regexp_extract_all(t, '{_WORD}') AS w, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
                         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
@@ -40,10 +28,20 @@ def op4() -> str:
       s AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
               SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
                      (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines FROM d LEFT JOIN covered USING (i))),
-      sketch AS (SELECT lang, source, metric, CASE WHEN x > 0 THEN ceil(ln(x) / {ln})::INT ELSE {rules.ZERO} END AS bucket, count(*) AS n FROM ({union}) GROUP BY ALL),
-      {', '.join(levels)},
-      f AS (SELECT fg.lang, fg.source, {choose} FROM fg JOIN fl ON fg.lang IS NOT DISTINCT FROM fl.lang, fa)
-      SELECT doc_id, {', '.join(rules.STATS)}, base_failed, NOT base_failed AND coalesce({fine}, false) AS kept
+      sketch AS (SELECT lang, source, metric, {bucket("x")} AS bucket, count(*)::DOUBLE AS n FROM ({union}) GROUP BY ALL),
+      a AS (SELECT metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL), ta AS (SELECT *, {rules.PRIOR} * n / sum(n) OVER (PARTITION BY metric) AS lent FROM a),
+      l AS (SELECT lang, metric, bucket, sum(n) AS n FROM (SELECT lang, metric, bucket, n FROM sketch UNION ALL SELECT k.lang, metric, bucket, lent FROM (SELECT DISTINCT lang, metric FROM sketch) k JOIN ta USING (metric)) GROUP BY ALL),
+      tl AS (SELECT *, {rules.PRIOR} * n / sum(n) OVER (PARTITION BY lang, metric) AS lent FROM l),
+      g AS (SELECT lang, source, metric, bucket, sum(n) AS n FROM (SELECT * FROM sketch UNION ALL
+              SELECT k.lang, source, k.metric, bucket, lent FROM (SELECT DISTINCT lang, source, metric FROM sketch) k JOIN tl ON k.metric = tl.metric AND k.lang IS NOT DISTINCT FROM tl.lang) GROUP BY ALL),
+      y AS (SELECT *, CASE {place} END AS y FROM (SELECT *, CASE WHEN bucket = {rules.ZERO} THEN 0 ELSE pow({rules.GAMMA!r}::DOUBLE, bucket - 0.5) END AS x FROM g)),
+      r AS (SELECT *, sum(n) OVER o AS w, sum(n * y) OVER o AS m, sum(n * y * y) OVER o AS q, sum(n) OVER p AS ws, sum(n * y) OVER p AS ms, sum(n * y * y) OVER p AS qs, lead(bucket) OVER o IS NULL AS last
+            FROM y WINDOW p AS (PARTITION BY lang, source, metric), o AS (PARTITION BY lang, source, metric ORDER BY bucket)),
+      best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, metric ORDER BY pow(ms * w / ws - m, 2) / (w * (ws - w)) DESC, bucket) AS place FROM r WHERE NOT last) WHERE place = 1),
+      c AS (SELECT *, hi - lo >= {rules.APART!r}::DOUBLE * sqrt((greatest(q / w - lo * lo, {spread}) + greatest((qs - q) / (ws - w) - hi * hi, {spread})) / 2) AS apart, metric NOT IN ({two}) OR 2 * (ws - w) <= ws AS upper
+            FROM (SELECT *, m / w AS lo, (ms - m) / (ws - w) AS hi FROM best)),
+      f AS (SELECT lang, source, {limits} FROM (SELECT lang, source, metric, CASE WHEN apart AND upper THEN bucket END AS high, CASE WHEN apart AND NOT upper THEN bucket + 1 END AS low FROM c) GROUP BY 1, 2)
+      SELECT doc_id, {', '.join(rules.STATS)}, base_failed, NOT base_failed AND {fine} AS kept
       FROM s LEFT JOIN f ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source"""
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import map_texts, small_batches
+from framewise.llm.common import map_texts, plain_names, small_batches
 
 #: n-grams are hashed to 2 ** BITS features.
 BITS = 18
@@ -190,6 +190,7 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     return map_texts(docs, columns, made, lambda texts: [model.score(texts)]).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+@plain_names
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model predicts as good, all columns as given.
 

@@ -7,29 +7,30 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import map_texts, materialize, small_batches
+from framewise.llm.common import map_texts, materialize, plain_names, small_batches
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 MIN_WORDS = 50
 #: The sketch's relative error: a bucket spans values whose ratio is GAMMA.
 ERROR = 0.01
 GAMMA = (1 + ERROR) / (1 - ERROR)
-#: Groups with fewer documents take the thresholds of their language, or of all documents.
-MIN_DOCS = 50
-#: Fence: metric, a quantile, one farther out, and how many times the spread between them a value may lie beyond the farther one.
-#: All come from the sketch of the group itself: no constant is a bound. "high" fences cut 10 % (symbols) or 1 % of a group's
-#: documents at most, as they lie at or beyond its 0.90 or 0.99 quantile.
-FENCES = {
-    "high_symbols": ("symbols", 0.75, 0.90, 0.0),
-    "high_dup_lines": ("dup_lines", 0.90, 0.99, 1.0),
-    "high_repeats": ("repeats", 0.90, 0.99, 1.0),
-    "low_mean_word": ("mean_word", 0.50, 0.25, 8.0),
-    "high_mean_word": ("mean_word", 0.50, 0.75, 8.0),
+#: Documents that a language's sketch counts as in each of its groups, and that of all documents in each language.
+PRIOR = 50
+#: Places of a metric's values, on which clusters are told apart: one step is a resolution of the metric, from which on values differ by a factor.
+AXES = {
+    "symbols": "ln(1 + x / 0.02)",
+    "dup_lines": "ln(1 + x / 0.2)",
+    "repeats": "ln(1 + x / 0.05)",
+    "mean_word": "10 * ln(x)",
 }
+#: Metrics that may be too low as well as too high: there the smaller cluster goes.
+TWO_SIDED = ("mean_word",)
+#: Clusters are apart if the distance of their means is so many times their root mean square spread, counted as SPREAD at least.
+APART, SPREAD = 4.0, 0.4
 ZERO = -(2**31)
 METRICS = {
     "symbols": "try_divide(n_symbols, n_words)",
@@ -68,58 +69,70 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def bucket(x: Column) -> Column:
+    """Bucket of a value: ceil(ln x / ln GAMMA), zero in one of its own."""
+    return F.when(x > 0, F.ceil(F.log(x) / math.log(GAMMA)).cast("int")).otherwise(F.lit(ZERO))
+
+
 def sketches(stats: DataFrame) -> DataFrame:
     """Mergeable quantile sketch of every metric in every (lang, source).
 
-    A value falls in bucket ceil(ln x / ln GAMMA), zero in a bucket of its own;
-    a sketch is the counts of its buckets, and sketches merge by adding counts.
-    Its size is bounded by the range of the values, not by their number.
+    A sketch is the counts of its buckets, and sketches merge by adding
+    counts. Its size is bounded by the range of the values, not by their number.
     """
     metric = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.expr(v).alias("x")) for k, v in METRICS.items())))
     each = stats.where(~base_failed()).select("lang", "source", metric.alias("m")).select("lang", "source", "m.*")
-    bucket = F.when(F.col("x") > 0, F.ceil(F.log("x") / math.log(GAMMA)).cast("int")).otherwise(F.lit(ZERO))
-    return each.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return each.groupBy("lang", "source", "metric", bucket(F.col("x")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def weighted(sketch: DataFrame) -> DataFrame:
+    """``lang, source, metric, bucket, n``: each group's sketch merged with its language's, as of ``PRIOR`` documents, that one merged likewise with the sketch of all.
+
+    A large group is nearly its own, a small one nearly its language's; there is no size at which one takes over.
+    """
+
+    def under(own: DataFrame, keys: list[str], above: DataFrame, by: list[str]) -> DataFrame:
+        share = F.lit(float(PRIOR)) * F.col("n") / F.sum("n").over(Window.partitionBy(*by, "metric"))  # a window is the buckets of one sketch
+        known = above.withColumn("n", share).withColumnsRenamed({c: f"__{c}" for c in [*by, "metric"]})
+        same = F.col("metric") == F.col("__metric")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        lent = own.select(*keys, "metric").distinct().join(known, same).select(*keys, "metric", "bucket", "n")
+        every = own.select(*keys, "metric", "bucket", F.col("n").cast("double").alias("n")).unionByName(lent)
+        return every.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+
+    sketch = materialize(sketch)
+    every = sketch.groupBy("metric", "bucket").agg(F.sum("n").cast("double").alias("n"))
+    langs = sketch.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
+    return under(sketch, ["lang", "source"], materialize(under(langs, ["lang"], every, [])), ["lang"])
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """``lang, source`` and the ``FENCES``; groups under ``MIN_DOCS`` take those of a merged sketch.
+    """``lang, source`` and for each metric the highest bucket that is kept (``high_``) and the lowest (``low_``); null where nothing is too high, or too low.
 
-    The sketch of a small group is merged with its language's, and a small
-    language's with all: merging adds counts. A quantile is read at the outer
-    edge of its bucket, so a value that ties with it is within the fence.
+    The sketch is cut in two where the variance between the parts is largest
+    (Otsu). If the parts are apart, they are two clusters, and the outer one
+    goes, whatever its share: the higher, or, for ``TWO_SIDED`` metrics, the
+    smaller. If not, it is one cluster, and nobody's outer tenth goes.
     """
-    per = {"group": ["lang", "source"], "language": ["lang"], "all": []}
-    fences = {}
-    for level, keys in per.items():
-        merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-        # The sketch of a group, in one row: buckets in order with running counts.
-        whole = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("docs"))
-
-        def quantile(q: float, edge: int) -> Column:
-            """The value at a share of the documents: the upper (0) or lower (1) edge of its bucket."""
-            run = F.aggregate(
-                "b",
-                F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("int").alias("at")),
-                lambda s, x: F.struct((s["c"] + x["n"]).alias("c"), F.when(s["at"].isNull() & (s["c"] + x["n"] >= F.lit(q) * F.col("docs")), x["bucket"]).otherwise(s["at"]).alias("at")),
-            )["at"]
-            return F.when(run == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), run - edge))
-
-        def fence(mid: float, far: float, times: float) -> Column:
-            low = int(far < mid)
-            at = quantile(far, low)
-            return at + F.lit(times) * (at - quantile(mid, 1 - low))
-
-        each = [F.max(F.when(F.col("metric") == m, fence(*how))).alias(f"{level}_{name}") for name, (m, *how) in FENCES.items()]
-        fences[level] = whole.groupBy(*keys).agg(F.max("docs").alias(f"{level}_docs"), *each)
-    lang = fences["language"].withColumnRenamed("lang", "__lang")
-    joined = fences["group"].join(lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    every = fences["all"].first()  # one row of numbers; None if no document passed the base rules
-
-    def pick(name: str) -> Column:
-        rest = F.lit(every[f"all_{name}"] if every else None).cast("double")
-        return F.when(F.col("group_docs") >= MIN_DOCS, F.col(f"group_{name}")).when(F.col("language_docs") >= MIN_DOCS, F.col(f"language_{name}")).otherwise(rest).alias(name)
-
-    return joined.select("lang", "source", *map(pick, FENCES))
+    part = Window.partitionBy("lang", "source", "metric")
+    along = part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    x = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 0.5))
+    place = F.coalesce(*(F.when(F.col("metric") == m, F.expr(e)) for m, e in AXES.items()))
+    rows = weighted(sketch).withColumn("x", x).withColumn("y", place).withColumns({"n1": F.col("n") * F.col("y"), "n2": F.col("n") * F.col("y") * F.col("y")})
+    rows = rows.withColumns({c: F.sum(n).over(along) for c, n in (("w", "n"), ("m", "n1"), ("q", "n2"))} | {c: F.sum(n).over(part) for c, n in (("ws", "n"), ("ms", "n1"), ("qs", "n2"))})
+    rows = rows.withColumn("last", F.lead("bucket").over(part.orderBy("bucket")).isNull()).where("NOT last")
+    between = F.pow(F.col("ms") * F.col("w") / F.col("ws") - F.col("m"), 2) / (F.col("w") * (F.col("ws") - F.col("w")))
+    cut = F.max_by(F.struct("bucket", "w", "m", "q", "ws", "ms", "qs"), F.struct(between, -F.col("bucket").cast("long")))
+    cuts = rows.groupBy("lang", "source", "metric").agg(cut.alias("c")).select("lang", "source", "metric", "c.*")
+    above = F.col("ws") - F.col("w")
+    mean, mean_above = F.col("m") / F.col("w"), (F.col("ms") - F.col("m")) / above
+    spread = F.greatest(F.col("q") / F.col("w") - mean * mean, F.lit(SPREAD**2)) + F.greatest((F.col("qs") - F.col("q")) / above - mean_above * mean_above, F.lit(SPREAD**2))
+    apart = mean_above - mean >= F.lit(APART) * F.sqrt(spread / 2)
+    upper = ~F.col("metric").isin(*TWO_SIDED) | (2 * above <= F.col("ws"))
+    cuts = cuts.withColumns({"high": F.when(apart & upper, F.col("bucket")), "low": F.when(apart & ~upper, F.col("bucket") + 1)})
+    each = [F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}") for m in METRICS for side in ("high", "low")]
+    return cuts.groupBy("lang", "source").agg(*each)
 
 
 def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
@@ -127,10 +140,11 @@ def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     # The small table's size is known (it was written), so Spark broadcasts it or sorts and merges.
     j = stats.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-    fine = F.lit(True)
-    for name, (m, mid, far, _) in FENCES.items():
-        fine = fine & (F.expr(METRICS[m]) >= F.col(name) if far < mid else F.expr(METRICS[m]) <= F.col(name))
-    return j.withColumn("base_failed", base_failed()).withColumn("kept", F.when(base_failed(), F.lit(False)).otherwise(F.coalesce(fine, F.lit(False))))
+    fine = ~base_failed()
+    for m, value in METRICS.items():
+        at = bucket(F.expr(value))
+        fine = fine & F.coalesce(at <= F.col(f"high_{m}"), F.lit(True)) & F.coalesce(at >= F.col(f"low_{m}"), F.lit(True))
+    return j.withColumn("base_failed", base_failed()).withColumn("kept", fine)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -138,7 +152,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     docs: ``doc_id``, ``text``, ``lang``, ``source``; other columns are ignored.
     A null text has no words and fails; a null language or source is a group
-    of its own. Repeated rows are judged each, ties at a threshold are kept,
+    of its own. Repeated rows are judged each, ties at a threshold stay together,
     and no rows give no rows. Documents that fail the base rules stay out of
     the sketches.
     """
@@ -147,6 +161,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return judged(stats, limits).select("doc_id", *STATS, "base_failed", "kept")
 
 
+@plain_names
 def keep_passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass ``quality_rules``, all columns as given.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import chat_tools, embedding_dedup, mixing, oracles, packing, quality_classifier, quality_rules, ranked_search, sharding, simhash_dedup, substring_dedup, token_counts, url_filter, vector_codes
+from framewise.llm import chat_tools, embedding_dedup, mixing, near_copies, oracles, packing, quality_classifier, quality_rules, ranked_search, sharding, simhash_dedup, substring_dedup, token_counts, url_filter, vector_codes
 from framewise.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -87,7 +87,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, that of the smallest doc_id; rows without doc_id stay."""
-    return simhash_dedup.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

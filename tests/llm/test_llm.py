@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from framewise.llm import chat_tools, embedding_dedup, graph, mixing, packing, quality_classifier, quality_rules, queries, sharding, simhash_dedup, token_counts, tokenizing, url_filter
+from framewise.llm import chat_tools, embedding_dedup, graph, mixing, near_copies, packing, quality_classifier, quality_rules, queries, sharding, simhash_dedup, token_counts, tokenizing, url_filter
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -280,8 +280,10 @@ def test_rules(spark, docs, odd, none):
 
 
 def brute_kept(rows):
-    """``kept`` of (lang, source, text) by the sketches' definition, all merge levels, without Spark."""
+    """``kept`` of (lang, source, text) by the sketches' definition, merged by weight, without Spark."""
     rule = quality_rules
+    place = {"symbols": lambda x: math.log(1 + x / 0.02), "dup_lines": lambda x: math.log(1 + x / 0.2), "repeats": lambda x: math.log(1 + x / 0.05), "mean_word": lambda x: 10 * math.log(x)}
+    bucket = lambda x: math.ceil(math.log(x) / math.log(rule.GAMMA)) if x else -(10**6)
     stats, base = [], []
     for _, _, text in rows:
         n, chars, symbols, dup, rep = brute_stats(text)
@@ -290,34 +292,31 @@ def brute_kept(rows):
         stats.append({"symbols": symbols / n, "dup_lines": dup / lines, "repeats": rep / n, "mean_word": chars / n} if n else {})
     good = [i for i, b in enumerate(base) if not b]
 
-    def members(i):
-        lang, source = rows[i][:2]
-        for fits in (lambda r: r[:2] == (lang, source), lambda r: r[0] == lang, lambda r: True):
-            found = [j for j in good if fits(rows[j])]
-            if len(found) >= rule.MIN_DOCS:
-                return found
-        return good
-
-    def fence(own, metric, mid, far, times):
-        buckets = sorted(math.ceil(math.log(stats[j][metric]) / math.log(rule.GAMMA)) if stats[j][metric] else None or -(10**6) for j in own)
-        at = lambda q, edge: 0.0 if (b := buckets[math.ceil(q * len(own)) - 1]) == -(10**6) else rule.GAMMA ** (b - edge)
-        low = int(far < mid)
-        return at(far, low) + times * (at(far, low) - at(mid, 1 - low))
-
-    kept, known = [], {}
-    for i in range(len(rows)):
-        if base[i]:
-            kept.append(False)
-            continue
-        own = members(i)
-        if (key := tuple(own)) not in known:
-            known[key] = [fence(own, *how) for how in rule.FENCES.values()]
-        kept.append(all(stats[i][m] >= f if far < mid else stats[i][m] <= f for (m, mid, far, _), f in zip(rule.FENCES.values(), known[key], strict=True)))
-    return kept
+    def limits(key, m):
+        count = lambda fits: Counter(bucket(stats[i][m]) for i in good if fits(rows[i]))
+        lend = lambda c: {b: rule.PRIOR * n / sum(c.values()) for b, n in c.items()}
+        add = lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in {*a, *b}}
+        whole = add(count(lambda r: r[:2] == key), lend(add(count(lambda r: r[0] == key[0]), lend(count(lambda r: True)))))
+        at = sorted((b, n, place[m](0 if b == -(10**6) else rule.GAMMA ** (b - 0.5))) for b, n in whole.items())
+        best = None
+        for k in range(1, len(at)):
+            sides = [[(n, y) for _, n, y in part] for part in (at[:k], at[k:])]
+            w = [sum(n for n, _ in p) for p in sides]
+            mean = [sum(n * y for n, y in p) / v for p, v in zip(sides, w, strict=True)]
+            var = [max(sum(n * (y - c) ** 2 for n, y in p) / v, rule.SPREAD**2) for p, v, c in zip(sides, w, mean, strict=True)]
+            between = w[0] * w[1] * (mean[1] - mean[0]) ** 2
+            if best is None or between > best[0] * (1 + 1e-12):
+                best = between, at[k - 1][0], mean[1] - mean[0] >= rule.APART * math.sqrt(sum(var) / 2), m not in rule.TWO_SIDED or w[1] <= w[0]
+        if best is None or not best[2]:
+            return -math.inf, math.inf
+        return (-math.inf, best[1]) if best[3] else (best[1] + 1, math.inf)
+
+    known = {r[:2]: {m: limits(r[:2], m) for m in place} for r in {rows[i][:2]: rows[i] for i in good}.values()}
+    return [not base[i] and all(low <= bucket(stats[i][m]) <= high for m, (low, high) in known[r[:2]].items()) for i, r in enumerate(rows)]
 
 
 def ruled_rows():
-    """Groups over and under ``MIN_DOCS``, a small language, nulls; each with outliers of its own."""
+    """Groups of several sizes, a small language, nulls; each with outliers of its own."""
     rng = np.random.default_rng(6)
     word = lambda n: "".join(rng.choice(list("abcdefghij"), max(1, int(n))))
     rows = []
@@ -339,15 +338,41 @@ def test_rules_kept(spark):
     assert all(0 < sum(want[i] for i in own) < len(own) for s in "ab" if (own := [i for i, r in enumerate(rows) if r[:2] == ("en", s)]))
 
 
-def test_rules_fences_follow_the_group(spark):
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(ruled_rows())], "doc_id long, lang string, source string, text string")
+def _limits(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
     stats = quality_rules.map_texts(df, ["doc_id", "lang", "source"], [quality_rules.T.StructField(s, quality_rules.T.LongType()) for s in quality_rules.STATS], quality_rules._stats_of)
-    lim = {(r["lang"], r["source"]): r for r in quality_rules.thresholds(quality_rules.sketches(stats)).collect()}
-    a, b, c = (lim["en", s] for s in "abc")
-    assert all(a[f] != b[f] for f in quality_rules.FENCES)  # two groups with different spreads
-    assert b["high_mean_word"] - b["low_mean_word"] > 1.5 * (a["high_mean_word"] - a["low_mean_word"])
-    fences = lambda r: [r[f] for f in quality_rules.FENCES]
-    assert fences(c) not in (fences(a), fences(b))  # a small group takes its language's
+    return {(r["lang"], r["source"]): r.asDict() for r in quality_rules.thresholds(quality_rules.sketches(stats)).collect()}
+
+
+def test_rules_fences_follow_the_group(spark):
+    """Sources whose words are as long as another's junk keep them; a small source of junk only is judged as its language."""
+    rng = np.random.default_rng(9)
+    text = lambda n, extra="": " ".join("".join(rng.choice(list("abcdef"), n)) for _ in range(70)) + extra
+    rows = [("en", "short", text(5 if k % 10 else 11)) for k in range(300)] + [("en", "long", text(11)) for _ in range(300)] + [("fr", "junk", text(5, " #" * 30)) for _ in range(10)] + [("fr", "fine", text(5)) for _ in range(300)]
+    lim = _limits(spark, rows)
+    assert lim["en", "short"]["high_mean_word"] is not None and lim["en", "long"]["high_mean_word"] is None
+    assert lim["fr", "junk"]["high_symbols"] == quality_rules.ZERO
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    kept = Counter((rows[r["doc_id"]][1], len(rows[r["doc_id"]][2].split()[0])) for r in quality_rules.quality_rules(df).where("kept").collect())
+    assert kept == {("short", 5): 270, ("long", 11): 300, ("fine", 5): 300}
+
+
+@pytest.mark.parametrize("bad", [0.0, 0.05, 0.2, 0.5])
+def test_rules_follow_the_share_of_bad(spark, bad):
+    """Whatever share of the labelled documents of sf0.1 is bad: 0.9 of the bad go and 0.97 of the good stay."""
+    folder = SF.replace("sf0.001", "sf0.1")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet").where("quality IS NOT NULL"), "doc_id").orderBy("doc_id").collect()
+    ruled = {"good": [], "bad": []}
+    for r in rows:
+        n, *_, rep = brute_stats(r["text"])
+        if n >= 50 and 100 * rep <= 50 * n:
+            ruled["good" if r["quality"] else "bad"].append((r["lang"], r["source"], r["text"], r["quality"]))
+    n_bad = min(len(ruled["bad"]), round(len(ruled["good"]) * bad / (1 - bad)))
+    n_good = len(ruled["good"]) if not bad else round(n_bad * (1 - bad) / bad)
+    some = ruled["good"][:n_good] + ruled["bad"][:n_bad]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(some)], "doc_id long, lang string, source string, text string").repartition(4)
+    kept = Counter(some[r["doc_id"]][3] for r in quality_rules.quality_rules(df).where("kept").collect())
+    assert kept[1] >= 0.97 * n_good and kept[0] <= 0.1 * n_bad
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -647,7 +672,7 @@ def test_keep_one_ids_with_several_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
     want = [(1, "another text", "c"), (1, text, "a"), (2, "a third one", "e"), (3, "", "g"), (None, text, "f")]
     for part in (df, df.repartition(5, "tag")):
-        assert sorted(map(tuple, simhash_dedup.keep_one(part).collect()), key=str) == sorted(want, key=str)
+        assert sorted(map(tuple, near_copies.keep_one(part).collect()), key=str) == sorted(want, key=str)
 
 
 def test_keep_one_recall(spark):
@@ -661,7 +686,7 @@ def test_keep_one_recall(spark):
         for k in range(7):  # spread, so each breaks five shingles of 396: 361 of 431 are shared
             v[30 + 50 * k] = word()
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
-    left = {r["doc_id"] for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = {r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(0, 300, 2)) <= left and len(left) <= 150 + 9
 
 
@@ -675,11 +700,11 @@ def test_keep_one(spark, odd, none):
         v[int(rng.integers(300))] = word()
         rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(v)), (3 * i + 2, " ".join(word() for _ in range(300)))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1))
-    left = {r["doc_id"] for r in simhash_dedup.keep_one(df).collect()}
+    left = {r["doc_id"] for r in near_copies.keep_one(df).collect()}
     assert {r[0] for r in rows if r[0] % 3 != 1} <= left and len([i for i in left if i % 3 == 1]) <= 2
-    out = simhash_dedup.keep_one(odd)
+    out = near_copies.keep_one(odd)
     assert out.columns == odd.columns and sorted([r["doc_id"] for r in out.collect()], key=str) == sorted([1, 2, None, 6], key=str)
-    assert simhash_dedup.keep_one(none).count() == 0
+    assert near_copies.keep_one(none).count() == 0
 
 
 def _edited(rng, base, other, kind, n):
@@ -705,9 +730,9 @@ def test_keep_one_passages(spark, monkeypatch):
     want = {i for i, _ in rows if i % 3 == 0 or not near(i - 1, i)}
     assert all(10 < sum(near(3 * i, 3 * i + 1) for i in range(k, 160, 4)) <= 40 for k in range(4)) and len(want) < len(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash_dedup.keep_one(df).collect()} == want
-    monkeypatch.setattr(simhash_dedup, "BLOCK_SHINGLES", 200)  # the driver's plan then cuts every group
-    assert {r["doc_id"] for r in simhash_dedup.keep_one(df).collect()} == want
+    assert {r["doc_id"] for r in near_copies.keep_one(df).collect()} == want
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 200)  # the driver's plan then cuts every group
+    assert {r["doc_id"] for r in near_copies.keep_one(df).collect()} == want
 
 
 @pytest.mark.parametrize("kind", ["tight", "loose", "two clusters"])
@@ -726,15 +751,15 @@ def test_set_links_of_large_groups(spark, monkeypatch, kind):
     df = spark.createDataFrame(rows, "grp long, nid long, shingles array<long>")
     group = {i: g for g, i, _ in rows}
     near = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if group[i] == group[j] and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))]
-    monkeypatch.setattr(simhash_dedup, "BLOCK_SHINGLES", 1000)
-    links = [(r["src"], r["dst"]) for r in simhash_dedup._set_links(df).collect()]
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 1000)
+    links = [(r["src"], r["dst"]) for r in near_copies._set_links(df).collect()]
     assert components(range(len(sets)), links) == components(range(len(sets)), near)
     # Each row goes to its own block, pivots to every block; near copies need no pairs of blocks.
     taken = []
-    monkeypatch.setattr(simhash_dedup, "_searched", lambda pieces: taken.append(pieces.count()) or spark.createDataFrame(near, "src long, dst long"))
-    simhash_dedup._set_links(df)
+    monkeypatch.setattr(near_copies, "_searched", lambda pieces: taken.append(pieces.count()) or spark.createDataFrame(near, "src long, dst long"))
+    near_copies._set_links(df)
     blocks = -(-sum(len(s) for g, _, s in rows if not g) // 1000)
-    assert taken[0] <= len(rows) + simhash_dedup.PIVOTS * blocks
+    assert taken[0] <= len(rows) + near_copies.PIVOTS * blocks
     assert kind != "tight" or taken[1] == 0
 
 
@@ -749,12 +774,12 @@ def test_keep_one_is_exact_at_the_threshold(spark):
         base, edited = words(104), words(3)  # three single words, far apart: 85 / 115
         rows += [(1000 + 2 * i, " ".join(base)), (1001 + 2 * i, " ".join(base[:20] + edited[:1] + base[21:50] + edited[1:2] + base[51:80] + edited[2:] + base[81:]))]
         want |= {1000 + 2 * i, 1001 + 2 * i}
-    got = {r["doc_id"] for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
     sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 40)), np.uint64)) for _ in range(300)]
     sets += [s[1:] for s in sets[:150]] + sets[:20]
     near = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if len(a) and len(b) and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))]
-    assert dict(enumerate(simhash_dedup.similar_links(sets).tolist())) == components(range(len(sets)), near)
+    assert dict(enumerate(near_copies.similar_links(sets).tolist())) == components(range(len(sets)), near)
 
 
 def test_sharding(spark, docs, odd, none):
