@@ -18,13 +18,14 @@ from framewise.plans.views_sql import with_views
 from framewise.session import scratch_path
 from framewise.sources import tables as S
 from framewise.streaming import streams as T
+from framewise.streaming.feed import Feed, by_batch, replay, written_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 LATIN = ("àâäçèéêëîïíñóôöœßúùûüÀÂÄÇÈÉÊËÎÏÍÑÓÔÖŒÚÙÛÜ", "A-Za-z")
 UNIT = 1_920
-STRETCH = 40
+LOST = 43
 
 
 def query(name: str, sql: str | None = None, *views: str):
@@ -91,17 +92,11 @@ class Views:
     def delayed(self) -> DataFrame:
         return R.delay_pattern(self.codes, 2)
 
-    @property
-    def stretches(self) -> DataFrame:
-        """``code_frames`` in conversations of ``STRETCH`` frames: a stream of them takes as many steps however large the table is."""
-        f = F.col("frame_idx")
-        return self.code_frames.select((F.col("conv_id") * 1_000_000 + F.floor(f / STRETCH)).alias("conv_id"), (f % STRETCH).alias("frame_idx"), "codes")
-
     @property
     def steps(self) -> DataFrame:
-        """The delayed codes of ``stretches``, a row a step, one of them never to come: code 3 of frame 9 in those of even labels."""
-        codes = self.stretches.select("conv_id", "frame_idx", F.posexplode("codes").alias("codebook", "code"))
-        lost = (F.floor(F.col("conv_id") / 1_000_000) % 2 == 0) & (F.col("frame_idx") == 11) & (F.col("codebook") == 3)
+        """The delayed codes of whole conversations, a row a step, one of them never to come: code 3 of frame ``LOST`` in those of even labels."""
+        codes = self.code_frames.select("conv_id", "frame_idx", F.posexplode("codes").alias("codebook", "code"))
+        lost = (F.col("conv_id") % 2 == 0) & (F.col("frame_idx") == LOST + 2) & (F.col("codebook") == 3)
         rows = R.delay_pattern(codes, 2).withColumn("code", F.when(lost, X.PLACEHOLDER).otherwise(F.col("code")))
         by = rows.groupBy("conv_id", "frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("codebook", "code"))).alias("m"))
         codes = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(X.PLACEHOLDER)))
@@ -112,10 +107,10 @@ class Views:
         """Events with ``ts`` as a timestamp."""
         return self.events.withColumn("ts", F.col("ts").cast("timestamp"))
 
-    def stream(self, n: int = 5, flush: bool = True) -> DataFrame:
-        """Events as a stream in ``n`` chunks, and one more that closes all windows."""
+    def feed(self, n: int = 5, flush: bool = True, **values) -> Feed:
+        """Events that arrive in ``n`` chunks, and one more that closes all windows."""
         chunk = T.in_chunks("event_id", self.events, n)
-        return T.arrivals(*T.flushed(self.timed, chunk)) if flush else T.arrivals(self.timed, chunk)
+        return Feed(*T.flushed(self.timed, chunk, **values)) if flush else Feed(self.timed, chunk)
 
     @property
     def logits(self) -> DataFrame:
@@ -182,7 +177,7 @@ def _(v):
 @register("s3_stream_chunks", "SELECT event_id, event_type FROM events")
 def _(v):
     files = T.run_to_table(T.stream_chunks(v.spark, v.dir).select("event_id"))
-    return T.run_to_table(v.stream(flush=False).select("event_id", "event_type")).join(files, "event_id")
+    return replay(lambda s: s.select("event_id", "event_type"), v.feed(flush=False)).join(files, "event_id")
 
 
 @register("s4_manifest_prune", "SELECT DISTINCT user_id AS shard FROM events WHERE (props->>'k')::INT BETWEEN 10 AND 19 ORDER BY 1")
@@ -876,32 +871,33 @@ def _(v):
 
 @register("t1_assemble_frames", f"SELECT session, (sum(s) // {UNIT})::BIGINT AS n_frames, (sum(s) % {UNIT})::BIGINT AS held FROM (SELECT user_id AS session, floor(value * 10)::BIGINT AS s FROM events) GROUP BY 1")
 def _(v):
-    chunks = v.stream(flush=False).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.col("value") * 10).alias("samples"))
-    steps = T.run_to_table(T.assemble_frames(chunks))
+    op = lambda s: T.assemble_frames(s.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.col("value") * 10).alias("samples")))
+    steps = replay(op, v.feed(flush=False))
     return steps.groupBy("session").agg(F.sum("n_frames").alias("n_frames"), F.max_by("held", F.col("first_frame") + F.col("n_frames")).alias("held"))
 
 
-READY = f""", stretches AS (SELECT conv_id * 1000000 + frame_idx // {STRETCH} AS conv_id, frame_idx % {STRETCH} AS frame_idx, codes FROM code_frames),
-       ready AS (SELECT * FROM stretches WHERE NOT (conv_id // 1000000 % 2 = 0 AND frame_idx >= 9))"""
+READY = f", ready AS (SELECT * FROM code_frames WHERE NOT (conv_id % 2 = 0 AND frame_idx >= {LOST}))"
 
 
 @register("t1_release_frames", READY + " SELECT conv_id, frame_idx, array_to_string(codes, ',') AS codes, frame_idx + 1 AS emitted FROM ready", "code_frames")
 def _(v):
-    out = T.run_to_table(T.release_frames(T.arrivals(v.steps, F.floor(F.col("frame_idx") / 5)), 2))
+    out = replay(lambda s: T.release_frames(s, 2), Feed(v.steps, F.floor(F.col("frame_idx") / 5)))
     return out.withColumn("codes", F.array_join(F.col("codes").cast("array<string>"), ","))
 
 
 @register("t2_streaming_energy", "SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')) AS start_micros, event_type, round(sqrt(avg(value * value)), 6) AS rms, count(*) AS n FROM events GROUP BY 1, 2")
 def _(v):
-    return T.run_to_table(T.energy(v.stream(), "6 hours")).withColumn("rms", r("rms"))
+    return replay(lambda s: T.energy(s, "6 hours"), v.feed()).withColumn("rms", r("rms"))
 
 
 @register("t2_sliding_energy", "SELECT epoch_us(time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01')) - k * 10800000000 AS start_micros, event_type, round(sqrt(avg(value * value)), 6) AS rms, count(*) AS n FROM events, unnest([0, 1]) AS u(k) GROUP BY 1, 2")
 def _(v):
-    return T.run_to_table(T.energy(v.stream(), "6 hours", "3 hours")).withColumn("rms", r("rms"))
+    return replay(lambda s: T.energy(s, "6 hours", "3 hours"), v.feed()).withColumn("rms", r("rms"))
 
 
-PAIRED = "SELECT a.event_id AS a_id, b.event_id AS b_id, CASE WHEN b.event_id IS NULL THEN 'PAD' ELSE 'WORD' END AS kind FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS WHERE a.event_type = 'click'"
+SIDE = "(SELECT * FROM events WHERE event_type = '{}')"
+PAIRED = f"""SELECT a.event_id AS a_id, b.event_id AS b_id, CASE WHEN a.event_id IS NULL THEN 'PAD' ELSE 'WORD' END AS own, CASE WHEN b.event_id IS NULL THEN 'PAD' ELSE 'WORD' END AS "user"
+  FROM {SIDE.format("click")} a FULL JOIN {SIDE.format("view")} b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS"""
 
 
 @register("t3_sync_streams", PAIRED)
@@ -910,8 +906,9 @@ def _(v):
 
 
 def _synced(v):
-    side = lambda kind: T.arrivals(*T.flushed(v.timed.where(F.col("event_type") == kind), T.in_chunks("event_id", v.events, 5), user_id=-1))
-    return T.run_to_table(T.sync_streams(side("click"), side("view"), "2 hours")).where("a_id IS NOT NULL")  # without the flushing row
+    side = lambda kind: Feed(*T.flushed(v.timed.where(F.col("event_type") == kind), T.in_chunks("event_id", v.events, 5), user_id=-1))
+    rows = replay(lambda own, user: T.sync_streams(own, user, "2 hours"), side("click"), side("view"))
+    return rows.where("a_id IS NOT NULL OR b_id IS NOT NULL")  # without the flushing rows
 
 
 @register("t3_stream_sync", PAIRED)
@@ -921,29 +918,47 @@ def _(v):
 
 @register("t3_stream_sync_matched", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS WHERE a.event_type = 'click'")
 def _(v):
-    return _synced(v).where("b_id IS NOT NULL").select("a_id", "b_id")
+    return _synced(v).where("a_id IS NOT NULL AND b_id IS NOT NULL").select("a_id", "b_id")
 
 
-@register(
-    "t4_sessions",
-    """, x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-         y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM x)
-       SELECT user_id, epoch_us(min(ts)) AS start_micros, epoch_us(max(ts)) + 21600000000 AS end_micros, count(*) AS n FROM y GROUP BY user_id, run""",
-    "units",
-)
+SESSIONS = """, x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS AND NOT lag({ends}) OVER w THEN 0 ELSE 1 END AS new, {ends} AS ends FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+         y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM x)
+       SELECT user_id, epoch_us(min(ts)) AS start_micros, epoch_us(max(ts)) + CASE WHEN bool_or(ends) THEN 0 ELSE 21600000000 END AS end_micros, count(*) AS n FROM y GROUP BY user_id, run"""
+
+
+@register("t4_sessions", SESSIONS.format(ends="false"), "units")
 def _(v):
-    return T.run_to_table(T.sessions(v.stream()))
+    return replay(lambda s: T.sessions(s), v.feed(user_id=-1))
+
+
+@register("t4_session_end", SESSIONS.format(ends="(event_type = 'error')"), "units")
+def _(v):
+    """A session ends with an error at once, and with a gap."""
+    return replay(lambda s: T.sessions(s, end="error"), v.feed(user_id=-1))
+
+
+@register("t4_session_end_batch", SESSIONS.format(ends="(event_type = 'error')"), "units")
+def _(v):
+    return T.sessions(v.timed, end="error")
+
+
+TASKS = ["click", "error", "purchase", "signup", "view"]
+MEANS = ", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 6) AS \"{t}\"" for t in TASKS)
+RATIO_OF = "max(m) / min(m)"
 
 
 @register(
     "t5_loss_scale_monitor",
-    """, m AS (SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) AS start_micros, avg(value) FILTER (event_type = 'click') AS click, avg(value) FILTER (event_type = 'purchase') AS purchase, avg(value) FILTER (event_type = 'view') AS "view" FROM events GROUP BY 1)
-       SELECT start_micros, round(click, 6) AS click, round(purchase, 6) AS purchase, round("view", 6) AS "view", round(greatest(click, purchase, "view") / least(click, purchase, "view"), 6) AS ratio, greatest(click, purchase, "view") / least(click, purchase, "view") > 1.2 AS alarm FROM m""",
+    f""", e AS (SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) AS start_micros, event_type, value FROM events),
+         m AS (SELECT start_micros, event_type, avg(value) AS m FROM e GROUP BY 1, 2), ratios AS (SELECT start_micros, round({RATIO_OF}, 6) AS ratio, {RATIO_OF} > 1.2 AS alarm FROM m GROUP BY 1)
+       SELECT start_micros, {MEANS}, any_value(ratio) AS ratio, any_value(alarm) AS alarm FROM e JOIN ratios USING (start_micros) GROUP BY 1""",
     "units",
 )
 def _(v):
-    rows = T.run_to_table(T.loss_scale_monitor(v.stream()))
-    return rows.withColumns({c: r(c) for c in ("click", "purchase", "view", "ratio")})
+    """Ratios go to a sink keyed by batch."""
+    rows = replay(lambda s: T.loss_scale_monitor(s, TASKS), v.feed(), mode="update")
+    last = rows.groupBy("start_micros").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("start_micros", "batch"))), "batch").alias("m")).select("start_micros", "m.*")
+    return last.where(" OR ".join(f"{t} IS NOT NULL" for t in TASKS)).withColumns({c: r(c) for c in (*TASKS, "ratio")})  # without the flushing row's window
 
 
 @register("t6_chunk_equals_whole", READY + " SELECT chunk, count(*) AS streamed, count(*) AS whole, 0::BIGINT AS differing FROM ready, unnest([1::BIGINT, 5::BIGINT, 10::BIGINT]) AS u(chunk) GROUP BY 1", "code_frames")
@@ -956,16 +971,30 @@ def _(v):
     return T.chunk_equals_whole(op, v.steps, whole.select("conv_id", "frame_idx", "codes"), {n: F.floor(F.col("frame_idx") / n) for n in (1, 5, 10)})
 
 
+@register("t6_energy_equals_whole", "SELECT chunk, count(*) AS streamed, count(*) AS whole, 0::BIGINT AS differing FROM (SELECT DISTINCT epoch_us(ts) // 21600000000 AS w, event_type FROM events), unnest([3::BIGINT, 7::BIGINT]) AS u(chunk) GROUP BY 1")
+def _(v):
+    """Windows of a stream in 3 and in 7 chunks, against one shot."""
+    op = lambda e: T.energy(e, "6 hours").withColumn("rms", r("rms"))
+    return T.chunk_equals_whole(op, v.timed, op(v.timed), {n: T.in_chunks("event_id", v.events, n) for n in (3, 7)}, close=True)
+
+
 LATE = "CASE WHEN event_id % 10 = 3 THEN 2 WHEN event_id % 10 = 7 THEN 1 ELSE 0 END"
 
 
-@register(
-    "t7_late_rows",
-    f""", e AS (SELECT epoch_us(ts) AS us, epoch_us(ts) // 86400000000 * 86400000000 AS start_micros, (event_id - low) // greatest(1, (high - low + 6) // 6) + {LATE} AS chunk FROM events, (SELECT min(event_id) AS low, max(event_id) AS high FROM events)),
-          m AS (SELECT chunk, max(max(us)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 86400000000 AS mark FROM e GROUP BY 1)
-        SELECT start_micros, count(*) FILTER (mark IS NULL OR start_micros + 86400000000 > mark) AS merged, count(*) FILTER (start_micros + 86400000000 <= mark) AS dropped FROM e JOIN m USING (chunk) GROUP BY 1""",
-    "units",
-)
+LATE_ROWS = f""", e AS (SELECT epoch_us(ts) AS us, epoch_us(ts) // 86400000000 * 86400000000 AS start_micros, (event_id - low) // greatest(1, (high - low + 6) // 6) + {LATE} AS chunk FROM events, (SELECT min(event_id) AS low, max(event_id) AS high FROM events)),
+          m AS (SELECT chunk, row_number() OVER (ORDER BY chunk) - 1 AS batch, max(max(us)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000000 AS mark FROM e GROUP BY 1)"""
+
+
+def _late(v):
+    return T.late_rows(v.timed, T.in_chunks("event_id", v.events, 6) + F.expr(LATE), "1 day", "1 day")
+
+
+@register("t7_late_rows", LATE_ROWS + " SELECT start_micros, count(*) FILTER (mark IS NULL OR start_micros + 86400000000 > mark) AS merged, count(*) FILTER (start_micros + 86400000000 <= mark) AS dropped FROM e JOIN m USING (chunk) GROUP BY 1", "units")
+def _(v):
+    return _late(v)[0]
+
+
+@register("t7_dropped_by_batch", LATE_ROWS + " SELECT batch, count(*) FILTER (start_micros + 86400000000 <= mark) AS dropped FROM e JOIN m USING (chunk) GROUP BY 1 HAVING dropped > 0", "units")
 def _(v):
-    chunk = T.in_chunks("event_id", v.events, 6) + F.expr(LATE)
-    return T.late_rows(v.timed, chunk, "1 day", "1 day")
+    """What the stream itself reports, batch by batch."""
+    return _late(v)[1].where("dropped > 0")

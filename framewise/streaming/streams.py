@@ -2,50 +2,29 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from framewise.functions import text as X
 from framewise.session import scratch_path, written
+from framewise.streaming.feed import Feed, replay
 
 
 def stream_chunks(spark: SparkSession, sf_dir: str, name: str = "events", per_trigger: int = 1) -> DataFrame:
-    """S3: a table's files as they arrive; ``ts`` as a timestamp, as event time wants it."""
+    """S3: a table's files as they arrive; ``ts`` as a timestamp, as event time wants it. Chunks that are cut by a column are a ``Feed``."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path[:-1] + "[t]")  # a pattern: one file or a folder of files
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def arrivals(df: DataFrame, chunk: Column) -> DataFrame:
-    """``df`` as a stream whose rows arrive in the order of ``chunk`` (a whole number): a micro-batch for each of its values.
-
-    The rows are written once, a folder a chunk, and the files' times are set
-    to follow the chunks, as the file source takes older files first. (Stores
-    that keep no times need files that arrive in order by themselves.)
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, "arrivals")
-    rows = df.withColumn("__chunk", chunk.cast("long"))
-    rows.repartition("__chunk").write.partitionBy("__chunk").parquet(path)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folders = sorted((int(p.getName().partition("=")[2]), p) for p in (s.getPath() for s in fs.listStatus(root)) if "=" in p.getName())
-    began = int(time.time() * 1000) - 1000 * len(folders)
-    for k, (_, folder) in enumerate(folders):
-        for f in fs.listStatus(folder):
-            fs.setTimes(f.getPath(), began + 1000 * k, -1)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path).drop("__chunk")
-
-
 def in_chunks(column: str, df: DataFrame, n: int) -> Column:
     """``n`` chunks, 0 to n - 1, of equal ranges of a whole-number column."""
     r = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
@@ -77,55 +56,97 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def assemble_frames(chunks: DataFrame, unit: int = X.FRAME_SAMPLES) -> DataFrame:
+def idle(ttl: str | None) -> int | None:
+    """Milliseconds of a duration like ``90 minutes``; None: state stays."""
+    return None if ttl is None else int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+
+class FrameCounter(StatefulProcessor):
+    """Whole frames given out, and samples that wait for the rest of theirs."""
+
+    def __init__(self, unit: int, ttl: int | None) -> None:
+        self.unit, self.ttl = unit, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("frames", "emitted long, held long", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        emitted, held = self.state.get() or (0, 0)
+        n, held = divmod(held + sum(int(b["samples"].sum()) for b in rows), self.unit)
+        self.state.update((emitted + n, held))
+        yield pd.DataFrame({"session": [key[0]], "first_frame": [emitted], "n_frames": [n], "held": [held]})
+
+
+def assemble_frames(chunks: DataFrame, unit: int = X.FRAME_SAMPLES, ttl: str | None = None) -> DataFrame:
     """Whole frames of each session as chunks arrive, with the partial frame carried on instead of dropped.
 
     chunks: ``session, seq, samples``. A row a chunk batch: ``first_frame``,
-    ``n_frames`` (whole ones), ``held`` (samples that wait).
+    ``n_frames`` (whole ones), ``held`` (samples that wait). The state of a
+    session without chunks for ``ttl`` expires.
     """
+    step = FrameCounter(unit, idle(ttl))
+    return chunks.groupBy("session").transformWithStateInPandas(step, "session long, first_frame long, n_frames long, held long", "Append", "ProcessingTime" if ttl else "None")
+
+
+class FrameReleaser(StatefulProcessor):
+    """Steps of a conversation's codes, kept until the frames they belong to go out.
+
+    Steps are only added to the list that waits, unless a batch has one of
+    the two steps of the frame that all others wait for; then whole frames
+    go out, and the list is written anew without them.
+    """
+
+    def __init__(self, tau: int, k: int, ttl: int | None) -> None:
+        self.tau, self.k, self.ttl = tau, k, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.emitted = handle.getValueState("emitted", "n long", self.ttl)
+        self.held = handle.getListState("held", "frame_idx long, codes array<long>", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        (emitted,) = self.emitted.get() or (0,)
+        if not new["frame_idx"].isin((emitted, emitted + self.tau)).any():
+            self.held.appendList([(int(i), list(map(int, c))) for i, c in zip(new["frame_idx"], new["codes"], strict=True)])
+            return
+        old = list(self.held.get())
+        at = np.array([*(r[0] for r in old), *new["frame_idx"]], np.int64)
+        codes = np.array([*(r[1] for r in old), *new["codes"]], np.int64).reshape(len(at), -1)
+        frames = assembled(at, codes, emitted, self.tau, self.k)
+        waits = (frames == X.PLACEHOLDER).any(axis=1)
+        n = int(waits.argmax()) if waits.any() else len(frames)
+        if n or not old:
+            self.emitted.update((emitted + n,))
+        keep = at >= emitted + n
+        self.held.put([(i, c) for i, c in zip(at[keep].tolist(), codes[keep].tolist(), strict=True)]) if keep.any() else self.held.clear()
+        if n:
+            out = np.arange(emitted, emitted + n)
+            yield pd.DataFrame({"conv_id": key[0], "frame_idx": out, "codes": frames[:n].tolist(), "emitted": out + 1})
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        emitted, held = state.get if state.exists else (0, 0)
-        for b in batches:
-            held += int(b["samples"].sum())
-        n, held = divmod(held, unit)
-        state.update((emitted + n, held))
-        yield pd.DataFrame({"session": [key[0]], "first_frame": [emitted], "n_frames": [n], "held": [held]})
 
-    return chunks.groupBy("session").applyInPandasWithState(step, "session long, first_frame long, n_frames long, held long", "emitted long, held long", "append", "NoTimeout")
+def assembled(at: np.ndarray, codes: np.ndarray, first: int, tau: int, k: int) -> np.ndarray:
+    """Frames from ``first`` on whose own step is there, with placeholders for codes that are not: codebook 0 of each role from a frame's own step, the others from the one ``tau`` later."""
+    head = np.arange(2 * k) % k == 0
+    own = (codes[:, head] != X.PLACEHOLDER).any(axis=1) & (at >= first)  # steps beyond the last frame have none of their own
+    frames = np.full((int((at[own].max(initial=first - 1)) + 1 - first), 2 * k), X.PLACEHOLDER, np.int64)
+    frames[np.ix_(at[own] - first, head)] = codes[np.ix_(own, head)]
+    late = (at - tau >= first) & (at - tau < first + len(frames))
+    frames[np.ix_(at[late] - tau - first, ~head)] = codes[np.ix_(late, ~head)]
+    return frames
 
 
-def release_frames(steps: DataFrame, tau: int, k: int = X.CODEBOOKS) -> DataFrame:
+def release_frames(steps: DataFrame, tau: int, k: int = X.CODEBOOKS, ttl: str | None = None) -> DataFrame:
     """Frames of each conversation as soon as all their codes have come: ``conv_id, frame_idx, codes, emitted``.
 
     steps: ``conv_id, frame_idx, codes`` in the delay pattern, 2 k codes wide:
     codebook 0 of each role belongs to its own frame, the others to the one
     ``tau`` before. Frames whose codes are yet to come, or are placeholders,
-    are held in the state with all after them, as order must be kept.
-    ``emitted`` counts the tokens (one a frame) given out so far.
+    are held with all after them, as order must be kept. ``emitted`` counts the
+    tokens (one a frame) given out so far. The state of a conversation without
+    steps for ``ttl`` expires.
     """
-    head = np.arange(2 * k) % k == 0
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        emitted, held = state.get if state.exists else (0, [])
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
-        pending = np.array(held, np.int64).reshape(-1, 2 * k)
-        for at, codes in zip(rows["frame_idx"], rows["codes"], strict=True):
-            codes = np.asarray(codes, np.int64)
-            if (codes[head] != X.PLACEHOLDER).any():  # steps beyond the last frame have none of their own
-                missing = int(at) + 1 - emitted - len(pending)
-                pending = np.concatenate([pending, np.full((max(0, missing), 2 * k), X.PLACEHOLDER)])
-                pending[int(at) - emitted, head] = codes[head]
-            if 0 <= int(at) - tau - emitted < len(pending):
-                pending[int(at) - tau - emitted, ~head] = codes[~head]
-        waits = np.flatnonzero((pending == X.PLACEHOLDER).any(axis=1))
-        n = int(waits[0]) if len(waits) else len(pending)
-        state.update((emitted + n, pending[n:].ravel().tolist()))
-        if n:
-            at = np.arange(emitted, emitted + n)
-            yield pd.DataFrame({"conv_id": key[0], "frame_idx": at, "codes": [c.tolist() for c in pending[:n]], "emitted": at + 1})
-
-    return steps.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, frame_idx long, codes array<long>, emitted long", "emitted long, held array<long>", "append", "NoTimeout")
+    step = FrameReleaser(tau, k, idle(ttl))
+    return steps.groupBy("conv_id").transformWithStateInPandas(step, "conv_id long, frame_idx long, codes array<long>, emitted long", "Append", "ProcessingTime" if ttl else "None")
 
 
 def energy(events: DataFrame, size: str, slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
@@ -136,37 +157,88 @@ def energy(events: DataFrame, size: str, slide: str | None = None, watermark: st
 
 
 def sync_streams(own: DataFrame, user: DataFrame, within: str = "2 minutes") -> DataFrame:
-    """Own and user events of one user paired within a time; an own event without partner comes out with PAD, once the watermark rules one out."""
+    """Own and user events of one user paired within a time; an event of either side without partner comes out with PAD for the other, once the watermarks rule one out."""
     a = own.select(F.col("user_id").alias("a_user"), F.col("event_id").alias("a_id"), F.col("ts").alias("a_ts"))
     b = user.select(F.col("user_id").alias("b_user"), F.col("event_id").alias("b_id"), F.col("ts").alias("b_ts"))
     if a.isStreaming:
         a, b = a.withWatermark("a_ts", "1 hour"), b.withWatermark("b_ts", "1 hour")
     near = (F.col("a_user") == F.col("b_user")) & (F.col("b_ts") >= F.col("a_ts")) & (F.col("b_ts") <= F.col("a_ts") + F.expr(f"INTERVAL {within}"))
-    return a.join(b, near, "left_outer").select("a_id", "b_id", F.when(F.col("b_id").isNull(), "PAD").otherwise("WORD").alias("kind"))
+    kind = lambda c: F.when(F.col(c).isNull(), "PAD").otherwise("WORD")
+    return a.join(b, near, "full_outer").select("a_id", "b_id", kind("a_id").alias("own"), kind("b_id").alias("user"))
+
+
+class SessionCutter(StatefulProcessor):
+    """Events of a user that belong to sessions still open, in any order; timers close sessions when the watermark reaches their end."""
 
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
 
-def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
-    """T4: dialogue sessions that end after a gap."""
-    e = events.withWatermark("ts", "1 hour") if events.isStreaming else events
-    return e.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start_micros"), F.unix_micros("w.end").alias("end_micros"), "n")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "us long, id long, ends boolean")
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        self.open.appendList([(int(u), int(i), bool(e)) for u, i, e in zip(new["us"], new["id"], new["ends"], strict=True)])
+        for us in {*new.loc[new["ends"], "us"].tolist(), int(new["us"].max()) + self.gap}:
+            self.handle.registerTimer(-(-int(us) // 1000))
+        yield from ()
 
-def loss_scale_monitor(metrics: DataFrame, size: str = "1 day", alarm: float = 1.2) -> DataFrame:
-    """T5: mean a window and task over the mean of the window's tasks; an alarm where one dominates."""
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pd.DataFrame(list(self.open.get()), columns=["us", "id", "ends"]).sort_values(["us", "id"], ignore_index=True)
+        if rows.empty:
+            return
+        first = rows["ends"].shift(fill_value=True) | (rows["us"].diff().fillna(self.gap) >= self.gap)
+        cut = rows.groupby(first.cumsum()).agg(start=("us", "min"), last=("us", "max"), ends=("ends", "last"), n=("us", "size"))
+        end = cut["last"].where(cut["ends"], cut["last"] + self.gap)
+        closed = end <= mark
+        keep = rows[~first.cumsum().map(closed)]
+        self.open.put(list(map(tuple, keep.itertuples(index=False)))) if len(keep) else self.open.clear()
+        if closed.any():
+            yield pd.DataFrame({"user_id": key[0], "start_micros": cut["start"], "end_micros": end, "n": cut["n"]})[closed]
+
+
+SESSION = "user_id long, start_micros long, end_micros long, n long"
+
+
+def sessions(events: DataFrame, gap: str = "6 hours", end: str | None = None) -> DataFrame:
+    """T4: dialogue sessions of a user. One ends after a gap, or with an event of type ``end``: the next event opens another, however soon it comes.
+
+    Events are ordered by ``ts``, then ``event_id``. A stream gives a session
+    out when the watermark reaches its end.
+    """
+    gap_us = int(pd.Timedelta(gap).total_seconds() * 1_000_000)
+    ends = (F.col("event_type") == end) if end else F.lit(False)
+    e = events.select("user_id", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").alias("id"), F.coalesce(ends, F.lit(False)).alias("ends"))
+    if events.isStreaming:
+        return e.withWatermark("ts", "1 hour").groupBy("user_id").transformWithStateInPandas(SessionCutter(gap_us), SESSION, "Append", "EventTime")
+    by = Window.partitionBy("user_id").orderBy("us", "id")  # the events of one user
+    first = F.coalesce(F.lag("ends").over(by) | (F.col("us") - F.lag("us").over(by) >= gap_us), F.lit(True))
+    cut = e.withColumn("first", first).withColumn("run", F.sum(F.col("first").cast("int")).over(by)).groupBy("user_id", "run")
+    rows = cut.agg(F.min("us").alias("start_micros"), F.max("us").alias("last"), F.bool_or("ends").alias("ends"), F.count("*").alias("n"))
+    return rows.select("user_id", "start_micros", F.when(F.col("ends"), F.col("last")).otherwise(F.col("last") + gap_us).alias("end_micros"), "n")
+
+
+def loss_scale_monitor(metrics: DataFrame, tasks: list[str], size: str = "1 day", alarm: float = 1.2) -> DataFrame:
+    """T5: mean a window and task, the largest over the smallest of the window's tasks, and an alarm where one dominates. ``tasks``: any event types; one without events in a window has no mean there."""
     e = metrics.withWatermark("ts", "1 hour") if metrics.isStreaming else metrics
-    means = e.groupBy(F.window("ts", size).alias("w")).agg(*(F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in ("click", "purchase", "view")))
-    high, low = F.greatest("click", "purchase", "view"), F.least("click", "purchase", "view")
-    return means.select(F.unix_micros("w.start").alias("start_micros"), "click", "purchase", "view", (high / low).alias("ratio"), (high / low > alarm).alias("alarm"))
+    means = e.groupBy(F.window("ts", size).alias("w")).agg(*(F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in tasks))
+    each = F.array(*(F.col(f"`{t}`") for t in tasks))
+    ratio = F.array_max(each) / F.array_min(each)
+    return means.select(F.unix_micros("w.start").alias("start_micros"), *(f"`{t}`" for t in tasks), ratio.alias("ratio"), (ratio > alarm).alias("alarm"))
 
 
-def chunk_equals_whole(op: Callable[[DataFrame], DataFrame], df: DataFrame, whole: DataFrame, chunks: dict[int, Column]) -> DataFrame:
+def chunk_equals_whole(op: Callable[[DataFrame], DataFrame], df: DataFrame, whole: DataFrame, chunks: dict[int, Column], close: bool = False) -> DataFrame:
     """For each size of chunk, the rows of ``op`` run on a stream of such chunks, of the one-shot result ``whole``, and those that only one of them has.
 
-    The streams run side by side: a micro-batch of small chunks leaves most cores idle.
+    The streams run side by side: a micro-batch of small chunks leaves most
+    cores idle. ``close``: a last row moves the watermark past all windows.
     """
     df, whole = written(df), written(whole)
     with ThreadPoolExecutor(len(chunks)) as pool:
-        streamed = pool.map(inheritable_thread_target(df.sparkSession)(lambda chunk: run_to_table(op(arrivals(df, chunk)))), chunks.values())
+        feed = lambda chunk: Feed(*flushed(df, chunk)) if close else Feed(df, chunk)
+        streamed = pool.map(inheritable_thread_target(df.sparkSession)(lambda chunk: replay(op, feed(chunk))), chunks.values())
         got = dict(zip(chunks, streamed, strict=True))
     rows = whole.withColumns({"chunk": F.explode(F.array(*map(F.lit, chunks))), "g": F.lit(0), "w": F.lit(1)})
     for size, part in got.items():
@@ -179,17 +251,27 @@ def merged_counts(events: DataFrame, size: str = "1 day", watermark: str = "1 ho
     """Rows a window that came in time: ``start_micros, merged``.
 
     On a stream, rows of a window that the watermark has passed are dropped.
-    The watermark that a micro-batch holds its rows against is that of the
-    newest row two batches before: Spark lets rows of the batch right before
-    still be late together with its own.
+    The watermark that a chunk's rows are held against is that of the newest
+    row of all chunks before: ``replay`` waits until a chunk is dealt with, so
+    Spark has moved the watermark on. An event that comes twice counts
+    once; that step looks at single rows, so Spark's own count of what the
+    watermark dropped there is one of rows, not of partial sums.
     """
     e = events.withWatermark("ts", watermark) if events.isStreaming else events
-    return e.groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("merged")).select(F.unix_micros("w.start").alias("start_micros"), "merged")
+    rows = e.select("event_id", F.window("ts", size).alias("w")).dropDuplicates(["event_id", "w"])
+    return rows.groupBy("w").agg(F.count("*").alias("merged")).select(F.unix_micros("w.start").alias("start_micros"), "merged")
+
+
+def dropped_rows(progress: list[dict]) -> dict[int, int]:
+    """Rows that the watermark dropped in each micro-batch with input, from 0, by Spark's progress reports: the largest count of its operators, as a row is dropped by the first that sees it."""
+    return dict(enumerate(max((o["numRowsDroppedByWatermark"] for o in p["stateOperators"]), default=0) for p in progress if p["numInputRows"]))
 
 
-def late_rows(events: DataFrame, chunk: Column, size: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    """The late-data rule by window: rows merged by a stream that gets them in the order of ``chunk``, and rows dropped as late."""
+def late_rows(events: DataFrame, chunk: Column, size: str = "1 day", watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """The late-data rule. (``start_micros, merged, dropped``: rows by window that a stream, which gets them in the order of ``chunk``, merged and dropped as late; ``batch, dropped``: what the stream itself reports, written as a table)."""
     every = merged_counts(events, size).withColumnRenamed("merged", "n")
-    streamed = run_to_table(merged_counts(arrivals(*flushed(events, chunk)), size, watermark))
+    reports: list[dict] = []
+    streamed = replay(lambda s: merged_counts(s, size, watermark), Feed(*flushed(events, chunk)), progress=reports)
     j = every.join(streamed, "start_micros", "left")
-    return j.select("start_micros", F.coalesce("merged", F.lit(0)).alias("merged"), (F.col("n") - F.coalesce("merged", F.lit(0))).alias("dropped"))
+    by_window = j.select("start_micros", F.coalesce("merged", F.lit(0)).alias("merged"), (F.col("n") - F.coalesce("merged", F.lit(0))).alias("dropped"))
+    return by_window, written(events.sparkSession.createDataFrame(sorted(dropped_rows(reports).items()), "batch long, dropped long"))  # a row a micro-batch
