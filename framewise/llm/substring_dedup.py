@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import map_texts, materialize, release, small_batches
+from framewise.llm.common import materialize, small_batches
 
 #: Words of a window: what repeats at this length or more is removed.
 WINDOW = 13
@@ -91,32 +91,38 @@ class _Hashes(dict):
         return h
 
 
-def anchors(words: list[bytes], window: int, hashes: _Hashes) -> np.ndarray:
-    """An anchor for each window: the least hash of the runs of ``(window + 1) // 2`` words within it.
+def anchors(bodies: list[list[bytes]], window: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, body, place among the words of all bodies) of each window of each body, in order.
 
-    It depends on the window's words only, so equal windows have equal
-    anchors, and neighbouring windows mostly share one.
+    The anchor is the least hash of the runs of ``(window + 1) // 2`` words
+    within the window. It depends on the window's words only, so equal windows
+    have equal anchors, and neighbouring windows mostly share one.
     """
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    windows = np.maximum(n - window + 1, 0)
+    total, count = int(n.sum()), int(windows.sum())
+    body = np.repeat(np.arange(len(n)), windows)
+    at = np.arange(count) + np.repeat(np.cumsum(n) - n - (np.cumsum(windows) - windows), windows)
+    if not count:
+        return np.zeros(0, np.uint64), body, at
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(bodies)), np.uint64, total)
     k = (window + 1) // 2
-    g = h[: len(h) - k + 1].copy()
+    g = h[: total - k + 1].copy()
     for j in range(1, k):
         g = (g ^ (g >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(g)]
     for shift in (31, 29):
         g = (g ^ (g >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
-    least = g[:n].copy()
+    least = g[: total - window + 1].copy()
     for j in range(1, window - k + 1):
-        np.minimum(least, g[j : j + n], out=least)
-    return least
+        np.minimum(least, g[j : j + len(least)], out=least)
+    return least[at], body, at
 
 
-def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of equal values."""
-    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-    return start, np.diff(np.r_[start, len(x)])
+def runs(*x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of rows that are equal in all arrays."""
+    n = len(x[0])
+    start = np.flatnonzero(np.r_[True, np.logical_or.reduce([a[1:] != a[:-1] for a in x])]) if n else np.zeros(0, np.int64)
+    return start, np.diff(np.r_[start, n])
 
 
 def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,16 +174,14 @@ def shared_anchors(texts: DataFrame, window: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, a, d, held = _Hashes(), [], [], 0
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                found = np.unique(anchors(t.split(), window, hashes))
-                if not len(found):
-                    continue
-                a.append(found)
-                d.append(np.full(len(found), i, np.int64))
-                held += len(found)
-                if held >= FLUSH:
-                    yield from packs(a, d)
-                    a, d, held = [], [], 0
+            found, row, _ = anchors([t.split() for t in b.column("text").to_pylist()], window, hashes)
+            start, _ = runs(found, row)
+            a.append(found[start])
+            d.append(b.column("doc_id").to_numpy()[row[start]])
+            held += len(start)
+            if held >= FLUSH:
+                yield from packs(a, d)
+                a, d, held = [], [], 0
         if held:
             yield from packs(a, d)
 
@@ -227,13 +231,18 @@ def _regions(texts: DataFrame, shared: DataFrame, window: int) -> DataFrame:
         hashes, bitmap = _Hashes(), held.value
         mask = np.uint64(8 * len(bitmap) - 1)
         for b in batches:
-            rows = []
-            for i, x, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "x", "text")), strict=True):
-                words = t.split()
-                at = anchors(words, window, hashes) & mask
-                for start, n in zip(*spans(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1), strict=True):
-                    body = b" ".join(words[start : start + n + window - 1])
-                    rows.append((i, x, start, n, *_digest(body), body))
+            rows, texts = [], [t.split() for t in b.column("text").to_pylist()]
+            found, row, at = anchors(texts, window, hashes)
+            bit = found & mask
+            some = np.flatnonzero(bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+            start, length = runs(row[some], at[some] - np.arange(len(some)))  # windows next to one another in a text
+            first = np.r_[0, np.cumsum([len(t) for t in texts])]
+            ids, x = b.column("doc_id").to_pylist(), b.column("x").to_pylist()
+            for k, n in zip(some[start].tolist(), length.tolist(), strict=True):
+                r = int(row[k])
+                s = int(at[k] - first[r])
+                body = b" ".join(texts[r][s : s + n + window - 1])
+                rows.append((ids[r], x[r], s, n, *_digest(body), body))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=[f.split()[0] for f in _PIECE.split(", ")])
 
@@ -246,20 +255,16 @@ def _cells(bodies: DataFrame, window: int, kind: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            out = []
-            for rid, body in zip(b.column("rid").to_pylist(), b.column("body").to_pylist(), strict=True):
-                words = body.split()
-                if kind == "window":
-                    n = len(words) - window + 1
-                    key = np.array([_digest(b" ".join(words[i : i + window]))[0] for i in range(n)], np.int64)
-                    start, length = np.arange(n), np.ones(n, np.int64)
-                else:
-                    key = anchors(words, window, hashes)
-                    start, length = runs(key)
-                    key = key[start].view(np.int64)
-                out.append((np.full(len(start), rid), start, length, key))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*out, strict=True), (np.int64, np.int32, np.int32, np.int64), strict=True)], names=["rid", "at", "n", "key"])
+            rid, texts = b.column("rid").to_numpy(), [t.split() for t in b.column("body").to_pylist()]
+            key, row, at = anchors(texts, window, hashes)
+            at = at - (np.r_[0, np.cumsum([len(t) for t in texts])][row])
+            if kind == "window":
+                key = np.array([_digest(b" ".join(texts[r][i : i + window]))[0] for r, i in zip(row.tolist(), at.tolist(), strict=True)], np.int64)
+                start, length = np.arange(len(row)), np.ones(len(row), np.int64)
+            else:
+                start, length = runs(key, row)
+            columns = (rid[row[start]], at[start].astype(np.int32), length.astype(np.int32), key[start].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rid", "at", "n", "key"])
 
     return bodies.select("rid", "body").mapInArrow(cut, "rid long, at int, n int, key long")
 

@@ -89,7 +89,7 @@ def test_anchor_filter_holds_every_shared_anchor(spark):
     got = dict(map(tuple, shared.collect()))
     want = {}
     for i, t in rows:
-        for a in set(substring_dedup.anchors(t.encode().split(), 13, substring_dedup._Hashes()).view(np.int64).tolist()):
+        for a in set(substring_dedup.anchors([t.encode().split()], 13, substring_dedup._Hashes())[0].view(np.int64).tolist()):
             want.setdefault(a, set()).add(i)
     assert got == {a: min(ids) for a, ids in want.items() if len(ids) > 1}
     bitmap = substring_dedup._filter(shared)
