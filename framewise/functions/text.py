@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the data model.
@@ -103,3 +103,32 @@ def check(name: str, text: Column) -> Column:
 register_check("script", script_ratio)
 register_check("english", english_ratio)
 register_check("word_limit", word_limit_compliance)
+
+
+#: F1-F5 as SQL functions of a text: name, result type and body. A body uses those before it.
+SQL_CHECKS = {
+    "spoken_words": ("ARRAY<STRING>", "filter(split(text, '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), w -> w <> '')"),
+    "script_ratio": ("DOUBLE", "CASE WHEN regexp_count(text, concat('[', wanted, others, ']')) > 0 THEN regexp_count(text, concat('[', wanted, ']')) / regexp_count(text, concat('[', wanted, others, ']')) ELSE 0D END"),
+    "english_ratio": ("DOUBLE", "CASE WHEN regexp_count(text, concat('[', wanted, others, ']')) > 0 THEN 1 - script_ratio(text, wanted, others) ELSE 0D END"),
+    "word_limit": ("DOUBLE", "CASE WHEN size(spoken_words(text)) <= most THEN 1D ELSE most / size(spoken_words(text)) END"),
+    "is_blank": ("BOOLEAN", "text RLIKE '^[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]*$'"),
+    "repetition_rate": (
+        "DOUBLE",
+        "aggregate(array(spoken_words(text)), 0D, (s, w) -> CASE WHEN size(w) < n + 1 THEN 0D ELSE 1 - size(array_distinct(transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' ')))) / (size(w) - n + 1) END)",
+    ),
+}
+SQL_ARGUMENTS = {
+    "script_ratio": "text STRING, wanted STRING DEFAULT '가-힣', others STRING DEFAULT 'A-Za-z'", "english_ratio": "text STRING, wanted STRING DEFAULT '가-힣', others STRING DEFAULT 'A-Za-z'",
+    "word_limit": "text STRING, most INT DEFAULT 10", "repetition_rate": "text STRING, n INT DEFAULT 3",
+}
+
+
+def register_sql_check(spark: SparkSession, name: str, body: str, returns: str = "DOUBLE", arguments: str = "text STRING") -> None:
+    """A temporary SQL function of this session: a check that ``spark.sql`` queries call by name. Spark puts its body in their plans, so there is nothing to call at run time."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
+
+
+def register_sql(spark: SparkSession) -> None:
+    """F1-F5 as SQL functions."""
+    for name, (returns, body) in SQL_CHECKS.items():
+        register_sql_check(spark, name, body, returns, SQL_ARGUMENTS.get(name, "text STRING"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
+from framewise.operators.ranks import BLOCK, numbered, scanned
 
 
 def align_words(words: DataFrame, horizon: DataFrame) -> DataFrame:
@@ -16,17 +17,17 @@ def align_words(words: DataFrame, horizon: DataFrame) -> DataFrame:
     words: ``conv_id, word, start_frame`` and an order ``turn, word_idx``;
     horizon: ``conv_id, n_frames``. Frames without a word are PAD.
     """
-    by = Window.partitionBy("conv_id").orderBy("start_frame", "turn", "word_idx")
-    i = F.row_number().over(by)
-    moved = words.withColumn("i", i).withColumn("frame_idx", F.col("i") + F.max(F.col("start_frame") - F.col("i")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["start_frame", "turn", "word_idx"]
+    placed = numbered(words, ["conv_id"], F.floor(F.col("start_frame") / BLOCK), order, "i")
+    moved = scanned(placed, ["conv_id"], "start_frame", order, ahead=("max", F.col("start_frame") - F.col("i"))).withColumn("frame_idx", F.col("i") + F.col("ahead"))
     spine = horizon.where("n_frames > 0").select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames") - 1)).alias("frame_idx"))
     return spine.join(moved.select("conv_id", "frame_idx", "word"), ["conv_id", "frame_idx"], "left").select("conv_id", "frame_idx", F.when(F.col("word").isNull(), "PAD").otherwise("WORD").alias("kind"), "word")
 
 
 def mark_epad(frames: DataFrame) -> DataFrame:
     """PAD right before a word becomes EPAD."""
-    after = F.lead("kind").over(Window.partitionBy("conv_id").orderBy("frame_idx"))
-    return frames.withColumn("kind", F.when((F.col("kind") == "PAD") & after.eqNullSafe("WORD"), "EPAD").otherwise(F.col("kind")))
+    rows = scanned(frames, ["conv_id"], "frame_idx", ["frame_idx"], __after=("next", F.col("kind")))
+    return rows.withColumn("kind", F.when((F.col("kind") == "PAD") & F.col("__after").eqNullSafe("WORD"), "EPAD").otherwise(F.col("kind"))).drop("__after")
 
 
 def interleave_pad(tokens: DataFrame, ratio: float, seed: int) -> DataFrame:
@@ -100,10 +101,9 @@ def undelay_text(frames: DataFrame, codes: DataFrame, seconds: float) -> tuple[D
 
 
 def complete_prefix(codes: DataFrame) -> DataFrame:
-    """Frames before the first that holds a placeholder are ready, the rest wait."""
-    whole = codes.groupBy("conv_id", "frame_idx").agg(F.max((F.col("code") == X.PLACEHOLDER).cast("int")).alias("open"))
-    run = F.max("open").over(Window.partitionBy("conv_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0))
-    return whole.select("conv_id", "frame_idx", (run == 0).alias("ready"))
+    """Frames before the first that holds a placeholder are ready, the rest wait: one frame a conversation decides, so nothing is sorted."""
+    first = codes.where(F.col("code") == X.PLACEHOLDER).groupBy("conv_id").agg(F.min("frame_idx").alias("__open"))
+    return codes.select("conv_id", "frame_idx").distinct().join(first, "conv_id", "left").select("conv_id", "frame_idx", F.coalesce(F.col("frame_idx") < F.col("__open"), F.lit(True)).alias("ready"))
 
 
 def split_roles(frames: DataFrame, k: int = X.CODEBOOKS) -> DataFrame:
@@ -198,11 +198,11 @@ def drop_prompt(frames: DataFrame, n: int) -> DataFrame:
 
 def loss_weights(frames: DataFrame, pad: float = 0.3, transition: float = 2.0) -> DataFrame:
     """Zone A 0, stream PAD ``pad``, else 1; where speech begins or ends, times ``transition``. frames: ``conv_id, frame_idx, kind, zone``."""
-    by = Window.partitionBy("conv_id").orderBy("frame_idx")
-    speech = lambda c: c == "WORD"
-    turn = speech(F.col("kind")) != F.coalesce(speech(F.lag("kind").over(by)), speech(F.col("kind")))
+    speech = lambda c: F.col(c) == "WORD"
+    turn = speech("kind") != F.coalesce(speech("__before"), speech("kind"))
     base = F.when(F.col("zone") == "A", 0.0).when(F.col("kind") == "PAD", pad).otherwise(1.0)
-    return frames.withColumn("weight", base * F.when(turn, transition).otherwise(1.0))
+    rows = scanned(frames, ["conv_id"], "frame_idx", ["frame_idx"], __before=("prev", F.col("kind")))
+    return rows.withColumn("weight", base * F.when(turn, transition).otherwise(1.0)).drop("__before")
 
 
 def audio_weights(codes: DataFrame, acoustic: float = 0.02) -> DataFrame:

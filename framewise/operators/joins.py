@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
-from framewise.operators.ranks import by_hash
+from framewise.operators.ranks import by_hash, scanned
 from framewise.session import written
 
 
@@ -29,18 +29,50 @@ def signal_error(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg((F.max(F.abs(F.col("x") - F.col("y"))) / F.sqrt(F.avg(F.col("y") * F.col("y")))).alias("error"))
 
 
+#: Frames of a time bin of interval joins: some 20 seconds.
+BIN = 256
+
+
+def binned(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """``rows`` once for each time bin (``bin``) that frames ``start`` to ``end`` (exclusive) touch."""
+    low = F.floor(F.col(start) / BIN)
+    return rows.withColumn("bin", F.explode(F.sequence(low, F.greatest(low, F.floor((F.col(end) - 1) / BIN)))))
+
+
 def overlaps(segments: DataFrame) -> DataFrame:
-    """Times that assistant and user segments share. The conversation is the equi key, so it never is a nested loop.
+    """Times that assistant and user segments share.
 
-    ``kind``: backchannel if the user's segment lies within the assistant's, barge_in if the user starts within it, else overlap.
+    Segments meet within time bins of a conversation, so what is looked at
+    grows with the segments of a conversation, not with their pairs; a pair
+    counts in its first shared bin. ``kind``: backchannel if the user's
+    segment lies within the assistant's, barge_in if the user starts within
+    it, else overlap.
     """
     a = segments.where("role = 'assistant'").select("conv_id", F.col("turn").alias("a_turn"), F.col("start_frame").alias("a0"), F.col("end_frame").alias("a1"))
     u = segments.where("role = 'user'").select("conv_id", F.col("turn").alias("u_turn"), F.col("start_frame").alias("u0"), F.col("end_frame").alias("u1"))
-    j = a.join(u, "conv_id").where("a0 < u1 AND u0 < a1")
+    j = binned(a, "a0", "a1").join(binned(u, "u0", "u1"), ["conv_id", "bin"]).where("a0 < u1 AND u0 < a1").where(F.col("bin") == F.floor(F.greatest("a0", "u0") / BIN))
     kind = F.when((F.col("u0") >= F.col("a0")) & (F.col("u1") <= F.col("a1")), "backchannel").when(F.col("u0") >= F.col("a0"), "barge_in").otherwise("overlap")
     return j.select("conv_id", "a_turn", "u_turn", F.greatest("a0", "u0").alias("start_frame"), F.least("a1", "u1").alias("end_frame"), kind.alias("kind"))
 
 
+def merged_intervals(spans: DataFrame) -> DataFrame:
+    """``conv_id, start_frame, end_frame`` of the intervals that ``spans`` cover together: a sweep in the order of their starts, where one begins that no earlier one reaches."""
+    once = spans.where("start_frame < end_frame").groupBy("conv_id", "start_frame").agg(F.max("end_frame").alias("end_frame"))
+    along = (["conv_id"], "start_frame", ["start_frame"])
+    rows = scanned(once, *along, reach=("max", F.col("end_frame")))
+    rows = scanned(rows, *along, before=("prev", F.col("reach")))
+    rows = scanned(rows, *along, run=("sum", F.when(F.coalesce(F.col("before") >= F.col("start_frame"), F.lit(False)), 0).otherwise(1)))
+    return rows.groupBy("conv_id", "run").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame")).drop("run")
+
+
+def within_intervals(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows of ``points`` (``conv_id, frame_idx``, further columns) that lie in one of ``spans``: a semi-join by time bin with the merged intervals, of which a bin has few."""
+    i = binned(merged_intervals(spans), "start_frame", "end_frame").select(F.col("conv_id").alias("__conv"), F.col("bin").alias("__bin"), "start_frame", "end_frame")
+    i = i.withColumnsRenamed({"start_frame": "__from", "end_frame": "__to"})
+    inside = (F.col("conv_id") == F.col("__conv")) & (F.floor(F.col("frame_idx") / BIN) == F.col("__bin")) & (F.col("frame_idx") >= F.col("__from")) & (F.col("frame_idx") < F.col("__to"))
+    return points.join(i, inside, "left_semi")
+
+
 def event_alignment(teacher: DataFrame, student: DataFrame, tolerance: int) -> DataFrame:
     """The nearest student event within ``tolerance`` frames, ties to the earlier; nulls where there is none.
 
@@ -100,29 +132,70 @@ def gram_hashes(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.select(*keys, w.alias("w")).where(F.size("w") >= n).select(*keys, F.explode(grams).alias("h"))
 
 
+#: Bits of the filter of held-out n-grams, as a power of two: 16 MB in blocks of 4 kB.
+FILTER_BITS = 27
+
+
+def maybe_held(grams: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of ``grams`` whose hash ``h`` may be in ``held``: none of these is lost, others pass as rarely as the filter has bits set.
+
+    The filter is a bit a remainder of a hash, in blocks, so it has the same
+    bounded size whatever is held out, and is broadcast where the hashes are
+    too many. What passes is still to be joined.
+    """
+    at = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bits = held.groupBy(F.shiftright(at, 15).alias("block")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(0x7FFF))).alias("bitmap"))
+    byte = F.conv(F.hex(F.expr(f"substring(bitmap, cast((h & {0x7FFF}) div 8 + 1 AS int), 1)")), 16, 10).cast("int")
+    rows = grams.withColumn("block", F.shiftright(at, 15)).join(F.broadcast(written(bits)), "block")
+    return rows.withColumn("__byte", byte).where(F.expr("(__byte div cast(power(2, h & 7) AS int)) % 2 = 1")).select(*grams.columns)
+
+
 def leak_flags(train: DataFrame, probe: DataFrame, n: int = 8) -> DataFrame:
     """``train`` with ``leaks``: whether a document shares a word n-gram with held-out items.
 
     The held-out side is written, so Spark knows whether it can be broadcast;
-    then only hits among the training n-grams are ever shuffled. Documents
+    then only hits among the training n-grams are ever shuffled. Where it is
+    larger than Spark broadcasts, a filter of bounded size goes before the
+    shuffle (see ``maybe_held``), so it is again the hits that move. Documents
     whose hashes hit are compared by the n-grams themselves.
     """
+    spark = train.sparkSession
     held = written(gram_hashes(probe, [], n).distinct())
-    maybe = written(gram_hashes(train, ["doc_id"], n).join(held, "h", "left_semi").select("doc_id").distinct())
+    grams = gram_hashes(train, ["doc_id"], n)
+    if 8 * held.count() > size_limit(spark):
+        grams = maybe_held(grams, held)
+    maybe = written(grams.join(held, "h", "left_semi").select("doc_id").distinct())
     grams = word_grams(train.join(maybe, "doc_id", "left_semi"), "doc_id", n)
     hit = grams.join(word_grams(probe, "item_id", n).select("gram").distinct(), "gram", "left_semi").select("doc_id").distinct()
     return train.join(written(hit.withColumn("__hit", F.lit(True))), "doc_id", "left").withColumn("leaks", F.col("__hit").isNotNull()).drop("__hit")
 
 
+def size_limit(spark: SparkSession) -> int:
+    """Bytes up to which Spark broadcasts a table; -1 where it never does."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def disjoint_from(train: DataFrame, probe: DataFrame, n: int = 8) -> tuple[DataFrame, DataFrame]:
     """(leaks, clean): training documents that share a word n-gram with held-out items, and all others."""
     flagged = leak_flags(train, probe, n)
     return flagged.where("leaks").drop("leaks"), flagged.where("NOT leaks").drop("leaks")
 
 
-def reconcile(source: DataFrame, target: DataFrame, pattern: str, replacement: str, allowed: list[str]) -> DataFrame:
-    """Ledger of two catalogs ``key, shape``: source keys are mapped, then copied, mismatched, kept (target only) or unused (source only); ``failed`` unless the key is a known gap."""
-    s = source.select(F.regexp_replace("key", pattern, replacement).alias("key"), F.col("shape").alias("source_shape"))
+def mapped_key(key: Column, pattern: str, replacement: str, offset: int = 0) -> Column:
+    """``key`` with what fits ``pattern`` replaced; ``{n}`` in the replacement is the pattern's first group, a number, plus ``offset``. A key that doesn't fit stays."""
+    number = F.regexp_extract(key, pattern, 1) if "{n}" in replacement else F.lit("")
+    shifted = F.coalesce((F.when(number != "", number).cast("long") + offset).cast("string"), F.lit(""))
+    return F.when(key.rlike(pattern), F.replace(F.regexp_replace(key, pattern, replacement), F.lit("{n}"), shifted)).otherwise(key)
+
+
+def reconcile(source: DataFrame, target: DataFrame, pattern: str, replacement: str, allowed: list[str], offset: int = 0) -> DataFrame:
+    """Ledger of two catalogs ``key, shape``: source keys are mapped (see ``mapped_key``), then copied, mismatched, kept (target only) or unused (source only); ``failed`` unless the key is a known gap.
+
+    With an offset, a table of a role takes the source table as many places
+    further on; a target key that two sources would map to can't arise, as
+    numbers stay distinct.
+    """
+    s = source.select(mapped_key(F.col("key"), pattern, replacement, offset).alias("key"), F.col("shape").alias("source_shape"))
     j = s.join(target.withColumnRenamed("shape", "target_shape"), "key", "full_outer")
     status = F.when(F.col("source_shape").isNull(), "kept").when(F.col("target_shape").isNull(), "unused").when(F.col("source_shape") == F.col("target_shape"), "copied").otherwise("mismatched")
     return j.withColumn("status", status).select("key", "status", ((F.col("status") != "copied") & ~F.col("key").isin(*allowed)).alias("failed"))

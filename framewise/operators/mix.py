@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
-from framewise.operators.ranks import by_hash
+from framewise.operators.ranks import by_hash, hash_bits
 
 
 def single_turn_pairs(conv: DataFrame) -> DataFrame:
@@ -34,6 +34,22 @@ def quality_filter(samples: DataFrame, max_error: float) -> tuple[DataFrame, Dat
     return samples.where(fits), samples.where(~fits)
 
 
+def filters_agree(samples: DataFrame, filters: dict[str, DataFrame]) -> DataFrame:
+    """Distinct ``samples`` with a ``verdict``: kept_by_all of ``filters`` (kept rows, by name; INTERSECT), or dropped_by the only one that drops them (EXCEPT)."""
+    kept = None
+    for rows in filters.values():
+        kept = rows if kept is None else kept.intersect(rows)
+    out = kept.withColumn("verdict", F.lit("kept_by_all"))
+    for name, rows in filters.items():
+        others = None
+        for other, r in filters.items():
+            if other != name:
+                others = r if others is None else others.intersect(r)
+        alone = (samples.distinct() if others is None else others).exceptAll(rows.distinct())
+        out = out.unionByName(alone.withColumn("verdict", F.lit(f"dropped_by_{name}")))
+    return out
+
+
 def language_ramp(corpus: DataFrame, target: str, stages: list[float]) -> DataFrame:
     """Members of each stage: all other languages, and so much of ``target`` that it is a share of the stage.
 
@@ -58,16 +74,17 @@ def mixture_plan(items: DataFrame, batches: int, floor: float) -> DataFrame:
 def hour_budget(corpus: DataFrame, budgets: list[float]) -> DataFrame:
     """Nested subsets by running hours in hash order: a row a document and budget it is in.
 
-    Two levels, so no task sorts the corpus: sums of the hash's 256 buckets
-    first, then a running sum within each. corpus: ``doc_id, hours``.
+    Two levels, so no task sorts the corpus: sums of the hash's buckets first,
+    as many as the rows ask for, then a running sum within each. corpus:
+    ``doc_id, hours``.
     """
     h = X.hash32(F.col("doc_id").cast("string"))
-    rows = corpus.withColumn("h", h).withColumn("bucket", F.floor(F.col("h") / 2**24))
+    rows = corpus.withColumn("h", h).withColumn("bucket", F.floor(F.col("h") / 2 ** (32 - hash_bits(corpus.count()))))
     sums = rows.groupBy("bucket").agg(F.sum("hours").alias("s"))
-    before = F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # 256 rows
+    before = F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row a bucket
     start = sums.select("bucket", before.alias("before"))
     run = F.sum("hours").over(Window.partitionBy("bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    at = rows.withColumn("run", run).join(F.broadcast(start), "bucket").withColumn("until", F.col("before") + F.col("run"))
+    at = rows.withColumn("run", run).join(start, "bucket").withColumn("until", F.col("before") + F.col("run"))
     each = at.withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
     return each.where("round(until, 6) <= budget").select("budget", "doc_id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,51 @@ def numbered(df: DataFrame, by: list[str], bucket: Column, order: list[Column |
     return rows.withColumn("__w", within).join(starts, same).select(*df.columns, (F.col("__start") + F.col("__w")).cast("long").alias(name))
 
 
+def hash_bits(n: int) -> int:
+    """Bits of a hash that part ``n`` rows into buckets of ``FEW`` rows, in 256 buckets at least."""
+    return min(32, max(8, math.ceil(math.log2(max(1, n) / FEW))))
+
+
 def by_hash(df: DataFrame, by: list[str], key: str, name: str = "place") -> DataFrame:
-    """``numbered`` in the order of a hash of ``key``, in 256 buckets."""
+    """``numbered`` in the order of a hash of ``key``, in as many buckets as the rows ask for."""
     h = X.hash32(F.col(key).cast("string"))
-    return numbered(df, by, F.floor(h / 2**24), [h, key], name)
+    return numbered(df, by, F.floor(h / 2 ** (32 - hash_bits(df.count()))), [h, key], name)
+
+
+#: Places of an order that one block of a two-level scan covers.
+BLOCK = 4096
+
+
+def scanned(df: DataFrame, by: list[str], at: str, order: list[str], block: int = BLOCK, **scans: tuple[str, Column]) -> DataFrame:
+    """``df`` with a column for each of ``scans``: (kind, column), along ``order`` within ``by``, without a task that sees all rows of a group.
+
+    kind: ``max`` or ``sum`` of all rows up to this one, itself included, or
+    the value of the row before (``prev``) or after (``next``). ``at`` is the
+    whole number that ``order`` begins with. Ranges of it make blocks: a
+    block's summary is one row, the summaries are scanned, and a row needs
+    besides only the rows of its own block.
+    """
+    rows = df.withColumn("__b", F.floor(F.col(at) / block))
+    place = F.struct(*order)
+    ends = {"max": F.max, "sum": F.sum, "prev": lambda c: F.max_by(F.struct(c.alias("v")), place), "next": lambda c: F.min_by(F.struct(c.alias("v")), place)}
+    made = rows.groupBy(*by, "__b").agg(*(ends[kind](c).alias(name) for name, (kind, c) in scans.items()))
+    line = Window.partitionBy(*by).orderBy("__b")  # a row a block
+    earlier, later = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    outside = {"max": lambda c: F.max(c).over(earlier), "sum": lambda c: F.sum(c).over(earlier), "prev": lambda c: F.last(c).over(earlier), "next": lambda c: F.first(c).over(later)}
+    carry = made.select(*(F.col(c).alias(f"__{c}") for c in [*by, "__b"]), *(outside[kind](name).alias(f"__of_{name}") for name, (kind, _) in scans.items()))
+    same = F.col("__b") == F.col("____b")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    within = Window.partitionBy(*by, "__b").orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    inside = {"max": lambda c: F.max(c).over(upto), "sum": lambda c: F.sum(c).over(upto), "prev": lambda c: F.lag(F.struct(c.alias("v"))).over(within), "next": lambda c: F.lead(F.struct(c.alias("v"))).over(within)}
+    rows = rows.withColumns({f"__in_{name}": inside[kind](c) for name, (kind, c) in scans.items()}).join(carry, same)
+
+    def whole(name: str, kind: str) -> Column:
+        a, b = F.col(f"__in_{name}"), F.col(f"__of_{name}")
+        return {"max": F.greatest(a, b), "sum": F.coalesce(a + b, a, b)}[kind] if kind in ("max", "sum") else F.coalesce(a, b)["v"]
+
+    return rows.select(*df.columns, *(whole(name, kind).alias(name) for name, (kind, _) in scans.items()))
 
 
 def kth(df: DataFrame, column: str, k: int) -> float:

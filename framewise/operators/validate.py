@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
+from framewise.operators.ranks import scanned
 
 
 def check_epad(frames: DataFrame) -> DataFrame:
     """V1: EPAD not followed by a word."""
-    after = F.lead("kind").over(Window.partitionBy("conv_id").orderBy("frame_idx"))
-    return frames.withColumn("after", after).where("kind = 'EPAD' AND (after IS NULL OR after IN ('PAD', 'EPAD'))").select("conv_id", "frame_idx")
+    return scanned(frames, ["conv_id"], "frame_idx", ["frame_idx"], after=("next", F.col("kind"))).where("kind = 'EPAD' AND (after IS NULL OR after IN ('PAD', 'EPAD'))").select("conv_id", "frame_idx")
 
 
 def check_width(frames: DataFrame, k: int = X.CODEBOOKS, roles: int = 2) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.operators.joins import within_intervals
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,13 +22,13 @@ def interpolate(pairs: DataFrame, weights: list[float]) -> DataFrame:
     return each.select("a_id", "b_id", "w", F.zip_with("a", "b", lambda x, y: F.col("w") * x.cast("double") + (1 - F.col("w")) * y.cast("double")).alias("v"))
 
 
-def table_compare(pairs: DataFrame) -> DataFrame:
-    """Mean row cosine, and the share of the difference's energy that a constant offset explains. pairs: ``a, b``."""
-    cos = pairs.agg(F.avg(cosine(F.col("a"), F.col("b"))).alias("mean_cosine"))
-    d = pairs.select(F.posexplode(F.zip_with("a", "b", lambda x, y: x.cast("double") - y.cast("double"))).alias("pos", "d"))
-    by = d.groupBy("pos").agg(F.avg("d").alias("m"), F.sum(F.col("d") * F.col("d")).alias("e"), F.count("*").alias("n"))
-    share = by.agg((F.sum(F.col("n") * F.col("m") * F.col("m")) / F.sum("e")).alias("offset_share"))
-    return cos.withColumn("k", F.lit(1)).join(share.withColumn("k", F.lit(1)), "k").select("mean_cosine", "offset_share", (1 - F.col("offset_share")).alias("residual_share"))
+def table_compare(pairs: DataFrame, by: str = "codebook") -> DataFrame:
+    """By codebook: mean row cosine, and the share of the difference's energy that a constant offset explains. pairs: ``codebook, a, b``."""
+    cos = pairs.groupBy(by).agg(F.avg(cosine(F.col("a"), F.col("b"))).alias("mean_cosine"))
+    d = pairs.select(by, F.posexplode(F.zip_with("a", "b", lambda x, y: x.cast("double") - y.cast("double"))).alias("pos", "d"))
+    each = d.groupBy(by, "pos").agg(F.avg("d").alias("m"), F.sum(F.col("d") * F.col("d")).alias("e"), F.count("*").alias("n"))
+    share = each.groupBy(by).agg((F.sum(F.col("n") * F.col("m") * F.col("m")) / F.sum("e")).alias("offset_share"))
+    return cos.join(share, by).select(by, "mean_cosine", "offset_share", (1 - F.col("offset_share")).alias("residual_share"))
 
 
 def embedding_drift(pairs: DataFrame) -> DataFrame:
@@ -40,8 +42,11 @@ def centroid(vectors: DataFrame, by: str = "label") -> DataFrame:
     return vectors.select(by, F.posexplode("embedding").alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
-def voice_drift_guard(frames: DataFrame, threshold: float) -> DataFrame:
-    """Mean similarity by step over overlap frames; stop below the threshold or when the gain is gone. frames: ``step, similarity, overlapped``."""
-    by = frames.where("overlapped").groupBy("step").agg(F.avg("similarity").alias("similarity"))
+def voice_drift_guard(frames: DataFrame, spans: DataFrame, threshold: float) -> DataFrame:
+    """Mean similarity by step over the frames that lie in overlaps; stop below the threshold or when the gain is gone.
+
+    frames: ``conv_id, frame_idx, step, similarity``; spans: rows of J4.
+    """
+    by = within_intervals(frames, spans).groupBy("step").agg(F.avg("similarity").alias("similarity"))
     gain = F.col("similarity") - F.lag("similarity").over(Window.orderBy("step"))  # a row a step
     return by.withColumn("gain", gain).withColumn("stop", (F.col("similarity") < threshold) | F.coalesce(F.col("gain") <= 0, F.lit(False)))

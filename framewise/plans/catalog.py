@@ -259,6 +259,21 @@ def _(v):
     return E.interpolate(pairs, [0.0, 0.25, 0.5, 1.0]).select("a_id", "w", F.posexplode("v").alias("pos", "x")).withColumns({"pos": F.col("pos").cast("long"), "x": r("x", 9)})
 
 
+@register(
+    "f_sql_functions",
+    f"""SELECT doc_id, round({RATIO}, 9) AS script, round(CASE WHEN regexp_matches(text, '[{LATIN[0]}{LATIN[1]}]') THEN 1 - ({RATIO}) ELSE 0.0::DOUBLE END, 9) AS english,
+               round(CASE WHEN len(ws) <= 100 THEN 1.0::DOUBLE ELSE 100 / len(ws) END, 9) AS word_limit, {EMPTY} AS blank, round({REPEAT}, 9) AS repetition, len(ws) > 300 AS long FROM (SELECT doc_id, text, {WS} AS ws FROM documents)""",
+)
+def _(v):
+    """F1-F5, and a check added by name, from SQL alone."""
+    X.register_sql(v.spark)
+    X.register_sql_check(v.spark, "long_text", "size(spoken_words(text)) > least", "BOOLEAN", "text STRING, least INT")
+    v.documents.createOrReplaceTempView("framewise_documents")
+    return v.spark.sql(f"""
+        SELECT doc_id, round(script_ratio(text, '{LATIN[0]}', '{LATIN[1]}'), 9) AS script, round(english_ratio(text, '{LATIN[0]}', '{LATIN[1]}'), 9) AS english, round(word_limit(text, 100), 9) AS word_limit,
+               is_blank(text) AS blank, round(repetition_rate(text), 9) AS repetition, long_text(text, 300) AS long FROM framewise_documents""")
+
+
 # Joins
 
 
@@ -329,16 +344,17 @@ def _(v):
 
 @register(
     "j8_reconcile",
-    """WITH s AS (SELECT regexp_replace('src.' || p_partkey, '^src\\.', 'dst.') AS key, p_size AS a FROM part WHERE p_partkey % 5 <> 0),
-            t AS (SELECT 'dst.' || p_partkey AS key, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS b FROM part WHERE p_partkey % 3 <> 0),
+    """WITH s AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'src.norm.' || p_partkey ELSE 'dst.table.' || (p_partkey + 8) || '.weight' END AS key, p_size AS a FROM part WHERE p_partkey % 5 <> 0),
+            t AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'src.norm.' || p_partkey ELSE 'dst.table.' || p_partkey || '.weight' END AS key, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS b FROM part WHERE p_partkey % 3 <> 0),
             j AS (SELECT key, CASE WHEN a IS NULL THEN 'kept' WHEN b IS NULL THEN 'unused' WHEN a = b THEN 'copied' ELSE 'mismatched' END AS status FROM s FULL JOIN t USING (key))
-       SELECT key, status, status <> 'copied' AND key NOT IN ('dst.3', 'dst.10') AS failed FROM j""",
+       SELECT key, status, status <> 'copied' AND key NOT IN ('dst.table.2.weight', 'src.norm.20') AS failed FROM j""",
 )
 def _(v):
-    key = lambda p: F.concat(F.lit(p), F.col("p_partkey").cast("string")).alias("key")
-    source = v.part.where("p_partkey % 5 <> 0").select(key("src."), F.col("p_size").alias("shape"))
-    target = v.part.where("p_partkey % 3 <> 0").select(key("dst."), F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("shape"))
-    return J.reconcile(source, target, r"^src\.", "dst.", ["dst.3", "dst.10"])
+    """Tables of one role take the other's, 8 places further on; norms keep their names."""
+    key = lambda p: F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("src.norm."), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit(p), F.col("p_partkey").cast("string"), F.lit(".weight"))).alias("key")
+    source = v.part.where("p_partkey % 5 <> 0").select(key("src.table."), F.col("p_size").alias("shape"))
+    target = v.part.where("p_partkey % 3 <> 0").select(key("dst.table."), F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("shape"))
+    return J.reconcile(source, target, r"^src\.table\.([0-9]+)\.weight$", "dst.table.{n}.weight", ["dst.table.2.weight", "src.norm.20"], 8)
 
 
 @register(
@@ -418,7 +434,8 @@ def _(v):
 @register(
     "a5_rms_energy",
     """SELECT session, win, round(u, 6) AS user_rms, round(a, 6) AS assistant_rms, CASE WHEN coalesce(u, 0) > 200 THEN 'user' WHEN coalesce(a, 0) > 200 THEN 'assistant' ELSE 'silence' END AS label
-       FROM (SELECT session, micros // 86400000000 AS win, sqrt(avg(value * value) FILTER (role = 'user')) AS u, sqrt(avg(value * value) FILTER (role = 'assistant')) AS a FROM signal GROUP BY 1, 2)""",
+       FROM (SELECT session, micros // 86400000000 AS win, sqrt(avg(value * value) FILTER (role = 'user')) AS u, sqrt(avg(value * value) FILTER (role = 'assistant')) AS a
+             FROM (SELECT *, max(micros) OVER (PARTITION BY session) AS last FROM signal) WHERE (micros // 86400000000 + 1) * 86400000000 - 1 <= last GROUP BY 1, 2)""",
     "signal",
 )
 def _(v):
@@ -477,12 +494,14 @@ NORMS = "sqrt(list_dot_product(a::DOUBLE[], a::DOUBLE[]) * list_dot_product(b::D
 
 @register(
     "a11_table_compare",
-    f""", d AS (SELECT k, a[k]::DOUBLE - b[k]::DOUBLE AS d FROM halves, unnest(range(1, 65)) AS u(k)), s AS (SELECT k, avg(d) AS m, sum(d * d) AS e, count(*) AS n FROM d GROUP BY 1)
-       SELECT round((SELECT avg({DOT} / {NORMS}) FROM halves), 6) AS mean_cosine, round(sum(n * m * m) / sum(e), 6) AS offset_share, round(1 - sum(n * m * m) / sum(e), 6) AS residual_share FROM s""",
+    f""", h AS (SELECT row_id // 2 % 8 AS codebook, a, b FROM halves), d AS (SELECT codebook, k, a[k]::DOUBLE - b[k]::DOUBLE AS d FROM h, unnest(range(1, 65)) AS u(k)),
+         s AS (SELECT codebook, k, avg(d) AS m, sum(d * d) AS e, count(*) AS n FROM d GROUP BY 1, 2), o AS (SELECT codebook, sum(n * m * m) / sum(e) AS share FROM s GROUP BY 1), c AS (SELECT codebook, avg({DOT} / {NORMS}) AS cosine FROM h GROUP BY 1)
+       SELECT codebook, round(cosine, 6) AS mean_cosine, round(share, 6) AS offset_share, round(1 - share, 6) AS residual_share FROM c JOIN o USING (codebook)""",
     "halves",
 )
 def _(v):
-    return E.table_compare(v.halves).select(*(r(c).alias(c) for c in ("mean_cosine", "offset_share", "residual_share")))
+    rows = v.halves.withColumn("codebook", F.floor(F.col("row_id") / 2) % 8)
+    return E.table_compare(rows).select("codebook", *(r(c).alias(c) for c in ("mean_cosine", "offset_share", "residual_share")))
 
 
 @register("a12_embedding_drift", f"SELECT row_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda k: (a[k]::DOUBLE - b[k]::DOUBLE) ** 2))), 6) AS l2, round(1 - {DOT} / {NORMS}, 6) AS cosine_distance FROM halves", "halves")
@@ -495,15 +514,24 @@ def _(v):
     return E.centroid(v.embeddings).withColumns({"pos": F.col("pos").cast("long"), "value": r("value")})
 
 
+OVERLAPS = "overlapping AS (SELECT a.conv_id, greatest(a.start_frame, u.start_frame) AS f, least(a.end_frame, u.end_frame) AS t FROM segments a JOIN segments u ON a.conv_id = u.conv_id AND a.role = 'assistant' AND u.role = 'user' AND a.start_frame < u.end_frame AND u.start_frame < a.end_frame)"
+H32 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
 @register(
     "a14_voice_drift_guard",
-    f""", s AS (SELECT row_id % 7 AS step, avg({DOT} / {NORMS}) AS s FROM halves WHERE row_id % 3 = 0 GROUP BY 1)
+    f""", {OVERLAPS}, p AS (SELECT c.conv_id, {H32.format("row_id || ':' || c.conv_id")} % 1000 AS frame_idx, row_id % 7 AS step, {DOT} / {NORMS} AS x FROM halves JOIN (SELECT DISTINCT conv_id FROM segments) c ON c.conv_id % 5 = row_id // 2 % 5),
+         s AS (SELECT step, avg(x) AS s FROM p WHERE EXISTS (SELECT 1 FROM overlapping o WHERE o.conv_id = p.conv_id AND o.f <= p.frame_idx AND p.frame_idx < o.t) GROUP BY 1)
        SELECT step, round(s, 6) AS similarity, round(s - lag(s) OVER (ORDER BY step), 6) AS gain, s < 0 OR coalesce(s - lag(s) OVER (ORDER BY step) <= 0, false) AS stop FROM s""",
-    "halves",
+    "segments", "halves",
 )
 def _(v):
-    rows = v.halves.select((F.col("row_id") % 7).alias("step"), E.cosine(F.col("a"), F.col("b")).alias("similarity"), (F.col("row_id") % 3 == 0).alias("overlapped"))
-    return E.voice_drift_guard(rows, 0.0).withColumns({"similarity": r("similarity"), "gain": r("gain")})
+    """A voice sample is measured at a frame of every fifth conversation; those within overlaps count."""
+    voices = v.halves.select("row_id", (F.floor(F.col("row_id") / 2) % 5).alias("k"), (F.col("row_id") % 7).alias("step"), E.cosine(F.col("a"), F.col("b")).alias("similarity"))
+    convs = v.segments.select("conv_id").distinct().withColumn("k", F.col("conv_id") % 5)
+    frame = X.hash32(F.concat_ws(":", "row_id", "conv_id")) % 1000
+    rows = voices.join(convs, "k").select("conv_id", frame.alias("frame_idx"), "step", "similarity")
+    return E.voice_drift_guard(rows, J.overlaps(v.segments), 0.0).withColumns({"similarity": r("similarity"), "gain": r("gain")})
 
 
 def _spoken_pairs(v):
@@ -511,7 +539,8 @@ def _spoken_pairs(v):
 
 
 # DuckDB's levenshtein counts bytes. Elements of both texts become one ASCII character each, all others one a side: they can't match.
-EDITS = """(WITH s AS (SELECT list_distinct(list_intersect({a}, {b})) AS shared)
+# More than 125 shared elements would need more characters than ASCII has: an error, not a wrong count.
+EDITS = """(WITH s AS (SELECT CASE WHEN len(x) > 125 THEN error('too many shared elements') ELSE x END AS shared FROM (SELECT list_distinct(list_intersect({a}, {b})) AS x))
   SELECT levenshtein(array_to_string(list_transform({a}, lambda x: chr((CASE WHEN list_contains(shared, x) THEN list_position(shared, x) + 2 ELSE 1 END)::INT)), ''),
                      array_to_string(list_transform({b}, lambda x: chr((CASE WHEN list_contains(shared, x) THEN list_position(shared, x) + 2 ELSE 2 END)::INT)), '')) FROM s)"""
 CHARS = "list_transform(range(1, length({t}) + 1), lambda i: substr({t}, i::INT, 1))"
@@ -525,9 +554,10 @@ def _(v):
     return A.cer(_spoken_pairs(v)).select(r("macro").alias("macro"), r("micro").alias("micro"))
 
 
-@register("a15_cer_whole", ERRORS + " SELECT round(avg(char_edits / n_chars), 6) AS macro, round(sum(char_edits) / sum(n_chars), 6) AS micro FROM errors WHERE n_chars > 0", "pairs")
+@register("a15_cer_whole", ERRORS + " SELECT split_part(id, ':', 1)::BIGINT AS conv_id, round(avg(char_edits / n_chars), 6) AS macro, round(sum(char_edits) / sum(n_chars), 6) AS micro FROM errors WHERE n_chars > 0 GROUP BY 1", "pairs")
 def _(v):
-    return A.cer(_spoken_pairs(v)).select(r("macro").alias("macro"), r("micro").alias("micro"))
+    """By whole conversation."""
+    return A.cer(_spoken_pairs(v).withColumn("conv_id", F.split_part(F.col("id"), F.lit(":"), F.lit(1)).cast("long")), ["conv_id"]).select("conv_id", r("macro").alias("macro"), r("micro").alias("micro"))
 
 
 @register("a15_wer", ERRORS + " SELECT id, char_edits, round(CASE WHEN n_chars > 0 THEN char_edits / n_chars END, 6) AS cer, word_edits, round(CASE WHEN n_words > 0 THEN word_edits / n_words END, 6) AS wer FROM errors", "pairs")
@@ -599,6 +629,47 @@ def _(v):
     return A.turn_stats(v.segments).withColumns({c: r(c) for c in ("talk_share", "overlap_share", "backchannel_rate")})
 
 
+LEVELS = f""", l AS (SELECT DISTINCT conv_id, CASE WHEN {H32.format("conv_id::VARCHAR")} % 3 = 0 THEN 'ko' ELSE 'en' END AS lang FROM segments),
+         g AS (SELECT *, start_frame - lag(end_frame) OVER (PARTITION BY conv_id ORDER BY turn) AS gap, end_frame - start_frame AS len FROM segments JOIN l USING (conv_id)),
+         b AS (SELECT a.conv_id, a.lang, count(DISTINCT u.turn) AS n FROM g a JOIN g u ON a.conv_id = u.conv_id AND a.role = 'assistant' AND u.role = 'user' AND u.start_frame >= a.start_frame AND u.end_frame <= a.end_frame GROUP BY 1, 2),
+         x AS (SELECT 'conversation' AS level, conv_id::VARCHAR AS key, * FROM g UNION ALL SELECT 'language', lang, * FROM g UNION ALL SELECT 'corpus', NULL, * FROM g),
+         y AS (SELECT 'conversation' AS level, conv_id::VARCHAR AS key, n FROM b UNION ALL SELECT 'language', lang, n FROM b UNION ALL SELECT 'corpus', NULL, n FROM b), z AS (SELECT level, key, sum(n) AS n FROM y GROUP BY 1, 2)"""
+
+
+@register(
+    "a23_turn_levels",
+    LEVELS + """ SELECT x.level, x.key, count(*) AS turns, round(sum(CASE WHEN role = 'assistant' THEN len ELSE 0 END) / sum(len), 6) AS talk_share, round(avg((gap < 0)::INT), 6) AS overlap_share,
+              round(CASE WHEN count(*) FILTER (role = 'user') > 0 THEN coalesce(max(z.n), 0) / count(*) FILTER (role = 'user') END, 6) AS backchannel_rate, true AS within
+       FROM x LEFT JOIN z ON x.level = z.level AND x.key IS NOT DISTINCT FROM z.key GROUP BY 1, 2""",
+    "segments",
+)
+def _(v):
+    """``within``: the share of gaps below the sketch's median, and below or at it, are 3 % from a half at most."""
+    langs = v.segments.select("conv_id").distinct().withColumn("lang", F.when(X.hash32(F.col("conv_id").cast("string")) % 3 == 0, "ko").otherwise("en"))
+    rows = A.turn_levels(v.segments, langs)
+    g = A.gaps(v.segments).join(langs, "conv_id").where("gap IS NOT NULL")
+    level = lambda name, key: g.select(F.lit(name).alias("__l"), key.cast("string").alias("__k"), "gap")
+    each = level("conversation", F.col("conv_id")).unionByName(level("language", F.col("lang"))).unionByName(level("corpus", F.lit(None)))
+    same = (F.col("level") == F.col("__l")) & F.col("key").eqNullSafe(F.col("__k"))
+    fits = rows.select("level", "key", "median_gap").join(each, same).groupBy("level", "key").agg((F.avg((F.col("gap") < F.col("median_gap")).cast("double")) <= 0.53).alias("low"), (F.avg((F.col("gap") <= F.col("median_gap")).cast("double")) >= 0.47).alias("high"))
+    fits = fits.select(F.col("level").alias("__l"), F.col("key").alias("__k"), "low", "high")
+    rows = rows.join(fits, same, "left").withColumn("within", F.coalesce(F.col("low") & F.col("high"), F.lit(True)))
+    return rows.select("level", "key", "turns", *(r(c).alias(c) for c in ("talk_share", "overlap_share", "backchannel_rate")), "within")
+
+
+@register(
+    "a22_voice_levels",
+    ", s AS (SELECT split_part(sample_id, ':', 1)::BIGINT % 4 AS part, voice FROM voices) SELECT part, every, n, true AS within FROM (SELECT part, false AS every, count(voice) AS n FROM s GROUP BY 1 UNION ALL SELECT NULL, true, count(voice) FROM s)",
+    "voices",
+)
+def _(v):
+    """``within``: the estimate is 5 % from the number of distinct voices at most."""
+    rows = v.voices.select((F.split_part(F.col("sample_id"), F.lit(":"), F.lit(1)).cast("long") % 4).alias("part"), "voice")
+    exact = rows.rollup("part").agg(F.count_distinct("voice").alias("exact")).withColumnRenamed("part", "__p")
+    made = A.voice_levels(rows, "part").join(exact, F.col("part").eqNullSafe(F.col("__p")))
+    return made.select("part", "every", "n", (F.abs(F.col("voices") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within"))
+
+
 # Windows
 
 
@@ -619,18 +690,20 @@ def _(v):
 
 @register(
     "w3_text_delay",
-    """, f AS (SELECT conv_id, frame_idx, kind || coalesce(':' || word, '') AS value FROM frames), c AS (SELECT conv_id, frame_idx, code::VARCHAR AS value FROM codes WHERE codebook = 0)
-       SELECT 0.6::DOUBLE AS seconds, 'text' AS stream, conv_id, frame_idx + 8 AS frame_idx, value FROM f UNION ALL SELECT 0.6::DOUBLE, 'text', conv_id, frame_idx, 'PAD' FROM f WHERE frame_idx < 8
+    """, f AS (SELECT conv_id, frame_idx, NULL::BIGINT AS codebook, kind || coalesce(':' || word, '') AS value FROM frames), c AS (SELECT conv_id, frame_idx, codebook, code::VARCHAR AS value FROM codes)
+       SELECT 0.6::DOUBLE AS seconds, 'text' AS stream, conv_id, frame_idx + 8 AS frame_idx, codebook, value FROM f UNION ALL SELECT 0.6::DOUBLE, 'text', conv_id, frame_idx, NULL, 'PAD' FROM f WHERE frame_idx < 8
        UNION ALL SELECT 0.6::DOUBLE, 'audio', * FROM c UNION ALL SELECT -0.6::DOUBLE, 'text', * FROM f
-       UNION ALL SELECT -0.6::DOUBLE, 'audio', conv_id, frame_idx + 8, value FROM c UNION ALL SELECT -0.6::DOUBLE, 'audio', conv_id, frame_idx, '2048' FROM c WHERE frame_idx < 8""",
+       UNION ALL SELECT -0.6::DOUBLE, 'audio', conv_id, frame_idx + 8, codebook, value FROM c UNION ALL SELECT -0.6::DOUBLE, 'audio', conv_id, frame_idx, codebook, '2048' FROM c WHERE frame_idx < 8""",
     "frames", "codes",
 )
 def _(v):
+    """All codebooks of both roles against the text, either one later."""
     out = None
     for seconds in (0.6, -0.6):
-        text, audio = R.delay_text(v.frames, v.codes.where("codebook = 0"), seconds)
+        text, audio = R.delay_text(v.frames, v.codes, seconds)
+        text = text.withColumn("codebook", F.lit(None).cast("long"))
         for stream, rows, value in (("text", text, F.concat_ws(":", "kind", "word")), ("audio", audio, F.col("code").cast("string"))):
-            part = rows.select(F.lit(seconds).alias("seconds"), F.lit(stream).alias("stream"), F.col("conv_id").cast("long").alias("conv_id"), "frame_idx", value.alias("value"))
+            part = rows.select(F.lit(seconds).alias("seconds"), F.lit(stream).alias("stream"), F.col("conv_id").cast("long").alias("conv_id"), "frame_idx", "codebook", value.alias("value"))
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -794,6 +867,17 @@ def _(v):
     return kept.withColumn("kept", F.lit(True)).unionByName(dropped.withColumn("kept", F.lit(False)))
 
 
+@register(
+    "r11_filters_agree",
+    """WITH s AS (SELECT doc_id, n_chars % 7 = 0 AS synthetic, (doc_id % 10) / 10.0::DOUBLE AS error, n_chars FROM documents), a AS (SELECT * FROM s WHERE NOT synthetic OR error <= 0.5::DOUBLE), b AS (SELECT * FROM s WHERE n_chars >= 1000)
+       SELECT doc_id, 'kept_by_all' AS verdict FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT doc_id, 'dropped_by_error' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+       UNION ALL SELECT doc_id, 'dropped_by_length' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
+)
+def _(v):
+    rows = v.documents.select("doc_id", (F.col("n_chars") % 7 == 0).alias("synthetic"), ((F.col("doc_id") % 10) / 10).alias("error"), "n_chars")
+    return M.filters_agree(rows, {"error": M.quality_filter(rows, 0.5)[0], "length": rows.where("n_chars >= 1000")}).select("doc_id", "verdict")
+
+
 @register(
     "r12_language_ramp",
     """, n AS (SELECT count(*) FILTER (lang = 'fr') AS t, count(*) FILTER (lang <> 'fr') AS o FROM documents),

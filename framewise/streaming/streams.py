@@ -210,7 +210,7 @@ def sessions(events: DataFrame, gap: str = "6 hours", end: str | None = None) ->
     """
     gap_us = int(pd.Timedelta(gap).total_seconds() * 1_000_000)
     ends = (F.col("event_type") == end) if end else F.lit(False)
-    e = events.select("user_id", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").alias("id"), F.coalesce(ends, F.lit(False)).alias("ends"))
+    e = events.select("user_id", "ts", F.unix_micros("ts").alias("us"), F.coalesce("event_id", F.lit(0)).alias("id"), F.coalesce(ends, F.lit(False)).alias("ends"))
     if events.isStreaming:
         return e.withWatermark("ts", "1 hour").groupBy("user_id").transformWithStateInPandas(SessionCutter(gap_us), SESSION, "Append", "EventTime")
     by = Window.partitionBy("user_id").orderBy("us", "id")  # the events of one user
