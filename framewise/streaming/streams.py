@@ -82,7 +82,8 @@ def assemble_frames(chunks: DataFrame, unit: int = X.FRAME_SAMPLES, ttl: str | N
 
     chunks: ``session, seq, samples``. A row a chunk batch: ``first_frame``,
     ``n_frames`` (whole ones), ``held`` (samples that wait). The state of a
-    session without chunks for ``ttl`` expires.
+    session without chunks for ``ttl`` expires; such a query runs on the clock,
+    so Spark always sees a batch to come, and ``replay`` would wait for ever.
     """
     step = FrameCounter(unit, idle(ttl))
     return chunks.groupBy("session").transformWithStateInPandas(step, "session long, first_frame long, n_frames long, held long", "Append", "ProcessingTime" if ttl else "None")

@@ -112,7 +112,7 @@ def test_rank_ties(spark):
 
 
 def test_last_full_window_counts(spark):
-    s = spark.createDataFrame([(1, "user", 0, 1.0), (1, "user", 10, 3.0)], "session long, role string, micros long, value double")
+    s = spark.createDataFrame([(1, "user", 0, 1.0), (1, "user", 10, 3.0), (1, "user", 19, 3.0)], "session long, role string, micros long, value double")
     assert A.rms_energy(s, 10, 0.5).count() == 2
 
 
@@ -233,6 +233,7 @@ def test_streams_that_lack_or_are_out_of_step(spark):
 def test_frames_are_held_over_chunks(spark):
     """Frames whose last codes come with a later chunk are given out then; a placeholder holds all after it."""
     from framewise.streaming import streams as T
+    from framewise.streaming.feed import Feed, replay
 
     rows_ = []
     for conv in (1, 2):
@@ -242,16 +243,17 @@ def test_frames_are_held_over_chunks(spark):
             rows_.append((conv, step, codes))
     steps = spark.createDataFrame(rows_, "conv_id long, frame_idx long, codes array<long>")
     for n in (1, 4, 20):
-        got = T.run_to_table(T.release_frames(T.arrivals(steps, F.floor(F.col("frame_idx") / n)), 2)).collect()
+        got = replay(lambda s: T.release_frames(s, 2), Feed(steps, F.floor(F.col("frame_idx") / n))).collect()
         assert sorted((r["conv_id"], r["frame_idx"], r["emitted"]) for r in got) == [(1, f, f + 1) for f in range(7)] + [(2, f, f + 1) for f in range(4)]
         assert all(r["codes"] == [100 * r["frame_idx"] + k for k in range(16)] for r in got)
 
 
 def test_samples_are_carried_over_chunks(spark):
     from framewise.streaming import streams as T
+    from framewise.streaming.feed import Feed, replay
 
     chunks = spark.createDataFrame([(1, i, 700) for i in range(10)], "session long, seq long, samples long")
-    got = T.run_to_table(T.assemble_frames(T.arrivals(chunks, F.col("seq")))).collect()
+    got = replay(T.assemble_frames, Feed(chunks, F.col("seq"))).collect()
     assert len(got) == 10 and sum(r["n_frames"] for r in got) == 7000 // 1920 and max(got, key=lambda r: r["first_frame"] + r["n_frames"] + r["held"] / 1e4)["held"] == 7000 % 1920
 
 
