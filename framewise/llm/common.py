@@ -35,6 +35,16 @@ def release(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+#: Bytes of a written table up to which ``if_small`` has it broadcast.
+SMALL = 16 << 20
+
+
+def if_small(written: DataFrame) -> DataFrame:
+    """A materialized table, to be broadcast if its files have ``SMALL`` bytes at most; else Spark joins as it finds best, so no text is shuffled for a few rows and no large table broadcast."""
+    size = int(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(written) if size <= SMALL else written
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hold Arrow batches of whole texts to ``ARROW_ROWS`` records and ``ARROW_BYTES`` bytes in this session.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import materialize, small_batches
+from framewise.llm.common import if_small, materialize, release, small_batches
 
 #: Words of a window: what repeats at this length or more is removed.
 WINDOW = 13
@@ -271,18 +271,19 @@ def _cells(bodies: DataFrame, window: int, kind: str) -> DataFrame:
 
 def _parts(bodies: DataFrame, cells: DataFrame, window: int) -> DataFrame:
     """``key, rid, at, n, doc_id, d1, d2, body``: each body cut where the key of its cells changes; parts overlap in words, not in windows."""
-    listed = bodies.join(cells.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "n", "key"))).alias("cells")), "rid")
+    cells = cells.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "n", "key"))).alias("c"))
+    listed = bodies.join(cells.select("rid", F.col("c.at").alias("ats"), F.col("c.n").alias("ns"), F.col("c.key").alias("keys")), "rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for rid, first, body, cells in zip(*(b.column(c).to_pylist() for c in ("rid", "first", "body", "cells")), strict=True):
+            for rid, first, body, ats, ns, keys in zip(*(b.column(c).to_pylist() for c in ("rid", "first", "body", "ats", "ns", "keys")), strict=True):
                 words, k = body.split(), 0
-                while k < len(cells):
-                    at, n, key = (cells[k][c] for c in ("at", "n", "key"))
+                while k < len(ats):
+                    at, n, key = ats[k], ns[k], keys[k]
                     k += 1
-                    while k < len(cells) and cells[k]["key"] == key and cells[k]["at"] == at + n:
-                        n += cells[k]["n"]
+                    while k < len(ats) and keys[k] == key and ats[k] == at + n:
+                        n += ns[k]
                         k += 1
                     part = b" ".join(words[at : at + n + window - 1])
                     out.append((key, rid, at, n, first, *_digest(part), part))
@@ -357,6 +358,7 @@ def _judged(pieces: DataFrame, shared: DataFrame, window: int, level: int = 0) -
         inner = some.select("pid", "of", "from").join(inner, "pid").select(F.col("of").alias("rid"), (F.col("from") + F.col("at")).alias("at"), "n")
         found = _searched(parts.join(hot, "key", "left_anti"), window).unionByName(inner)
     marks = materialize(found)
+    release(parts)
     known = bodies.select("rid", "d1", "d2", "first")
     rows = pieces.select("pid", "doc_id", F.col("n").alias("windows"), "d1", "d2").join(known, ["d1", "d2"])
     later = rows.where("doc_id > first").select("pid", F.lit(0).alias("at"), F.col("windows").alias("n"))
@@ -371,8 +373,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     texts = _bytes_of(docs)
     shared = materialize(shared_anchors(texts, window))
-    pieces = materialize(_regions(texts, shared, window))
-    pieces = materialize(pieces.withColumn("pid", F.monotonically_increasing_id()))
+    pieces = materialize(_regions(texts, shared, window).withColumn("pid", F.monotonically_increasing_id()))
     found = _judged(pieces.select("pid", "doc_id", "n", "d1", "d2", "body"), shared, window)
     return pieces.select("pid", "doc_id", "x", "start").join(found, "pid").select("doc_id", "x", (F.col("start") + F.col("at")).alias("start"), (F.col("n") + window - 1).alias("n")).distinct()
 
@@ -387,7 +388,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keep all words, and remove none. No rows give no rows.
     """
     cut = repeats(docs, window).groupBy("doc_id", "x").agg(F.collect_list(F.struct("start", "n")).alias("cut")).withColumnsRenamed({"doc_id": "i", "x": "y"})
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("x")).join(materialize(cut), (F.col("doc_id") == F.col("i")) & (F.col("x") == F.col("y")), "left")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("x")).join(if_small(materialize(cut)), (F.col("doc_id") == F.col("i")) & (F.col("x") == F.col("y")), "left")
     small_batches(docs.sparkSession)
     rows = rows.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"), "cut")
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
