@@ -60,6 +60,11 @@ def small_batches(spark: SparkSession) -> None:
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with names by place for all columns but the ``KNOWN`` ones, so that these are never ambiguous."""
+    return docs.toDF(*(c if c in KNOWN else f"__extra_{i}" for i, c in enumerate(docs.columns)))
+
+
 def plain_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """A function that gives back the columns of its first argument may have any further columns there: with dots, or names that differ in case only.
 
@@ -68,9 +73,7 @@ def plain_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(stage)
     def run(docs: DataFrame, *args, **options) -> DataFrame:
-        names = docs.columns
-        plain = [c if c in KNOWN else f"__extra_{i}" for i, c in enumerate(names)]
-        return stage(docs.toDF(*plain), *args, **options).toDF(*names)
+        return stage(plain(docs), *args, **options).toDF(*docs.columns)
 
     return run
 

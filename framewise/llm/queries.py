@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import chat_tools, embedding_dedup, mixing, near_copies, oracles, packing, quality_classifier, quality_rules, ranked_search, sharding, simhash_dedup, substring_dedup, token_counts, url_filter, vector_codes
-from framewise.llm.common import documents
+from framewise.llm.common import documents, plain
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -77,7 +77,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier predicts as good; it learns from ``labels`` of the rows in ``docs``. A null text is an empty one."""
-    return quality_classifier.keep_good(docs, quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality_classifier.keep_good(docs, quality_classifier.fit(plain(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of ``packing.pack``; rows that repeat a doc_id, or have none, are documents of their own."""
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(plain(docs), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -380,7 +380,7 @@ def test_sql(spark, name):
     import duckdb
 
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.queries()[name](spark, SF)
     assert Counter(map(tuple, got.collect())) == Counter(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall())
