@@ -483,15 +483,32 @@ def brute_depths(after):
     return {i: depth(i) for i in after}
 
 
-def test_tool_call_order(spark):
+def test_tool_call_order(spark, monkeypatch):
     rng = np.random.default_rng(13)
     after = {f"c{i}": None if i == 0 else sorted({f"c{j}" for j in rng.integers(max(0, i - 6), i, int(rng.integers(1, 4)))}) for i in range(60)}
     after |= {f"l{i}": [f"l{i - 1}"] if i else ["c59", "c3", "gone"] for i in range(90)} | {"m": ["l89", "c7"], "n": ["m"]}
-    after |= {"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x", "c1"], "v": ["w"], "s": ["s"]}
+    after |= {"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x", "c1"], "v": ["w"], "s": ["s"], "q": ["r", "c1"], "r": ["q", "c2"], "t": ["q", "c5"]}
+    # Names sort otherwise than the calls follow one another, and pieces are far smaller than a conversation, so links go back and forth between pieces.
+    monkeypatch.setattr(chat_tools, "PIECE", 32)
     nodes = spark.createDataFrame(list(after.items()), "call_id string, after array<string>")
     assert {r["call_id"]: r["depth"] for r in chat_tools.depths(nodes).collect()} == brute_depths(after)
 
 
+def test_tool_call_rounds(spark, monkeypatch):
+    """A session of 10,000 calls after the two before each is ordered in 5 rounds, not one a layer, and each round writes what is new only."""
+    folders = []
+    made = chat_tools.scratch_path
+    monkeypatch.setattr(chat_tools, "scratch_path", lambda spark, name: folders.append(made(spark, name)) or folders[-1])
+    rows = [(1, i, f"k{i}", [f"k{i - 1}", f"k{i - 2}"]) for i in range(10_000)] + [(c, i, f"s{c}:{i}", [f"s{c}:{j}" for j in (i - 1, i - 3)]) for c in range(2, 40) for i in range(40)]
+    calls = chat_tools.materialize(spark.createDataFrame(rows, "conv_id long, turn long, call_id string, after array<string>"))
+    got = chat_tools.depths(calls, "conv_id", ("conv_id", "turn")).join(calls, "call_id")
+    assert got.where("depth = turn").count() == len(rows)
+    arrivals, depths = (spark.read.parquet(f) for f in folders)
+    merges = calls.where("turn > 2 OR conv_id = 1 AND turn = 2").count()
+    assert depths.count() == merges and depths.agg(F.max("round")).first()[0] < 6
+    assert arrivals.count() < 40
+
+
 def test_tool_calls_odd(spark):
     conv = spark.createDataFrame([(1, 0, "user", "é\n" * 200_000, "z"), (1, 1, "assistant", None, "z"), (1, 2, "user", "", "z"), (1, 2, "user", "", "z"), (1, None, "user", "x", "z"), (None, None, None, None, None)], "conv_id long, turn long, role string, text string, call_id string")
     conv = conv.withColumn("status", F.lit("clash")).withColumn("depth", F.lit("clash"))
