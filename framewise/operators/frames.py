@@ -42,8 +42,7 @@ def interleave_pads(tokens: DataFrame, ratios: list[float], seed: int) -> DataFr
     u = X.uniform(F.concat_ws(":", "conv_id", "pos", F.lit(seed)))
     n = F.when(F.col("ratio") > 0, F.floor(F.log(u) / F.log(F.col("ratio"))).cast("int")).otherwise(0)
     runs = tokens.withColumn("ratio", F.explode(F.array(*map(F.lit, map(float, ratios))))).withColumn("n", n)
-    end = F.sum(F.col("n") + 1).over(Window.partitionBy("ratio", "conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    runs = runs.withColumn("first", end - F.col("n") - 1)
+    runs = scanned(runs, ["ratio", "conv_id"], "pos", ["pos"], end=("sum", F.col("n") + 1)).withColumn("first", F.col("end") - F.col("n") - 1)
     each = runs.select("ratio", "conv_id", "first", "n", "token", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
     kind = F.when(F.col("k") == F.col("n"), "WORD").when(F.col("k") == F.col("n") - 1, "EPAD").otherwise("PAD")
     return each.select("ratio", "conv_id", (F.col("first") + F.col("k")).alias("frame_idx"), kind.alias("kind"), F.when(F.col("k") == F.col("n"), F.col("token")).alias("token"))

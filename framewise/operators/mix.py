@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
-from framewise.operators.ranks import by_hash, hash_bits
+from framewise.operators.ranks import by_hash, hash_bits, scanned
 
 
 def single_turn_pairs(conv: DataFrame) -> DataFrame:
     """Adjacent user and assistant turns: ``conv_id, turn, prompt, reply``."""
-    by = Window.partitionBy("conv_id").orderBy("turn")
-    rows = conv.select("conv_id", "turn", "role", "text", F.lead("role").over(by).alias("r2"), F.lead("text").over(by).alias("reply"))
-    return rows.where("role = 'user' AND r2 = 'assistant'").select("conv_id", "turn", F.col("text").alias("prompt"), "reply")
+    rows = scanned(conv.select("conv_id", "turn", "role", "text"), ["conv_id"], "turn", ["turn"], after=("next", F.struct("role", "text")))
+    return rows.where("role = 'user' AND after.role = 'assistant'").select("conv_id", "turn", F.col("text").alias("prompt"), F.col("after.text").alias("reply"))
 
 
 def two_direction(pairs: DataFrame) -> DataFrame:

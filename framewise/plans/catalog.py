@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
@@ -14,6 +15,7 @@ from framewise.operators import metrics as A
 from framewise.operators import mix as M
 from framewise.operators import validate as V
 from framewise.operators import vectors as E
+from framewise.operators.ranks import scanned, written
 from framewise.plans.views_sql import with_views
 from framewise.session import scratch_path
 from framewise.sources import tables as S
@@ -55,9 +57,9 @@ class Views:
     def __getattr__(self, name: str) -> DataFrame:
         return S.scan(self.spark, self.dir, name)
 
-    @property
+    @cached_property
     def words(self) -> DataFrame:
-        return S.words_view(self.conversations)
+        return written(S.words_view(self.conversations))
 
     @property
     def segments(self) -> DataFrame:
@@ -572,8 +574,8 @@ def _(v):
 
 @register("a16_minimal_pairs", "SELECT n AS contrast, count(*) AS pairs, count(*) FILTER (substr(a, 1, 3) <> substr(b, 1, 3)) AS distinct_after FROM (SELECT length(word) % 5 AS n, word AS a, lead(word) OVER (PARTITION BY conv_id ORDER BY turn, word_idx) AS b FROM words) WHERE a <> b GROUP BY 1", "words")
 def _(v):
-    b = F.lead("word").over(Window.partitionBy("conv_id").orderBy("turn", "word_idx"))
-    rows = v.words.select((F.length("word") % 5).cast("long").alias("contrast"), F.col("word").alias("a"), b.alias("b"))
+    words = scanned(v.words, ["conv_id"], "turn", ["turn", "word_idx"], b=("next", F.col("word")))
+    rows = words.select((F.length("word") % 5).cast("long").alias("contrast"), F.col("word").alias("a"), "b")
     return A.minimal_pair_check(rows.withColumn("a2", F.substring("a", 1, 3)).withColumn("b2", F.substring("b", 1, 3)))
 
 

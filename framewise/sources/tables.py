@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
-from framewise.operators.ranks import numbered
+from framewise.operators.ranks import numbered, scanned, written
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,10 @@ def words_view(conversations: DataFrame) -> DataFrame:
     frames = lambda w: 2 + F.floor(F.length(w) / 4)
     turns = conversations.where("role <> 'system'").select("conv_id", "turn", "role", each.alias("ws"))
     turns = turns.withColumn("len", F.aggregate("ws", F.lit(0).cast("long"), lambda s, w: s + frames(w)))
-    by = Window.partitionBy("conv_id").orderBy("turn")
-    gap = F.when(F.row_number().over(by) == 1, 0).otherwise(X.hash32(F.concat_ws(":", "conv_id", "turn")) % 11 - 4)
-    turns = turns.withColumn("gap", gap)
-    start = F.sum("gap").over(by) + F.sum("len").over(by) - F.col("len")
-    turns = turns.withColumn("turn_start", start)
+    turns = written(turns)  # so that texts are split once
+    gap = X.hash32(F.concat_ws(":", "conv_id", "turn")) % 11 - 4  # before each turn but a conversation's first
+    turns = scanned(turns, ["conv_id"], "turn", ["turn"], end=("sum", gap + F.col("len")), none=("first", gap))
+    turns = turns.withColumn("turn_start", F.col("end") - F.col("none") - F.col("len"))
     placed = turns.select("conv_id", "turn", "role", "turn_start", F.posexplode("ws").alias("word_idx", "word")).withColumn("n_frames", frames(F.col("word")).cast("long"))
     before = F.sum("n_frames").over(Window.partitionBy("conv_id", "turn").orderBy("word_idx")) - F.col("n_frames")
     return placed.select("conv_id", "turn", "role", F.col("word_idx").cast("long").alias("word_idx"), "word", (F.col("turn_start") + before).alias("start_frame"), "n_frames")

@@ -13,6 +13,7 @@ from framewise.operators import metrics as A
 from framewise.operators import mix as M
 from framewise.operators import ranks
 from framewise.operators import vectors as E
+from framewise.sources import tables as S
 
 
 def rows(df):
@@ -26,9 +27,31 @@ def test_scans_in_two_levels(spark, block):
     df = spark.createDataFrame(data, "g long, at long, v long")
     by = Window.partitionBy("g").orderBy("at")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    want = df.select("*", F.max("v").over(upto).alias("a"), F.sum("v").over(upto).alias("b"), F.lag("v").over(by).alias("c"), F.lead("v").over(by).alias("d"))
+    want = df.select("*", F.max("v").over(upto).alias("a"), F.sum("v").over(upto).alias("b"), F.lag("v").over(by).alias("c"), F.lead("v").over(by).alias("d"), F.first("v").over(upto).alias("e"))
     v = F.col("v")
-    assert rows(ranks.scanned(df, ["g"], "at", ["at"], block, a=("max", v), b=("sum", v), c=("prev", v), d=("next", v))) == rows(want)
+    assert rows(ranks.scanned(df, ["g"], "at", ["at"], block, a=("max", v), b=("sum", v), c=("prev", v), d=("next", v), e=("first", v))) == rows(want)
+
+
+def test_turns_in_blocks(spark):
+    """W7, W5 and the words view along sessions of several blocks of turns, one without numbers among them, against windows over whole sessions."""
+    turns = [(1, t, ("user", "assistant", "user")[t % 3], f"w{t} x") for t in range(0, 30_000, 7)] + [(2, None, "user", "a"), (2, 5, "assistant", "b"), (2, 9_000, "user", None), (3, 1, "user", "only")]
+    conv = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = conv.withColumn("r", F.lead("role").over(by)).withColumn("reply", F.lead("text").over(by)).where("role = 'user' AND r = 'assistant'").select("conv_id", "turn", F.col("text").alias("prompt"), "reply")
+    assert rows(M.single_turn_pairs(conv)) == rows(pairs)
+    tokens = conv.where("turn IS NOT NULL").select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("token"))
+    out = R.interleave_pad(tokens, 0.5, 3)
+    ends = out.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("frame_idx").alias("d"), F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
+    assert all(r["n"] == r["d"] == r["b"] + 1 and r["a"] == 0 for r in ends.collect())
+    said = out.where("kind = 'WORD'").withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("frame_idx")))
+    want = tokens.withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("pos")))
+    assert rows(said.select("conv_id", "i", "token")) == rows(want.select("conv_id", "i", "token"))
+    words = S.words_view(conv)
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__b" in line or "turn#" in line.rpartition("[conv_id")[2] for line in plan.splitlines() if line.strip(" :+-").startswith("Window ["))
+    by_turn = words.groupBy("conv_id", "turn").agg(F.min("start_frame").alias("a"), F.max(F.col("start_frame") + F.col("n_frames")).alias("b")).where("conv_id = 1")
+    steps = by_turn.withColumn("gap", F.col("a") - F.lag("b").over(by)).groupBy().agg(F.count("*").alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high"), F.min("a").alias("first")).first()
+    assert tuple(steps) == (4286, -4, 6, 0)
 
 
 def test_no_window_over_a_conversation(spark):
