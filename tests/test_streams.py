@@ -142,3 +142,31 @@ def test_reported_late_rows_are_those_dropped(spark):
     by_window, by_batch_ = T.late_rows(df, chunk, "1 day", "1 day")
     assert by_window.agg(F.sum("dropped")).first()[0] == by_batch_.agg(F.sum("dropped")).first()[0] == 2
     assert {r["batch"]: r["dropped"] for r in by_batch_.collect() if r["dropped"]} == {2: 2}
+
+
+def test_typed_state_where_the_session_names_another_store(spark):
+    key, mode = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, mode)
+    try:
+        rows = spark.createDataFrame([(1, 0, 3), (1, 1, 2)], "session long, seq long, samples long")
+        got = replay(lambda s: T.assemble_frames(s, 4), Feed(rows, F.col("seq"))).collect()
+        assert sorted((r["first_frame"], r["n_frames"], r["held"]) for r in got) == [(0, 0, 3), (0, 1, 1)]
+        got = T.run_to_table(T.assemble_frames(every_chunk(rows), 4)).collect()
+        assert sum(r["n_frames"] for r in got) == 1
+        assert spark.conf.get(key) == mode
+    finally:
+        spark.conf.set(key, before)
+
+
+def every_chunk(rows):
+    feed = Feed(rows, F.col("seq"))
+    while feed.arrive():
+        pass
+    return feed.stream()
+
+
+def test_held_samples_after_a_batch_without_a_whole_frame(spark):
+    for rows in ([(7, 1, 0, 192), (7, 0, 1, 92)], [(7, 0, 1, 92), (7, 1, 0, 192)]):  # in whatever order batches are read
+        steps = spark.createDataFrame(rows, "session long, first_frame long, n_frames long, held long").coalesce(1)
+        assert [tuple(r) for r in T.frame_totals(steps).collect()] == [(7, 1, 192)]
