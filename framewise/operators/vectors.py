@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.operators.joins import within_intervals
+from framewise.session import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,6 +48,37 @@ def voice_drift_guard(frames: DataFrame, spans: DataFrame, threshold: float) ->
 
     frames: ``conv_id, frame_idx, step, similarity``; spans: rows of J4.
     """
-    by = within_intervals(frames, spans).groupBy("step").agg(F.avg("similarity").alias("similarity"))
+    return drift_steps(within_intervals(frames, spans), threshold)
+
+
+#: Conversations of a block: each block meets the samples of its key in a task of its own.
+BLOCK = 512
+
+
+def sampled_within(samples: DataFrame, conversations: DataFrame, spans: DataFrame, frame: Column, horizon: int) -> DataFrame:
+    """``step, similarity``: each sample measured at ``frame`` of each conversation of its ``k``; only frames within ``spans`` are kept.
+
+    samples: ``row_id, k, step, similarity``; conversations: ``conv_id, k``;
+    ``frame``: of ``row_id`` and ``conv_id``, 0 to ``horizon`` - 1. The pairs are
+    as many as the samples times the conversations, so they are tested where
+    they arise: a conversation carries a flag a frame along, one without spans
+    is left out, and no pair is shuffled. Blocks of conversations spread a
+    ``k`` over tasks.
+    """
+    at = spans.where(F.col("start_frame") < horizon).groupBy("conv_id").agg(F.collect_list(F.struct("start_frame", "end_frame")).alias("spans"))
+    inside = lambda f: F.exists("spans", lambda s: (s["start_frame"] <= f) & (f < s["end_frame"]))
+    held = conversations.join(at, "conv_id").withColumn("inside", F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), inside))
+    held = written(held.select("conv_id", "k", "inside"))
+    most, keys = held.groupBy("k").count().agg(F.max("count"), F.count("*")).first()
+    blocks = max(1, -(-(most or 0) // BLOCK))
+    tasks = max(1, 4 * blocks * keys)  # named, as few bytes make many pairs
+    held = held.withColumn("block", F.pmod(F.xxhash64("conv_id"), F.lit(blocks)).cast("int"))
+    each = samples.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return each.repartition(tasks, "k", "block").join(held.repartition(tasks, "k", "block"), ["k", "block"]).where(F.get("inside", frame)).select("step", "similarity")
+
+
+def drift_steps(frames: DataFrame, threshold: float) -> DataFrame:
+    """The second half of A14, over frames that lie in overlaps."""
+    by = frames.groupBy("step").agg(F.avg("similarity").alias("similarity"))
     gain = F.col("similarity") - F.lag("similarity").over(Window.orderBy("step"))  # a row a step
     return by.withColumn("gain", gain).withColumn("stop", (F.col("similarity") < threshold) | F.coalesce(F.col("gain") <= 0, F.lit(False)))

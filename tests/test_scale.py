@@ -189,3 +189,18 @@ def test_sql_functions(spark):
 
 def test_buckets_follow_the_rows():
     assert ranks.hash_bits(10) == ranks.hash_bits(25_000_000) == 8 and ranks.hash_bits(10**10) == 17 and ranks.hash_bits(10**18) == 32
+
+
+def test_samples_within_spans_are_not_shuffled_in_pairs(spark, monkeypatch):
+    """A14 over pairs tested where they arise: as the semi-join of all pairs, which no exchange carries."""
+    monkeypatch.setattr(E, "BLOCK", 4)
+    samples = spark.range(40).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("step"), (F.col("id") / 40).alias("similarity"))
+    convs = spark.range(60).select(F.col("id").alias("conv_id"), (F.col("id") % 3).alias("k"))
+    spans = spark.range(90).select((F.col("id") % 45).alias("conv_id"), (F.col("id") * 7 % 90).alias("start_frame"), (F.col("id") * 7 % 90 + 9).alias("end_frame"))
+    frame = X.hash32(F.concat_ws(":", "row_id", "conv_id")) % 100
+    points = samples.join(convs, "k").select("conv_id", frame.alias("frame_idx"), "step", "similarity")
+    got = E.sampled_within(samples, convs, spans, frame, 100)
+    assert rows(got) == rows(J.within_intervals(points, spans).select("step", "similarity")) != []
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1 and "md5" in plan.lower()  # pairs arise in the one join, and are tested there
+    assert sorted(rows(got.withColumn("similarity", F.round("similarity", 9)))) == sorted(rows(J.within_intervals(points, spans).select("step", F.round("similarity", 9))))
