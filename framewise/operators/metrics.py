@@ -172,11 +172,15 @@ def capture_quality_gate(recordings: DataFrame, samples: DataFrame, floor: float
 
 
 def frame_balance(frames: DataFrame) -> DataFrame:
-    """Speech, silence and transition frames, and inverse-frequency weights."""
-    rows = scanned(frames, ["conv_id"], "frame_idx", ["frame_idx"], before=("prev", F.col("kind")))
+    """Speech, silence and transition frames, and inverse-frequency weights. Rows are frames, or runs of ``n`` frames, of which the first may be a transition."""
+    runs = frames if "n" in frames.columns else frames.withColumn("n", F.lit(1).cast("long"))
+    rows = scanned(runs, ["conv_id"], "frame_idx", ["frame_idx"], before=("prev", F.col("kind")))
     speech, before = F.col("kind") == "WORD", F.col("before")
-    state = F.when(before.isNotNull() & (speech != (before == "WORD")), "transition").when(speech, "speech").otherwise("silence")
-    n = rows.select(state.alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+    turn = before.isNotNull() & (speech != (before == "WORD"))
+    one = lambda state, n: F.struct(state.alias("state"), n.cast("long").alias("n"))
+    own = F.when(speech, "speech").otherwise("silence")
+    parts = F.when(turn, F.array(one(F.lit("transition"), F.lit(1)), one(own, F.col("n") - 1))).otherwise(F.array(one(own, F.col("n"))))
+    n = rows.select(F.explode(parts).alias("x")).select("x.*").where("n > 0").groupBy("state").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(F.lit(1))  # three rows
     return n.withColumn("weight", F.sum("n").over(w) / (F.count("*").over(w) * F.col("n")))
 

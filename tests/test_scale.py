@@ -204,3 +204,19 @@ def test_samples_within_spans_are_not_shuffled_in_pairs(spark, monkeypatch):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") == 1 and "md5" in plan.lower()  # pairs arise in the one join, and are tested there
     assert sorted(rows(got.withColumn("similarity", F.round("similarity", 9)))) == sorted(rows(J.within_intervals(points, spans).select("step", F.round("similarity", 9))))
+
+
+def test_runs_are_their_frames(spark):
+    """J1, W2 and W8 in runs give the frames that they give on frames; no frame is shuffled."""
+    words = spark.createDataFrame([(1, 0, 0, "a", 3), (1, 0, 1, "b", 3), (1, 0, 2, None, 7), (1, 1, 0, "c", 8), (1, 1, 1, "d", 60), (2, 0, 0, "e", -2), (2, 0, 1, "f", 0), (4, 0, 0, "g", 1)], "conv_id long, turn long, word_idx long, word string, start_frame long")
+    horizon = spark.createDataFrame([(1, 55), (2, 9), (3, 4), (5, 0)], "conv_id long, n_frames long")
+    frames = R.align_words(words, horizon)
+    spoken = {(1, 3): "a", (1, 4): "b", (1, 8): "c", (2, 0): "f"}
+    assert rows(frames) == sorted([(c, i, "WORD" if (c, i) in spoken else "PAD", spoken.get((c, i))) for c, n in ((1, 55), (2, 9), (3, 4)) for i in range(n)], key=str)
+    runs = R.align_runs(words, horizon)
+    assert runs.count() < 15
+    marked, of = R.mark_epad(runs), ["conv_id", "frame_idx", "kind", "word"]
+    assert rows(R.expanded(marked).select(of)) == rows(R.mark_epad(frames).select(of))
+    zone = lambda df: df.withColumn("zone", F.when(F.col("frame_idx") < 6, "A").when(F.col("frame_idx") < 50, "B").otherwise("C"))
+    weighed = R.expanded(R.loss_weights(zone(R.cut_runs(marked, [6, 50]))))
+    assert rows(weighed.select(*of, "zone", "weight")) == rows(R.loss_weights(zone(R.mark_epad(frames))).select(*of, "zone", "weight"))
