@@ -170,3 +170,17 @@ def test_held_samples_after_a_batch_without_a_whole_frame(spark):
     for rows in ([(7, 1, 0, 192), (7, 0, 1, 92)], [(7, 0, 1, 92), (7, 1, 0, 192)]):  # in whatever order batches are read
         steps = spark.createDataFrame(rows, "session long, first_frame long, n_frames long, held long").coalesce(1)
         assert [tuple(r) for r in T.frame_totals(steps).collect()] == [(7, 1, 192)]
+
+
+def test_sources_and_state_need_no_package_where_spark_plans_them(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from framewise.streaming.feed import ChunkSource
+
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps([ChunkSource, T.FrameCounter, T.FrameReleaser, T.SessionCutter]))
+    code = "import sys; sys.path = [p for p in sys.path if p]; from pyspark import cloudpickle; print([c.__name__ for c in cloudpickle.load(open('sent', 'rb'))], 'framewise' in sys.modules)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0 and done.stdout.strip().endswith("False"), done.stderr
