@@ -70,6 +70,25 @@ def test_substrings_odd(spark):
     assert kept(df.where("false"), 5) == Counter()
 
 
+def test_a_piece_has_one_list_of_spans(spark, monkeypatch):
+    """However many of its windows repeat, on all levels: joins of pieces and spans don't multiply rows."""
+    monkeypatch.setattr(substring_dedup, "SHARD", 40)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([f"a{i}", *passage, f"b{i}", f"c{i}", *passage])) for i in range(12)]
+    judged, seen = substring_dedup._judged, []
+
+    def counted(pieces, *args):
+        found = judged(pieces, *args)
+        seen.append((pieces.count(), found.count(), found.agg(F.max(F.size("spans"))).first()[0]))
+        return found
+
+    monkeypatch.setattr(substring_dedup, "_judged", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # Neighbours are put together, so the passage is one span, and a piece has two at most.
+    assert substring_dedup.repeats(df, 3).groupBy("doc_id").count().agg(F.max("count")).first()[0] == 2
+    assert len(seen) > 1 and all(n <= pieces and spans <= 2 for pieces, n, spans in seen)
+
+
 def test_suffix_automaton():
     rng = np.random.default_rng(2)
     for _ in range(60):
