@@ -43,8 +43,12 @@ def density_sweep(streams: DataFrame, score: Column, horizon: int) -> DataFrame:
 
     streams: ``ratio, conv_id, frame_idx, kind, token``; score: of the column ``text``.
     """
-    said = F.collect_list(F.when((F.col("kind") == "WORD") & (F.col("frame_idx") < horizon), F.struct("frame_idx", "token")))
-    by = streams.groupBy("ratio", "conv_id").agg(F.count("*").alias("frames"), F.count_if(F.col("kind") != "WORD").alias("pads"), said.alias("said"))
+    # Frames are counted by hash first; only what is said early keeps a row of its own, so lists are made of few rows.
+    spoken = (F.col("kind") == "WORD") & (F.col("frame_idx") < horizon)
+    early = F.when(spoken, F.struct("frame_idx", "token")).alias("x")
+    some = streams.groupBy("ratio", "conv_id", early).agg(F.count("*").alias("frames"), F.count_if(F.col("kind") != "WORD").alias("pads"))
+    said = F.flatten(F.collect_list(F.when(F.col("x").isNotNull(), F.array_repeat("x", F.col("frames").cast("int")))))
+    by = some.groupBy("ratio", "conv_id").agg(F.sum("frames").alias("frames"), F.sum("pads").alias("pads"), said.alias("said"))
     by = by.withColumn("text", F.array_join(F.transform(F.sort_array("said"), lambda x: x["token"]), " "))
     empty = X.is_empty(F.col("text"))
     return by.groupBy("ratio").agg(
