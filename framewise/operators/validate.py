@@ -10,8 +10,11 @@ from framewise.operators.ranks import scanned
 
 
 def check_epad(frames: DataFrame) -> DataFrame:
-    """V1: EPAD not followed by a word."""
-    return scanned(frames, ["conv_id"], "frame_idx", ["frame_idx"], after=("next", F.col("kind"))).where("kind = 'EPAD' AND (after IS NULL OR after IN ('PAD', 'EPAD'))").select("conv_id", "frame_idx")
+    """V1: EPAD not followed by a word. Two flags a frame are scanned, and nothing else of it."""
+    kind = F.col("kind")
+    flags = frames.select("conv_id", "frame_idx", kind.eqNullSafe("EPAD").alias("epad"), F.coalesce(~kind.isin("PAD", "EPAD"), F.lit(False)).alias("other"))
+    rows = scanned(flags, ["conv_id"], "frame_idx", ["frame_idx"], after=("next", F.col("other")))
+    return rows.where(F.col("epad") & ~F.coalesce("after", F.lit(False))).select("conv_id", "frame_idx")
 
 
 def check_width(frames: DataFrame, k: int = X.CODEBOOKS, roles: int = 2) -> DataFrame:
