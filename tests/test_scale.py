@@ -220,3 +220,49 @@ def test_runs_are_their_frames(spark):
     zone = lambda df: df.withColumn("zone", F.when(F.col("frame_idx") < 6, "A").when(F.col("frame_idx") < 50, "B").otherwise("C"))
     weighed = R.expanded(R.loss_weights(zone(R.cut_runs(marked, [6, 50]))))
     assert rows(weighed.select(*of, "zone", "weight")) == rows(R.loss_weights(zone(R.mark_epad(frames))).select(*of, "zone", "weight"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_compared_by_frame(spark):
+    """Arrays of codes join a row a frame, with the result of a row a code."""
+    from framewise.operators import joins as J
+
+    a = spark.createDataFrame([(1, 0, [1, 2]), (1, 1, [3, None]), (2, 0, [5])], "conv_id long, frame_idx long, codes array<long>")
+    b = spark.createDataFrame([(1, 0, [1, 9]), (1, 1, [3, 4, 5]), (3, 0, [7])], "conv_id long, frame_idx long, codes array<long>")
+    each = lambda df: df.select("conv_id", "frame_idx", F.posexplode("codes").alias("codebook", "code"))
+    assert J.code_agreement(a, b).collect() == J.code_agreement(each(a), each(b)).collect() == [(2 / 3, -2, None)]
+
+
+def test_ratios_share_one_scan(spark, monkeypatch):
+    """A3: the tokens are scanned once, whatever the number of ratios; the streams are those of each ratio alone."""
+    from framewise.operators import frames as R
+
+    scanned, rows = R.scanned, []
+    monkeypatch.setattr(R, "scanned", lambda df, *a, **k: rows.append(df.count()) or scanned(df, *a, **k))
+    tokens = spark.range(60).select((F.col("id") % 2).alias("conv_id"), F.col("id").alias("pos"), F.col("id").cast("string").alias("token"))
+    every = R.interleave_pads(tokens, [0.0, 0.5, 0.8], 1)
+    assert rows == [60]
+    for ratio in (0.0, 0.5, 0.8):
+        assert sorted(every.where(F.col("ratio") == ratio).drop("ratio").collect(), key=str) == sorted(R.interleave_pad(tokens, ratio, 1).collect(), key=str)
+
+
+def test_flags_are_scanned_without_a_sort_of_all_rows(spark):
+    """V1: ends of blocks are hashed, so only a block's rows are sorted; W3 makes its frames once."""
+    from framewise.operators import validate as V
+
+    frames = spark.createDataFrame([(1, i, k) for i, k in enumerate(("EPAD", "WORD", "EPAD", "PAD", "EPAD"))], "conv_id long, frame_idx long, kind string")
+    bad = V.check_epad(frames)
+    assert sorted(r["frame_idx"] for r in bad.collect()) == [2, 4]
+    assert "SortAggregate" not in _plan(bad)
+
+
+def test_text_delay_makes_its_frames_once(spark, monkeypatch):
+    from framewise.plans import catalog
+
+    made, runs = [], catalog.Views.runs.fget
+    monkeypatch.setattr(catalog.Views, "runs", property(lambda v: made.append(1) or runs(v)))
+    catalog.queries()["w3_text_delay"](spark, "/root/testdata/sf0.001")
+    assert made == [1]
