@@ -15,10 +15,13 @@ from pyspark.sql import types as T
 
 from framewise.llm.common import map_texts, materialize, plain_names
 from framewise.llm.graph import connected_components
+from framewise.llm.simhash_dedup import fingerprint, rooted
 
 #: Words of a shingle, and MinHash bands and values a band. At a similarity of exactly 0.8
 #: no band agrees with probability (1 - 0.8**6)**40 = 5.2e-6, whatever kind of edit made the difference.
 BODY_WORDS, BANDS, BAND_ROWS = 5, 40, 6
+#: Words of a shingle of the SimHash fingerprints.
+SIMHASH_WORDS = 3
 #: Shingles of a block; larger groups are cut into blocks that share a few rows, the pivots.
 BLOCK_SHINGLES, PIVOTS = 1 << 18, 4
 _MULTIPLY, _ADD = np.random.default_rng(42).integers(0, 2**63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.array([1, 0], np.uint64)[:, None, None]
@@ -106,8 +109,11 @@ def similar_links(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
-    """``(id, component_id)`` of the ``nid`` of ``nodes`` that shared values of ``keys`` chain together: a star for each value, not its pairs."""
-    rows = nodes.select("nid", F.explode("keys").alias("key"))
+    """``(id, component_id)`` of the ``nid`` of ``nodes`` that shared values of ``keys``, or SimHash fingerprints (``fps``) near one another, chain together: a star for each value, not its pairs."""
+    prints = materialize(nodes.select("nid", F.explode("fps").alias("fp")))
+    near = materialize(rooted(materialize(prints.select("fp").distinct())))
+    simhash = prints.join(near, "fp").select("nid", F.xxhash64(F.lit("simhash"), "root").alias("key"))
+    rows = materialize(nodes.select("nid", F.explode("keys").alias("key")).unionByName(simhash))
     shared = rows.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).where("low < high").select("key", "low")
     return connected_components(rows.join(materialize(shared), "key").where("nid <> low").select(F.col("nid").alias("src"), F.col("low").alias("dst")))
 
@@ -217,15 +223,17 @@ def duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, d1, d2`` of the documents that near copies with smaller ids stand for; d1 and d2 are a text's digest.
 
     A pair is linked when the sets of its five-word shingles have a Jaccard
-    similarity of 0.8 or more, counted exactly. Shared MinHash bands put the
-    texts into groups (see ``BANDS`` for the pairs they miss), large groups are
+    similarity of 0.8 or more, counted exactly. SimHash fingerprints within a
+    few bits of one another, and MinHash bands for the pairs that these can't
+    reach, put the texts into groups (see ``BANDS`` for the pairs missed), large groups are
     parted by their rare shingles; the sets of texts in a group are compared
     in ``similar_links``.
     """
 
     def keyed(texts: list[bytes]) -> list:
         sets = [shingle_set(t) for t in texts]
-        return [*_digests(sets), pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))]
+        fps = np.array([fingerprint(t, SIMHASH_WORDS) for t in texts], np.uint64)
+        return [*_digests(sets), pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(fps.view(np.int64))]
 
     def listed(texts: list[bytes]) -> list:
         sets = [shingle_set(t) for t in texts]
@@ -233,8 +241,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     some, longs = docs.where("doc_id IS NOT NULL"), T.ArrayType(T.LongType())
     digest = [T.StructField("x1", T.LongType()), T.StructField("x2", T.LongType())]
-    prints = materialize(map_texts(some, ["doc_id"], [*digest, T.StructField("keys", longs)], keyed).withColumnsRenamed({"x1": "d1", "x2": "d2"}))
-    nodes = materialize(prints.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).withColumn("nid", F.monotonically_increasing_id()))
+    prints = materialize(map_texts(some, ["doc_id"], [*digest, T.StructField("keys", longs), T.StructField("fp", T.LongType())], keyed).withColumnsRenamed({"x1": "d1", "x2": "d2"}))
+    nodes = materialize(prints.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.collect_set("fp").alias("fps")).withColumn("nid", F.monotonically_increasing_id()))
     groups = materialize(_groups(nodes)).join(nodes, F.col("id") == F.col("nid")).select(F.col("rep").alias("doc_id"), "nid", "d1", "d2", F.col("component_id").alias("grp"))
     sets = map_texts(some.select("doc_id", "text").join(groups, "doc_id"), ["grp", "nid", "d1", "d2"], [*digest, T.StructField("shingles", longs)], listed)
     # Another text under the same id isn't the one that is meant; the same row again links with itself.

@@ -237,6 +237,12 @@ def _search(prints: DataFrame, radius: int) -> DataFrame:
     return pieces.groupBy("shard", "i", "j").applyInPandas(search, "src long, dst long")
 
 
+def rooted(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``distinct`` fingerprints (``fp`` and others) with the ``root`` of those that links within ``radius`` reach."""
+    comp = materialize(connected_components(_search(distinct, radius)))
+    return distinct.join(comp, F.col("fp") == F.col("id"), "left").select(*distinct.columns, F.coalesce("component_id", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """Group texts whose fingerprints differ in ``radius`` bits or fewer.
 
@@ -255,8 +261,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     """
     prints = materialize(fingerprints(docs, words))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comp = materialize(connected_components(_search(distinct, radius)))
-    rooted = distinct.join(comp, F.col("fp") == F.col("id"), "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = rooted.join(named, "root").select("fp", "component_id")
+    found = rooted(distinct, radius)
+    named = found.groupBy("root").agg(F.min("rep").alias("component_id"))
+    label = found.join(named, "root").select("fp", "component_id")
     return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -40,3 +40,12 @@ def test_stages_take_columns_of_any_name_as_without(spark):
         ids = sorted(r["doc_id"] for r in stage(spark, plain, SF).collect())
         out = stage(spark, dotted, SF).collect()
         assert sorted(r["doc_id"] for r in out) == ids and all(r["meta.url"] == r["doc_id"] for r in out)
+
+
+def test_simhash_proposes_pairs(spark, monkeypatch):
+    """Fingerprints put near copies into a group by themselves; what they propose is counted exactly."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda shingles: shingles[:0])
+    text = " ".join(f"w{i * 7919 % 1009}" for i in range(1000))
+    rows = [(1, text), (2, text + " again"), (3, " ".join(f"v{i}" for i in range(1000))), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == [1, 3, 4]
