@@ -89,6 +89,14 @@ def test_a_piece_has_one_list_of_spans(spark, monkeypatch):
     assert len(seen) > 1 and all(n <= pieces and spans <= 2 for pieces, n, spans in seen)
 
 
+def test_runs_of_one_word_in_more_lengths_than_a_shard_holds(spark, monkeypatch):
+    """All windows within such a run are one, so no key parts the runs."""
+    monkeypatch.setattr(substring_dedup, "SHARD", 100)
+    rows = [(i, " ".join([f"a{i}", *["the"] * (5 + i % 20), f"b{i}", *["no", "yes"] * (3 + i % 10), *["the"] * (8 + i % 7)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert kept(df, 5) == brute_kept(rows, 5)
+
+
 def test_suffix_automaton():
     rng = np.random.default_rng(2)
     for _ in range(60):
