@@ -106,6 +106,20 @@ def test_ended_session_comes_out_before_its_gap_is_over(spark):
     assert [(r["user_id"], r["n"]) for r in got] == [(1, 2)]
 
 
+def test_ends_share_timers(spark):
+    """A call of a processor costs milliseconds, so neither every end nor every user has a timer of its own."""
+    rows = [(None if i % 50 == 7 else i % 30 - 5, i, at(i % 50 + i // 200), "bye" if i % 3 else "say", 1.0) for i in range(600)]
+    df = spark.createDataFrame(rows, EVENTS)
+    want = sorted(map(tuple, T.sessions(df, "10 minutes", "bye").collect()), key=str)
+    for options, most in (({}, 30), ({"buckets": 4}, 5)):
+        seen = []
+        feed = Feed(*T.flushed(df, F.floor(F.col("event_id") / 200), user_id=99))
+        got = replay(lambda s: T.sessions(s, "10 minutes", "bye", **options), feed, progress=seen)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        timers = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in seen]
+        assert 0 < max(timers) <= 2 * most
+
+
 def test_both_sides_come_out(spark):
     own = spark.createDataFrame([(1, 1, at(0), "a", 0.0), (1, 2, at(100), "a", 0.0)], EVENTS)
     user = spark.createDataFrame([(1, 3, at(1), "b", 0.0), (1, 4, at(50), "b", 0.0)], EVENTS)
