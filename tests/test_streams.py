@@ -81,6 +81,47 @@ def test_frames_wait_over_many_chunks(spark):
     assert all(r["codes"] == [100 + t] + [1000 + t] * 7 + [200 + t] + [1000 + t] * 7 for t, r in enumerate(got))
 
 
+def test_a_micro_batch_takes_many_chunks(spark):
+    """As many micro-batches as loads, however long a conversation is; each chunk goes on from what the one before has left."""
+    codes = lambda t: [100 + t] + [1000 + t - 2 if t >= 2 else T.X.PLACEHOLDER] * 7 + [200 + t] + [1000 + t - 2 if t >= 2 else T.X.PLACEHOLDER] * 7
+    steps = [(c, t, codes(t) if (c, t) != (2, 31) else [T.X.PLACEHOLDER] * 16) for c in (1, 2) for t in range(60)]
+    df = spark.createDataFrame(steps, "conv_id long, frame_idx long, codes array<long>").repartition(3)
+    for n in (1, 7):
+        seen = []
+        feed = Feed(*T.in_loads(df, F.floor(F.col("frame_idx") / n)))
+        assert feed.chunks <= T.LOADS
+        got = replay(lambda s: T.release_frames(s, 2, chunk="chunk"), feed, progress=seen).orderBy("conv_id", "frame_idx").collect()
+        assert [(r["conv_id"], r["frame_idx"]) for r in got] == [(1, t) for t in range(58)] + [(2, t) for t in range(29)]
+        assert all(r["emitted"] == t + 1 and r["codes"] == [100 + t] + [1000 + t] * 7 + [200 + t] + [1000 + t] * 7 for r in got for t in [r["frame_idx"]])
+        assert sum(p["numInputRows"] for p in seen) == len(steps) and len([p for p in seen if p["numInputRows"]]) == feed.chunks
+
+
+def test_chunks_of_a_micro_batch_are_dealt_with_one_by_one(monkeypatch):
+    """The processor alone, with a store in memory: in one micro-batch or in many, chunks are assembled alike."""
+    import numpy as np
+    import pandas as pd
+
+    class Held(list):
+        get, put, clear, appendList = (lambda s: iter(list(s))), (lambda s, x: s.__setitem__(slice(None), x)), (lambda s: s.__setitem__(slice(None), [])), list.extend
+
+    class Value:
+        x = None
+        get, update = (lambda s: s.x), (lambda s, x: setattr(s, "x", x))
+
+    def run(batches):
+        step, calls = T.FrameReleaser(2, 2, None), []
+        step.emitted, step.held = Value(), Held()
+        monkeypatch.setattr(T, "assembled", lambda at, codes, *a: calls.append(sorted(at.tolist())) or assembled(at, codes, *a))
+        out = [f for b in batches for f in step.handleInputRows((1,), iter([b]), None)]
+        return calls, [tuple(r) for f in out for r in f["codes"]], step.emitted.get() or (0,), sorted(step.held)
+
+    assembled = T.assembled
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"frame_idx": range(40), "codes": [[5 + t, T.X.PLACEHOLDER if t < 2 else 7 + t] * 2 for t in range(40)], "chunk": rng.permutation(np.arange(40) // 3)})
+    many = [g for _, g in rows.groupby("chunk")]
+    assert run([rows]) == run(many) and len(run(many)[1]) == 38
+
+
 def session_rows(spark):
     rows = [(1, 0, "say"), (1, 10, "say"), (1, 12, "bye"), (1, 13, "say"), (1, 400, "say"), (2, 5, "bye"), (2, 5, "say"), (2, 500, "bye"), (2, 500, "bye")]
     return spark.createDataFrame([(u, i, at(m), t, 1.0) for i, (u, m, t) in enumerate(rows)], EVENTS)
